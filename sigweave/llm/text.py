@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,6 +27,8 @@ NOT_SPACE = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 ALNUM = np.array([0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
+_LOWER_VALUES = _BYTE_VALUES[LOWER]
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
@@ -110,8 +112,7 @@ class Words:
         self.counts = np.diff(self.at)
 
     def hashes(self, lower: bool) -> np.ndarray:
-        data = LOWER[self.slice.data] if lower else self.slice.data
-        sums = prefix_sums(_BYTE_VALUES[data], 0)
+        sums = prefix_sums(np.take(_LOWER_VALUES if lower else _BYTE_VALUES, self.slice.data), 0)
         return mix((sums[self.ends] - sums[self.starts]) * powers(0, len(sums))[1][self.starts])
 
     def chunk(self, i: int) -> bytes:
