@@ -1,11 +1,70 @@
-"""The corpus pipeline (stages follow)."""
+"""A training corpus from raw documents: quality rules, near-duplicate join, substring dedup, decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
+the next stage's docs. All but the last return the columns of their input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigweave.llm import decontaminate, ngram_join, packing, quality, substring_dedup
+from sigweave.llm.shared import bloom_filter, split, stash, without
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the fences of their language and source reject go."""
+    rejected = stash(quality.judge(docs).where(~F.col("kept")).select("text_key", "lang", "source"), "rejected")
+    return without(docs, rejected, {"text_key": F.xxhash64("text"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays; identical rows become one."""
+    classes = stash(ngram_join.jaccard_classes(docs), "classes")
+    copies = stash(classes.where("doc_id != component_id").select("doc_id"), "copies")
+    kept = without(docs, copies, {"doc_id": F.col("doc_id").cast("long")})
+    again = stash(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    marked = kept.withColumn("_sigweave_id", F.col("doc_id").cast("long"))
+    maybe, clear = split(marked, "_sigweave_id", bloom_filter(again, "doc_id"))
+    return maybe.dropDuplicates(["doc_id", "text"]).unionByName(clear).drop("_sigweave_id")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in repeated windows of 35 words are cut from the texts; a document with no word left goes."""
+    cut = substring_dedup.substring_dedup(docs)
+    cut = cut.where("n_removed = 0 or n_removed < n_words")
+    text = F.coalesce("kept_text", "text")
+    column = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None)}
+    return cut.select(*[(column[c].cast(docs.schema[c].dataType) if c in column else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth lies in benchmark windows go."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = stash(found.where(decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words"))).select("text_key"), "contaminated")
+    return without(docs, dirty, {"text_key": F.xxhash64("text")})
+
+
+def packing_into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of every document that is left, in sequences of 4096."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", packing_into_sequences),
+]
+
+#: SQL expresses neither the tokenizer nor the packing; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), name)
     return docs

@@ -7,22 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import decontaminate, language, packing, quality, token_counts
+from sigweave.llm import chat, decontaminate, language, licenses, ngram_join, packing, quality, sharding, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, folder, "documents"), n=5)
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(table(spark, folder, "documents").select("doc_id", "text"), window=35)
+    return cut.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    dealt = sharding.exact_shuffle(rows, shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"), licenses.known_licenses(spark))
+    return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+def op7_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    rows = chat.preference_rows(turns, chat.adjacent_pairs(turns))
+    mask = lambda side: F.array_join(F.transform(f"{side}_mask", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",").alias(f"{side}_mask")
+    return rows.select("pair_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", mask("chosen"), "rejected", mask("rejected"))
+
+
 def held_out(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2
 
@@ -45,7 +73,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op5_token_counts, op8_language, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_substring_dedup, op4_sharding, op5_token_counts, op6_licenses, op7_preferences, op8_language, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,3 +77,33 @@ def may_contain(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for at in _probe(keys.view(np.uint64), len(table) * 64):
         out &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return out
+
+
+def _passing(table: np.ndarray, column: str, inside: bool, batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield batch.filter(pa.array(may_contain(table, keys) == inside))
+
+
+def split(rows: DataFrame, column: str, bloom) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have a key of the filter, and rows that certainly have none, without a shuffle. column: long; null counts as 0."""
+    part = lambda inside: rows.mapInArrow(lambda batches: _passing(bloom.value, column, inside, batches), rows.schema)
+    return part(True), part(False)
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
+    """The rows whose keys (name: expression over the rows; the first is a long) are not in ``gone`` (columns of those names; nulls are equal).
+
+    Only rows that pass a filter made from ``gone`` are shuffled."""
+    own = {name: f"_sigweave_{name}" for name in keys}
+    first = next(iter(keys))
+    marked = rows.withColumns({own[name]: x for name, x in keys.items()})
+    near, clear = split(marked, own[first], bloom_filter(gone.select(F.coalesce(F.col(first), F.lit(0)).alias(first)), first))
+    gone = gone.select(*keys).distinct()
+    same = [near[own[name]].eqNullSafe(gone[name]) for name in keys]
+    condition = same[0]
+    for more in same[1:]:
+        condition = condition & more
+    return near.join(gone, condition, "left_anti").unionByName(clear).drop(*own.values())

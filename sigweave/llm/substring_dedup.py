@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sigweave.llm.shared import bloom_filter, may_contain, stash
+from sigweave.llm.shared import bloom_filter, split, stash
 from sigweave.llm.text import NOT_SPACE, flags_within, grams, signed, slices
 
 WINDOW, ANCHOR = 35, 8
 BATCHES, FANOUT = 4, 2
 _GROUP = 1000
-_ROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64())])
 
 
 class Anchors:
@@ -210,29 +210,22 @@ def _repeats(batches):
 
 
 def _cut(window: int, batches):
+    """Rows (row, text, starts) to (row, n_words, n_removed, kept_sha256, kept_text)."""
     for batch in batches:
-        starts, n_words, n_removed, digest, text = batch.column(3).to_pylist(), [], [], [], []
-        for part in slices(batch.column(2)):
-            w = part.words(NOT_SPACE)
+        starts, n_words, n_removed, digest, text = batch.column(2).to_pylist(), [], [], [], []
+        for part in slices(batch.column(1)):
             for i in range(part.n):
-                words = part.bytes_of(i).split()
+                words, removed = part.bytes_of(i).split(), 0
+                n_words.append(len(words))
                 own = starts[part.first + i]
                 if own:
                     gone = flags_within(np.array(own), window, len(words))
                     words, removed = [x for x, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
-                else:
-                    removed = 0
                 kept = b" ".join(words)
-                n_words.append(int(w.counts[i]))
                 n_removed.append(removed)
                 digest.append(hashlib.sha256(kept).hexdigest())
                 text.append(kept.decode() if removed else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.string())], names=["doc_id", "text_key", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-
-def _near_filter(table: np.ndarray, batches):
-    for batch in batches:
-        yield batch.filter(pa.array(may_contain(table, batch.column(1).to_numpy(zero_copy_only=False))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.string()), batch.column(1)], names=["row", "n_words", "n_removed", "kept_sha256", "kept_text", "text"])
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
@@ -249,8 +242,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
     held = stash(anchors.join(suspects, "fp", "left_semi").select("fp", "doc_id", "text_key", "at"), "held")
     # identical rows hold the same anchors; each of them is joined with the one list
     lists = stash(held.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("anchors")), "lists")
-    wanted = bloom_filter(lists, "text_key")
-    near = docs.select("doc_id", "text_key", "text").mapInArrow(lambda b: _near_filter(wanted.value, b), "doc_id long, text_key long, text string")
+    near, _ = split(docs.select("doc_id", "text_key", "text"), "text_key", bloom_filter(lists, "text_key"))
     same = near["doc_id"].eqNullSafe(lists["doc_id"]) & (near["text_key"] == lists["text_key"])
     rows = near.join(lists, same).select(near["doc_id"], near["text_key"], "text", "anchors").mapInArrow(lambda b: _windows(window, b), "fp long, doc_id long, text_key long, first int, windows array<long>")
     sizes = held.groupBy("fp").agg(F.ceil(F.count("*") / _GROUP).cast("int").alias("parts"))
@@ -266,18 +258,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """One row per document row: doc_id, text_key, n_words, n_removed, kept_sha256, kept_text (null where nothing was cut)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    """One row per document row: row (a struct of its columns but the text), n_words, n_removed, kept_sha256, kept_text (null where nothing was cut), text."""
+    others = [c for c in docs.columns if c != "text"]
+    docs = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     starts = stash(repeated_windows(docs, window, batches), "starts")
-    schema = "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    wanted = bloom_filter(starts, "text_key")
-    maybe = docs.mapInArrow(lambda b: _near_filter(wanted.value, b), "doc_id long, text_key long, text string")
-    clear = docs.mapInArrow(lambda b: _not_near(wanted.value, b), "doc_id long, text_key long, text string").withColumn("starts", F.lit(None).cast("array<int>"))
+    maybe, clear = split(docs, "text_key", bloom_filter(starts, "text_key"))
     same = maybe["doc_id"].eqNullSafe(starts["doc_id"]) & (maybe["text_key"] == starts["text_key"])
-    touched = maybe.join(starts, same, "left").select(maybe["doc_id"], maybe["text_key"], "text", "starts")
-    return touched.unionByName(clear).mapInArrow(lambda b: _cut(window, b), schema)
-
-
-def _not_near(table: np.ndarray, batches):
-    for batch in batches:
-        yield batch.filter(pa.array(~may_contain(table, batch.column(1).to_numpy(zero_copy_only=False))))
+    touched = maybe.join(starts, same, "left").select("row", "text", "starts")
+    rows = touched.unionByName(clear.select("row", "text", F.lit(None).cast("array<int>").alias("starts")))
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string, text string")])
+    return rows.mapInArrow(lambda b: _cut(window, b), schema)
