@@ -79,7 +79,7 @@ def _fingerprints(window: int, batches):
 
 def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(fp, doc_id, text_key, at): each distinct anchor of each document row."""
-    return docs.mapInArrow(lambda batches: _fingerprints(window, batches), "fp long, doc_id long, text_key long, at int")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lambda batches: _fingerprints(window, batches), "fp long, doc_id long, text_key long, at int")
 
 
 class FingerprintIndex:
