@@ -1,4 +1,7 @@
-"""All queries of the signalling engine with their SQL counterparts."""
+"""All queries of the signalling engine with their SQL counterparts.
+
+Every module of ``sigweave.queries`` gives (name, function, SQL or None); the SQL runs in DuckDB over the same tables.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +9,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sigweave.queries import analytics, correlation, evaluation, graphs, learning, normalization, rca, scoring, tables
+
+_ALL = [q for module in (normalization, correlation, rca, scoring, analytics, graphs, learning, evaluation, tables) for q in module.QUERIES]
+
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    return rca.rca_distribution(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, f, _ in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, _, sql in _ALL if sql}
