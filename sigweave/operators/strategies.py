@@ -27,7 +27,8 @@ def in_window(ts: Column, start: Column, end: Column, window: float) -> Column:
 def keys_of(rows: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     """(capture_id, message_uid, ts, kind, key): the look-up keys of rows; a kind's expression may be an array."""
     array = lambda x: x if "array" in rows.select(x.alias("x")).schema[0].dataType.simpleString() else F.array(x)
-    every = F.concat(*[F.transform(array(x), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.cast("string").alias("key"))) for k, x in kinds.items()])
+    named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("key"))
+    every = F.concat(*[F.transform(F.coalesce(array(x), F.array().cast("array<string>")), named(kind)) for kind, x in kinds.items()])
     return rows.select("capture_id", "message_uid", "ts", F.explode(every).alias("e")).select("capture_id", "message_uid", "ts", "e.kind", "e.key").where("key is not null and key != ''").distinct()
 
 

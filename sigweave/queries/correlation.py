@@ -1 +1,128 @@
-QUERIES = []
+"""Interval joins, tokens, pair scores and clusters over the signalling view."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigweave.operators import pairs, seeds, sessions, strategies
+from sigweave.plans.batch import sessionize
+from sigweave.plans.testviews import GAP, MESSAGES_SQL, SEGMENTS_SQL, SESSIONS_SQL, WINDOW, messages
+
+KEYS = ["capture_id", "session_id"]
+
+
+def calls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """SIP sessions by Call-ID with their bounds and IMSI, and all messages."""
+    rows = messages(spark, folder)
+    sip = seeds.grouped(rows.where("protocol = 'SIP'"), F.col("call_id"))
+    return sip.groupBy(*KEYS).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min("imsi").alias("imsi"), F.min("framed_ip").alias("framed_ip"), F.lit(None).cast("string").alias("msisdn")), rows
+
+
+CALLS_SQL = MESSAGES_SQL + """, calls AS (
+  SELECT capture_id, call_id AS session_id, min(ts) AS start_ts, max(ts) AS end_ts, min(imsi) AS imsi, min(framed_ip) AS framed_ip FROM m WHERE protocol = 'SIP' GROUP BY 1, 2
+)"""
+
+
+def seed_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return seeds.seed(messages(spark, folder)).groupBy("capture_id", "session_id").agg(F.count("*").alias("messages"))
+
+
+def framed_ip_join(spark: SparkSession, folder: str) -> DataFrame:
+    s, rows = calls(spark, folder)
+    ips = s.select(*KEYS, F.col("framed_ip").alias("ip"), F.lit(0).alias("rank"))
+    found = strategies.diameter_fusion(s, ips, rows.where("protocol = 'DIAMETER'"), WINDOW, time_fallback=False)
+    return found.select(*KEYS, "message_uid", "strategy", "score")
+
+
+def gtp_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    s, rows = calls(spark, folder)
+    ips = s.select(*KEYS, F.col("framed_ip").alias("ip"), F.lit(0).alias("rank"))
+    return strategies.gtp_fusion(s, ips, rows.where("protocol = 'GTP'"), WINDOW).select(*KEYS, "message_uid", "strategy")
+
+
+def time_cluster(spark: SparkSession, folder: str) -> DataFrame:
+    s, rows = calls(spark, folder)
+    return strategies.time_window(s, rows.where("protocol = 'GTP'"), 600.0).select(*KEYS, "message_uid")
+
+
+def endpoint_semi_join(spark: SparkSession, folder: str) -> DataFrame:
+    s, rows = calls(spark, folder)
+    ips = strategies.candidate_ips(seeds.grouped(rows.where("protocol = 'SIP'"), F.col("call_id")), ["src_ip", "dst_ip"])
+    return strategies.endpoint_rows(s, ips, rows.where("protocol = 'HTTP'"), 600.0)
+
+
+def similarity_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and rows whose addresses agree in the last two octets, in a window."""
+    from sigweave.functions import fields
+
+    s, rows = calls(spark, folder)
+    keys = s.select(*KEYS, fields.similarity_key("framed_ip").alias("key"), F.lit(0).alias("rank"))
+    row_keys = strategies.keys_of(rows.where("protocol = 'NAS_5GS'"), {"similar": fields.similarity_key("framed_ip")})
+    return strategies.equi_window(s, keys, row_keys, "similar", "framed_ip_nat_similarity", 108, WINDOW).select(*KEYS, "message_uid")
+
+
+def session_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.tokens(sessionize(messages(spark, folder), GAP))
+
+
+TOKENS_SQL = SESSIONS_SQL + """, tk AS (
+  SELECT DISTINCT capture_id, session_id, kind, token FROM (
+    SELECT capture_id, session_id, unnest(['id', 'id', 'subscriber_id', 'subscriber_ip', 'tunnel', 'ip', 'ip', 'pair', 'technology']) AS kind,
+      unnest([call_id, CASE WHEN protocol = 'DIAMETER' THEN 'dia-' || user_id END, imsi, framed_ip, teid, src_ip, dst_ip, least(src_ip, dst_ip) || '|' || greatest(src_ip, dst_ip), technology]) AS token FROM s
+  ) WHERE token IS NOT NULL
+)"""
+
+
+def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = sessionize(messages(spark, folder), GAP)
+    records, tokens = sessions.refresh(rows), sessions.tokens(rows)
+    none = spark.createDataFrame([], "capture_id string, a string, b string, method string")
+    return records, pairs.score_pairs(records, tokens, window=WINDOW, links=none, hot=50)
+
+
+def pair_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of sessions that share an identity, a tunnel or an address, scored."""
+    _, scored = _scored(spark, folder)
+    return scored.where("score > 0").select("capture_id", "a", "b", F.col("score").cast("int").alias("score"))
+
+
+PAIRS_SQL = TOKENS_SQL + """, tp AS (
+  SELECT x.capture_id, x.session_id AS a, y.session_id AS b, x.kind, count(*) AS n FROM tk x JOIN tk y ON x.capture_id = y.capture_id AND x.kind = y.kind AND x.token = y.token AND x.session_id < y.session_id WHERE x.kind <> 'technology' GROUP BY 1, 2, 3, 4
+), tw AS (
+  SELECT capture_id, a, b, coalesce(max(n) FILTER (kind = 'id'), 0) AS id, coalesce(max(n) FILTER (kind = 'subscriber_ip'), 0) AS subscriber_ip, coalesce(max(n) FILTER (kind = 'tunnel'), 0) AS tunnel, coalesce(max(n) FILTER (kind = 'subscriber_id'), 0) AS subscriber_id,
+    coalesce(max(n) FILTER (kind = 'pair'), 0) AS pair, coalesce(max(n) FILTER (kind = 'ip'), 0) AS ip FROM tp GROUP BY 1, 2, 3
+), tn AS (
+  SELECT t.*, greatest(x.start_ts - y.end_ts, y.start_ts - x.end_ts, 0) <= 7200 AS near, list_has_any(x.technologies, y.technologies) AS tech,
+    (SELECT min(imsi) FROM s WHERE s.capture_id = t.capture_id AND s.session_id = t.a) AS ia, (SELECT min(imsi) FROM s WHERE s.capture_id = t.capture_id AND s.session_id = t.b) AS ib
+  FROM tw t JOIN ss x ON x.capture_id = t.capture_id AND x.session_id = t.a JOIN ss y ON y.capture_id = t.capture_id AND y.session_id = t.b
+), tsc AS (
+  SELECT capture_id, a, b, CASE WHEN id > 0 THEN 120 WHEN ia <> ib THEN 0 ELSE CASE WHEN near AND subscriber_ip > 0 THEN 110 ELSE 0 END + CASE WHEN near AND tunnel > 0 THEN 105 ELSE 0 END + CASE WHEN near AND subscriber_id > 0 THEN 90 ELSE 0 END
+    + CASE WHEN near AND pair > 0 THEN 80 WHEN near AND ip >= 2 THEN 72 WHEN near AND ip > 0 THEN 60 ELSE 0 END + CASE WHEN near AND tech THEN 15 ELSE 0 END END AS score FROM tn
+)"""
+
+
+def clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions merged over pairs that reach the threshold."""
+    records, scored = _scored(spark, folder)
+    return pairs.merge_clusters(scored, records)
+
+
+CLUSTERS_SQL = PAIRS_SQL.replace("WITH ", "") + """, bp AS (
+  SELECT capture_id, b AS session_id, a AS up FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, b ORDER BY score DESC, a) AS r FROM tsc WHERE score >= 70) WHERE r = 1
+), walk AS (
+  SELECT capture_id, session_id, session_id AS cluster FROM ss WHERE (capture_id, session_id) NOT IN (SELECT capture_id, session_id FROM bp)
+  UNION ALL SELECT bp.capture_id, bp.session_id, w.cluster FROM bp JOIN walk w ON w.capture_id = bp.capture_id AND w.session_id = bp.up
+)"""
+
+QUERIES = [
+    ("a04_seed_sessions", seed_sessions, f"WITH {MESSAGES_SQL} SELECT capture_id, CASE protocol WHEN 'SIP' THEN 'sip:' || call_id WHEN 'DIAMETER' THEN 'diameter:dia-' || user_id WHEN 'GTP' THEN 'gtp:' || teid ELSE lower(protocol) || ':' || imsi END AS session_id, count(*) AS messages FROM m GROUP BY 1, 2"),
+    ("j04_framed_ip_join", framed_ip_join, f"WITH {CALLS_SQL} SELECT c.capture_id, c.session_id, m.frame_number AS message_uid, 'framed_ip_fusion' AS strategy, 110 AS score FROM calls c JOIN m ON m.capture_id = c.capture_id AND m.framed_ip = c.framed_ip AND m.protocol = 'DIAMETER' AND m.ts BETWEEN c.start_ts - 3600 AND c.end_ts + 3600"),
+    ("j13_gtp_fusion", gtp_fusion, f"WITH {CALLS_SQL} SELECT c.capture_id, c.session_id, m.frame_number AS message_uid, 'imsi_fusion' AS strategy FROM calls c JOIN m ON m.capture_id = c.capture_id AND m.imsi = c.imsi AND m.protocol = 'GTP' AND m.ts BETWEEN c.start_ts - 3600 AND c.end_ts + 3600"),
+    ("j11_time_cluster", time_cluster, f"WITH {CALLS_SQL} SELECT c.capture_id, c.session_id, m.frame_number AS message_uid FROM calls c JOIN m ON m.capture_id = c.capture_id AND m.protocol = 'GTP' AND m.ts BETWEEN c.start_ts - 600 AND c.end_ts + 600"),
+    ("j15_endpoint_semi_join", endpoint_semi_join, f"WITH {CALLS_SQL}, ends AS (SELECT DISTINCT capture_id, call_id AS session_id, unnest([src_ip, dst_ip]) AS ip FROM m WHERE protocol = 'SIP') SELECT DISTINCT c.capture_id, c.session_id, m.frame_number AS message_uid FROM calls c JOIN ends e USING (capture_id, session_id) JOIN m ON m.capture_id = c.capture_id AND m.protocol = 'HTTP' AND (m.src_ip = e.ip OR m.dst_ip = e.ip) AND m.ts BETWEEN c.start_ts - 600 AND c.end_ts + 600"),
+    ("j05_similarity_join", similarity_join, f"WITH {CALLS_SQL} SELECT c.capture_id, c.session_id, m.frame_number AS message_uid FROM calls c JOIN m ON m.capture_id = c.capture_id AND m.protocol = 'NAS_5GS' AND split_part(m.framed_ip, '.', 3) || '.' || split_part(m.framed_ip, '.', 4) = split_part(c.framed_ip, '.', 3) || '.' || split_part(c.framed_ip, '.', 4) AND m.ts BETWEEN c.start_ts - 3600 AND c.end_ts + 3600"),
+    ("a10_session_tokens", session_tokens, f"WITH {TOKENS_SQL} SELECT capture_id, session_id, kind, token FROM tk"),
+    ("j16_pair_scores", pair_scores, f"WITH {PAIRS_SQL} SELECT capture_id, a, b, score FROM tsc WHERE score > 0"),
+    ("g07_session_clusters", clusters, f"WITH RECURSIVE {CLUSTERS_SQL} SELECT capture_id, session_id, cluster FROM walk"),
+]

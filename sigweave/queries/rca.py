@@ -100,7 +100,7 @@ def event_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 def causal_chain(spark: SparkSession, folder: str) -> DataFrame:
     """The five events of highest causal score of each session."""
-    return rules.top_events(chain(spark, folder).withColumn("score", F.round("score", 9)), KEYS, 5).select(*KEYS, "rank", "event", F.round("score", 6).alias("score"))
+    return rules.top_events(chain(spark, folder).withColumn("score", F.round("score", 9)), KEYS, 5).select(*KEYS, "rank", "event", "score")
 
 
 def confidence_fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,6 +152,6 @@ QUERIES = [
     ("r09_hypotheses", agent_hypotheses, f"WITH {HYPOTHESES_SQL} SELECT capture_id, session_id, agent, label, confidence FROM hyp"),
     ("r10_agent_vote", agent_vote, f"WITH {VOTE_SQL} SELECT capture_id, session_id, top_label, top_confidence, round(consensus, 6) AS consensus, is_conflicted FROM voted"),
     ("w13_event_chain", event_chain, f"WITH {CHAIN_SQL} SELECT capture_id, session_id, frame_number, event, event_from, round(weight, 6) AS weight, round(score, 6) AS score FROM cs"),
-    ("r11_causal_chain", causal_chain, f"WITH {CHAIN_SQL} SELECT capture_id, session_id, CAST(rank AS INT) AS rank, event, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, session_id ORDER BY round(score, 9) DESC, ts, frame_number) AS rank FROM cs) WHERE rank <= 5"),
+    ("r11_causal_chain", causal_chain, f"WITH {CHAIN_SQL} SELECT capture_id, session_id, CAST(rank AS INT) AS rank, event, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, session_id ORDER BY round(score, 9) DESC, ts, frame_number) AS rank FROM cs) WHERE rank <= 5"),
     ("r13_confidence_fusion", confidence_fusion, f"WITH {FUSION_SQL}"),
 ]
