@@ -75,7 +75,7 @@ def _sets(n: int, batches):
 
     def frequent():
         keys, counts = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        keep = counts >= 3
+        keep = counts >= 2
         m = int(keep.sum())
         return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(signed(keys[keep])), pa.array(counts[keep])], names=["doc_id", "set_id", "n", "token", "freq"])
 
@@ -87,7 +87,7 @@ def _sets(n: int, batches):
                 sizes.append(len(own))
                 waiting.append(own)
                 size += len(own)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield frequent()
                 waiting, size = [], 0
         m = len(names)
@@ -181,9 +181,9 @@ def _signatures(n: int, light: int, buckets: int, frequent: np.ndarray, batches)
                 if PER * size >= LEAST * (light + 1):
                     p = prefix_length(size, K)
                     add(own[:p], often[:p], name, size, 1)
-        if count > 1_500_000:
-            yield from flush()
-            signs, owners, rows, count = [], [], [], 0
+            if count > 300_000:
+                yield from flush()
+                signs, owners, rows, count = [], [], [], 0
     yield from flush()
 
 
