@@ -61,8 +61,6 @@ def known(name: str) -> Column:
 def normalize(raw: DataFrame) -> DataFrame:
     """All families in one pass."""
     p = F.upper("protocol")
-    message_text = fields.informative_segment(known("info"), p)
-    context = fields.sbi_context(known("uri"), known("host"), known("info"))
     rows = raw.select(
         "capture_id",
         p.alias("protocol"),
@@ -99,18 +97,19 @@ def normalize(raw: DataFrame) -> DataFrame:
         fields.distinct_values(*[F.col("fields")[n] for n in ACCESS_IDS]).alias("access_ids"),
         fields.distinct_values(*[F.col("fields")[n] for n in INNER_IPS]).alias("ike_inner_ips"),
         known("seid").alias("seid"),
-        message_text.alias("info"),
-        F.when(p == "HTTP", context).alias("sbi"),
+        known("info").alias("raw_info"),
+        known("host").alias("host"),
         known("imsi").alias("own_imsi"),
         known("msisdn").alias("own_msisdn"),
         field("tls.record.content_type").isNotNull().alias("is_tls"),
         known("uri").alias("uri"),
     )
+    rows = rows.withColumn("sbi_text", F.concat_ws(" ", "uri", "host", "raw_info"))
+    rows = fields.with_sbi_context(rows, "sbi_text", F.col("protocol") == "HTTP")
     rows = rows.withColumns({
-        "sbi_service": F.col("sbi.sbi_service"),
-        "supi": F.col("sbi.supi"),
-        "imsi": F.coalesce("own_imsi", "sbi.imsi"),
-        "msisdn": F.coalesce("own_msisdn", "sbi.msisdn"),
+        "info": fields.informative_segment("raw_info", F.col("protocol")),
+        "imsi": F.coalesce("own_imsi", "sbi_imsi"),
+        "msisdn": F.coalesce("own_msisdn", "sbi_msisdn"),
         "domain": F.element_at(F.create_map(*[F.lit(x) for kv in CODE_DOMAINS.items() for x in kv]), F.col("protocol")),
     })
     enough = F.when(F.col("protocol") == "SIP", F.col("call_id").isNotNull()).when(F.col("protocol") == "DIAMETER", F.col("dia_session_id").isNotNull() & F.col("command_code").isNotNull())
@@ -134,4 +133,4 @@ def normalize(raw: DataFrame) -> DataFrame:
         "is_subscriber_absent": F.coalesce(F.col("result_code").isin("5001", "5550"), F.lit(False)),
         "technology": codes.technology(F.col("protocol"), F.col("sbi_service").isNotNull(), F.col("is_tls")),
     })
-    return conform(rows.drop("info", "sbi", "own_imsi", "own_msisdn", "domain", "_domain", "_code", "code_name", "is_tls", "uri"))
+    return conform(rows.drop("info", "raw_info", "host", "sbi_text", "sbi_imsi", "sbi_msisdn", "suci", "gpsi", "payload_hint", "own_imsi", "own_msisdn", "domain", "_domain", "_code", "code_name", "is_tls", "uri"))

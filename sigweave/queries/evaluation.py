@@ -1 +1,89 @@
-QUERIES = []
+"""Metrics, gates, drift and reports over labelled sessions and labelled documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sigweave.operators import analytics
+from sigweave.operators import evaluation as E
+from sigweave.plans.batch import labelled
+from sigweave.plans.testviews import GAP, SESSIONS_SQL, messages
+
+
+def _rows(s, d):
+    return labelled(messages(s, d), GAP)
+
+
+def session_metrics(s, d):
+    m = E.session_metrics(_rows(s, d), ["capture_id"])
+    return m.select("capture_id", "sessions", *[F.round(c, 6).alias(c) for c in ("unknown_ratio", "abnormal_ratio", "avg_confidence", "cross_protocol_ratio")])
+
+
+def profile(s, d):
+    return E.distribution(_rows(s, d), "rca_label").withColumn("share", F.round("share", 6))
+
+
+def drift(s, d):
+    rows = _rows(s, d)
+    even = F.substring("capture_id", 5, 1).cast("int") % 2 == 0
+    return E.drift_report(rows.where(even), rows.where(~even)).withColumn("value", F.round("value", 6))
+
+
+def case_gates(s, d):
+    rows = _rows(s, d)
+    labels = rows.groupBy("capture_id", "rca_label").agg(F.count("*").alias("n"))
+    top = analytics.top_k(labels, ["capture_id"], [F.desc("n"), F.col("rca_label")], 1).select("capture_id", F.col("rca_label").alias("top_label"))
+    m = E.session_metrics(rows, ["capture_id"]).join(top, "capture_id").withColumnRenamed("capture_id", "case")
+    cases = rows.select(F.col("capture_id").alias("case")).distinct().withColumns({"min_sessions": F.lit(560), "max_unknown_ratio": F.lit(0.05), "min_confidence": F.lit(79.0), "dominant_label": F.lit("NORMAL_CALL")})
+    return E.case_gate(m, cases)
+
+
+def expected_matching(s, d):
+    rows = _rows(s, d)
+    actual = rows.select(F.col("capture_id").alias("case"), "session_id", F.struct("rca_label", "protocols", "technologies").alias("s"))
+    wanted = s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("cap-"), (F.col("n_nationkey") % 10).cast("string")).alias("case"), F.col("n_nationkey").alias("expected_id"), F.struct(F.when(F.col("n_nationkey") % 2 == 0, "USER_BUSY").otherwise("SERVER_ERROR").alias("rca_label"), F.array(F.lit("SIP")).alias("protocols"), F.array(F.lit("IMS")).alias("technologies")).alias("e"))
+    return E.match_expected(actual, wanted)
+
+
+def per_class(s, d):
+    t = lambda n: s.read.parquet(f"{d}/{n}.parquet")
+    rows = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id").withColumn("predicted", F.when(F.col("n_chars") % 3 == 0, 0).otherwise(1))
+    m = E.per_class(rows, "quality", "predicted")
+    return m.select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _metrics_of(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("sessions"), F.count_if(F.col("rca_label") == "UNKNOWN").alias("unknown"), F.lit(0).alias("pending"), F.count_distinct("rca_label").alias("patterns"), F.lit(True).alias("benchmark_passed"))
+
+
+def seed_gate(s, d):
+    rows = _rows(s, d)
+    return E.seed_gate(_metrics_of(rows.where("capture_id = 'cap-0'")), _metrics_of(rows))
+
+
+def suite(s, d):
+    return E.suite(case_gates(s, d)).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+_DIST = "SELECT {c} AS key, count(*) / (SELECT count(*) FROM {t} WHERE {w}) AS share FROM {t} WHERE {w} GROUP BY 1"
+_EVEN, _ODD = "CAST(substr(capture_id, 5, 1) AS INT) % 2 = 0", "CAST(substr(capture_id, 5, 1) AS INT) % 2 = 1"
+
+
+def _tv(c: str, t: str) -> str:
+    return f"(SELECT sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) / 2 FROM ({_DIST.format(c=c, t=t, w=_EVEN)}) a FULL JOIN ({_DIST.format(c=c, t=t, w=_ODD)}) b ON a.key = b.key)"
+
+
+_GATE = SESSIONS_SQL + """, c AS (SELECT capture_id, rca_label, count(*) AS n FROM rca GROUP BY 1, 2), t AS (SELECT capture_id, rca_label AS top_label FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, rca_label) AS r FROM c) WHERE r = 1),
+x AS (SELECT capture_id AS "case", count(*) AS sessions, avg(CAST(rca_label = 'UNKNOWN' AS INT)) AS u, avg(confidence_pct) AS a, any_value(top_label) AS top_label FROM rca JOIN t USING (capture_id) GROUP BY 1),
+gt AS (SELECT "case", list_filter([CASE WHEN sessions < 560 THEN 'too few sessions' END, CASE WHEN u > 0.05 THEN 'too many unknown' END, CASE WHEN a < 79 THEN 'confidence too low' END, CASE WHEN top_label <> 'NORMAL_CALL' THEN 'other dominant label' END], lambda v: v IS NOT NULL) AS r FROM x)"""
+QUERIES = [
+    ("a28_session_metrics", session_metrics, f"WITH {SESSIONS_SQL} SELECT capture_id, count(*) AS sessions, round(avg(CAST(rca_label = 'UNKNOWN' AS INT)), 6) AS unknown_ratio, round(avg(CAST(rca_label NOT IN ('NORMAL_CALL', 'UNKNOWN') AS INT)), 6) AS abnormal_ratio, round(avg(confidence_pct), 6) AS avg_confidence, round(avg(CAST(len(protocols) > 1 AS INT)), 6) AS cross_protocol_ratio FROM rca GROUP BY 1"),
+    ("a31_label_profile", profile, f"WITH {SESSIONS_SQL} SELECT rca_label AS key, round(count(*) / (SELECT count(*) FROM rca), 6) AS share FROM rca GROUP BY 1"),
+    ("m31_drift_report", drift, f"WITH {SESSIONS_SQL}, p AS (SELECT capture_id, unnest(protocols) AS v FROM rca), tg AS (SELECT capture_id, unnest(technologies) AS v FROM rca), du AS (SELECT avg((end_ts - start_ts) * 1000) FILTER ({_EVEN}) AS a, avg((end_ts - start_ts) * 1000) FILTER ({_ODD}) AS b FROM rca), r AS (SELECT 'label' AS \"check\", {_tv('rca_label', 'rca')} AS value, 0.55 AS lim UNION ALL SELECT 'protocol', {_tv('v', 'p')}, 0.6 UNION ALL SELECT 'technology', {_tv('v', 'tg')}, 0.6 UNION ALL SELECT 'duration', (SELECT greatest(a / b, b / a) FROM du), 2.5) SELECT \"check\", round(value, 6) AS value, CAST(lim AS DOUBLE) AS \"limit\", value <= lim AS passed FROM r"),
+    ("a29_case_gates", case_gates, f"WITH {_GATE} SELECT \"case\", CAST(len(r) AS INT) AS failed_checks, len(r) = 0 AS passed, array_to_string(r, '; ') AS reasons FROM gt"),
+    ("a30_suite", suite, f"WITH {_GATE} SELECT count(*) FILTER (len(r) = 0) AS passed, count(*) FILTER (len(r) > 0) AS failed, count(*) AS cases, round(avg(CAST(len(r) = 0 AS INT)), 6) AS pass_rate FROM gt"),
+    ("j24_expected_matching", expected_matching, f"WITH {SESSIONS_SQL}, w AS (SELECT 'cap-' || (n_nationkey % 10) AS \"case\", CASE WHEN n_nationkey % 2 = 0 THEN 'USER_BUSY' ELSE 'SERVER_ERROR' END AS lab, count(*) AS n FROM nation GROUP BY 1, 2) SELECT \"case\", CAST(sum(n) AS INT) AS expected, CAST(sum(least(n, (SELECT count(*) FROM rca WHERE capture_id = \"case\" AND rca_label = lab AND list_contains(protocols, 'SIP') AND list_contains(technologies, 'IMS')))) AS INT) AS matched FROM w GROUP BY 1"),
+    ("m23_per_class", per_class, "WITH x AS (SELECT quality AS a, CASE WHEN n_chars % 3 = 0 THEN 0 ELSE 1 END AS p FROM labels JOIN documents USING (doc_id)), c AS (SELECT l AS label, (SELECT count(*) FROM x WHERE a = l AND p = l) AS tp, (SELECT count(*) FROM x WHERE a = l) AS support, (SELECT count(*) FROM x WHERE p = l) AS given FROM (SELECT unnest([0, 1]) AS l)) SELECT label, support, round(tp / given, 6) AS precision, round(tp / support, 6) AS recall, round(2 * (tp / given) * (tp / support) / (tp / given + tp / support), 6) AS f1 FROM c"),
+    ("r23_seed_gate", seed_gate, f"WITH {SESSIONS_SQL}, a AS (SELECT count(*) AS n, count(*) FILTER (rca_label = 'UNKNOWN') AS u, count(DISTINCT rca_label) AS p, count(DISTINCT rca_label) FILTER (capture_id = 'cap-0') AS op FROM rca) SELECT 'new_sessions' AS \"check\", n > 0 AS passed FROM a UNION ALL SELECT 'unknown_ratio', u / n <= 0.35 FROM a UNION ALL SELECT 'queue_growth', true FROM a UNION ALL SELECT 'pattern_drop', op <= p FROM a UNION ALL SELECT 'benchmark', true FROM a"),
+]

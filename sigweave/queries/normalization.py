@@ -1 +1,52 @@
-QUERIES = []
+"""Normalization of decoded rows: the signalling view is written back as decoded fields and normalized again."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sigweave.functions import fields, predicates
+from sigweave.operators import normalize, seeds
+from sigweave.plans.testviews import MESSAGES_SQL, messages
+
+
+def decoded(s, d):
+    """(capture_id, protocol, fields): what a decoder would have given for each message of the view."""
+    rows = messages(s, d)
+    pairs = {
+        "frame.number": F.col("frame_number").cast("string"), "frame.time_epoch": F.col("ts").cast("string"), "ip.src": F.col("src_ip"), "ip.dst": F.col("dst_ip"), "sip.Call-ID": F.col("call_id"), "sip.Method": F.lower("method"),
+        "sip.Status-Code": F.when(F.col("protocol") == "SIP", F.col("status_code")), "http.response.code": F.when(F.col("protocol") == "HTTP", F.col("status_code")), "diameter.Session-Id": F.col("dia_session_id"), "diameter.cmd.code": F.col("command_code"), "diameter.Result-Code": F.col("result_code"),
+        "gtpv2.cause_value": F.col("cause_code"), "gtpv2.message_type": F.when(F.col("protocol") == "GTP", F.lit("33")), "e212.imsi": F.concat(F.lit(" "), "imsi", F.lit(" ")), "_ws.col.Info": F.when(F.col("protocol") == "NAS_5GS", F.col("message")),
+    }
+    return rows.select("capture_id", "protocol", F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()]), lambda e: e["value"].isNotNull())).alias("fields"))
+
+
+def normalized(s, d):
+    rows = normalize.normalize(decoded(s, d))
+    return rows.select("capture_id", "frame_number", "protocol", "technology", "message", "method", "status_code", "result_code", "command_name", "cause_code", "imsi", "is_failure")
+
+
+def deduplicated(s, d):
+    """The view twice over, without its repeats."""
+    rows = normalize.normalize(decoded(s, d))
+    return seeds.deduplicate(rows.unionByName(rows)).groupBy("protocol").agg(F.count("*").alias("n"))
+
+
+def flow_failures(s, d):
+    rows = messages(s, d)
+    return rows.select("frame_number", predicates.flow_failure(F.col("protocol"), F.col("status_code"), F.col("result_code"), F.col("cause_code"), F.col("is_failure")).alias("failed"))
+
+
+def identities(s, d):
+    """Identities written into service texts and read from them again."""
+    text = F.concat(F.lit("/nudm-sdm/v2/imsi-"), "imsi", F.lit("/x?gpsi=msisdn-49"), F.substring("imsi", 6, 8), F.lit("&y=%7B%22a%22%3A1%7D"))
+    rows = messages(s, d).where("protocol = 'HTTP'").select("frame_number", text.alias("text"))
+    rows = fields.with_sbi_context(rows, "text", F.lit(True))
+    return rows.select("frame_number", F.col("sbi_service").alias("service"), "supi", "gpsi", F.col("sbi_imsi").alias("imsi"), F.col("sbi_msisdn").alias("msisdn"), fields.plain_payload("text").alias("plain"))
+
+
+QUERIES = [
+    ("p04_normalize", normalized, f"WITH {MESSAGES_SQL} SELECT capture_id, frame_number, protocol, technology, CASE protocol WHEN 'SIP' THEN coalesce(method, status_code, 'SIP') WHEN 'HTTP' THEN status_code WHEN 'DIAMETER' THEN message WHEN 'GTP' THEN 'Create Session Response' ELSE nas END AS message, method, status_code, result_code, CASE WHEN protocol = 'DIAMETER' THEN 'CCR' END AS command_name, cause_code, imsi, is_failure FROM m"),
+    ("a02_deduplicate", deduplicated, f"WITH {MESSAGES_SQL} SELECT protocol, count(*) AS n FROM m GROUP BY 1"),
+    ("p44_flow_failures", flow_failures, f"WITH {MESSAGES_SQL} SELECT frame_number, is_failure AND NOT (protocol = 'SIP' AND false) AS failed FROM m"),
+    ("p16_sbi_identities", identities, f"WITH {MESSAGES_SQL} SELECT frame_number, 'nudm-sdm' AS service, 'imsi-' || imsi AS supi, 'msisdn-49' || substr(imsi, 6, 8) AS gpsi, imsi, '49' || substr(imsi, 6, 8) AS msisdn, '/nudm-sdm/v2/imsi-' || imsi || '/x?gpsi=msisdn-49' || substr(imsi, 6, 8) || '&y={{\"a\":1}}' AS plain FROM m WHERE protocol = 'HTTP'"),
+]
