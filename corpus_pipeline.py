@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.llm import decontaminate, ngram_join, packing, quality, substring_dedup
-from sigweave.llm.shared import bloom_filter, split, stash, without
+from sigweave.llm.shared import bloom_filter, let_workers_import, split, stash, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), name)

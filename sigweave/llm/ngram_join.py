@@ -11,8 +11,8 @@ size - least overlap + k n-grams, for any k up to the overlap. So
 * the boundary is where the sum of both costs, taken from the histogram of set sizes, is least.
 
 Candidates are verified on whole texts, so links are exact. Large groups of near copies never become
-all their pairs: a first round links every set to one or two leaders of the lists that it is in, and
-the second round looks only at pairs of sets that are not yet in one component. Lists of
+all their pairs: a first round links every set to one or two leaders of the lists that it is in, a second one the sets of long lists to
+several more, and the last round looks only at pairs of sets that are not yet in one component. Lists of
 signatures are hashed to buckets of bounded size; those of frequent n-grams, the only long ones, are
 dealt as rows.
 
@@ -38,15 +38,20 @@ N = 5
 #: Two sets link when PER * intersection >= LEAST * union.
 LEAST, PER = 75, 100
 #: Shared n-grams of the prefix that a pair of heavy sets must have.
-K = 4
-#: An n-gram in so many texts counts as frequent; at most MAX_FREQUENT of them (2 MB) are broadcast. This orders n-grams; it leaves none out.
-FREQUENT, MAX_FREQUENT = 16, 1 << 18
+K = 12
+#: The least boundary: sets in inverted lists overlap in K n-grams at least.
+LEAST_LIGHT = 21
+#: An n-gram in so many texts counts as frequent; at most MAX_FREQUENT of them (12 MB) are broadcast. This orders n-grams; it leaves none out.
+FREQUENT, MAX_FREQUENT = 8, 1 << 20
 #: Cost of an entry of an inverted list (it is written, read and counted) in signatures.
 LIST_COST = 2
 BUCKET_ENTRIES = 400_000
-LEADERS = 2
+LEADERS, MORE_LEADERS = 2, 8
 _GROUP = 500
 
+_ENTRY = [("sig", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<i4")]
+_SIGNED = ["bucket", "entries", "sig", "set_id", "size", "pos"]
+
 
 def text_sets(part, n: int = N):
     """For each document of a slice, its sorted distinct n-gram hashes (A-Z lower-cased)."""
@@ -111,22 +116,22 @@ def boundary(histogram: dict[int, int]) -> int:
         light = sum(c * math.comb(prefix_length(s, 2), 2) for s, c in histogram.items() if s <= x)
         return light + sum(LIST_COST * c * prefix_length(s, K) for s, c in histogram.items() if PER * s >= LEAST * (x + 1))
 
-    return min(range(7, 65), key=cost)  # from 7 on, sets in lists overlap in K n-grams at least
+    return min(range(LEAST_LIGHT, 65), key=cost)
 
 
-def _order(own: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set in the common order, and which are frequent. frequent: sorted by hash; those come last."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        often = frequent[at] == own
-    else:
-        often = np.zeros(len(own), bool)
-    order = np.argsort(often, kind="stable")
-    return own[order], often[order]
+def _order(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The set in the common order, and which are frequent. frequent: hashes in order, and how frequent each is; the most frequent come last."""
+    tokens, freq = frequent
+    rank = np.zeros(len(own), np.int32)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+        rank = np.where(tokens[at] == own, freq[at], 0)
+    order = np.argsort(rank, kind="stable")
+    return own[order], rank[order] > 0
 
 
-def _signatures(n: int, light: int, buckets: int, frequent: np.ndarray, batches):
-    """Entries (signature, set, size): packed by bucket, or as rows if only frequent n-grams are in the signature. A set is signed once a task."""
+def _signatures(n: int, light: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray], batches):
+    """Entries (signature, set, size, place of the n-gram in the set): packed by bucket, or as rows if only frequent n-grams are in the signature. A set is signed once a task."""
     done: set[int] = set()
     signs: list[np.ndarray] = []
     owners: list[tuple[int, int, int]] = []
@@ -136,10 +141,11 @@ def _signatures(n: int, light: int, buckets: int, frequent: np.ndarray, batches)
     def flush():
         sig = np.concatenate(signs) if signs else np.empty(0, np.uint64)
         reps = [x[2] for x in owners]
-        entry = np.empty(len(sig), [("sig", "<u8"), ("set", "<i8"), ("size", "<i4")])
+        entry = np.empty(len(sig), _ENTRY)
         entry["sig"] = sig
         entry["set"] = np.repeat(np.array([x[0] for x in owners], np.int64), reps)
         entry["size"] = np.repeat(np.array([x[1] for x in owners], np.int32), reps)
+        entry["pos"] = np.concatenate([x[3] for x in owners]) if owners else 0
         bucket = (sig >> np.uint64(8)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         entry, bucket = entry[order], bucket[order]
@@ -147,23 +153,23 @@ def _signatures(n: int, light: int, buckets: int, frequent: np.ndarray, batches)
         full = np.flatnonzero(np.diff(edges))
         blobs = [entry[edges[b] : edges[b + 1]].tobytes() for b in full]
         m = len(full)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names=["bucket", "entries", "sig", "set_id", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=_SIGNED)
         sig = signed(np.concatenate([x[0] for x in rows])) if rows else np.empty(0, np.int64)
         reps = [len(x[0]) for x in rows]
         m = len(sig)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(sig), pa.array(np.repeat(np.array([x[1] for x in rows], np.int64), reps)), pa.array(np.repeat(np.array([x[2] for x in rows], np.int32), reps))],
-            names=["bucket", "entries", "sig", "set_id", "size"],
+            [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(sig), pa.array(np.repeat(np.array([x[1] for x in rows], np.int64), reps)), pa.array(np.repeat(np.array([x[2] for x in rows], np.int32), reps)), pa.array(np.concatenate([x[3] for x in rows]).astype(np.int32) if rows else np.empty(0, np.int32))],
+            names=_SIGNED,
         )
 
     def add(sig: np.ndarray, often: np.ndarray, name: int, size: int, kind: int) -> None:
         nonlocal count
-        sig = (mix(sig) & ~np.uint64(1)) | np.uint64(kind)
+        sig, pos = (mix(sig) & ~np.uint64(1)) | np.uint64(kind), np.arange(len(sig), dtype=np.int32)
         if often.any():
-            rows.append((sig[often], name, size))
-            sig = sig[~often]
+            rows.append((sig[often], name, size, pos[often]))
+            sig, pos = sig[~often], pos[~often]
         signs.append(sig)
-        owners.append((name, size, len(sig)))
+        owners.append((name, size, len(sig), pos))
         count += len(sig)
 
     for batch in batches:
@@ -189,17 +195,17 @@ def _signatures(n: int, light: int, buckets: int, frequent: np.ndarray, batches)
 
 def _shared_entries(table: pa.Table) -> pa.Table:
     """The entries of one bucket whose signature two sets or more have."""
-    entry = np.frombuffer(b"".join(table["entries"].to_pylist()), [("sig", "<u8"), ("set", "<i8"), ("size", "<i4")])
+    entry = np.frombuffer(b"".join(table["entries"].to_pylist()), _ENTRY)
     order = np.lexsort((entry["set"], entry["sig"]))
-    sig, name, size = entry["sig"][order], entry["set"][order], entry["size"][order]
+    sig, name, size, pos = entry["sig"][order], entry["set"][order], entry["size"][order], entry["pos"][order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
-    sig, name, size = sig[new], name[new], size[new]
+    sig, name, size, pos = sig[new], name[new], size[new], pos[new]
     twin = np.zeros(len(sig), bool)
     same = sig[1:] == sig[:-1]
     twin[1:] |= same
     twin[:-1] |= same
-    return pa.table({"sig": signed(sig[twin]), "set_id": name[twin], "size": size[twin]})
+    return pa.table({"sig": signed(sig[twin]), "set_id": name[twin], "size": size[twin], "pos": pos[twin]})
 
 
 def _texts(n: int, table: np.ndarray, batches):
@@ -256,6 +262,33 @@ def _fits(a, b):
     return (PER * F.least(a, b) >= LEAST * F.greatest(a, b)) & (a > 0)
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _unsettled(lists: DataFrame, near: DataFrame) -> DataFrame:
+    """The entries of lists whose sets are in several components. near: node, component."""
+    placed = lists.join(near.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    several = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    return placed.join(several, "sig")
+
+
+def _candidates(left: DataFrame, right: DataFrame, light: int, apart) -> DataFrame:
+    """Pairs (a, b) of sets of different components with what they share in their prefixes enough to link."""
+    side = lambda df, x: df.select("sig", F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("component").alias(f"in_{x}"))
+    by_list = F.col("sig") % 2 != 0
+    # two sets of these sizes link only with this overlap, so K n-grams in common lie within this prefix of either
+    overlap = F.ceil(LEAST * (F.col("size_a") + F.col("size_b")) / (LEAST + PER))
+    in_prefix = (F.col("pos_a") < F.col("size_a") - overlap + K) & (F.col("pos_b") < F.col("size_b") - overlap + K)
+    kind = ~by_list | (((F.col("size_a") > light) | (F.col("size_b") > light)) & in_prefix)
+    pairs = side(left, "a").join(side(right, "b"), "sig").where(apart & _fits(F.col("size_a"), F.col("size_b")) & kind)
+    last = [F.max(f"pos_{x}").alias(f"pos_{x}") for x in "ab"]
+    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"), F.max(~by_list).alias("light"), *last)
+    # what can still be shared lies behind the last shared n-gram of either set
+    most = F.col("shared") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
+    return pairs.where(F.col("light") | ((F.col("shared") >= K) & (most >= overlap))).select("a", "b")
+
+
 def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links)."""
     spark = docs.sparkSession
@@ -265,17 +298,19 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
     classes = stash(sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
 
     often = scanned.where("n is null").groupBy("token").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= FREQUENT)
-    often = often.orderBy(F.desc("freq"), "token").limit(MAX_FREQUENT).select("token").toArrow()["token"].to_numpy()
-    frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    often = often.orderBy(F.desc("freq"), "token").limit(MAX_FREQUENT).toArrow()
+    tokens = often["token"].to_numpy().view(np.uint64)
+    by_hash = np.argsort(tokens)
+    frequent = spark.sparkContext.broadcast((tokens[by_hash], np.minimum(often["freq"].to_numpy()[by_hash], 1 << 30).astype(np.int32)))
     histogram = {r[0]: r[1] for r in classes.groupBy(F.least("n", F.lit(65)).alias("n")).count().collect()}
     light = boundary(histogram)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4 // BUCKET_ENTRIES)
 
-    signed_sets = docs.select("text").mapInArrow(lambda batches: _signatures(n, light, buckets, frequent.value, batches), "bucket int, entries binary, sig long, set_id long, size int")
+    signed_sets = docs.select("text").mapInArrow(lambda batches: _signatures(n, light, buckets, frequent.value, batches), "bucket int, entries binary, sig long, set_id long, size int, pos int")
     signed_sets = stash(signed_sets, "signatures")
-    packed = signed_sets.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_shared_entries, "sig long, set_id long, size int")
-    rows = signed_sets.where("bucket is null").select("sig", "set_id", "size").distinct()
+    packed = signed_sets.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_shared_entries, "sig long, set_id long, size int, pos int")
+    rows = signed_sets.where("bucket is null").select("sig", "set_id", "size", "pos").distinct()
     lists = stash(packed.unionByName(rows), "lists")
 
     # first round: every set of a list against the list's leader; a set meets at most LEADERS leaders in lists that the same sets are in
@@ -287,20 +322,20 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
     linked = stash(verify(docs, star, classes, n), "links")
     near = components(linked)
 
-    # second round: pairs of different components, all that can link
-    placed = lists.join(near.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    unsettled = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    placed = stash(placed.join(unsettled, "sig"), "unsettled")
-    left = placed.select("sig", F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("in_a"))
-    right = placed.select("sig", F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("in_b"))
-    by_list = F.col("sig") % 2 != 0
-    kind = ~by_list | (F.col("size_a") > light) | (F.col("size_b") > light)
-    pairs = left.join(right, "sig").where((F.col("in_a") < F.col("in_b")) & _fits(F.col("size_a"), F.col("size_b")) & kind)
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(~by_list).alias("light")).where(F.col("light") | (F.col("shared") >= K)).select("a", "b")
-    seen = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = stash(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-    more = verify(docs, pairs, classes, n)
-    linked = linked.unionByName(more)
+    # second round: the sets of long lists that are still in several components against several leaders
+    placed = stash(_unsettled(lists, near), "unsettled")
+    long = placed.groupBy("sig").agg(F.count("*").alias("sets"), *[F.min_by(F.struct("set_id", "size", "pos", "component"), F.xxhash64("set_id", F.lit(c))).alias(f"leader_{c}") for c in range(MORE_LEADERS)]).where(F.col("sets") > MORE_LEADERS)
+    leaders = long.select("sig", F.explode(F.array_distinct(F.array(*[f"leader_{c}" for c in range(MORE_LEADERS)]))).alias("leader")).select("sig", "leader.*")
+    more = _candidates(leaders, placed.join(long.select("sig"), "sig", "left_semi"), light, F.col("in_a") != F.col("in_b"))
+    tested = stash(more.join(_both_ways(star), ["a", "b"], "left_anti"), "more")
+    if not tested.isEmpty():
+        linked = stash(linked.unionByName(verify(docs, tested, classes, n)), "links")
+        placed = stash(_unsettled(lists, components(linked)), "unsettled")
+
+    # third round: all pairs of different components that can link
+    pairs = _candidates(placed, placed, light, F.col("in_a") < F.col("in_b"))
+    pairs = stash(pairs.join(_both_ways(star.unionByName(tested)), ["a", "b"], "left_anti"), "pairs")
+    linked = linked.unionByName(verify(docs, pairs, classes, n))
 
     labels = components(linked)
     named = classes.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))

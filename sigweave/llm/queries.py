@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.llm import chat, decontaminate, language, licenses, ngram_join, packing, quality, sharding, substring_dedup, token_counts
+from sigweave.llm.shared import let_workers_import
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

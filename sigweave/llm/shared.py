@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers on this machine find the package where the driver found it; on a cluster it comes with --py-files or an image."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
+
+
 def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it again: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession
