@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.llm import chat, decontaminate, language, licenses, ngram_join, packing, quality, sharding, substring_dedup, token_counts
+from sigweave.llm.oracles import SQL
 from sigweave.llm.shared import let_workers_import
 
 
@@ -79,4 +80,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Sharding draws at random, and SQL has neither the tokenizers nor the filters: those queries are tested against brute force."""
+    return dict(SQL)
