@@ -50,7 +50,6 @@ LEADERS, MORE_LEADERS = 2, 8
 _GROUP = 500
 
 _ENTRY = [("sig", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<i4")]
-_SIGNED = ["bucket", "entries", "sig", "set_id", "size", "pos"]
 
 
 def text_sets(part, n: int = N):
@@ -130,8 +129,8 @@ def _order(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np
     return own[order], rank[order] > 0
 
 
-def _signatures(n: int, light: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray], batches):
-    """Entries (signature, set, size, place of the n-gram in the set): packed by bucket, or as rows if only frequent n-grams are in the signature. A set is signed once a task."""
+def _signatures(n: int, light: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray], packed: bool, batches):
+    """Entries (signature, set, size, place of the n-gram in the set): packed by bucket, or (not packed) as rows those with only frequent n-grams in the signature. A set is signed once a task."""
     done: set[int] = set()
     signs: list[np.ndarray] = []
     owners: list[tuple[int, int, int]] = []
@@ -139,37 +138,24 @@ def _signatures(n: int, light: int, buckets: int, frequent: tuple[np.ndarray, np
     count = 0
 
     def flush():
-        sig = np.concatenate(signs) if signs else np.empty(0, np.uint64)
-        reps = [x[2] for x in owners]
-        entry = np.empty(len(sig), _ENTRY)
-        entry["sig"] = sig
-        entry["set"] = np.repeat(np.array([x[0] for x in owners], np.int64), reps)
-        entry["size"] = np.repeat(np.array([x[1] for x in owners], np.int32), reps)
-        entry["pos"] = np.concatenate([x[3] for x in owners]) if owners else 0
-        bucket = (sig >> np.uint64(8)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        entry, bucket = entry[order], bucket[order]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        full = np.flatnonzero(np.diff(edges))
-        blobs = [entry[edges[b] : edges[b + 1]].tobytes() for b in full]
-        m = len(full)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=_SIGNED)
-        sig = signed(np.concatenate([x[0] for x in rows])) if rows else np.empty(0, np.int64)
-        reps = [len(x[0]) for x in rows]
-        m = len(sig)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(sig), pa.array(np.repeat(np.array([x[1] for x in rows], np.int64), reps)), pa.array(np.repeat(np.array([x[2] for x in rows], np.int32), reps)), pa.array(np.concatenate([x[3] for x in rows]).astype(np.int32) if rows else np.empty(0, np.int32))],
-            names=_SIGNED,
-        )
+        if packed:
+            yield _packed_entries(signs, owners, buckets)
+        else:
+            sig = signed(np.concatenate([x[0] for x in rows])) if rows else np.empty(0, np.int64)
+            reps = [len(x[0]) for x in rows]
+            pos = np.concatenate([x[3] for x in rows]) if rows else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(np.array([x[1] for x in rows], np.int64), reps)), pa.array(np.repeat(np.array([x[2] for x in rows], np.int32), reps)), pa.array(pos, pa.int32())], names=["sig", "set_id", "size", "pos"])
 
     def add(sig: np.ndarray, often: np.ndarray, name: int, size: int, kind: int) -> None:
         nonlocal count
         sig, pos = (mix(sig) & ~np.uint64(1)) | np.uint64(kind), np.arange(len(sig), dtype=np.int32)
-        if often.any():
-            rows.append((sig[often], name, size, pos[often]))
-            sig, pos = sig[~often], pos[~often]
-        signs.append(sig)
-        owners.append((name, size, len(sig), pos))
+        mine = ~often if packed else often
+        sig, pos = sig[mine], pos[mine]
+        if packed:
+            signs.append(sig)
+            owners.append((name, size, len(sig), pos))
+        else:
+            rows.append((sig, name, size, pos))
         count += len(sig)
 
     for batch in batches:
@@ -193,6 +179,22 @@ def _signatures(n: int, light: int, buckets: int, frequent: tuple[np.ndarray, np
     yield from flush()
 
 
+def _packed_entries(signs: list, owners: list, buckets: int) -> pa.RecordBatch:
+    sig = np.concatenate(signs) if signs else np.empty(0, np.uint64)
+    reps = [x[2] for x in owners]
+    entry = np.empty(len(sig), _ENTRY)
+    entry["sig"] = sig
+    entry["set"] = np.repeat(np.array([x[0] for x in owners], np.int64), reps)
+    entry["size"] = np.repeat(np.array([x[1] for x in owners], np.int32), reps)
+    entry["pos"] = np.concatenate([x[3] for x in owners]) if owners else 0
+    bucket = (sig >> np.uint64(8)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    entry, bucket = entry[order], bucket[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(edges))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([entry[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "entries"])
+
+
 def _shared_entries(table: pa.Table) -> pa.Table:
     """The entries of one bucket whose signature two sets or more have."""
     entry = np.frombuffer(b"".join(table["entries"].to_pylist()), _ENTRY)
@@ -307,10 +309,9 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4 // BUCKET_ENTRIES)
 
-    signed_sets = docs.select("text").mapInArrow(lambda batches: _signatures(n, light, buckets, frequent.value, batches), "bucket int, entries binary, sig long, set_id long, size int, pos int")
-    signed_sets = stash(signed_sets, "signatures")
-    packed = signed_sets.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInArrow(_shared_entries, "sig long, set_id long, size int, pos int")
-    rows = signed_sets.where("bucket is null").select("sig", "set_id", "size", "pos").distinct()
+    sign = lambda packed, schema: docs.select("text").mapInArrow(lambda batches: _signatures(n, light, buckets, frequent.value, packed, batches), schema)
+    packed = sign(True, "bucket int, entries binary").groupBy("bucket").applyInArrow(_shared_entries, "sig long, set_id long, size int, pos int")
+    rows = sign(False, "sig long, set_id long, size int, pos int").distinct()
     lists = stash(packed.unionByName(rows), "lists")
 
     # first round: every set of a list against the list's leader; a set meets at most LEADERS leaders in lists that the same sets are in
