@@ -45,9 +45,11 @@ LEAST_LIGHT = 21
 FREQUENT, MAX_FREQUENT = 8, 1 << 20
 #: Cost of an entry of an inverted list (it is written, read and counted) in signatures.
 LIST_COST = 2
-BUCKET_ENTRIES = 400_000
+BUCKET_ENTRIES = 150_000
 LEADERS, MORE_LEADERS = 2, 8
 _GROUP = 500
+#: Lists of more than LONG sets are counted in blocks of about BLOCK_PAIRS pairs and BLOCK_ROWS entries. A pair shares SPLIT n-grams in short lists, or more than K - SPLIT in long ones.
+LONG, SPLIT, BLOCK_PAIRS, BLOCK_ROWS = 32, 2, 2_000_000, 50_000
 
 _ENTRY = [("sig", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<i4")]
 
@@ -91,7 +93,7 @@ def _sets(n: int, batches):
                 sizes.append(len(own))
                 waiting.append(own)
                 size += len(own)
-            if size > 1_000_000:
+            if size > 500_000:
                 yield frequent()
                 waiting, size = [], 0
         m = len(names)
@@ -275,8 +277,8 @@ def _unsettled(lists: DataFrame, near: DataFrame) -> DataFrame:
     return placed.join(several, "sig")
 
 
-def _candidates(left: DataFrame, right: DataFrame, light: int, apart) -> DataFrame:
-    """Pairs (a, b) of sets of different components with what they share in their prefixes enough to link."""
+def _candidates(left: DataFrame, right: DataFrame, light: int, apart, least: int = K) -> DataFrame:
+    """Pairs (a, b) of sets of different components with what they share in their prefixes enough to link. With ``least`` under K the lists are not all there, and the bound is left out."""
     side = lambda df, x: df.select("sig", F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("component").alias(f"in_{x}"))
     by_list = F.col("sig") % 2 != 0
     # two sets of these sizes link only with this overlap, so K n-grams in common lie within this prefix of either
@@ -288,7 +290,83 @@ def _candidates(left: DataFrame, right: DataFrame, light: int, apart) -> DataFra
     pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"), F.max(~by_list).alias("light"), *last)
     # what can still be shared lies behind the last shared n-gram of either set
     most = F.col("shared") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
-    return pairs.where(F.col("light") | ((F.col("shared") >= K) & (most >= overlap))).select("a", "b")
+    enough = (F.col("shared") >= K) & (most >= overlap) if least == K else F.col("shared") >= least
+    return pairs.where(F.col("light") | enough).select("a", "b")
+
+
+def _count_pairs(light: int, table: pa.Table) -> pa.Table:
+    """Candidates among the long lists of one block pair, counted here so that no row is made for each shared n-gram.
+
+    Of the K n-grams that a pair must share, less than SPLIT are in short lists, or the pair is found there; what this adds to the bound is SPLIT - 1."""
+    col = {c: table[c].to_numpy() for c in ("sig", "set_id", "size", "pos", "component", "side")}
+    halves = []
+    for side in (0, 1):
+        at = np.flatnonzero(col["side"] == side)
+        at = at[np.argsort(col["sig"][at], kind="stable")]
+        ids, first, number = np.unique(col["set_id"][at], return_index=True, return_inverse=True)
+        sigs, begin = np.unique(col["sig"][at], return_index=True)
+        halves.append((ids, col["size"][at][first].astype(np.int64), col["component"][at][first], number, col["pos"][at].astype(np.int64), sigs, np.append(begin, len(at))))
+    (ids_a, size_a, in_a, num_a, pos_a, sigs_a, cut_a), (ids_b, size_b, in_b, num_b, pos_b, sigs_b, cut_b) = halves
+    _, where_a, where_b = np.intersect1d(sigs_a, sigs_b, assume_unique=True, return_indices=True)
+    kept = [np.empty((5, 0), np.int64)]
+    waiting: list[np.ndarray] = []
+
+    def merge(rows: np.ndarray) -> np.ndarray:
+        code, inverse = np.unique(rows[0], return_inverse=True)
+        out = np.zeros((5, len(code)), np.int64)
+        out[0] = code
+        np.add.at(out[1], inverse, rows[1])
+        for k in (2, 3, 4):
+            np.maximum.at(out[k], inverse, rows[k])
+        return out
+
+    def flush() -> None:
+        kept[:] = [merge(np.concatenate([*kept, *waiting], axis=1))]
+        waiting.clear()
+
+    size = 0
+    for x, y in zip(where_a.tolist(), where_b.tolist(), strict=True):
+        a, b = slice(cut_a[x], cut_a[x + 1]), np.arange(cut_b[y], cut_b[y + 1])
+        i, j = np.repeat(num_a[a], len(b)), np.tile(num_b[b], cut_a[x + 1] - cut_a[x])
+        p, q = np.repeat(pos_a[a], len(b)), np.tile(pos_b[b], cut_a[x + 1] - cut_a[x])
+        m, o = size_a[i], size_b[j]
+        overlap = -(-LEAST * (m + o) // (LEAST + PER))
+        listed = bool(sigs_a[x] % 2)
+        ok = (in_a[i] < in_b[j]) & (PER * np.minimum(m, o) >= LEAST * np.maximum(m, o))
+        if listed:
+            ok &= ((m > light) | (o > light)) & (p < m - overlap + K) & (q < o - overlap + K)
+        code = (i * len(ids_b) + j)[ok]
+        waiting.append(np.stack([code, np.ones(len(code), np.int64), p[ok], q[ok], np.full(len(code), 0 if listed else 1)]))
+        size += len(code)
+        if size > 300_000:
+            flush()
+            size = 0
+    flush()
+    code, shared, last_a, last_b, is_light = kept[0]
+    i, j = code // max(1, len(ids_b)), code % max(1, len(ids_b))
+    overlap = -(-LEAST * (size_a[i] + size_b[j]) // (LEAST + PER))
+    most = shared + SPLIT - 1 + np.minimum(size_a[i] - last_a, size_b[j] - last_b) - 1
+    good = (is_light > 0) | ((shared > K - SPLIT) & (most >= overlap))
+    return pa.table({"a": ids_a[i[good]], "b": ids_b[j[good]]})
+
+
+def _all_candidates(placed: DataFrame, light: int) -> DataFrame:
+    """Pairs of different components that can link. Short lists are joined. Sets that long lists connect are one group (all long lists of a
+    pair are in its group); a group's lists are counted together, in blocks of bounded size on either side."""
+    lists = placed.groupBy("sig").agg(F.count("*").alias("n"), F.min("set_id").alias("low"))
+    long = stash(placed.join(lists.where(F.col("n") > LONG), "sig"), "long")
+    short = placed.join(lists.where(F.col("n") <= LONG).select("sig"), "sig")
+    thin = _candidates(short, short, light, F.col("in_a") < F.col("in_b"), SPLIT)
+    groups = components(long.select(F.col("set_id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "key")
+    rows = long.join(groups.withColumnRenamed("node", "set_id"), "set_id")
+    weight = rows.select("key", "sig", "n").distinct().groupBy("key").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows"))
+    rows = rows.join(weight.select("key", F.ceil(F.greatest(F.sqrt(F.col("pairs") / BLOCK_PAIRS), F.col("rows") / BLOCK_ROWS)).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["key", "sig", "set_id", "size", "pos", "component"]
+    left = rows.select(*columns, F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
+    right = rows.select(*columns, F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    counted = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(lambda table: _count_pairs(light, table), "a long, b long")
+    return thin.unionByName(counted).distinct()
 
 
 def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
@@ -334,7 +412,7 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> DataFrame:
         placed = stash(_unsettled(lists, components(linked)), "unsettled")
 
     # third round: all pairs of different components that can link
-    pairs = _candidates(placed, placed, light, F.col("in_a") < F.col("in_b"))
+    pairs = _all_candidates(placed, light)
     pairs = stash(pairs.join(_both_ways(star.unionByName(tested)), ["a", "b"], "left_anti"), "pairs")
     linked = linked.unionByName(verify(docs, pairs, classes, n))
 
