@@ -10,6 +10,8 @@ Hashes are 64-bit: a byte (or word) sequence is a polynomial over random odd-bas
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,16 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype
 _LOWER_VALUES = _BYTE_VALUES[LOWER]
 
 
+_libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system where the C library can; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
@@ -91,6 +103,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
         j = min(j, len(column))
         yield Slice(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], i)
         i = j
+    release_memory()
 
 
 class Words:
