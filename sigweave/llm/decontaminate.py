@@ -54,10 +54,6 @@ class WindowSet:
             self.coarse[size][(v >> np.uint64(44)).astype(np.int64)] = True
 
 
-def _lower(text: bytes) -> bytes:
-    return text.lower()
-
-
 def _scan(windows: WindowSet, batches):
     for batch in batches:
         out: list[tuple] = []
@@ -75,7 +71,7 @@ def _scan(windows: WindowSet, batches):
                 at = at[at + size <= ends[at]]
                 place = np.minimum(np.searchsorted(table, g[at]), len(table) - 1)
                 for j in at[table[place] == g[at]].tolist():
-                    text = _lower(b" ".join(w.chunk(j + k) for k in range(size)))
+                    text = b" ".join(w.chunk(j + k) for k in range(size)).lower()
                     items = windows.words[size][int(g[j])].get(text)
                     if items:
                         doc = int(np.searchsorted(w.at, j, side="right")) - 1
