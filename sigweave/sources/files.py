@@ -81,8 +81,8 @@ def append_feedback(rows: DataFrame, path: str) -> None:
 
 def load_feedback(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Feedback records; lines that are not JSON objects are left out."""
-    rows = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").drop("_bad")
+    lines = spark.read.text(path).where(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def save_snapshot(table: DataFrame, root: str, name: str, version: int) -> None:
