@@ -7,21 +7,26 @@ mostly share one: a text of w words has about w/14 fingerprints to store.
 ``FingerprintIndex`` keeps the fingerprints seen so far in sorted immutable runs (bucketed, sorted
 tables). Each new batch is merge-joined with every run; fingerprints met again, or twice in the
 batch, are suspects. The batch then becomes a run of its own, and when a level holds ``fanout`` runs
-they are compacted into one run of the next level.
+they are compacted into one run of the next level. An index that is kept from call to call also has
+runs of the hashes of all whole windows, so that a new table is held against all earlier ones without
+reading their texts again. One call's own index, which is dropped at its end, needs none.
 
 Suspects are verified: the documents that hold them are read again, the 64-bit hashes of their whole
 windows are compared among the holders of a fingerprint, and a window counts as repeated only if
 another one is equal. Holders of a frequent fingerprint are dealt over several tasks, which
-exchange the hashes that only one holder in the task has.
+exchange the hashes that only one holder in the task has. With a kept index, windows that only one
+holder has are looked up in its runs as well.
 
 Results for odd input: null texts and texts under ``window`` words lose nothing; every occurrence of a
-repeated window is cut, the first as well; identical rows cut each other; an empty table gives
-an empty result; other columns are carried along by the pipeline stage, whatever their names.
+repeated window is cut, the first as well, but texts of earlier calls stay as they were returned;
+identical rows cut each other; an empty table gives an empty result; other columns are carried along
+by the pipeline stage, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from functools import reduce
 
@@ -77,13 +82,22 @@ def _fingerprints(window: int, batches):
             )
 
 
+def _window_hashes(window: int, batches):
+    for batch in batches:
+        for part in slices(batch.column(0)):
+            a = Anchors(part, window)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(signed(grams(a.hashes, window, base=2)[a.first])))], names=["fp"])
+
+
 def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(fp, doc_id, text_key, at): each distinct anchor of each document row."""
     return docs.select("doc_id", "text_key", "text").mapInArrow(lambda batches: _fingerprints(window, batches), "fp long, doc_id long, text_key long, at int")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n), by level. Tables are named after the index, so that it can be kept and opened again."""
+    """Sorted immutable runs of (fp, n), by level. Tables are named after the index: the same name opens the runs that the catalog has of it.
+
+    ``windows`` is the index of the hashes of whole windows that belongs to it."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
@@ -91,6 +105,21 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.made = 0
+        for level, made in sorted(tuple(map(int, m.groups())) for m in self._tables(r"_(\d+)_(\d+)")):
+            self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+            self.levels[level].append(f"{self.name}_{level}_{made}")
+            self.made = max(self.made, made)
+
+    def _tables(self, rest: str) -> list[re.Match]:
+        found = (re.fullmatch(re.escape(self.name.lower()) + rest, t.name.lower()) for t in self.spark.catalog.listTables())
+        return [m for m in found if m]
+
+    def windows(self, window: int) -> FingerprintIndex:
+        """The index of the hashes of whole windows; an index serves one window size."""
+        sizes = {int(m[1]) for m in self._tables(r"_windows(\d+)_\d+_\d+")} - {window}
+        if sizes:
+            raise ValueError(f"index {self.name} was made with windows of {sizes.pop()} words")
+        return FingerprintIndex(self.spark, f"{self.name}_windows{window}", self.fanout, self.buckets)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         self.made += 1
@@ -106,13 +135,16 @@ class FingerprintIndex:
     def append(self, batch: DataFrame) -> DataFrame:
         """Adds a batch (column fp; one row for each occurrence). Returns (fp): fingerprints of the batch that are there twice or were there before."""
         new = stash(batch.groupBy("fp").agg(F.count("*").alias("n")), "batch")
-        met = [new.where("n > 1").select("fp")]
-        met += [new.join(self.spark.table(run).select("fp"), "fp", "left_semi").select("fp") for run in self.runs()]
+        met = [new.where("n > 1").select("fp"), *self.known(new)]
         found = stash(reduce(DataFrame.unionByName, met).distinct(), "met")
         self._write(new, 0)
         self._compact()
         return found
 
+    def known(self, batch: DataFrame) -> list[DataFrame]:
+        """(fp): for each run, the fingerprints of the batch that it has."""
+        return [batch.join(self.spark.table(run).select("fp"), "fp", "left_semi").select("fp") for run in self.runs()]
+
     def _compact(self) -> None:
         level = 0
         while level < len(self.levels):
@@ -126,7 +158,7 @@ class FingerprintIndex:
             level += 1
 
     def drop(self) -> None:
-        for run in self.runs():
+        for run in self.runs() + [m[0] for m in self._tables(r"_windows\d+_\d+_\d+")]:
             self.spark.sql(f"DROP TABLE {run}")
         self.levels = []
 
@@ -161,9 +193,9 @@ def _windows(window: int, batches):
         )
 
 
-def _repeats(batches):
+def _repeats(every_group: bool, batches):
     """Rows sorted by (fp, salt): those of one group together. Returns (kind 0) for each row its repeated windows as a bit mask; of dealt
-    groups (kind 1) also each distinct window hash, with its holder if there is just one here."""
+    groups, or of every group, (kind 1) also each distinct window hash, with its holder if there is just one here."""
 
     def judge(group: list[tuple]):
         n = np.array([len(x[4]) for x in group])
@@ -176,7 +208,7 @@ def _repeats(batches):
             if mask:
                 yield (0, x[1], x[2], x[3], mask, None, None)
             at += size
-        if group[0][6] > 1:
+        if every_group or group[0][6] > 1:
             owner = np.repeat(np.arange(len(group)), n)
             offset = np.concatenate([np.arange(k) for k in n])
             firsts = np.full(len(keys), -1)
@@ -229,12 +261,15 @@ def _cut(window: int, batches):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
-    """(doc_id, text_key, starts): for each document row that holds any, the first words of its repeated windows. docs: doc_id, text_key, text."""
+    """(doc_id, text_key, starts): for each document row that holds any, the first words of its repeated windows. docs: doc_id, text_key, text.
+
+    With an index, windows that stood in the docs of an earlier call with it are repeated too, and the docs are added to it."""
     spark = docs.sparkSession
-    anchors = fingerprints(docs, window).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)).cast("int"))
-    anchors = stash(anchors, "anchors", ["batch"])
     own = index is None
     index = index or FingerprintIndex(spark)
+    past = None if own else index.windows(window)
+    anchors = fingerprints(docs, window).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)).cast("int"))
+    anchors = stash(anchors, "anchors", ["batch"])
     met = [index.append(anchors.where(F.col("batch") == b).select("fp")) for b in range(batches)]
     if own:
         index.drop()
@@ -247,21 +282,27 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
     rows = near.join(lists, same).select(near["doc_id"], near["text_key"], "text", "anchors").mapInArrow(lambda b: _windows(window, b), "fp long, doc_id long, text_key long, first int, windows array<long>")
     sizes = held.groupBy("fp").agg(F.ceil(F.count("*") / _GROUP).cast("int").alias("parts"))
     rows = rows.join(sizes, "fp").select("fp", "doc_id", "text_key", "first", "windows", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "text_key", "first"), F.col("parts"))).otherwise(0).cast("int").alias("salt"), "parts")
-    judged = rows.repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(_repeats, "kind int, doc_id long, text_key long, first int, mask long, hash long, salt int")
+    judged = rows.repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(lambda b: _repeats(not own, b), "kind int, doc_id long, text_key long, first int, mask long, hash long, salt int")
     judged = stash(judged, "judged")
     apart = judged.where("kind = 1")
     again = apart.groupBy("hash").agg(F.count("*").alias("parts")).where("parts > 1").select("hash")
+    if past is not None:
+        single = stash(apart.where("mask is not null").select(F.col("hash").alias("fp")).distinct(), "single")
+        again = stash(reduce(DataFrame.unionByName, [again.select(F.col("hash").alias("fp")), *past.known(single)]).distinct().select(F.col("fp").alias("hash")), "again")
+        past.append(docs.select("text").mapInArrow(lambda b: _window_hashes(window, b), "fp long"))
     more = apart.where("mask is not null").join(again, "hash", "left_semi")
     found = judged.where("kind = 0").select("doc_id", "text_key", "first", "mask").unionByName(more.select("doc_id", "text_key", "first", "mask"))
     starts = F.expr(f"transform(filter(sequence(0, {window - ANCHOR}), k -> (shiftright(mask, k) & 1) = 1), k -> first + k)")
     return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(starts)).alias("starts"))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """One row per document row: row (a struct of its columns but the text), n_words, n_removed, kept_sha256, kept_text (null where nothing was cut), text."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
+    """One row per document row: row (a struct of its columns but the text), n_words, n_removed, kept_sha256, kept_text (null where nothing was cut), text.
+
+    index: kept from call to call; each call adds its docs and is held against those of all earlier calls."""
     others = [c for c in docs.columns if c != "text"]
     docs = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    starts = stash(repeated_windows(docs, window, batches), "starts")
+    starts = stash(repeated_windows(docs, window, batches, index), "starts")
     maybe, clear = split(docs, "text_key", bloom_filter(starts, "text_key"))
     same = maybe["doc_id"].eqNullSafe(starts["doc_id"]) & (maybe["text_key"] == starts["text_key"])
     touched = maybe.join(starts, same, "left").select("row", "text", "starts")

@@ -117,6 +117,35 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_later_batches_are_held_against_earlier_ones(spark):
+    r = random.Random(9)
+    some = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(99)) for _ in range(n)]
+    p, q = some(60), some(37)
+    tables = [
+        {0: some(20) + p + some(9), 1: some(80), 2: None},
+        {3: p[5:50], 4: some(50) + q, 5: some(30) + q + some(30) + q, 2: None},
+        {6: q, 7: some(9) + p[:34], 8: some(3) + p[24:] + some(2), 9: some(90)},
+    ]
+    seen = Counter()
+    for table in tables:
+        rows = [(i, " ".join(w) if w else None) for i, w in table.items()]
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        # opened again by its name for each table
+        index = substring_dedup.FingerprintIndex(spark, "kept", fanout=2, buckets=2)
+        got = {x["row"]["doc_id"]: x["n_removed"] for x in substring_dedup.substring_dedup(df, batches=1, index=index).collect()}
+        seen.update(tuple(w[k : k + 35]) for w in table.values() if w for k in range(len(w) - 34))
+        want = {}
+        for i, w in table.items():
+            starts = [k for k in range(len(w or []) - 34) if seen[tuple(w[k : k + 35])] > 1]
+            want[i] = len({x for k in starts for x in range(k, k + 35)})
+        assert got == want
+    assert want == {6: 37, 7: 0, 8: 36, 9: 0}
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(df, window=20, batches=1, index=index)
+    index.drop()
+    assert not spark.catalog.listTables()
+
+
 def test_dealt_groups_give_the_same(docs, monkeypatch):
     want = {tuple(r) for r in substring_dedup.substring_dedup(docs).select("row.doc_id", "n_removed").collect()}
     monkeypatch.setattr(substring_dedup, "_GROUP", 3)
