@@ -15,7 +15,7 @@ from sigweave.llm.shared import bloom_filter, let_workers_import, split, stash,
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the fences of their language and source reject go."""
-    rejected = stash(quality.judge(docs).where(~F.col("kept")).select("text_key", "lang", "source"), "rejected")
+    rejected = stash(quality.judge(docs, by_source=True).where(~F.col("kept")).select("text_key", "lang", "source"), "rejected")
     return without(docs, rejected, {"text_key": F.xxhash64("text"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
 
 

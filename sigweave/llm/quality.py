@@ -8,7 +8,11 @@ median to a quartile of the document's own language and source, and never nearer
 Groups of fewer than ``min_rows`` documents use their language's sketch, and a small language's
 documents the corpus's. The fences are joined back to the documents.
 
-Fences are wide on purpose: a group's normal documents are all within them.
+Fences are wide on purpose: a group's normal documents are all within them. In the test data ``slack``
+is what decides nearly everywhere; the query's SQL is written to it. ``by_source`` judges with
+SOURCE_FENCES instead, as the pipeline does: finer sketches (128 buckets an octave), no slack but what
+the sketch can tell apart, and, since rates of short documents are coarse, a document is outside only if
+it is more than ``spare`` symbols, lines, words or characters beyond what its size allows at the fence.
 
 Results for odd input: null, empty and blank texts have no words and fail the base rules; null
 languages and sources are groups of their own; repeated rows are judged each by itself; an empty
@@ -41,9 +45,19 @@ FENCES = {
     "dup_line_rate": ("1000 * n_dup_lines div n_lines", 6, 450, True, False),
     "stutter_rate": ("1000 * n_stutter div n_words", 6, 250, True, False),
 }
+#: Measure: (scale, count, size, reach, spare, is a high value bad, is a low value bad); its value is scale * count div size.
+SOURCE_FENCES = {
+    "word_length": (100, "word_chars", "n_words", 12, 50, True, True),
+    "symbol_rate": (1000, "n_symbols", "n_words", 12, 1, True, False),
+    "upper_rate": (1000, "n_upper", "word_chars", 12, 10, True, False),
+    "dup_line_rate": (1000, "n_dup_lines", "n_lines", 12, 3, True, False),
+    "stutter_rate": (1000, "n_stutter", "n_words", 12, 3, True, False),
+}
 #: The quartiles: up to a quarter of a group may be bad without moving its fence.
 INNER, OUTER = 0.25, 0.75
 MIN_ROWS = 200
+#: A sketch has 2^BITS buckets an octave.
+BITS, FINE_BITS = 4, 7
 
 
 def _measure(batches):
@@ -91,21 +105,22 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def bucket(value: str) -> Column:
-    """The sketch bucket of a non-negative whole number: itself under 32, then 16 buckets an octave."""
-    octave = f"(length(bin({value})) - 5)"
-    return F.expr(f"CASE WHEN {value} < 32 THEN {value} ELSE 16 * {octave} + ({value} div shiftleft(1L, {octave})) END")
+def bucket(value: str, bits: int = BITS) -> Column:
+    """The sketch bucket of a non-negative whole number: itself in the first octaves (under 32 with 16 buckets), then 2^bits buckets an octave."""
+    n, octave = 1 << bits, f"(length(bin({value})) - {bits + 1})"
+    return F.expr(f"CASE WHEN {value} < {2 * n} THEN {value} ELSE {n} * {octave} + ({value} div shiftleft(1L, {octave})) END")
 
 
-def bucket_value(at: str) -> Column:
+def bucket_value(at: str, bits: int = BITS) -> Column:
     """The smallest number of a bucket."""
-    return F.expr(f"CASE WHEN {at} < 32 THEN {at} ELSE (16 + {at} % 16) * shiftleft(1L, cast({at} div 16 - 1 as int)) END")
+    n = 1 << bits
+    return F.expr(f"CASE WHEN {at} < {2 * n} THEN {at} ELSE ({n} + {at} % {n}) * shiftleft(1L, cast({at} div {n} - 1 as int)) END")
 
 
-def sketch(rows: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+def sketch(rows: DataFrame, keys: list[str], values: dict[str, str], bits: int = BITS) -> DataFrame:
     """Mergeable sketches: (keys, measure, bucket, n)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(x).alias("value")) for m, x in values.items()]))
-    return rows.select(*keys, pairs.alias("p")).select(*keys, "p.measure", bucket("p.value").alias("bucket")).groupBy(*keys, "measure", "bucket").agg(F.count("*").alias("n"))
+    return rows.select(*keys, pairs.alias("p")).select(*keys, "p.measure", bucket("p.value", bits).alias("bucket")).groupBy(*keys, "measure", "bucket").agg(F.count("*").alias("n"))
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,10 +135,9 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, Column]) -> Da
     return both.groupBy(*group).agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("run") >= F.col("rows") * share, F.col("bucket"))).alias(name) for name, share in at.items()])
 
 
-def fences(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """For each language and source, the low and high fence of every measure."""
-    values = {m: f[0] for m, f in FENCES.items()}
-    own = stash(sketch(measured.where(~base_failed() & (F.col("n_lines") > 0) & (F.col("word_chars") > 0)), ["lang", "source"], values), "sketches")
+def quartiles(measured: DataFrame, values: dict[str, str], min_rows: int, bits: int) -> DataFrame:
+    """(lang, source, measure, q_mid, q_low, q_high): the buckets of the median and the quartiles, of the smallest level with min_rows documents."""
+    own = stash(sketch(measured.where(~base_failed() & (F.col("n_lines") > 0) & (F.col("word_chars") > 0)), ["lang", "source"], values, bits), "sketches")
     shares = {"q_mid": F.lit(0.5), "q_low": F.lit(INNER), "q_high": F.lit(OUTER)}
     levels = [quantiles(own, ["lang", "source"], shares), quantiles(merge(own, ["lang"]), ["lang"], shares), quantiles(merge(own, []), [], shares)]
     cells = own.select("lang", "source", "measure").distinct()
@@ -132,24 +146,55 @@ def fences(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_{k}")) for c in [*keys, "measure"]])
         cells = cells.join(named, same, "left")
     pick = lambda c: F.when(F.col("rows_0") >= min_rows, F.col(f"{c}_0")).when(F.col("rows_1") >= min_rows, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
-    cells = cells.select("lang", "source", "measure", *[pick(c).alias(c) for c in shares])
-    cells = cells.select("lang", "source", "measure", *[bucket_value(c).alias(c) for c in shares])
-    setting = lambda i: F.element_at(F.create_map(*[F.lit(x) for m, f in FENCES.items() for x in (m, f[i])]), F.col("measure"))
+    return cells.select("lang", "source", "measure", *[pick(c).alias(c) for c in shares])
+
+
+def _setting(table: dict[str, tuple], i: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for m, f in table.items() for x in (m, f[i])]), F.col("measure"))
+
+
+def _by_measure(limits: DataFrame) -> DataFrame:
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in FENCES for side in ("low", "high")])
+
+
+def fences(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """For each language and source, the low and high fence of every measure."""
+    cells = quartiles(measured, {m: f[0] for m, f in FENCES.items()}, min_rows, BITS)
+    cells = cells.select("lang", "source", "measure", *[bucket_value(c).alias(c) for c in ("q_mid", "q_low", "q_high")])
+    setting = lambda i: _setting(FENCES, i)
     high = F.col("q_mid") + F.greatest(setting(1) * (F.col("q_high") - F.col("q_mid")), setting(2))
     low = F.col("q_mid") - F.greatest(setting(1) * (F.col("q_mid") - F.col("q_low")), setting(2))
     limits = cells.select("lang", "source", "measure", F.when(setting(4), low).alias("low"), F.when(setting(3), high).alias("high"))
-    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in FENCES for side in ("low", "high")])
+    return _by_measure(limits)
+
+
+def source_fences(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """For each language and source, the low and high fence of every measure, as its own quartiles set them."""
+    cells = quartiles(measured, {m: f"{scale} * {count} div {size}" for m, (scale, count, size, *_) in SOURCE_FENCES.items()}, min_rows, FINE_BITS)
+    # a bucket stands for the numbers from its smallest up to the next bucket's: distances are taken between the outer ends
+    ends = [(bucket_value(f"({c} + 1)", FINE_BITS) - 1).alias(f"{c}_end") for c in ("q_mid", "q_high")]
+    cells = cells.select("lang", "source", "measure", *[bucket_value(c, FINE_BITS).alias(c) for c in ("q_mid", "q_low")], *ends)
+    setting = lambda i: _setting(SOURCE_FENCES, i)
+    least = F.expr(f"q_mid div {1 << FINE_BITS} + 1")
+    high = F.col("q_mid") + F.greatest(setting(3) * (F.col("q_high_end") - F.col("q_mid")), least)
+    low = F.col("q_mid") - F.greatest(setting(3) * (F.col("q_mid_end") - F.col("q_low")), least)
+    return _by_measure(cells.select("lang", "source", "measure", F.when(setting(6), low).alias("low"), F.when(setting(5), high).alias("high")))
 
 
-def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(docs: DataFrame, min_rows: int = MIN_ROWS, by_source: bool = False) -> DataFrame:
     """The measures of every document row with base_failed, kept, and failed (the measures outside their fences)."""
     measured = stash(measure(docs), "measures")
-    limits = fences(measured, min_rows).withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
+    limits = (source_fences if by_source else fences)(measured, min_rows).withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
     same = F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col("source").eqNullSafe(F.col("limit_source"))
     both = measured.join(limits, same, "left").withColumn("base_failed", base_failed())
     outside = []
     for m, (expression, *_) in FENCES.items():
         value = F.expr(f"CASE WHEN n_words > 0 AND n_lines > 0 AND word_chars > 0 THEN {expression} END")
+        if by_source:
+            scale, count, size, _, spare, *_ = SOURCE_FENCES[m]
+            here = F.expr(f"CASE WHEN n_words > 0 AND n_lines > 0 AND word_chars > 0 THEN {scale} * {count} END")
+            outside.append(F.when((here - scale * spare > F.col(f"{m}_high") * F.col(size)) | (here + scale * spare < F.col(f"{m}_low") * F.col(size)), F.lit(m)))
+            continue
         outside.append(F.when((value > F.col(f"{m}_high")) | (value < F.col(f"{m}_low")), F.lit(m)))
     both = both.withColumn("failed", F.array_compact(F.array(*outside)))
     return both.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).select("doc_id", "text_key", "lang", "source", *MEASURES, "base_failed", "kept", "failed")

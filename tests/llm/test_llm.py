@@ -97,6 +97,23 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_fences_follow_the_source(spark):
+    r = random.Random(4)
+    words = lambda n: [r.choice("abcdefgh") * r.randint(2, 7) + r.choice("xyz") for _ in range(n)]
+    same, loud, wordy = (" ".join(words(50) + x) for x in (["******"], words(5), []))
+    loud, wordy = loud.replace("x", "X"), " ".join(w + "ending" for w in wordy.split())
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join(words(100)), "prose"))
+        w = words(100) + ["*" * r.randint(5, 30)]
+        rows.append((100 + i, " ".join(x + "endings" * r.randint(0, 1) for x in w).upper() if i % 2 else " ".join(w), "code"))
+    for k, text in enumerate((same, loud, wordy)):
+        rows += [(1000 + k, text, "prose"), (2000 + k, text, "code")]
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string"), min_rows=20, by_source=True).collect()}
+    assert [got[1000 + k]["failed"] for k in range(3)] == [["symbol_rate"], ["upper_rate"], ["word_length"]]
+    assert {i: (x["base_failed"], x["failed"]) for i, x in got.items() if i not in (1000, 1001, 1002) and not x["kept"]} == {}
+
+
 def test_sketch_buckets(spark):
     values = [0, 1, 31, 32, 33, 63, 64, 1000, 123456789]
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.bucket("v").alias("b")).select("v", quality.bucket_value("b").alias("low")).collect()
