@@ -6,7 +6,8 @@ between two chunks is count(previous prefix) + tokens(chunk). ``PrefixCounts`` s
 every chunk boundary of a text; inside one chunk ``chunk_prefixes`` continues the same programme byte
 for byte: the last piece of each prefix is unique, so count[i] = count[i - len(last piece)] + 1, where
 the last piece is the one that follows the last piece before it unchanged. Counts of cuts, budgets and
-truncations are then look-ups; no text is encoded a second time.
+truncations are then a look-up of the chunk and the programme inside it; no text is encoded a second
+time. Chunk totals come from the library.
 
 Results for odd input: null and empty texts have 0 tokens; texts with a literal space marker are counted
 with spaces in its place, as the library does; repeated rows are counted each by itself; only doc_id and
@@ -95,6 +96,7 @@ class PrefixCounts:
     """For the documents of a slice: ``ends`` are byte positions between chunks, ``total[j]`` the exact token count of the document's text up to ends[j]; document i has rows at[i] to at[i + 1]."""
 
     def __init__(self, part: Slice, tok: Tokenizer):
+        self.part, self.tok = part, tok
         w = part.words(_CHUNK)
         data, n = part.data, len(part.data)
         where = np.arange(n)
@@ -127,10 +129,24 @@ class PrefixCounts:
         self.last = run[self.at[1:]] - run[self.at[:-1]]
 
     def fit(self, i: int, budget: int) -> int:
-        """The last chunk boundary of document i up to which it has at most ``budget`` tokens."""
+        """The bytes of the longest prefix of document i, cut between characters, with at most ``budget`` tokens.
+
+        Totals never fall from one chunk boundary to the next, but inside a chunk a longer prefix may have fewer tokens: all of them are
+        looked at, as far as so many tokens can reach."""
         own = self.total[self.at[i] : self.at[i + 1]]
         j = int(np.searchsorted(own, budget, side="right"))
-        return int(self.ends[self.at[i] + j - 1]) if j else 0
+        done, left = (int(self.ends[self.at[i] + j - 1]), budget - int(own[j - 1])) if j else (0, budget)
+        if j == len(own) or left <= 0:
+            return done
+        begin = int(self.part.offsets[i])
+        # no token is longer than tok.longest characters of up to 4 bytes
+        end = begin + min(int(self.ends[self.at[i] + j]), done + 4 * (left + 1) * self.tok.longest)
+        chunk = self.part.data[begin + done : end].tobytes().decode(errors="ignore").replace(" ", MARK)
+        # the text begins with one more space
+        first = int(done == 0)
+        counts = np.array(self.tok.chunk_prefixes(MARK * first + chunk))[first:]
+        counts[0] = 0
+        return done + len(chunk[: int(np.flatnonzero(counts <= left)[-1])].replace(MARK, " ").encode())
 
 
 def _counts(path: str, limit: int, batches):
@@ -143,10 +159,15 @@ def _counts(path: str, limit: int, batches):
                 lengths, inner = np.diff(part.offsets).tolist(), [p for t in range(part.n) for p in slices(texts.slice(t, 1))]
             else:
                 lengths, inner = np.diff(part.offsets).tolist(), [part]
+            fits = []
             for p in inner:
                 counts = PrefixCounts(p, tok)
                 out[1] += counts.last.tolist()
-                out[2] += [counts.fit(i, limit) if counts.last[i] > limit else int(p.offsets[i + 1] - p.offsets[i]) for i in range(p.n)]
+                fits += [counts.fit(i, limit) if counts.last[i] > limit else int(p.offsets[i + 1] - p.offsets[i]) for i in range(p.n)]
+            if inner[0] is not part:
+                # back to the bytes of the texts with their own markers
+                fits = [len(part.bytes_of(i).decode()[: len(p.bytes_of(0)[:fit].decode())].encode()) for i, (p, fit) in enumerate(zip(inner, fits, strict=True))]
+            out[2] += fits
             out[0] += lengths
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["doc_id", "n_bytes", "n_tokens", "fit_bytes"])
 
@@ -158,7 +179,7 @@ def default_model() -> str:
 
 
 def count_tokens(docs: DataFrame, limit: int = 4096, model: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, and fit_bytes: the bytes of the longest prefix of whole chunks with at most ``limit`` tokens.
+    """doc_id, n_bytes, n_tokens, over_limit, and fit_bytes: the bytes of the longest prefix, in whole characters, with at most ``limit`` tokens.
 
     model: a file that is there on every executor."""
     path = model or default_model()

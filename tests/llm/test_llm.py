@@ -205,6 +205,30 @@ def test_token_counts(spark, docs):
             assert len(lib.encode(text.encode()[: r["fit_bytes"]].decode())) <= 50
 
 
+def test_longest_prefix_of_every_budget():
+    import pyarrow as pa
+    import sentencepiece
+
+    path = token_counts.default_model()
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(2)
+    base64 = "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(300))
+    texts = [base64, "ภาษาไทยไม่มีช่องว่าง" * 4, "中文没有空格的长文本" * 6, "function(a,b){return(a+b)}" * 5, "internationalisation of  straße\n\n  🙂x🙂 end ", "a▁b ▁ cde▁▁fgh", " " * 40 + "q", "w" * 90, "\x00a\n \n"]
+    for text in texts:
+        counts = [len(lib.encode(text[:k])) for k in range(len(text) + 1)]
+        for limit in range(counts[-1] + 1):
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "one " + text])], names=["doc_id", "text"])
+            (got,) = token_counts._counts(path, limit, iter([batch]))
+            best = max(k for k, c in enumerate(counts) if c <= limit)
+            assert (got["n_tokens"][0].as_py(), got["fit_bytes"][0].as_py()) == (counts[-1], len(text[:best].encode())), (text, limit)
+            after = text_prefix(lib, "one " + text, limit)
+            assert got["fit_bytes"][1].as_py() == after
+
+
+def text_prefix(lib, text, limit):
+    return len(text[: max(k for k in range(len(text) + 1) if len(lib.encode(text[:k])) <= limit)].encode())
+
+
 def test_prefix_programme():
     tok = token_counts.tokenizer(token_counts.default_model())
     for chunk in ("▁hello", "▁▁▁foo", "wörld🙂x", "AAAAaaaa", "▁internationalisation"):
