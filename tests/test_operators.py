@@ -162,3 +162,15 @@ def test_drift_and_promotion(spark):
 def test_flow_failure(spark):
     f = lambda p, s=None, r=None, c=None: one(spark, predicates.flow_failure(F.lit(p), F.lit(s).cast("string"), F.lit(r).cast("string"), F.lit(c).cast("string"), F.lit(False)))
     assert f("SIP", "486") and not f("SIP", "401") and f("DIAMETER", r="5004") and not f("DIAMETER", r="2001") and f("GTP", c="64") and not f("GTP", c="16")
+
+
+def test_nearest_searches_all_blocks(spark, monkeypatch):
+    from sigweave.operators import learning
+
+    rows = [(i, [float(i % 7 - 3), float(i % 5), float(i % 11 - 5)]) for i in range(40)]
+    patterns = spark.createDataFrame(rows, "pattern_id long, embedding array<double>").coalesce(2)
+    queries = patterns.where("pattern_id % 9 = 1").withColumnRenamed("pattern_id", "query_id")
+    search = lambda: {tuple(r) for r in learning.nearest(queries, patterns, k=4).select("query_id", "pattern_id", "similarity", "rank").collect()}
+    want = search()
+    monkeypatch.setattr(learning, "BROADCAST_PATTERNS", 15)
+    assert len(want) == 20 and search() == want
