@@ -1,22 +1,20 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
 One scan measures every text. Each measure's values are counted in the buckets of a quantile sketch
-(16 per octave, so a quantile is off by at most 1/16 of its value): a sketch is a set of (bucket, n)
+(2^BITS per octave, so a quantile is off by at most 1/128 of its value): a sketch is a set of (bucket, n)
 rows, merging is adding, and language and corpus sketches are merged from the (language, source) ones.
 Fixed cutoffs are replaced by fences: the median plus or minus ``reach`` times the distance from the
-median to a quartile of the document's own language and source, and never nearer than ``slack``.
-Groups of fewer than ``min_rows`` documents use their language's sketch, and a small language's
-documents the corpus's. The fences are joined back to the documents.
-
-Fences are wide on purpose: a group's normal documents are all within them. In the test data ``slack``
-is what decides nearly everywhere; the query's SQL is written to it. ``by_source`` judges with
-SOURCE_FENCES instead, as the pipeline does: finer sketches (128 buckets an octave), no slack but what
-the sketch can tell apart, and, since rates of short documents are coarse, a document is outside only if
-it is more than ``spare`` symbols, lines, words or characters beyond what its size allows at the fence.
+median to a quartile, as the sketches of the document's own language and source tell them. The quartiles
+of a group of n documents weigh n^2 against prior^2 for those of its language, which weigh against those
+of the corpus alike, so small groups lean on larger ones without a size at which the judge changes.
+No constant of the measure's own scale takes part: where a group has no spread at all, the fence is what
+the sketch can tell apart (a bucket). Since rates of short documents are coarse, a document is outside
+only if it is more than ``spare`` symbols, lines, words or characters beyond what its size allows at the
+fence. The fences are joined back to the documents.
 
 Results for odd input: null, empty and blank texts have no words and fail the base rules; null
 languages and sources are groups of their own; repeated rows are judged each by itself; an empty
-table gives an empty result; the tables' other columns are carried through by ``filter_quality``.
+table gives an empty result; the tables' other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,16 +35,8 @@ _LEADS = (np.arange(256) & 0xC0) != 0x80
 _UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Sketched measure: (expression, reach, slack, is a high value bad, is a low value bad).
+#: Sketched measure: (scale, count, size, reach, spare, is a high value bad, is a low value bad); its value is scale * count div size.
 FENCES = {
-    "word_length": ("100 * word_chars div n_words", 6, 400, True, True),
-    "symbol_rate": ("1000 * n_symbols div n_words", 6, 80, True, False),
-    "upper_rate": ("1000 * n_upper div word_chars", 6, 150, True, False),
-    "dup_line_rate": ("1000 * n_dup_lines div n_lines", 6, 450, True, False),
-    "stutter_rate": ("1000 * n_stutter div n_words", 6, 250, True, False),
-}
-#: Measure: (scale, count, size, reach, spare, is a high value bad, is a low value bad); its value is scale * count div size.
-SOURCE_FENCES = {
     "word_length": (100, "word_chars", "n_words", 12, 50, True, True),
     "symbol_rate": (1000, "n_symbols", "n_words", 12, 1, True, False),
     "upper_rate": (1000, "n_upper", "word_chars", 12, 10, True, False),
@@ -55,9 +45,10 @@ SOURCE_FENCES = {
 }
 #: The quartiles: up to a quarter of a group may be bad without moving its fence.
 INNER, OUTER = 0.25, 0.75
-MIN_ROWS = 200
+#: A group of so many documents weighs as much as the next larger group.
+PRIOR = 10
 #: A sketch has 2^BITS buckets an octave.
-BITS, FINE_BITS = 4, 7
+BITS = 7
 
 
 def _measure(batches):
@@ -106,7 +97,7 @@ def base_failed() -> Column:
 
 
 def bucket(value: str, bits: int = BITS) -> Column:
-    """The sketch bucket of a non-negative whole number: itself in the first octaves (under 32 with 16 buckets), then 2^bits buckets an octave."""
+    """The sketch bucket of a non-negative whole number: itself in the first octaves (under 256 with 128 buckets), then 2^bits buckets an octave."""
     n, octave = 1 << bits, f"(length(bin({value})) - {bits + 1})"
     return F.expr(f"CASE WHEN {value} < {2 * n} THEN {value} ELSE {n} * {octave} + ({value} div shiftleft(1L, {octave})) END")
 
@@ -135,66 +126,48 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, Column]) -> Da
     return both.groupBy(*group).agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("run") >= F.col("rows") * share, F.col("bucket"))).alias(name) for name, share in at.items()])
 
 
-def quartiles(measured: DataFrame, values: dict[str, str], min_rows: int, bits: int) -> DataFrame:
-    """(lang, source, measure, q_mid, q_low, q_high): the buckets of the median and the quartiles, of the smallest level with min_rows documents."""
-    own = stash(sketch(measured.where(~base_failed() & (F.col("n_lines") > 0) & (F.col("word_chars") > 0)), ["lang", "source"], values, bits), "sketches")
+def blended(measured: DataFrame, prior: float) -> DataFrame:
+    """(lang, source, measure, mid, mid_end, low, high_end): median and quartiles of a language and source, weighed against those of its language and of the corpus.
+
+    A bucket stands for the numbers from its smallest up to the next bucket's: distances are taken between the outer ends."""
+    values = {m: f"{scale} * {count} div {size}" for m, (scale, count, size, *_) in FENCES.items()}
+    own = stash(sketch(measured.where(~base_failed() & (F.col("n_lines") > 0) & (F.col("word_chars") > 0)), ["lang", "source"], values), "sketches")
     shares = {"q_mid": F.lit(0.5), "q_low": F.lit(INNER), "q_high": F.lit(OUTER)}
     levels = [quantiles(own, ["lang", "source"], shares), quantiles(merge(own, ["lang"]), ["lang"], shares), quantiles(merge(own, []), [], shares)]
+    ends = {"mid": bucket_value("q_mid"), "mid_end": bucket_value("(q_mid + 1)") - 1, "low": bucket_value("q_low"), "high_end": bucket_value("(q_high + 1)") - 1}
     cells = own.select("lang", "source", "measure").distinct()
     for k, (keys, level) in enumerate(zip((["lang", "source"], ["lang"], []), levels, strict=True)):
-        named = level.select(*[F.col(c).alias(f"{c}_{k}") for c in level.columns])
+        named = level.select(*[F.col(c).alias(f"{c}_{k}") for c in [*keys, "measure"]], (F.col("rows").cast("double") * F.col("rows").cast("double")).alias(f"weight_{k}"), *[x.cast("double").alias(f"{c}_{k}") for c, x in ends.items()])
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_{k}")) for c in [*keys, "measure"]])
         cells = cells.join(named, same, "left")
-    pick = lambda c: F.when(F.col("rows_0") >= min_rows, F.col(f"{c}_0")).when(F.col("rows_1") >= min_rows, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
-    return cells.select("lang", "source", "measure", *[pick(c).alias(c) for c in shares])
+    other = F.lit(float(prior) ** 2)
+    lean = lambda k, c, on: (F.col(f"weight_{k}") * F.col(f"{c}_{k}") + other * on) / (F.col(f"weight_{k}") + other)
+    return cells.select("lang", "source", "measure", *[lean(0, c, lean(1, c, F.col(f"{c}_2"))).alias(c) for c in ends])
 
 
-def _setting(table: dict[str, tuple], i: int) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for m, f in table.items() for x in (m, f[i])]), F.col("measure"))
+def _setting(i: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for m, f in FENCES.items() for x in (m, f[i])]), F.col("measure"))
 
 
-def _by_measure(limits: DataFrame) -> DataFrame:
+def fences(measured: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """For each language and source, the low and high fence of every measure."""
+    cells = blended(measured, prior)
+    least = F.col("mid") / (1 << BITS) + 1
+    high = F.col("mid") + F.greatest(_setting(3) * (F.col("high_end") - F.col("mid")), least)
+    low = F.col("mid") - F.greatest(_setting(3) * (F.col("mid_end") - F.col("low")), least)
+    limits = cells.select("lang", "source", "measure", F.when(_setting(6), low).alias("low"), F.when(_setting(5), high).alias("high"))
     return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in FENCES for side in ("low", "high")])
 
 
-def fences(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """For each language and source, the low and high fence of every measure."""
-    cells = quartiles(measured, {m: f[0] for m, f in FENCES.items()}, min_rows, BITS)
-    cells = cells.select("lang", "source", "measure", *[bucket_value(c).alias(c) for c in ("q_mid", "q_low", "q_high")])
-    setting = lambda i: _setting(FENCES, i)
-    high = F.col("q_mid") + F.greatest(setting(1) * (F.col("q_high") - F.col("q_mid")), setting(2))
-    low = F.col("q_mid") - F.greatest(setting(1) * (F.col("q_mid") - F.col("q_low")), setting(2))
-    limits = cells.select("lang", "source", "measure", F.when(setting(4), low).alias("low"), F.when(setting(3), high).alias("high"))
-    return _by_measure(limits)
-
-
-def source_fences(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """For each language and source, the low and high fence of every measure, as its own quartiles set them."""
-    cells = quartiles(measured, {m: f"{scale} * {count} div {size}" for m, (scale, count, size, *_) in SOURCE_FENCES.items()}, min_rows, FINE_BITS)
-    # a bucket stands for the numbers from its smallest up to the next bucket's: distances are taken between the outer ends
-    ends = [(bucket_value(f"({c} + 1)", FINE_BITS) - 1).alias(f"{c}_end") for c in ("q_mid", "q_high")]
-    cells = cells.select("lang", "source", "measure", *[bucket_value(c, FINE_BITS).alias(c) for c in ("q_mid", "q_low")], *ends)
-    setting = lambda i: _setting(SOURCE_FENCES, i)
-    least = F.expr(f"q_mid div {1 << FINE_BITS} + 1")
-    high = F.col("q_mid") + F.greatest(setting(3) * (F.col("q_high_end") - F.col("q_mid")), least)
-    low = F.col("q_mid") - F.greatest(setting(3) * (F.col("q_mid_end") - F.col("q_low")), least)
-    return _by_measure(cells.select("lang", "source", "measure", F.when(setting(6), low).alias("low"), F.when(setting(5), high).alias("high")))
-
-
-def judge(docs: DataFrame, min_rows: int = MIN_ROWS, by_source: bool = False) -> DataFrame:
+def judge(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     """The measures of every document row with base_failed, kept, and failed (the measures outside their fences)."""
     measured = stash(measure(docs), "measures")
-    limits = (source_fences if by_source else fences)(measured, min_rows).withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
+    limits = fences(measured, prior).withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
     same = F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col("source").eqNullSafe(F.col("limit_source"))
     both = measured.join(limits, same, "left").withColumn("base_failed", base_failed())
     outside = []
-    for m, (expression, *_) in FENCES.items():
-        value = F.expr(f"CASE WHEN n_words > 0 AND n_lines > 0 AND word_chars > 0 THEN {expression} END")
-        if by_source:
-            scale, count, size, _, spare, *_ = SOURCE_FENCES[m]
-            here = F.expr(f"CASE WHEN n_words > 0 AND n_lines > 0 AND word_chars > 0 THEN {scale} * {count} END")
-            outside.append(F.when((here - scale * spare > F.col(f"{m}_high") * F.col(size)) | (here + scale * spare < F.col(f"{m}_low") * F.col(size)), F.lit(m)))
-            continue
-        outside.append(F.when((value > F.col(f"{m}_high")) | (value < F.col(f"{m}_low")), F.lit(m)))
+    for m, (scale, count, size, _, spare, *_) in FENCES.items():
+        here = F.expr(f"CASE WHEN n_words > 0 AND n_lines > 0 AND word_chars > 0 THEN {scale} * {count} END")
+        outside.append(F.when((here - scale * spare > F.col(f"{m}_high") * F.col(size)) | (here + scale * spare < F.col(f"{m}_low") * F.col(size)), F.lit(m)))
     both = both.withColumn("failed", F.array_compact(F.array(*outside)))
     return both.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).select("doc_id", "text_key", "lang", "source", *MEASURES, "base_failed", "kept", "failed")
