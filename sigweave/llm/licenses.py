@@ -3,9 +3,12 @@
 A text is brought to a canonical form (lower case; copyright lines left out; equivalent spellings
 made one; punctuation and white space to single spaces) and its SHA-256 is joined to the
 digests of known licences, made the same way. Entire texts are compared: a document, and each of
-its paragraphs (lines), which is how licence notices stand in documents.
+its paragraphs (lines), which is how licence notices stand in documents. Lines are made canonical once; a
+document's form is that of its lines, one after the other.
 
-Digests are hash-joined; nothing is grouped by digest, so many documents with one licence are no hot key.
+Digests are hash-joined; nothing is grouped by digest, so many documents with one licence are no hot key. The
+known digests are broadcast up to BROADCAST_KNOWN of them. Known texts stand below and in any table that
+is given (license, text); each is known with and without its title line.
 
 Results for odd input: null and blank texts have no digest and match nothing; repeated rows are judged each by
 itself; an empty table or an empty list of licences gives no matches; only doc_id and text are read.
@@ -16,46 +19,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigweave.llm.shared import stash
+
 # Texts of short public licences, and the notices that name one.
 KNOWN = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+# Title lines under which licence texts are usual.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'Simplified BSD License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'New BSD License'],
+    "Zlib": ["zlib License", "The zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "WTFPL": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"],
+}
 # Pairs of pattern and replacement, applied in this order; both Spark and other SQL engines read them alike.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-SPELLINGS = [("licence", "license"), ("licencing", "licensing"), ("acknowledgement", "acknowledgment"), ("non-infringement", "noninfringement"), ("&", " and "), ("sub-license", "sublicense")]
+SPELLINGS = [("licence", "license"), ("licencing", "licensing"), ("acknowledgement", "acknowledgment"), ("non-infringement", "noninfringement"), ("&", " and "), ("sub-license", "sublicense"), ("organisation", "organization"), ("recognise", "recognize"), ("authorised", "authorized"), ("http://", "https://"), ("non-commercial", "noncommercial")]
 NOT_WORD = r"[^a-z0-9]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case without copyright lines, one spelling, words joined by single spaces."""
-    x = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
-    for one, other in SPELLINGS:
-        x = F.replace(x, F.lit(one), F.lit(other))
-    return F.trim(F.regexp_replace(x, NOT_WORD, " "))
+#: So many known digests are broadcast; more are joined by a shuffle.
+BROADCAST_KNOWN = 200_000
+_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text in lower case and one spelling, words joined by single spaces; copyright lines are empty."""
+
+    def form(line: Column) -> Column:
+        x = F.lower(line)
+        for one, other in SPELLINGS:
+            x = F.replace(x, F.lit(one), F.lit(other))
+        return F.when(F.lower(line).rlike(_LINE), "").otherwise(F.trim(F.regexp_replace(x, NOT_WORD, " ")))
+
+    return F.transform(F.split(text, "\n"), form)
 
 
-def digest(text: Column) -> Column:
-    form = canonical(text)
+def digest(form: Column) -> Column:
     return F.when(form != "", F.sha2(F.encode(form, "UTF-8"), 256))
 
 
+def whole(lines: Column) -> Column:
+    """The canonical form of a text, from that of its lines."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """The known texts, with and without their titles."""
+    return KNOWN + [(name, f"{title}\n{text}") for name, text in KNOWN for title in TITLES.get(name, []) if len(text) > 200]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    return spark.createDataFrame(known_texts(), "license string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """One row per document row: doc_id, digest, license (of the entire text, null if unknown), notices (licences of entire paragraphs, sorted)."""
-    table = known.select("license", digest(F.col("text")).alias("known")).where("known is not null").groupBy("known").agg(F.min("license").alias("license"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), digest(F.col("text")).alias("digest"), "text")
-    whole = rows.join(table, rows["digest"] == table["known"], "left").select("doc_id", "text_key", "digest", "license")
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.select("doc_id", "text_key", digest(F.col("line")).alias("digest"))
-    found = lines.join(table, lines["digest"] == table["known"]).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("license")).alias("notices"))
-    same = whole["doc_id"].eqNullSafe(found["doc_id"]) & (whole["text_key"] == found["text_key"])
-    return whole.join(found, same, "left").select(whole["doc_id"], "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    table = stash(known.select("license", digest(whole(canonical_lines(F.col("text")))).alias("known")).where("known is not null").groupBy("known").agg(F.min("license").alias("license")), "known")
+    table = F.broadcast(table) if table.count() <= BROADCAST_KNOWN else table
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), canonical_lines(F.col("text")).alias("lines"))
+    digests = rows.select("doc_id", "text_key", digest(whole(F.col("lines"))).alias("digest"), F.transform(F.array_distinct("lines"), digest).alias("lines"))
+    digests = stash(digests, "digests")
+    of_text = digests.join(table, digests["digest"] == table["known"], "left").select("doc_id", "text_key", "digest", "license")
+    lines = digests.select("doc_id", "text_key", F.explode("lines").alias("line"))
+    found = lines.join(table, lines["line"] == table["known"]).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    same = of_text["doc_id"].eqNullSafe(found["doc_id"]) & (of_text["text_key"] == found["text_key"])
+    return of_text.join(found, same, "left").select(of_text["doc_id"], "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

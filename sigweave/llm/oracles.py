@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sigweave.llm.licenses import COPYRIGHT_LINE, KNOWN, NOT_WORD, SPELLINGS
-from sigweave.llm.quality import FENCES, INNER, MIN_ROWS, MIN_WORDS, OUTER, REPEAT_PERCENT
+from sigweave.llm.licenses import COPYRIGHT_LINE, NOT_WORD, SPELLINGS, known_texts
+from sigweave.llm.quality import BITS, FENCES, INNER, MIN_WORDS, OUTER, PRIOR, REPEAT_PERCENT
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -29,29 +29,34 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id FROM doc
 
 
 def _bucket(v: str) -> str:
-    octave = f"(length(bin(CAST({v} AS BIGINT))) - 5)"
-    return f"CASE WHEN {v} < 32 THEN {v} ELSE 16 * {octave} + ({v} // (1::BIGINT << greatest(0, {octave}))) END"
+    n, octave = 1 << BITS, f"(length(bin(CAST({v} AS BIGINT))) - {BITS + 1})"
+    return f"CASE WHEN {v} < {2 * n} THEN {v} ELSE {n} * {octave} + ({v} // (1::BIGINT << greatest(0, {octave}))) END"
 
 
 def _value(b: str) -> str:
-    return f"CASE WHEN {b} < 32 THEN {b} ELSE (16 + {b} % 16) * (1::BIGINT << greatest(0, {b} // 16 - 1)) END"
+    n = 1 << BITS
+    return f"CASE WHEN {b} < {2 * n} THEN {b} ELSE ({n} + {b} % {n}) * (1::BIGINT << greatest(0, {b} // {n} - 1)) END"
 
 
 def _quality() -> str:
-    measures = {m: f[0].replace(" div ", " // ") for m, f in FENCES.items()}
+    measures = {m: f"{scale} * {count} // {size}" for m, (scale, count, size, *_) in FENCES.items()}
     rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {_bucket('(' + x + ')')} AS bucket FROM st WHERE NOT base_failed AND n_lines > 0 AND word_chars > 0" for m, x in measures.items())
+    ends = {"mid": _value("qm"), "mid_end": _value("(qm + 1)") + " - 1", "low": _value("ql"), "high_end": _value("(qh + 1)") + " - 1"}
 
     def level(name: str, keys: str) -> str:
         comma = keys + ", " if keys else ""
+        values = ", ".join(f"CAST(({x}) AS DOUBLE) AS {c}" for c, x in ends.items())
         return f"""{name}0 AS (SELECT {comma}measure, bucket, count(*) AS n FROM sk GROUP BY ALL), {name}1 AS (SELECT *, sum(n) OVER (PARTITION BY {comma}measure ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {comma}measure) AS rows FROM {name}0),
-{name} AS (SELECT {comma}measure, max(rows) AS rows, min(bucket) FILTER (run >= rows * 0.5) AS qm, min(bucket) FILTER (run >= rows * {INNER}) AS ql, min(bucket) FILTER (run >= rows * {OUTER}) AS qh FROM {name}1 GROUP BY ALL)"""
+{name}2 AS (SELECT {comma}measure, max(rows) AS rows, min(bucket) FILTER (run >= rows * 0.5) AS qm, min(bucket) FILTER (run >= rows * {INNER}) AS ql, min(bucket) FILTER (run >= rows * {OUTER}) AS qh FROM {name}1 GROUP BY ALL),
+{name} AS (SELECT {comma}measure, CAST(rows AS DOUBLE) * CAST(rows AS DOUBLE) AS rows, {values} FROM {name}2)"""
 
-    pick = lambda q: f"CASE WHEN a.rows >= {MIN_ROWS} THEN a.{q} WHEN b.rows >= {MIN_ROWS} THEN b.{q} ELSE c.{q} END"
+    prior = f"CAST({PRIOR**2} AS DOUBLE)"
+    lean = lambda t, c, on: f"({t}.rows * {t}.{c} + {prior} * {on}) / ({t}.rows + {prior})"
     case = lambda i: "CASE measure " + " ".join(f"WHEN '{m}' THEN {f[i]}" for m, f in FENCES.items()) + " END"
+    fence = lambda side, m: f"(SELECT {side} FROM fe WHERE fe.lang IS NOT DISTINCT FROM st.lang AND fe.source IS NOT DISTINCT FROM st.source AND measure = '{m}')"
     bad = " OR ".join(
-        f"coalesce({x} > (SELECT high FROM fe WHERE fe.lang IS NOT DISTINCT FROM st.lang AND fe.source IS NOT DISTINCT FROM st.source AND measure = '{m}'), false)"
-        + (f" OR coalesce({x} < (SELECT low FROM fe WHERE fe.lang IS NOT DISTINCT FROM st.lang AND fe.source IS NOT DISTINCT FROM st.source AND measure = '{m}'), false)" if FENCES[m][4] else "")
-        for m, x in measures.items()
+        f"coalesce({scale} * {count} - {scale * spare} > {fence('high', m)} * {size}, false)" + (f" OR coalesce({scale} * {count} + {scale * spare} < {fence('low', m)} * {size}, false)" if is_low else "")
+        for m, (scale, count, size, _, spare, _, is_low) in FENCES.items()
     )
     return f"""
 WITH w AS (
@@ -72,10 +77,10 @@ WITH w AS (
   FROM w LEFT JOIN rp USING (doc_id) LEFT JOIN ln USING (doc_id)
 ), sk AS ({rows}), {level("la", "lang, source")}, {level("lb", "lang")}, {level("lc", "")},
 ce AS (
-  SELECT a.lang, a.source, a.measure, {_value("(" + pick("qm") + ")")} AS qm, {_value("(" + pick("ql") + ")")} AS ql, {_value("(" + pick("qh") + ")")} AS qh
+  SELECT a.lang, a.source, a.measure, {", ".join(lean("a", c, lean("b", c, "c." + c)) + f" AS {c}" for c in ends)}
   FROM la a JOIN lb b ON b.lang IS NOT DISTINCT FROM a.lang AND b.measure = a.measure JOIN lc c ON c.measure = a.measure
 ), fe AS (
-  SELECT lang, source, measure, qm + greatest({case(1)} * (qh - qm), {case(2)}) AS high, qm - greatest({case(1)} * (qm - ql), {case(2)}) AS low FROM ce
+  SELECT lang, source, measure, mid + greatest({case(3)} * (high_end - mid), mid / {1 << BITS} + 1) AS high, mid - greatest({case(3)} * (mid_end - low), mid / {1 << BITS} + 1) AS low FROM ce
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT CASE WHEN n_words > 0 AND n_lines > 0 AND word_chars > 0 THEN {bad} ELSE false END AS kept FROM st
 """
@@ -109,7 +114,7 @@ def _licenses() -> str:
         return f"trim(regexp_replace({x}, {quote(NOT_WORD)}, ' ', 'g'))"
 
     digest = lambda x: f"CASE WHEN {canonical(x)} <> '' THEN sha256({canonical(x)}) END"
-    known = ", ".join(f"({quote(a)}, {quote(t)})" for a, t in KNOWN)
+    known = ", ".join(f"({quote(a)}, {quote(t)})" for a, t in known_texts())
     return f"""
 WITH k AS (
   SELECT min(license) AS license, {digest("text")} AS digest FROM (VALUES {known}) v(license, text) GROUP BY 2
@@ -124,9 +129,9 @@ SELECT doc_id, dd.digest, k.license, coalesce(notices, '') AS notices FROM dd LE
 """
 
 
-OP7 = """
+OP7 = r"""
 WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, (conv_id % 2 + 2) % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn, replace(coalesce(role, ''), '<|', '<\|'), replace(coalesce(text, ''), '<|', '<\|')) AS pos, replace(coalesce(role, ''), '<|', '<\|') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), f AS (
   SELECT pair_id, min(pos) AS first FROM (SELECT pair_id, pos, count(*) = 2 AND min((role, text)) = max((role, text)) AS same FROM t GROUP BY 1, 2) WHERE NOT same GROUP BY 1
 ), p AS (
@@ -136,9 +141,9 @@ WITH t AS (
 )
 SELECT pair_id, CAST(coalesce(max(pos) FILTER (in_prompt), 0) AS BIGINT) AS n_prompt_turns, coalesce(string_agg(piece, '' ORDER BY pos) FILTER (in_prompt AND side = one), '') AS prompt,
   CASE WHEN bool_or(side = 0) THEN coalesce(string_agg(piece, '' ORDER BY pos) FILTER (side = 0 AND NOT in_prompt), '') END AS chosen,
-  CASE WHEN bool_or(side = 0) THEN coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) AS BIGINT), ',' ORDER BY pos) FILTER (side = 0 AND NOT in_prompt AND role = 'assistant'), '') END AS chosen_mask,
+  CASE WHEN bool_or(side = 0) THEN coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) + 1 AS BIGINT), ',' ORDER BY pos) FILTER (side = 0 AND NOT in_prompt AND role = 'assistant'), '') END AS chosen_mask,
   CASE WHEN bool_or(side = 1) THEN coalesce(string_agg(piece, '' ORDER BY pos) FILTER (side = 1 AND NOT in_prompt), '') END AS rejected,
-  CASE WHEN bool_or(side = 1) THEN coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) AS BIGINT), ',' ORDER BY pos) FILTER (side = 1 AND NOT in_prompt AND role = 'assistant'), '') END AS rejected_mask
+  CASE WHEN bool_or(side = 1) THEN coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) + 1 AS BIGINT), ',' ORDER BY pos) FILTER (side = 1 AND NOT in_prompt AND role = 'assistant'), '') END AS rejected_mask
 FROM q GROUP BY 1
 """
 
