@@ -11,7 +11,7 @@ again on another executor, gives the same shards. The matrix has partitions x sh
 the corpus. Slots are numbered in blocks of a shard, so no task holds a shard.
 
 Only DataFrame functions are used. Results for odd input: null texts have size 1 and CRC 0; identical
-rows get slots of their own; an empty table gives an empty result; fewer rows than shards leave shards empty.
+rows get slots of their own; input columns named shard or slot are refused; an empty table gives an empty result; fewer rows than shards leave shards empty.
 """
 
 from __future__ import annotations
@@ -77,6 +77,8 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
 def exact_shuffle(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The rows with shard (int) and slot (long, gapless from 0 in each shard), uniformly permuted."""
     spark, columns = rows.sparkSession, rows.columns
+    if clash := {"shard", "slot"} & {c.lower() for c in columns}:
+        raise ValueError(f"rename the column {clash.pop()}: the result has one of this name")
     rows = stash(rows, "rows")
     total = rows.count()
     partitions = min(MOST_PARTITIONS, max(LEAST_PARTITIONS, total // ROWS_PER_BLOCK))
