@@ -9,7 +9,8 @@ The set is broadcast only in blocks of at most ``block_bytes`` of item text: a t
 larger is worked off block by block over all documents, and the hits are merged.
 
 Results for odd input: a null or empty text has no words and no hits; an item without words never
-occurs; an item of fewer than n words is a single window; repeated rows are judged each by itself;
+occurs; an item of fewer than n words is a single window; the words of an item without item_id are hit
+like others, but it is not named; repeated rows are judged each by itself;
 an empty benchmark table hits nothing. Other columns of either table are not touched.
 """
 
@@ -24,34 +25,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigweave.llm.shared import stash
-from sigweave.llm.text import ALNUM, flags_within, grams, mix, slices
+from sigweave.llm.text import ALNUM, LOWER, flags_within, grams, slices
 
 BLOCK_BYTES = 32 << 20
 _HITS = "doc_id long, text_key long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 class WindowSet:
-    """Windows of test items: for each length the sorted hashes, a 20-bit table to pass over misses, and the words to verify with."""
-
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
-        words: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        ids = [str(k) for k, _ in items]
-        for part in slices(pa.array([t for _, t in items], pa.string())):
-            w = part.words(ALNUM)
-            hashes = w.hashes(lower=True)
-            for i in range(part.n):
-                size = min(n, int(w.counts[i]))
-                if size:
-                    own = grams(hashes[w.at[i] : w.at[i + 1]], size)
-                    for j, h in enumerate(own.tolist()):
-                        text = b" ".join(w.chunk(int(w.at[i]) + j + k) for k in range(size)).lower()
-                        words.setdefault(size, {}).setdefault(h, {}).setdefault(text, set()).add(ids[part.first + i])
-        self.words = words
-        self.sorted = {size: np.array(sorted(v), np.uint64) for size, v in words.items()}
-        self.coarse = {}
-        for size, v in self.sorted.items():
+    """Windows of test items: for each length the sorted hashes with the word that each begins at, a 20-bit table to pass over misses, and the items' bytes to verify with.
+
+    It takes some 24 bytes a word beside the texts."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
+        self.ids = [k for k, _ in items]
+        self.sorted, self.begins, self.coarse = {}, {}, {}
+        if not items:
+            return
+        (part,) = slices(pa.array([t for _, t in items], pa.large_string()), 1 << 62)
+        w = part.words(ALNUM)
+        hashes = w.hashes(lower=True)
+        self.data, self.starts, self.ends, self.at = LOWER[part.data], w.starts, w.ends, w.at
+        sizes = np.minimum(w.counts, n)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = grams(hashes, size)
+            item = np.repeat(np.arange(len(items)), w.counts)[: len(own)]
+            begins = np.flatnonzero((sizes[item] == size) & (np.arange(len(own)) + size <= w.at[1:][item]))
+            order = np.argsort(own[begins], kind="stable")
+            self.begins[size], self.sorted[size] = begins[order], own[begins][order]
             self.coarse[size] = np.zeros(1 << 20, bool)
-            self.coarse[size][(v >> np.uint64(44)).astype(np.int64)] = True
+            self.coarse[size][(self.sorted[size] >> np.uint64(44)).astype(np.int64)] = True
+
+    def items(self, size: int, hash_: np.uint64, words: list[bytes]) -> set[str | None] | None:
+        """The ids of the items that have a window of these words; None if none has."""
+        table, found = self.sorted[size], set()
+        low, high = np.searchsorted(table, hash_), np.searchsorted(table, hash_, side="right")
+        for begin in self.begins[size][low:high].tolist():
+            if all(self.data[self.starts[begin + k] : self.ends[begin + k]].tobytes() == word for k, word in enumerate(words)):
+                found.add(self.ids[int(np.searchsorted(self.at, begin, side="right")) - 1])
+        return found or None
 
 
 def _scan(windows: WindowSet, batches):
@@ -71,8 +82,7 @@ def _scan(windows: WindowSet, batches):
                 at = at[at + size <= ends[at]]
                 place = np.minimum(np.searchsorted(table, g[at]), len(table) - 1)
                 for j in at[table[place] == g[at]].tolist():
-                    text = b" ".join(w.chunk(j + k) for k in range(size)).lower()
-                    items = windows.words[size][int(g[j])].get(text)
+                    items = windows.items(size, g[j], [w.chunk(j + k).lower() for k in range(size)])
                     if items:
                         doc = int(np.searchsorted(w.at, j, side="right")) - 1
                         starts, sizes, all_items = found.setdefault(doc, ([], [], set()))
@@ -86,7 +96,7 @@ def _scan(windows: WindowSet, batches):
                     hit = flags_within(np.array(starts), np.array(sizes), n_words)
                     edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
                     spans = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                    n_hit, items = int(hit.sum()), sorted(all_items)
+                    n_hit, items = int(hit.sum()), sorted(x for x in all_items if x is not None)
                 out.append((n_words, n_hit, items, spans))
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays(
@@ -104,12 +114,12 @@ def _block(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document row: doc_id, text_key (a hash of the text), n_words, n_hit, items (ids as sorted strings), spans (hit word ranges)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = math.ceil(size / block_bytes)
     if blocks <= 1:
         return _block(docs, items, n)
-    parts = [stash(_block(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), n), "contamination") for b in range(blocks)]
+    parts = [stash(_block(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), n), "contamination") for b in range(blocks)]
     merged = reduce(DataFrame.unionByName, [p.withColumn("block", F.lit(b)) for b, p in enumerate(parts)])
     # repeated rows of a document count once for each block
     merged = merged.groupBy("doc_id", "text_key", "block").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_words", "items", "spans")])
