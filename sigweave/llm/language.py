@@ -1,14 +1,15 @@
 """Language identification with language-bitmask n-gram filters.
 
-Learning counts byte n-grams (of lower-cased letters, words joined by one space) per language; the
-``grams_per_language`` most frequent ones of each language that it uses at least ``share`` times as
-often as any other language go into its Bloom filter. The filters are bit-sliced: one table whose
-cell holds a bit for each language, so that ANDing an n-gram's cells gives all languages that
-contain it at once. A text's popcount per language, corrected for the filter's false positives,
-decides; ties go to the language that sorts first.
+Learning counts byte n-grams (of lower-cased letters, words joined by one space, spaces around the text) per
+language; every n-gram that a language uses at least ``share`` times as often as any other language goes into
+its Bloom filter. The filters are bit-sliced: one table whose cell holds a bit for each language, so that
+ANDing an n-gram's cells gives all languages that contain it at once. A text's popcount per language,
+corrected for the filter's false positives, decides; ties go to the language that sorts first, which is also
+what texts get whose n-grams no language has (with score 0).
 
-The model's size is bounded by its parameters, never by the corpus; all labelled rows that are
-given are learned from.
+Spark sets the filters' bits; only the cells reach the driver, whose number is a parameter. All labelled rows
+that are given are learned from, and no n-gram is left out: the more there are, the more false positives
+there are to correct for.
 
 Results for odd input: null texts and texts without letters are ``und`` with score 0, as is every
 text when there was nothing to learn from; repeated rows are judged each by itself; rows without a
@@ -19,15 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigweave.llm.shared import stash
 from sigweave.llm.text import ALNUM, LOWER, mix, slices
 
 N = 4
-GRAMS_PER_LANGUAGE = 20_000
 SHARE = 0.25
-CELLS = 1 << 20
+CELLS = 1 << 22
 PROBES = 2
 _LETTER = ALNUM & ~np.isin(np.arange(256), np.arange(0x30, 0x3A))
 
@@ -42,6 +43,10 @@ def _gram_codes(part) -> tuple[np.ndarray, np.ndarray]:
         keep[1:] = ~((data[1:] == 0x20) & (data[:-1] == 0x20) & ~starts[1:-1])
     doc = np.repeat(np.arange(part.n, dtype=np.int32), np.diff(part.offsets))
     data, doc = data[keep].astype(np.uint32), doc[keep]
+    # spaces around each text, so that a single letter makes an n-gram
+    padded = np.full(len(data) + 3 * part.n, 0x20, np.uint32)
+    padded[np.arange(len(data)) + 3 * doc + 2] = data
+    data, doc = padded, np.repeat(np.arange(part.n, dtype=np.int32), np.bincount(doc, minlength=part.n) + 3)
     if len(data) < N:
         return np.empty(0, np.uint32), np.empty(0, np.int32)
     code = data[: len(data) - N + 1].copy()
@@ -65,7 +70,7 @@ def _count(batches):
         lang = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
         for part in slices(batch.column(0)):
             code, doc = _gram_codes(part)
-            waiting.append(np.unique(code.astype(np.uint64) << np.uint64(16) | lang[part.first + doc], return_counts=True))
+            waiting.append(np.unique(code.astype(np.uint64) << np.uint64(32) | lang[part.first + doc], return_counts=True))
             if len(waiting) >= 32:
                 add(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
                 waiting = []
@@ -73,7 +78,7 @@ def _count(batches):
         add(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
     for i in range(0, len(keys), 100_000):
         k = keys[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(16)).astype(np.int64)), pa.array((k & np.uint64(0xFFFF)).astype(np.int32)), pa.array(counts[i : i + 100_000])], names=["gram", "lang", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(32)).astype(np.int64)), pa.array((k & np.uint64(0xFFFFFFFF)).astype(np.int32)), pa.array(counts[i : i + 100_000])], names=["gram", "lang", "n"])
 
 
 def _cells(grams: np.ndarray) -> list[np.ndarray]:
@@ -82,18 +87,25 @@ def _cells(grams: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(step * k)) & np.uint64(CELLS - 1)).astype(np.int32) for k in range(PROBES)]
 
 
+def _bits(batches):
+    """(gram, lang) to (the table's number, cell, mask), merged within a batch."""
+    for batch in batches:
+        gram, lang = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        cell = np.concatenate(_cells(gram)).astype(np.int64)
+        mask = np.tile(np.uint64(1) << (lang % 64).astype(np.uint64), PROBES).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(lang // 64, PROBES).astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(mask)], names=["part", "cell", "mask"])
+
+
 class LanguageFilters:
     """tables: for each 64 languages one array of CELLS bit masks. false_positive: each language's rate."""
 
-    def __init__(self, languages: list[str], gram: np.ndarray, lang: np.ndarray):
+    def __init__(self, languages: list[str], part: np.ndarray, cell: np.ndarray, mask: np.ndarray):
         self.languages = languages
         self.tables = []
         for first in range(0, len(languages), 64):
-            n = min(64, len(languages) - first)
-            table = np.zeros(CELLS, np.uint8 if n <= 8 else np.uint64)
-            for k in range(n):
-                for at in _cells(gram[lang == first + k]):
-                    table[at] |= table.dtype.type(1 << k)
+            table = np.zeros(CELLS, np.uint8 if len(languages) - first <= 8 else np.uint64)
+            here = part == first // 64
+            table[cell[here]] = mask[here].view(np.uint64).astype(table.dtype)
             self.tables.append(table)
         fill = [float(((t >> t.dtype.type(k)) & t.dtype.type(1)).mean()) for first, t in zip(range(0, len(languages), 64), self.tables, strict=True) for k in range(min(64, len(languages) - first))]
         self.false_positive = np.array(fill) ** PROBES
@@ -112,21 +124,19 @@ class LanguageFilters:
         return np.array(out).T.reshape(n_docs, len(self.languages))
 
 
-def learn_languages(labelled: DataFrame, grams_per_language: int = GRAMS_PER_LANGUAGE, share: float = SHARE) -> LanguageFilters:
-    """labelled: columns text and lang. The languages (not the texts) are named on the driver; there may be 65,535."""
-    labelled = labelled.select("text", "lang").where("lang is not null and text is not null")
-    languages = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").limit(65_536).collect()]
-    if len(languages) > 65_535:
-        raise ValueError("more languages than the filters are made for")
-    number = F.element_at(F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)]), F.col("lang")) if languages else F.lit(0)
-    counts = labelled.select("text", number.cast("int").alias("lang")).mapInArrow(_count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+def learn_languages(labelled: DataFrame, share: float = SHARE) -> LanguageFilters:
+    """labelled: columns text and lang. The languages (not the texts) are named on the driver."""
+    spark = labelled.sparkSession
+    labelled = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    languages = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").collect()]
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(languages)), "number int, lang string"))
+    counts = labelled.join(numbers, "lang").select("text", "number").mapInArrow(_count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = stash(counts, "grams")
+    rates = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
-    kept = rates.join(best, "gram").where(F.col("rate") >= share * F.col("best"))
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= grams_per_language)
-    table = ranked.select("gram", "lang").toArrow()
-    return LanguageFilters(languages, table["gram"].to_numpy(), table["lang"].to_numpy())
+    kept = rates.join(best, "gram").where(F.col("rate") >= share * F.col("best")).select("gram", "lang")
+    table = kept.mapInArrow(_bits, "part int, cell int, mask long").groupBy("part", "cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    return LanguageFilters(languages, *(table[c].to_numpy() for c in ("part", "cell", "mask")))
 
 
 def _has_letter(text: bytes) -> bool:
