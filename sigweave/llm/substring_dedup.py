@@ -8,13 +8,15 @@ mostly share one: a text of w words has about w/14 fingerprints to store.
 tables). Each new batch is merge-joined with every run; fingerprints met again, or twice in the
 batch, are suspects. The batch then becomes a run of its own, and when a level holds ``fanout`` runs
 they are compacted into one run of the next level. An index that is kept from call to call also has
-runs of the hashes of all whole windows, so that a new table is held against all earlier ones without
-reading their texts again. One call's own index, which is dropped at its end, needs none.
+runs of (hash, fingerprint) of all whole windows, so that a new table is held against all earlier ones
+without reading their texts again: a window was there before if both 64-bit numbers were. One call's own
+index, which is dropped at its end, needs none.
 
 Suspects are verified: the documents that hold them are read again, the 64-bit hashes of their whole
 windows are compared among the holders of a fingerprint, and a window counts as repeated only if
-another one is equal. Holders of a frequent fingerprint are dealt over several tasks, which
-exchange the hashes that only one holder in the task has. With a kept index, windows that only one
+another one is equal in both numbers. Holders of a frequent fingerprint are dealt over several tasks, which
+exchange the hashes that only one holder in the task has; the most frequent fingerprints of all (HOT at
+most) are broadcast, so that no join deals their rows to one task. With a kept index, windows that only one
 holder has are looked up in its runs as well.
 
 Results for odd input: null texts and texts under ``window`` words lose nothing; every occurrence of a
@@ -42,6 +44,14 @@ from sigweave.llm.text import NOT_SPACE, flags_within, grams, signed, slices
 WINDOW, ANCHOR = 35, 8
 BATCHES, FANOUT = 4, 2
 _GROUP = 1000
+#: So many fingerprints are joined by a broadcast, however large the table is.
+HOT = 1000
+#: A fingerprint stands for at most so many neighbouring windows: they are bits of a long.
+_MOST = 62
+
+
+def anchor_words(window: int) -> int:
+    return min(window, max(ANCHOR, window + 1 - _MOST))
 
 
 class Anchors:
@@ -51,13 +61,14 @@ class Anchors:
         self.words = w = part.words(NOT_SPACE)
         self.hashes = w.hashes(lower=False)
         ends = np.repeat(w.at[1:], w.counts)
-        self.grams = grams(self.hashes, ANCHOR)
+        anchor = anchor_words(window)
+        self.grams = grams(self.hashes, anchor)
         begin = np.arange(max(0, len(self.hashes) - window + 1))
         self.first = begin[begin + window <= ends[: len(begin)]]
         n = max(1, int(len(self.grams)).bit_length())
         # hash above, place below: the smallest value is the smallest hash, leftmost of equals
         low = (self.grams >> np.uint64(n) << np.uint64(n)) | np.arange(len(self.grams), dtype=np.uint64)
-        width, span = 1, window - ANCHOR + 1
+        width, span = 1, window - anchor + 1
         while 2 * width <= span:
             low = np.minimum(low[:-width], low[width:]) if len(low) > width else low[:0]
             width *= 2
@@ -86,7 +97,8 @@ def _window_hashes(window: int, batches):
     for batch in batches:
         for part in slices(batch.column(0)):
             a = Anchors(part, window)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(signed(grams(a.hashes, window, base=2)[a.first])))], names=["fp"])
+            whole, at = np.unique(signed(grams(a.hashes, window, 1)[a.first]), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(signed(a.grams[a.at[at]]))], names=["fp", "anchor"])
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -95,12 +107,12 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n), by level. Tables are named after the index: the same name opens the runs that the catalog has of it.
+    """Sorted immutable runs of (keys, n), by level. Tables are named after the index: the same name opens the runs that the catalog has of it.
 
-    ``windows`` is the index of the hashes of whole windows that belongs to it."""
+    The first key is ``fp``. ``windows`` is the index of whole windows that belongs to it."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, name: str | None = None, fanout: int = FANOUT, buckets: int | None = None, keys: tuple[str, ...] = ("fp",)):
+        self.spark, self.fanout, self.keys = spark, fanout, list(keys)
         self.name = name or f"fingerprints_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
@@ -119,7 +131,7 @@ class FingerprintIndex:
         sizes = {int(m[1]) for m in self._tables(r"_windows(\d+)_\d+_\d+")} - {window}
         if sizes:
             raise ValueError(f"index {self.name} was made with windows of {sizes.pop()} words")
-        return FingerprintIndex(self.spark, f"{self.name}_windows{window}", self.fanout, self.buckets)
+        return FingerprintIndex(self.spark, f"{self.name}_windows{window}", self.fanout, self.buckets, ("fp", "anchor"))
 
     def _write(self, rows: DataFrame, level: int) -> None:
         self.made += 1
@@ -133,24 +145,24 @@ class FingerprintIndex:
         return [run for level in self.levels for run in level]
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch (column fp; one row for each occurrence). Returns (fp): fingerprints of the batch that are there twice or were there before."""
-        new = stash(batch.groupBy("fp").agg(F.count("*").alias("n")), "batch")
-        met = [new.where("n > 1").select("fp"), *self.known(new)]
-        found = stash(reduce(DataFrame.unionByName, met).distinct(), "met")
+        """Adds a batch (the keys; one row for each occurrence). Returns (keys, n): those of the batch that are there twice or were there before, and how often they are there."""
+        new = stash(batch.groupBy(*self.keys).agg(F.count("*").alias("n")), "batch")
+        met = [new.where("n > 1").select(*self.keys, "n"), *self.known(new)]
+        found = stash(reduce(DataFrame.unionByName, met).groupBy(*self.keys).agg(F.max("n").alias("n")), "met")
         self._write(new, 0)
         self._compact()
         return found
 
     def known(self, batch: DataFrame) -> list[DataFrame]:
-        """(fp): for each run, the fingerprints of the batch that it has."""
-        return [batch.join(self.spark.table(run).select("fp"), "fp", "left_semi").select("fp") for run in self.runs()]
+        """The rows of the batch (one for each key) that a run has, for each run."""
+        return [batch.join(self.spark.table(run).select(*self.keys), self.keys, "left_semi").select(batch.columns) for run in self.runs()]
 
     def _compact(self) -> None:
         level = 0
         while level < len(self.levels):
             runs = self.levels[level]
             if len(runs) >= self.fanout:
-                merged = reduce(DataFrame.unionByName, [self.spark.table(run) for run in runs]).groupBy("fp").agg(F.sum("n").alias("n"))
+                merged = reduce(DataFrame.unionByName, [self.spark.table(run) for run in runs]).groupBy(*self.keys).agg(F.sum("n").alias("n"))
                 self._write(merged, level + 1)
                 self.levels[level] = []
                 for run in runs:
@@ -172,7 +184,7 @@ def _windows(window: int, batches):
             a = Anchors(part, window)
             if not len(a.first):
                 continue
-            whole = signed(grams(a.hashes, window, base=2)[a.first])
+            whole = signed(grams(a.hashes, window, 1)[a.first])
             edges = np.flatnonzero(np.concatenate(([True], np.diff(a.at) != 0)))
             ends = np.append(edges[1:], len(a.at))
             anchor = a.at[edges]
@@ -206,7 +218,7 @@ def _repeats(every_group: bool, batches):
         for x, size in zip(group, n, strict=True):
             mask = sum(1 << int(k) for k in np.flatnonzero(twice[at : at + size]))
             if mask:
-                yield (0, x[1], x[2], x[3], mask, None, None)
+                yield (0, x[1], x[2], x[3], mask, None, None, None)
             at += size
         if every_group or group[0][6] > 1:
             owner = np.repeat(np.arange(len(group)), n)
@@ -215,12 +227,12 @@ def _repeats(every_group: bool, batches):
             firsts[inverse[::-1]] = np.arange(len(every))[::-1]
             for k, i in enumerate(firsts):
                 x = group[owner[i]]
-                yield (1, x[1], x[2], x[3], 1 << int(offset[i]) if counts[k] == 1 else None, int(keys[k]), x[5])
+                yield (1, x[1], x[2], x[3], 1 << int(offset[i]) if counts[k] == 1 else None, int(keys[k]), x[0], x[5])
 
     def out(found: list[tuple]):
-        columns = list(zip(*found, strict=True)) or [[]] * 7
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "doc_id", "text_key", "first", "mask", "hash", "salt"])
+        columns = list(zip(*found, strict=True)) or [[]] * 8
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "doc_id", "text_key", "first", "mask", "fp", "anchor", "salt"])
 
     group: list[tuple] = []
     found: list[tuple] = []
@@ -273,26 +285,37 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
     met = [index.append(anchors.where(F.col("batch") == b).select("fp")) for b in range(batches)]
     if own:
         index.drop()
-    suspects = reduce(DataFrame.unionByName, met).distinct()
-    held = stash(anchors.join(suspects, "fp", "left_semi").select("fp", "doc_id", "text_key", "at"), "held")
+    suspects = stash(reduce(DataFrame.unionByName, met).groupBy("fp").agg(F.sum("n").alias("n")), "suspects")
+    hot = F.broadcast(stash(suspects.orderBy(F.desc("n"), "fp").limit(HOT).select("fp"), "hot"))
+    anchors = anchors.select("fp", "doc_id", "text_key", "at")
+    held = anchors.join(hot, "fp", "left_anti").join(suspects.select("fp"), "fp", "left_semi").unionByName(anchors.join(hot, "fp", "left_semi"))
+    held = stash(held, "held")
     # identical rows hold the same anchors; each of them is joined with the one list
     lists = stash(held.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("anchors")), "lists")
     near, _ = split(docs.select("doc_id", "text_key", "text"), "text_key", bloom_filter(lists, "text_key"))
     same = near["doc_id"].eqNullSafe(lists["doc_id"]) & (near["text_key"] == lists["text_key"])
     rows = near.join(lists, same).select(near["doc_id"], near["text_key"], "text", "anchors").mapInArrow(lambda b: _windows(window, b), "fp long, doc_id long, text_key long, first int, windows array<long>")
-    sizes = held.groupBy("fp").agg(F.ceil(F.count("*") / _GROUP).cast("int").alias("parts"))
-    rows = rows.join(sizes, "fp").select("fp", "doc_id", "text_key", "first", "windows", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "text_key", "first"), F.col("parts"))).otherwise(0).cast("int").alias("salt"), "parts")
-    judged = rows.repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(lambda b: _repeats(not own, b), "kind int, doc_id long, text_key long, first int, mask long, hash long, salt int")
+    # groups over _GROUP are dealt; at most HOT of them are looked up in a broadcast, and no other one holds more than one row in HOT
+    sizes = stash(held.groupBy("fp").agg(F.ceil(F.count("*") / _GROUP).cast("int").alias("parts")).where("parts > 1"), "sizes")
+    largest = F.broadcast(stash(sizes.orderBy(F.desc("parts"), "fp").limit(HOT).select("fp", F.col("parts").alias("most")), "largest"))
+    rows = rows.join(largest, "fp", "left")
+    if sizes.count() > HOT:
+        rows = stash(rows, "rows")
+        rest = rows.where("most is null").join(sizes, "fp", "left").withColumn("most", F.col("parts")).drop("parts")
+        rows = rows.where("most is not null").unionByName(rest)
+    rows = rows.withColumn("parts", F.coalesce("most", F.lit(1)))
+    rows = rows.select("fp", "doc_id", "text_key", "first", "windows", F.pmod(F.xxhash64("doc_id", "text_key", "first"), F.col("parts")).cast("int").alias("salt"), "parts")
+    judged = rows.repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(lambda b: _repeats(not own, b), "kind int, doc_id long, text_key long, first int, mask long, fp long, anchor long, salt int")
     judged = stash(judged, "judged")
-    apart = judged.where("kind = 1")
-    again = apart.groupBy("hash").agg(F.count("*").alias("parts")).where("parts > 1").select("hash")
+    apart, both = judged.where("kind = 1"), ["fp", "anchor"]
+    again = apart.groupBy(*both).agg(F.count("*").alias("parts")).where("parts > 1").select(*both)
     if past is not None:
-        single = stash(apart.where("mask is not null").select(F.col("hash").alias("fp")).distinct(), "single")
-        again = stash(reduce(DataFrame.unionByName, [again.select(F.col("hash").alias("fp")), *past.known(single)]).distinct().select(F.col("fp").alias("hash")), "again")
-        past.append(docs.select("text").mapInArrow(lambda b: _window_hashes(window, b), "fp long"))
-    more = apart.where("mask is not null").join(again, "hash", "left_semi")
+        single = stash(apart.where("mask is not null").select(*both).distinct(), "single")
+        again = stash(reduce(DataFrame.unionByName, [again, *past.known(single)]).distinct(), "again")
+        past.append(docs.select("text").mapInArrow(lambda b: _window_hashes(window, b), "fp long, anchor long"))
+    more = apart.where("mask is not null").join(again, both, "left_semi")
     found = judged.where("kind = 0").select("doc_id", "text_key", "first", "mask").unionByName(more.select("doc_id", "text_key", "first", "mask"))
-    starts = F.expr(f"transform(filter(sequence(0, {window - ANCHOR}), k -> (shiftright(mask, k) & 1) = 1), k -> first + k)")
+    starts = F.expr(f"transform(filter(sequence(0, {window - anchor_words(window)}), k -> (shiftright(mask, k) & 1) = 1), k -> first + k)")
     return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(starts)).alias("starts"))
 
 

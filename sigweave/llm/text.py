@@ -4,14 +4,18 @@ Every function works on a *slice*: the bytes of some whole documents, one after
 their offsets. Slices hold about ``SLICE_BYTES`` of text (one document at least), so memory in a
 task follows the longest document, never the partition.
 
-Hashes are 64-bit: a byte (or word) sequence is a polynomial over random odd-base powers modulo
-2**64 and then mixed. Equal sequences always hash alike, on every machine and in every run.
+Hashes are 64-bit. A word's is a chain over its 8-byte blocks, a run of words is put together from the
+hashes of its halves, and every step multiplies and scrambles, so no pattern of bytes or words (as a
+polynomial would have them) makes different texts hash alike. Equal sequences always hash alike, on
+every machine and in every run. Where a result depends on two texts being equal, operators compare a
+second hash (``checks``) or the words themselves.
 """
 
 from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +23,18 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = [int(x) | 1 for x in _rng.integers(1, 1 << 63, 4, dtype=np.uint64)]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Longer words are hashed one by one; the others block by block, all words at once.
+_LONG_WORD = 64
+_STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_HEAD = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x369DEA0F31A53F85))
+#: Masks that keep the first k bytes of a block.
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 #: Words without ASCII white space; words of digits, a-z and any non-ASCII character.
 NOT_SPACE = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 ALNUM = np.array([0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
-_LOWER_VALUES = _BYTE_VALUES[LOWER]
-
-
 _libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
 
 
@@ -53,26 +56,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base modulo 2**64, and of its inverse."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        odd = _BASES[base]
-        up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
-        up[:], down[:] = np.uint64(odd), np.uint64(pow(odd, -1, 1 << 64))
-        up[0] = down[0] = 1
-        have = _powers[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size > 1 << 24:  # do not keep what one huge document needed
-            _powers.pop(base)
-    return have[0][:n], have[1][:n]
-
-
-def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.empty(len(values) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(values * powers(base, len(values))[0], out=out[1:])
-    return out
+def join(left: np.ndarray, right: np.ndarray, kind: int = 0) -> np.ndarray:
+    """The hash of two runs that follow each other, from their hashes."""
+    return mix(mix(left * _STEP[kind] + _HEAD[kind]) * _STEP[1 - kind] + right)
 
 
 class Slice:
@@ -84,8 +70,9 @@ class Slice:
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, is_word: np.ndarray) -> "Words":
-        return Words(self, is_word)
+    def words(self, is_word: np.ndarray, cuts: np.ndarray | None = None) -> "Words":
+        """is_word: which byte values words are made of. cuts: bytes before which a word ends and another one begins."""
+        return Words(self, is_word, cuts)
 
 
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
@@ -109,41 +96,62 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
 class Words:
     """The words of a slice in order: bytes ``starts`` to ``ends``; document i has words ``at[i]`` to ``at[i + 1]``."""
 
-    def __init__(self, of: Slice, is_word: np.ndarray):
+    def __init__(self, of: Slice, is_word: np.ndarray, cuts: np.ndarray | None = None):
         self.slice = of
         inside = is_word[of.data]
         before, after = np.empty(len(inside), bool), np.empty(len(inside), bool)
         if len(inside):
             before[0], before[1:] = False, inside[:-1]
             after[-1], after[:-1] = False, inside[1:]
-            cuts = of.offsets[1:-1]
-            before[cuts[cuts < len(inside)]] = False
-            after[cuts[cuts > 0] - 1] = False
+            edges = of.offsets[1:-1]
+            before[edges[edges < len(inside)]] = False
+            after[edges[edges > 0] - 1] = False
+            if cuts is not None:
+                before[cuts] = False
+                after[:-1][cuts[1:]] = False
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.at = np.searchsorted(self.starts, of.offsets)
         self.counts = np.diff(self.at)
 
-    def hashes(self, lower: bool) -> np.ndarray:
-        sums = prefix_sums(np.take(_LOWER_VALUES if lower else _BYTE_VALUES, self.slice.data), 0)
-        return mix((sums[self.ends] - sums[self.starts]) * powers(0, len(sums))[1][self.starts])
+    def hashes(self, lower: bool, kind: int = 0) -> np.ndarray:
+        """The hash of each word. kind 1 gives other hashes, independent of those of kind 0."""
+        data = LOWER[self.slice.data] if lower else self.slice.data
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+        size = self.ends - self.starts
+        h = size.astype(np.uint64) * _STEP[kind] + _HEAD[kind]
+        at = np.flatnonzero(size <= _LONG_WORD)
+        done = 0
+        while len(at):
+            left = size[at] - done
+            block = blocks[self.starts[at] + done] & _FIRST_BYTES[np.minimum(left, 8)]
+            h[at] = mix((h[at] ^ block) * _STEP[kind])
+            at, done = at[left > 8], done + 8
+        for i in np.flatnonzero(size > _LONG_WORD).tolist():
+            word = data[self.starts[i] : self.ends[i]]
+            h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"%d" % kind).digest(), "little")
+        return h
 
     def chunk(self, i: int) -> bytes:
         return self.slice.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def spans(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = 1) -> np.ndarray:
-    """The hash of each run hashes[begin[i]:end[i]]."""
-    sums = prefix_sums(hashes, base)
-    return mix((sums[end] - sums[begin]) * powers(base, len(sums))[1][begin])
-
-
-def grams(hashes: np.ndarray, n: int, base: int = 1) -> np.ndarray:
-    """The hash of every run of n; runs over a document's end must be left out by the caller."""
+def grams(hashes: np.ndarray, n: int, kind: int = 0) -> np.ndarray:
+    """The hash of every run of n words; runs over a document's end must be left out by the caller."""
     if len(hashes) < n:
         return np.empty(0, np.uint64)
-    sums = prefix_sums(hashes, base)
-    return mix((sums[n:] - sums[:-n]) * powers(base, len(sums))[1][: len(sums) - n])
+    # runs of 1, 2, 4, ... words; those that make up n are put together from the largest down
+    power, runs = [hashes], 1
+    while 2 * runs <= n:
+        power.append(join(power[-1][: len(power[-1]) - runs], power[-1][runs:], kind))
+        runs *= 2
+    out, length = power[-1], runs
+    for k in range(len(power) - 2, -1, -1):
+        if n >> k & 1:
+            out = join(out[: len(hashes) - length - (1 << k) + 1], power[k][length:], kind)
+            length += 1 << k
+    return out if n > 1 else join(hashes, hashes, kind)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
