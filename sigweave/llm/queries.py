@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from sigweave.llm import chat, decontaminate, language, licenses, ngram_join, packing, quality, sharding, substring_dedup, token_counts
 from sigweave.llm.oracles import SQL
-from sigweave.llm.shared import let_workers_import
+from sigweave.llm.shared import prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    let_workers_import(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.jaccard_classes(table(spark, folder, "documents"), n=5)
+    return ngram_join.jaccard_classes(table(spark, folder, "documents"), n=5).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:

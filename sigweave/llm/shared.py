@@ -24,19 +24,31 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def let_workers_import(spark: SparkSession) -> None:
-    """Python workers on this machine find the package where the driver found it; on a cluster it comes with --py-files or an image."""
+#: Rows that go to a Python worker at once: a batch's texts are held by the JVM and by the worker.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Small batches for Python workers, unless the session asks for others. Workers on this machine find the package where the driver found it; on a
+    cluster it comes with --py-files or an image."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
 
 
+ROW_GROUP_BYTES = 16 << 20
+
+
 def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it again: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    # small row groups: a task that writes holds one of them in memory
+    writer = df.write.option("parquet.block.size", str(ROW_GROUP_BYTES))
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -107,7 +119,7 @@ def without(rows: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
     """The rows whose keys (name: expression over the rows; the first is a long) are not in ``gone`` (columns of those names; nulls are equal).
 
     Only rows that pass a filter made from ``gone`` are shuffled."""
-    own = {name: f"_sigweave_{name}" for name in keys}
+    own = {name: f"_sigweave_{uuid.uuid4().hex}" for name in keys}
     first = next(iter(keys))
     marked = rows.withColumns({own[name]: x for name, x in keys.items()})
     near, clear = split(marked, own[first], bloom_filter(gone.select(F.coalesce(F.col(first), F.lit(0)).alias(first)), first))
