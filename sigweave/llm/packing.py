@@ -37,8 +37,15 @@ END = 2
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+_LETTER = np.array([chr(b).isalpha() for b in range(128)] + [False] * 128)
+#: Marks that may be cut off a word: not those of contractions and special tokens.
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in "'<|>" for b in range(256)])
+
+
 class WordTokenizer:
-    """A tokenizer that drops white space: ids of a text are those of its words, one after the other."""
+    """A tokenizer that drops white space and splits letters from marks: ids of a text are those of its parts, one after the other.
+
+    A cut stands before an ASCII character only, so no accent is parted from its letter."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,16 +54,27 @@ class WordTokenizer:
         self.store = ChunkStore(self._encode)
 
     def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((x for own in ids for x in own), np.int64)
+        sizes, values = [], []
+        for k in range(0, len(chunks), 1000):
+            some = [c.decode() for c in chunks[k : k + 1000]]
+            # a text of chunks between line breaks; each id belongs to the chunk that it begins in
+            found = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            begins = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            sizes.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(some)))
+            values.append(np.array(found.ids, np.int64))
+        return np.concatenate(sizes), np.concatenate(values)
 
     def ids(self, part) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a slice's documents, and where each document's begin and end."""
-        w = part.words(NOT_SPACE)
+        cuts = np.zeros(len(part.data), bool)
+        letter, mark = _LETTER[part.data], _MARK[part.data]
+        cuts[1:] = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+        w = part.words(NOT_SPACE, cuts)
         if not len(w.starts):
             return np.empty(0, np.uint32), np.zeros(part.n + 1, np.int64)
-        values, ends = self.store.values(self.store.rows(w.hashes(lower=False), w.chunk))
-        return values.astype(np.uint32), np.concatenate(([0], ends))[w.at]
+        values, ends = self.store.values(self.store.rows(w.hashes(lower=False), w.hashes(lower=False, kind=1), w.chunk))
+        return values, np.concatenate(([0], ends))[w.at]
 
 
 @lru_cache(maxsize=2)
