@@ -2,12 +2,12 @@
 
 A byte-pair piece never spans the start of a run of spaces or a line break (no piece of the model has
 a space marker after another character, or a line break at all), so the count of a prefix that ends
-between two chunks is count(previous prefix) + tokens(chunk). ``PrefixCounts`` stores that number for
-every chunk boundary of a text; inside one chunk ``chunk_prefixes`` continues the same programme byte
-for byte: the last piece of each prefix is unique, so count[i] = count[i - len(last piece)] + 1, where
-the last piece is the one that follows the last piece before it unchanged. Counts of cuts, budgets and
-truncations are then a look-up of the chunk and the programme inside it; no text is encoded a second
-time. Chunk totals come from the library.
+between two chunks is count(previous prefix) + count(chunk), and inside a chunk the programme goes on character by
+character: the last piece of each prefix is unique, so count[i] = count[i - len(last piece)] + 1, where
+the last piece is the one that follows the last piece before it unchanged. ``chunk_prefixes`` runs it once
+for each distinct chunk, whose counts at all prefixes are stored as differences; ``PrefixCounts`` adds up the
+chunks of a text. Counts of texts, cuts, budgets and truncations are look-ups in these tables; no text is
+encoded. The library only tells whether a string is a piece and whether two pieces that meet stay apart.
 
 Results for odd input: null and empty texts have 0 tokens; texts with a literal space marker are counted
 with spaces in its place, as the library does; repeated rows are counted each by itself; only doc_id and
@@ -45,46 +45,72 @@ class Tokenizer:
             model = f.read()
         self.raw = sentencepiece.SentencePieceProcessor(model_proto=model + _NO_PREFIX)
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.longest = max(len(self.raw.id_to_piece(i)) for i in range(self.raw.get_piece_size()))
-        inner = [p for p in map(self.raw.id_to_piece, range(self.raw.get_piece_size())) if MARK in p.lstrip(MARK) or ("\n" in p and p != "\n")]
+        pieces = [self.raw.id_to_piece(i) for i in range(self.raw.get_piece_size())]
+        inner = [p for p in pieces if MARK in p.lstrip(MARK) or ("\n" in p and p != "\n")]
         if inner:
             raise ValueError(f"pieces of this model span chunks: {inner[:3]}")
-        self.store = ChunkStore(self._encode)
-
-    def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, self.raw.encode([c.decode() for c in chunks], num_threads=1)), np.int64, len(chunks))
-        # a count is the value that is stored; 16 bits at a time, since a chunk may be a whole text
-        return np.full(len(chunks), 2), np.column_stack((sizes & 0xFFFF, sizes >> 16)).reshape(-1)
-
-    def counts(self, hashes: np.ndarray, chunk) -> np.ndarray:
+        self.pieces = {p for p, own in zip(pieces, self.raw.encode(pieces, out_type=str), strict=True) if own == [p]}
+        self.longest = max(map(len, self.pieces))
+        self.apart: dict[tuple[str, str], bool] = {}
+        self.store = ChunkStore(self._steps, np.int16)
+
+    def _steps(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What each character adds to the count of the prefix that it ends (less than nothing where it completes a longer piece)."""
+        texts = [c.decode().replace(" ", MARK) for c in chunks]
+        counts: list[list[int]] = [[]] * len(texts)
+        count, last, before = [0], [""], ""
+        for k in sorted(range(len(texts)), key=texts.__getitem__):
+            # a prefix that the chunk has in common with the one before is not worked out again
+            same = len(os.path.commonprefix((before, texts[k])))
+            del count[same + 1 :], last[same + 1 :]
+            self._extend(texts[k], count, last)
+            counts[k], before = count[:], texts[k]
+        sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+        flat = np.fromiter((x for own in counts for x in own), np.int64, int(sizes.sum()))
+        within = np.ones(len(flat), bool)
+        within[np.cumsum(sizes) - sizes] = False
+        return sizes - 1, (flat - np.concatenate(([0], flat[:-1])))[within]
+
+    def counts(self, hashes: np.ndarray, checks: np.ndarray, chunk) -> np.ndarray:
         if not len(hashes):
             return np.empty(0, np.int64)
-        values, _ = self.store.values(self.store.rows(hashes, chunk))
-        pairs = values.reshape(-1, 2).astype(np.int64)
-        return pairs[:, 0] + (pairs[:, 1] << 16)
+        rows = self.store.rows(hashes, checks, chunk)
+        return self.store.total[rows]
 
-    @lru_cache(maxsize=100_000)  # noqa: B019  one tokenizer a worker
-    def follows(self, before: str, piece: str) -> bool:
-        return self.raw.encode(before + piece, out_type=str) == [before, piece]
+    def prefixes(self, hashes: np.ndarray, checks: np.ndarray, chunk) -> np.ndarray:
+        """The stored counts of one chunk at all its prefixes, from the empty one on."""
+        steps, _ = self.store.values(self.store.rows(hashes, checks, chunk))
+        return np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
 
-    def chunk_prefixes(self, chunk: str) -> list[int]:
-        """Token counts of chunk[:0], chunk[:1], ...: the dynamic programme over prefixes, character by character."""
-        count, last = [0], [""]
-        for i in range(1, len(chunk) + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                piece, before = chunk[i - size : i], last[i - size]
-                if self._is_piece(piece) and (not before or self.follows(before, piece)):
-                    count.append(count[i - size] + 1)
-                    last.append(piece)
-                    break
+    def follows(self, before: str, piece: str) -> bool:
+        """Two pieces that meet stay as they are."""
+        if len(self.apart) > 300_000:
+            self.apart.clear()
+        out = self.apart[before, piece] = self.raw.encode(before + piece, out_type=str) == [before, piece]
+        return out
+
+    def _extend(self, chunk: str, count: list[int], last: list[str]) -> None:
+        """The dynamic programme over prefixes: count and last (the last piece of each prefix) are carried on to the chunk's end."""
+        pieces, apart, longest = self.pieces, self.apart, self.longest
+        for i in range(len(count), len(chunk) + 1):
+            for start in range(i - longest if i > longest else 0, i):
+                piece = chunk[start:i]
+                if piece in pieces:
+                    before = last[start]
+                    meets = not before or apart.get((before, piece))
+                    if meets or (meets is None and self.follows(before, piece)):
+                        count.append(count[start] + 1)
+                        last.append(piece)
+                        break
             else:  # a character outside the vocabulary falls back to bytes and joins nothing
                 count.append(count[i - 1] + len(chunk[i - 1].encode()))
                 last.append("")
-        return count
 
-    @lru_cache(maxsize=100_000)  # noqa: B019
-    def _is_piece(self, piece: str) -> bool:
-        return self.raw.encode(piece, out_type=str) == [piece]
+    def chunk_prefixes(self, chunk: str) -> list[int]:
+        """Token counts of chunk[:0], chunk[:1], ..., chunk."""
+        count = [0]
+        self._extend(chunk, count, [""])
+        return count
 
 
 @lru_cache(maxsize=2)
@@ -106,7 +132,8 @@ class PrefixCounts:
         runs = lambda at: at - 1 - np.maximum(np.where(at > 0, not_space[at - 1], -1), begins[at] - 1) + (np.where(at > 0, not_space[at - 1], -1) < begins[at])
         spaces = runs(w.starts).astype(np.int64)
         hashes = mix(w.hashes(lower=False) + spaces.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        chunk_tokens = tok.counts(hashes, lambda i: b" " * int(spaces[i]) + w.chunk(i))
+        checks = mix(w.hashes(lower=False, kind=1) + spaces.astype(np.uint64))
+        chunk_tokens = tok.counts(hashes, checks, lambda i: b" " * int(spaces[i]) + w.chunk(i))
         # spaces with no chunk behind them stand before a line break or at the end of a text
         breaks = np.flatnonzero(data == 0x0A)
         lens = np.diff(part.offsets)
@@ -116,11 +143,13 @@ class PrefixCounts:
         last = np.where(tails > 0, not_space[tails - 1], -1)
         at_tail = tails - 1 - np.maximum(last, part.offsets[full] - 1) + (last < part.offsets[full])
         alone = np.concatenate((before_break, at_tail))
-        alone_tokens = tok.counts(mix(alone.astype(np.uint64) + np.uint64(1) << np.uint64(40)), lambda i: b" " * int(alone[i]))
+        run_hashes = mix(alone.astype(np.uint64) + np.uint64(1) << np.uint64(40))
+        alone_tokens = tok.counts(run_hashes, mix(run_hashes), lambda i: b" " * int(alone[i]))
         ends = np.concatenate((w.ends, breaks + 1, tails))
         tokens = np.concatenate((chunk_tokens, alone_tokens[: len(breaks)] + 1, alone_tokens[len(breaks) :]))
         order = np.argsort(ends, kind="stable")
         ends, tokens = ends[order], tokens[order]
+        self.keys = [np.concatenate(x)[order] for x in ((hashes, run_hashes), (checks, mix(run_hashes)))]
         self.at = np.searchsorted(ends, part.offsets, side="right")
         self.at[0] = 0
         run = np.concatenate(([0], np.cumsum(tokens)))
@@ -131,22 +160,19 @@ class PrefixCounts:
     def fit(self, i: int, budget: int) -> int:
         """The bytes of the longest prefix of document i, cut between characters, with at most ``budget`` tokens.
 
-        Totals never fall from one chunk boundary to the next, but inside a chunk a longer prefix may have fewer tokens: all of them are
-        looked at, as far as so many tokens can reach."""
+        Totals never fall from one chunk boundary to the next, but inside a chunk a longer prefix may have fewer tokens: all are looked at."""
         own = self.total[self.at[i] : self.at[i + 1]]
         j = int(np.searchsorted(own, budget, side="right"))
         done, left = (int(self.ends[self.at[i] + j - 1]), budget - int(own[j - 1])) if j else (0, budget)
         if j == len(own) or left <= 0:
             return done
-        begin = int(self.part.offsets[i])
-        # no token is longer than tok.longest characters of up to 4 bytes
-        end = begin + min(int(self.ends[self.at[i] + j]), done + 4 * (left + 1) * self.tok.longest)
-        chunk = self.part.data[begin + done : end].tobytes().decode(errors="ignore").replace(" ", MARK)
+        begin, k = int(self.part.offsets[i]), self.at[i] + j
+        chunk = self.part.data[begin + done : begin + self.ends[k]].tobytes().removesuffix(b"\n")
         # the text begins with one more space
         first = int(done == 0)
-        counts = np.array(self.tok.chunk_prefixes(MARK * first + chunk))[first:]
+        counts = self.tok.prefixes(self.keys[0][k : k + 1], self.keys[1][k : k + 1], lambda _: b" " * first + chunk)[first:]
         counts[0] = 0
-        return done + len(chunk[: int(np.flatnonzero(counts <= left)[-1])].replace(MARK, " ").encode())
+        return done + len(chunk.decode()[: int(np.flatnonzero(counts <= left)[-1])].encode())
 
 
 def _counts(path: str, limit: int, batches):
