@@ -13,6 +13,42 @@ def session_metrics(sessions: DataFrame, by: list[str]) -> DataFrame:
     return sessions.groupBy(*by).agg(F.count("*").alias("sessions"), F.avg((F.col("rca_label") == "UNKNOWN").cast("int")).alias("unknown_ratio"), F.avg((~F.col("rca_label").isin("NORMAL_CALL", "UNKNOWN")).cast("int")).alias("abnormal_ratio"), F.avg("confidence_pct").alias("avg_confidence"), F.avg((F.size("protocols") > 1).cast("int")).alias("cross_protocol_ratio"))
 
 
+def _counts(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, a map of each value to how many rows have it)."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "_n")))).alias(name))
+
+
+def case_metrics(sessions: DataFrame, by: list[str], matched: DataFrame | None = None) -> DataFrame:
+    """What the gates of a case look at, in one row for each case.
+
+    sessions: rca_label, methods (an array), priority_score, confidence_pct, dia_correlation, gtp_correlation. matched: by, expected and matched
+    (as match_expected gives them); without it nothing was expected."""
+    fallback = lambda x: F.coalesce(F.lower(x).rlike("time_cluster|time_only"), F.lit(False))
+    kind = lambda prefix: F.exists("methods", lambda m: m.startswith(prefix))
+    rows = sessions.withColumn("rca_label", F.upper(F.coalesce("rca_label", F.lit("UNKNOWN")))).withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
+    abnormal = F.col("rca_label") != "NORMAL_CALL"
+    facts = rows.groupBy(*by).agg(
+        F.count("*").alias("sessions"), F.count_if(F.col("rca_label") == "UNKNOWN").alias("unknown"), F.count_if(abnormal).alias("abnormal"),
+        F.coalesce(F.max("priority_score"), F.lit(0.0)).alias("top_priority"), F.coalesce(F.avg("priority_score"), F.lit(0.0)).alias("avg_priority"), F.coalesce(F.avg(F.when(abnormal, F.col("priority_score"))), F.lit(0.0)).alias("abnormal_priority"),
+        F.coalesce(F.avg("confidence_pct"), F.lit(0.0)).alias("avg_confidence"), F.count_if(kind("identity:")).alias("identity_sessions"), F.count_if(kind("state:")).alias("stateful_sessions"),
+        F.count_if(F.exists("methods", fallback) | fallback(F.col("dia_correlation")) | fallback(F.col("gtp_correlation"))).alias("time_fallback_sessions"), F.avg(F.size("methods")).alias("avg_methods"),
+    )
+    labels = _counts(rows, by, "rca_label", "label_counts")
+    methods = _counts(rows.select(*by, F.explode(F.array_distinct("methods")).alias("method")), by, "method", "method_counts")
+    out = facts.join(labels, by).join(methods, by, "left")
+    top = F.array_sort(F.transform(F.map_entries("label_counts"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("label"))))
+    out = out.withColumn("top_label", top[0]["label"]).withColumn("unknown_ratio", F.col("unknown") / F.col("sessions"))
+    if matched is None:
+        out = out.withColumns({"expected": F.lit(0), "matched": F.lit(0)})
+    else:
+        out = out.join(matched, by, "left").withColumns({"expected": F.coalesce("expected", F.lit(0)), "matched": F.coalesce("matched", F.lit(0))})
+    asked = F.col("expected") > 0
+    precision, recall = F.when(asked, F.col("matched") / F.col("sessions")).otherwise(0.0), F.when(asked, F.col("matched") / F.col("expected")).otherwise(0.0)
+    out = out.withColumns({"precision": precision, "recall": recall, "unexpected": F.when(asked, F.greatest(F.col("sessions") - F.col("matched"), F.lit(0))).otherwise(0)})
+    return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
 def distribution(rows: DataFrame, column: str) -> DataFrame:
     """(key, share) of a column's values."""
     counts = rows.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
@@ -58,7 +94,7 @@ def session_matches(session: str, expected: str) -> Column:
     """Label equal, and the required protocols, technologies and methods all there."""
     s, e = F.col(session), F.col(expected)
     subset = lambda c: F.coalesce(F.size(F.array_except(e[c], s[c])) == 0, F.lit(True))
-    return F.coalesce(s["rca_label"] == e["rca_label"], F.lit(True)) & subset("protocols") & subset("technologies")
+    return F.coalesce(s["rca_label"] == e["rca_label"], F.lit(True)) & subset("protocols") & subset("technologies") & subset("methods")
 
 
 def match_expected(sessions: DataFrame, expected: DataFrame, case: str = "case") -> DataFrame:
@@ -71,19 +107,44 @@ def match_expected(sessions: DataFrame, expected: DataFrame, case: str = "case")
     return lists.select(case, F.size("wants").alias("expected"), F.size(taken).alias("matched"))
 
 
+#: A case's limit: (what the reason says, metric, limit, is the limit a least value).
+LIMITS = [
+    ("too few sessions", "sessions", "min_sessions", True), ("too many unknown", "unknown", "max_unknown", False), ("unknown ratio too high", "unknown_ratio", "max_unknown_ratio", False), ("confidence too low", "avg_confidence", "min_confidence", True),
+    ("too few by identity", "identity_sessions", "min_identity_sessions", True), ("too few by state", "stateful_sessions", "min_stateful_sessions", True), ("too many by time alone", "time_fallback_sessions", "max_time_fallback_sessions", False),
+    ("precision too low", "precision", "min_precision", True), ("recall too low", "recall", "min_recall", True), ("f1 too low", "f1", "min_f1", True), ("too many unexpected", "unexpected", "max_unexpected", False),
+]
+
+
+def _fewer(counts: str):
+    return lambda e: F.coalesce(F.try_element_at(counts, e["key"]), F.lit(0)) < e["value"]
+
+
+def _says(word: str):
+    return lambda e: F.concat(F.lit(f"too few of {word} "), e["key"])
+
+
 def case_gate(metrics: DataFrame, cases: DataFrame) -> DataFrame:
-    """Each case with passed and reasons. cases: min_sessions, max_unknown_ratio, min_confidence, dominant_label (nulls set no limit)."""
+    """Each case with missing, passed and reasons. cases: case, dominant_label, required_labels and required_methods (maps to least counts), and the
+    limits of LIMITS; a column that is not there, or null, sets no limit. A case without sessions is missing and fails."""
     both = cases.join(metrics, "case", "left")
-    tests = [
-        (F.col("sessions").isNull(), "no sessions"), (F.col("sessions") < F.col("min_sessions"), "too few sessions"), (F.col("unknown_ratio") > F.col("max_unknown_ratio"), "too many unknown"),
-        (F.col("avg_confidence") < F.col("min_confidence"), "confidence too low"), (F.col("top_label") != F.col("dominant_label"), "other dominant label"),
-    ]
-    reasons = F.array_compact(F.array(*[F.when(t, r) for t, r in tests]))
-    return both.select("case", F.size(reasons).cast("int").alias("failed_checks"), (F.size(reasons) == 0).alias("passed"), F.array_join(reasons, "; ").alias("reasons"))
+    here = F.col("sessions").isNotNull()
+    tests = [F.when(~here, F.lit("no sessions"))]
+    for says, metric, limit, least in LIMITS:
+        if limit in cases.columns:
+            tests.append(F.when(here & (F.col(metric) < F.col(limit) if least else F.col(metric) > F.col(limit)), F.lit(says)))
+    if "dominant_label" in cases.columns:
+        tests.append(F.when(here & (F.upper("top_label") != F.upper("dominant_label")), F.lit("other dominant label")))
+    reasons = F.array_compact(F.array(*tests))
+    for wanted, counts, word in (("required_labels", "label_counts", "label"), ("required_methods", "method_counts", "method")):
+        if wanted in cases.columns:
+            named = F.transform(F.array_sort(F.filter(F.map_entries(wanted), _fewer(counts))), _says(word))
+            reasons = F.concat(reasons, F.when(here, F.coalesce(named, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    return both.select("case", (~here).alias("missing"), F.size(reasons).cast("int").alias("failed_checks"), (F.size(reasons) == 0).alias("passed"), F.array_join(reasons, "; ").alias("reasons"))
 
 
 def suite(gated: DataFrame) -> DataFrame:
-    return gated.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count("*").alias("cases"), F.avg(F.col("passed").cast("int")).alias("pass_rate"))
+    """One row: how many cases passed, failed and had no sessions, and the share that passed."""
+    return gated.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if("missing").alias("missing"), F.count("*").alias("cases"), F.avg(F.col("passed").cast("int")).alias("pass_rate"))
 
 
 def promotion_gate(current: DataFrame, candidate: DataFrame) -> DataFrame:

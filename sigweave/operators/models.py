@@ -21,9 +21,12 @@ def training_rows(rows: DataFrame, label: str = "rca_label") -> DataFrame:
 
 def with_noise(rows: DataFrame, label: str, share: float = 0.05, seed: int = 42) -> DataFrame:
     """The numeric label moved to another class in a share of the rows."""
-    classes = rows.agg(F.max(label)).first()[0] + 1
-    moved = (F.col(label) + 1 + F.floor(F.rand(seed) * (classes - 1))) % classes
-    return rows.withColumn(label, F.when((F.rand(seed + 1) < share) & (F.lit(classes) > 1), moved).otherwise(F.col(label)))
+    columns = rows.columns
+    classes = rows.agg((F.max(label) + 1).alias("_classes"))
+    # drawn from the row itself, so that a task that runs again moves the same rows
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), *columns), F.lit(1_000_000))
+    moved = F.pmod(F.col(label) + 1 + F.pmod(draw(0), F.greatest(F.col("_classes") - 1, F.lit(1))), F.col("_classes")).cast(rows.schema[label].dataType)
+    return rows.join(F.broadcast(classes)).withColumn(label, F.when((draw(1) < share * 1_000_000) & (F.col("_classes") > 1), moved).otherwise(F.col(label))).drop("_classes")
 
 
 def group_split(rows: DataFrame, group: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:

@@ -23,14 +23,15 @@ def gap_seconds(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
     return F.coalesce(F.greatest(a_start - b_end, b_start - a_end, F.lit(0.0)) + 0 * (a_start + a_end + b_start + b_end), F.lit(float("inf")))
 
 
-def blocked_pairs(sessions: DataFrame, tokens: DataFrame, window: float, hot: int = 200) -> DataFrame:
-    """(capture_id, a, b, kind, n): how many tokens of a kind each pair of sessions shares. sessions: start_ts, end_ts."""
+def blocked_pairs(sessions: DataFrame, tokens: DataFrame, reach: float, hot: int = 200) -> DataFrame:
+    """(capture_id, a, b, kind, n): how many tokens of a kind each pair of sessions shares. sessions: start_ts, end_ts.
+
+    reach: the largest gap in seconds at which the caller's rule still counts addresses; pairs that are nearer are never lost."""
     timed = tokens.where("kind != 'technology'").join(sessions.select("capture_id", "session_id", "start_ts", "end_ts"), ["capture_id", "session_id"])
     common = tokens.where("kind in ('ip', 'pair')").groupBy("capture_id", "kind", "token").agg(F.count("*").alias("sharers")).where(F.col("sharers") > hot)
     timed = timed.join(common, ["capture_id", "kind", "token"], "left")
-    reach = max(2.0, 2 * window)
     bucket = lambda x: F.floor(x / reach)
-    spans = F.when(F.col("sharers").isNotNull(), F.sequence(bucket(F.col("start_ts")), bucket(F.col("end_ts") + reach))).otherwise(F.array(F.lit(None).cast("bigint")))
+    spans = F.when(F.col("sharers").isNotNull(), F.sequence(bucket(F.col("start_ts") - reach), bucket(F.col("end_ts")))).otherwise(F.array(F.lit(None).cast("bigint")))
     rows = timed.withColumn("bucket", F.explode(spans)).select("capture_id", "kind", "token", "bucket", "session_id").withColumn("bucket", F.coalesce("bucket", F.lit(-1)))
     other = rows.withColumnRenamed("session_id", "b")
     pairs = rows.withColumnRenamed("session_id", "a").join(other, ["capture_id", "kind", "token", "bucket"]).where("a < b")
@@ -67,7 +68,7 @@ def continuations(sessions: DataFrame, tokens: DataFrame, window: float) -> Data
 
 def score_pairs(sessions: DataFrame, tokens: DataFrame, window: float = 5.0, links: DataFrame | None = None, hot: int = 200) -> DataFrame:
     """(capture_id, a, b, score) of every pair that shares a token. sessions: start_ts, end_ts, protocols, technologies, imsi."""
-    counts = blocked_pairs(sessions, tokens, window, hot).groupBy("capture_id", "a", "b").pivot("kind", ["id", "subscriber_ip", "tunnel", "access", "subscriber_id", "stream", "pair", "ip"]).agg(F.max("n")).na.fill(0)
+    counts = blocked_pairs(sessions, tokens, max(2.0, 2 * window), hot).groupBy("capture_id", "a", "b").pivot("kind", ["id", "subscriber_ip", "tunnel", "access", "subscriber_id", "stream", "pair", "ip"]).agg(F.max("n")).na.fill(0)
     if links is None:
         links = continuations(sessions, tokens, window)
     marks = links.groupBy("capture_id", "a", "b").agg(F.max(F.when(F.col("method") == "teid_continuation", TEID_CONTINUATION).otherwise(ACCESS_CONTINUATION)).alias("state"))
@@ -82,12 +83,13 @@ def score_pairs(sessions: DataFrame, tokens: DataFrame, window: float = 5.0, lin
     return pairs.select("capture_id", "a", "b", F.when(F.col("id") > 0, SAME_ID).when(conflict, 0).otherwise(total).alias("score"))
 
 
-def attach_orphans(sessions: DataFrame, tokens: DataFrame, window: float = 5.0) -> DataFrame:
+def attach_orphans(sessions: DataFrame, tokens: DataFrame, window: float = 5.0, hot: int = 200) -> DataFrame:
     """(capture_id, session_id, host, score): transport-only sessions and the session that they belong to."""
     only_transport = (F.size("protocols") > 0) & (F.size(F.array_except("protocols", F.array(*map(F.lit, TRANSPORT)))) == 0)
-    counts = blocked_pairs(sessions, tokens.where("kind in ('stream', 'pair', 'ip')"), 1.5 * window).groupBy("capture_id", "a", "b").pivot("kind", ["stream", "pair", "ip"]).agg(F.max("n")).na.fill(0)
+    reach = max(3.0, 3 * window)
+    counts = blocked_pairs(sessions, tokens.where("kind in ('stream', 'pair', 'ip')"), reach, hot).groupBy("capture_id", "a", "b").pivot("kind", ["stream", "pair", "ip"]).agg(F.max("n")).na.fill(0)
     both = sides(counts, sessions.withColumn("orphan", only_transport), ["orphan", "start_ts", "end_ts", "technologies"]).where("a_orphan != b_orphan")
-    near = gap_seconds(F.col("a_start_ts"), F.col("a_end_ts"), F.col("b_start_ts"), F.col("b_end_ts")) <= max(3.0, 3 * window)
+    near = gap_seconds(F.col("a_start_ts"), F.col("a_end_ts"), F.col("b_start_ts"), F.col("b_end_ts")) <= reach
     score = F.when(F.col("stream") > 0, 90).otherwise(0) + F.when(F.col("pair") > 0, 70).when(F.col("ip") >= 2, 60).when(F.col("ip") > 0, 40).otherwise(0) + F.when(F.arrays_overlap("a_technologies", "b_technologies"), 10).otherwise(0)
     rows = both.where(near).select("capture_id", F.when(F.col("a_orphan"), F.col("a")).otherwise(F.col("b")).alias("session_id"), F.when(F.col("a_orphan"), F.col("b")).otherwise(F.col("a")).alias("host"), score.alias("score"))
     best = Window.partitionBy("capture_id", "session_id").orderBy(F.desc("score"), "host")

@@ -11,12 +11,14 @@ DIMENSIONS = 48
 
 
 def hops(messages: DataFrame, keys: list[str], slow_ms: float = 2000.0) -> DataFrame:
-    """(keys, cross_protocol_hops, timer_anomaly_count, sequence): changes of protocol, slow gaps, and the first 40 PROTOCOL:message tokens."""
+    """(keys, cross_protocol_hops, timer_anomaly_count, sequence, timer_anomalies): changes of protocol, slow gaps, the first 40 PROTOCOL:message tokens,
+    and slow_gap:PROTOCOL:message of the first 10 messages behind a slow gap."""
     w = Window.partitionBy(*keys).orderBy(F.coalesce("ts", F.lit(0)), "frame_number")
     rows = messages.withColumn("before", F.lag("protocol").over(w)).withColumn("gap_ms", (F.col("ts") - F.lag("ts").over(w)) * 1000).withColumn("seq", F.row_number().over(w))
+    rows = rows.withColumn("slow", F.when(F.col("gap_ms") >= slow_ms, F.sum(F.when(F.col("gap_ms") >= slow_ms, 1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     token = F.concat_ws(":", "protocol", F.coalesce("message", F.lit("EVENT")))
     first = F.array_sort(F.collect_list(F.when(F.col("seq") <= 40, F.struct("seq", token.alias("token")))))
-    return rows.groupBy(*keys).agg(F.count_if(F.col("before") != F.col("protocol")).alias("cross_protocol_hops"), F.count_if(F.col("gap_ms") >= slow_ms).alias("timer_anomaly_count"), F.transform(first, lambda x: x["token"]).alias("sequence"))
+    return rows.groupBy(*keys).agg(F.count_if(F.col("before") != F.col("protocol")).alias("cross_protocol_hops"), F.count_if(F.col("gap_ms") >= slow_ms).alias("timer_anomaly_count"), F.transform(first, lambda x: x["token"]).alias("sequence"), F.transform(F.array_sort(F.collect_list(F.when(F.col("slow") <= 10, F.struct("seq", F.concat(F.lit("slow_gap:"), token).alias("token"))))), lambda x: x["token"]).alias("timer_anomalies"))
 
 
 def transitions(messages: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,7 +109,7 @@ def confidence_band(pct: Column) -> Column:
 def embedding(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, embedding): a signed hashing vector of the session's tokens and seven numbers, of length 1."""
     named = lambda prefix, x: F.transform(x, lambda v: F.concat(F.lit(prefix), v))
-    tokens = F.concat(named("proto:", F.col("protocols")), named("tech:", F.col("technologies")), named("seq:", F.slice("sequence", 1, 20)), F.array(F.concat(F.lit("rca:"), "rca_label")))
+    tokens = F.concat(named("proto:", F.col("protocols")), named("tech:", F.col("technologies")), named("seq:", F.slice("sequence", 1, 20)), F.array(F.concat(F.lit("rca:"), "rca_label"), F.concat(F.lit("fail:"), F.coalesce("signature", F.lit("unknown")))), named("timer:", F.coalesce("timer_anomalies", F.array().cast("array<string>"))))
     exploded = rows.select(*keys, F.explode(tokens).alias("token")).withColumn("h", F.sha2(F.encode("token", "UTF-8"), 256))
     byte = lambda i: F.conv(F.substring("h", 2 * i + 1, 2), 16, 10).cast("int")
     hashed = exploded.select(*keys, (byte(0) % DIMENSIONS).alias("slot"), (F.when(byte(1) % 2 == 0, 1.0).otherwise(-1.0) * (1 + byte(2) / 255)).alias("value"))

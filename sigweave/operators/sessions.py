@@ -12,6 +12,8 @@ KEY = ["capture_id", "session_id"]
 FAMILY_RANK = {"SIP": 0, "DIAMETER": 1, "INAP": 2, "GTP": 3}
 TRANSPORT = ["TCP", "UDP", "SCTP"]
 GTP_OR_GENERIC = 4
+# Messages of transport protocols that tell nothing by themselves.
+BENIGN = ["UDP", "TCP", "DATA", "INIT", "ABORT", "SACK", "HEARTBEAT", "HEARTBEAT_ACK"]
 
 
 def family_rank() -> Column:
@@ -130,15 +132,15 @@ def low_value(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
         F.collect_set("protocol").alias("protocols"), F.count("*").alias("n"), F.bool_or(F.coalesce("imsi", "msisdn", "supi").isNotNull()).alias("known"),
         F.collect_set(text).alias("texts"), F.coalesce(F.bool_and(F.when(p == "ICMP", F.coalesce(F.col("icmp_type").isin("134", "135"), F.lit(False)))), F.lit(True)).alias("router_only"),
         F.bool_and(F.coalesce("reset", F.lit(False))).alias("resets"), F.bool_and((F.coalesce("src_ip", F.lit("")) == "127.0.0.1") & (F.coalesce("dst_ip", F.lit("")) == "127.0.0.1")).alias("loopback"),
-        F.bool_or(F.coalesce("is_failure", F.lit(False))).alias("failed"), F.bool_or(F.col("cause_code").isNotNull() | (F.size("teids") > 0) | (F.size("subscriber_ips") > 0)).alias("bearer"),
+        F.bool_or(F.col("cause_code").isNotNull() | (F.size("teids") > 0) | (F.size("subscriber_ips") > 0)).alias("bearer"),
     )
     only = lambda *names: F.size(F.array_except("protocols", F.array(*map(F.lit, names)))) == 0
     within = lambda *names: F.size(F.array_except("texts", F.array(*map(F.lit, names)))) == 0
     transport = ~F.col("known") & only("TCP", "UDP", "SCTP", "ICMP") & (
         (only("SCTP") & (within("INIT", "ABORT") | within("HEARTBEAT", "HEARTBEAT_ACK") | within("DATA")))
         | (only("ICMP", "UDP") & F.col("router_only"))
-        | (only("TCP") & ((within("TCP") & F.col("resets")) | F.col("loopback")))
-        | ((F.col("n") <= 4) & ~F.col("failed"))
+        | (only("TCP") & within("TCP") & (F.col("resets") | F.col("loopback")))
+        | ((F.col("n") <= 4) & within(*BENIGN))
     )
     probe = ~F.col("known") & only("GTP") & (F.col("n") <= 6) & within("GTP") & ~F.coalesce("bearer", F.lit(False))
     return facts.where(transport | probe).select(*keys)

@@ -120,3 +120,14 @@ def related_imsi(parties: DataFrame, diameter: DataFrame, mobile: DataFrame) ->
     suffix = mobile.where("msisdn is not null and imsi is not null").groupBy("capture_id", F.right(fields.digits("msisdn"), F.lit(8)).alias("tail")).agg(F.min_by("imsi", "frame_number").alias("by_suffix"))
     both = parties.join(exact, ["capture_id", "number"], "left").withColumn("tail", F.right("number", F.lit(8))).join(suffix, ["capture_id", "tail"], "left")
     return both.withColumn("imsi", F.coalesce("exact", "by_suffix")).drop("exact", "by_suffix", "tail")
+
+
+def latest_before(events: DataFrame, known: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """As-of: each event with the value of the latest known row of its keys at or before its time (null if there is none).
+
+    One shuffle of both sides on the keys and one running window, no join; of known rows with one time the largest value counts."""
+    sides = events.withColumn("_value", F.lit(None).cast(known.schema[value].dataType)).withColumn("_side", F.lit(1))
+    facts = known.select(*keys, at, F.col(value).alias("_value")).withColumn("_side", F.lit(0))
+    w = Window.partitionBy(*keys).orderBy(at, "_side", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = sides.unionByName(facts, allowMissingColumns=True).withColumn(value, F.last("_value", ignorenulls=True).over(w))
+    return both.where("_side = 1").select(*events.columns, value)

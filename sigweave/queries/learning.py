@@ -74,6 +74,16 @@ def audit(s, d):
     return L.audit(p, v, _queue(s, d))
 
 
+def reconciliation(s, d):
+    """What a vector store of every other vector, and of some that no pattern has, lacks and keeps."""
+    v = _vectors(s, d)
+    patterns = v.select(F.col("vec_id").alias("pattern_id"), F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"))
+    stored = v.select(F.when(F.col("vec_id") % 5 == 0, F.col("vec_id") + 10_000_000).otherwise(F.col("vec_id")).alias("id"), "embedding").where("id % 2 = 0")
+    kept, stale, missing = L.reconcile(patterns, stored)
+    parts = [df.select(F.lit(name).alias("state"), "id") for name, df in (("kept", kept), ("stale", stale), ("missing", missing))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def knowledge_metrics(s, d):
     return L.metrics(_patterns(s, d).withColumn("status", F.lit("candidate")), _queue(s, d))
 
@@ -99,6 +109,7 @@ QUERIES = [
     ("k04_pending_queue", lambda s, d: L.pending_list(_queue(s, d)).select("validation_id", "confidence", "similarity"), f"WITH {_QUEUE_SQL} SELECT validation_id, confidence, similarity FROM q WHERE validation_status = 'pending_review' ORDER BY confidence, similarity, validation_id LIMIT 8"),
     ("a38_merged_queue", merged_queue, f"WITH {_QUEUE_SQL} SELECT pattern_id, max(validation_id) AS validation_id, arg_max(validation_status, updated_at) AS validation_status FROM q GROUP BY 1"),
     ("a40_store_audit", audit, f"WITH {PATTERNS_SQL}, {_QUEUE_SQL}, x AS (SELECT (SELECT count(*) FROM pt WHERE occurrence_count <= 2) AS mv, (SELECT count(*) FROM (SELECT pattern_id FROM q WHERE validation_status = 'pending_review' GROUP BY 1 HAVING count(*) > 1)) AS dp) SELECT 'duplicate_pattern_ids' AS \"check\", 0 AS n UNION ALL SELECT 'orphan_vectors', 0 UNION ALL SELECT 'missing_vectors', mv FROM x UNION ALL SELECT 'mixed_dimensions', 0 UNION ALL SELECT 'duplicate_pending', dp FROM x"),
+    ("j26_reconciliation", reconciliation, "WITH x AS (SELECT vec_id AS id, vec_id % 7 <> 0 AS own FROM embeddings), st AS (SELECT CASE WHEN vec_id % 5 = 0 THEN vec_id + 10000000 ELSE vec_id END AS id FROM embeddings), s AS (SELECT id FROM st WHERE id % 2 = 0) SELECT 'kept' AS state, id FROM x WHERE id IN (SELECT id FROM s) OR own UNION ALL SELECT 'stale', id FROM s WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT 'missing', id FROM x WHERE id NOT IN (SELECT id FROM s)"),
     ("a37_knowledge_metrics", knowledge_metrics, f"WITH {PATTERNS_SQL}, {_QUEUE_SQL} SELECT (SELECT count(*) FROM pt) AS patterns, 0 AS validated, (SELECT CAST(sum(occurrence_count) AS BIGINT) FROM pt) AS occurrences, count(*) FILTER (validation_status = 'pending_review') AS pending, count(*) FILTER (validation_status = 'approved') AS approved, count(*) FILTER (validation_status = 'rejected') AS rejected FROM q"),
     ("m35_compaction", compaction, None),
 ]

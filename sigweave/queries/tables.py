@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigweave.functions import fields
+from sigweave.operators import learning, models
 from sigweave.operators.analytics import top_k
+from sigweave.plans.testviews import MESSAGES_SQL
 
 
 def _t(s, d, n):
@@ -24,13 +26,13 @@ def customer_activity(s, d):
 
 def first_order_join(s, d):
     """As-of: for every line item shipped, the customer's latest order before that date."""
+    from sigweave.operators.strategies import latest_before
+
     orders = _t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = _t(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
-    events = lines.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").select("o_custkey", F.col("l_shipdate").alias("at"), F.col("o_orderkey").alias("line_order"), F.lit(None).cast("long").alias("order_seen"), F.lit(1).alias("side"))
-    known = orders.select("o_custkey", F.col("o_orderdate").alias("at"), F.lit(None).cast("long").alias("line_order"), F.col("o_orderkey").alias("order_seen"), F.lit(0).alias("side"))
-    w = Window.partitionBy("o_custkey").orderBy("at", "side", "order_seen").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = events.unionByName(known).withColumn("latest", F.last("order_seen", ignorenulls=True).over(w))
-    return both.where("side = 1").select("line_order", "latest")
+    lines = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_shipdate").alias("at"))
+    events = lines.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    known = orders.select("o_custkey", F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("latest"))
+    return latest_before(events, known, ["o_custkey"], "at", "latest").select(F.col("o_orderkey").alias("line_order"), "l_linenumber", "latest")
 
 
 def page_identities(s, d):
@@ -43,7 +45,7 @@ def page_identities(s, d):
 def document_addresses(s, d):
     """Addresses and long numbers in documents."""
     docs = _t(s, d, "documents")
-    return docs.select("doc_id", F.nullif(F.regexp_extract("text", fields.IPV4, 1), F.lit("")).alias("ip"), fields.long_number("text").alias("number"))
+    return docs.select("doc_id", fields.first_ip("text").alias("ip"), fields.long_number("text").alias("number"))
 
 
 def conversation_flow(s, d):
@@ -62,8 +64,10 @@ def top_suppliers(s, d):
 def group_split(s, d):
     """A group-aware split of labelled documents by source, and the classes of either side."""
     rows = _t(s, d, "labels").join(_t(s, d, "documents").select("doc_id", "source"), "doc_id")
-    bucket = F.crc32(F.encode("source", "UTF-8")) % 5
-    return rows.withColumn("side", F.when(bucket == 0, "test").otherwise("train")).groupBy("side", "quality").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+    train, test = models.group_split(rows, "source")
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    split = sides.groupBy("source").agg(F.count_distinct("side").alias("sides"), F.count("*").alias("n"))
+    return split.agg(F.max("sides").alias("sides_of_a_source"), F.sum("n").alias("n"), F.count("*").alias("sources"))
 
 
 def address_ranges(s, d):
@@ -77,17 +81,17 @@ def changed_rows(s, d):
     """Lines of the second half of the orders that are not in the first, as a set difference."""
     rows = _t(s, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
     late = _t(s, d, "orders").where("o_orderkey % 2 = 1").select("o_custkey", "o_orderstatus", "o_orderpriority")
-    return rows.exceptAll(late)
+    return learning.changed_rows(late, rows)
 
 
 QUERIES = [
     ("w01_customer_periods", customer_activity, "WITH x AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate) AS ts, o_totalprice FROM orders), y AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY o_custkey ORDER BY ts, o_orderkey) > 7776000 THEN 1 ELSE 0 END AS cut FROM x), z AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY o_custkey ORDER BY ts, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM y) SELECT o_custkey, segment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM z GROUP BY 1, 2"),
-    ("j19_latest_order", first_order_join, "SELECT l_orderkey AS line_order, (SELECT arg_max(p.o_orderkey, (p.o_orderdate, p.o_orderkey)) FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate <= l_shipdate) AS latest FROM lineitem JOIN orders o ON o.o_orderkey = l_orderkey WHERE l_linenumber = 1"),
+    ("j19_latest_order", first_order_join, "SELECT l_orderkey AS line_order, l_linenumber, (SELECT arg_max(p.o_orderkey, (p.o_orderdate, p.o_orderkey)) FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate <= l_shipdate) AS latest FROM lineitem JOIN orders o ON o.o_orderkey = l_orderkey"),
     ("p46_page_identities", page_identities, "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug, length(coalesce(html, '')) AS chars, CASE WHEN length(coalesce(html, '')) < 1024 THEN printf('%.0f B', length(coalesce(html, ''))::DOUBLE) WHEN length(coalesce(html, '')) < 1048576 THEN printf('%.1f KB', length(coalesce(html, '')) / 1024) ELSE printf('%.1f MB', length(coalesce(html, '')) / 1048576) END AS size FROM pages"),
     ("p29_document_addresses", document_addresses, r"SELECT doc_id, nullif(regexp_extract(text, '\b(\d{1,3}(?:\.\d{1,3}){3})\b', 1), '') AS ip, nullif(regexp_extract(text, '(\d{8,15})', 1), '') AS number FROM documents"),
     ("w10_conversation_flow", conversation_flow, "WITH x AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations) SELECT conv_id, count(*) AS turns, count(*) FILTER (before <> role) AS hops, CAST(sum(length(text)) AS BIGINT) AS chars FROM x GROUP BY 1"),
     ("k08_top_suppliers", top_suppliers, "WITH x AS (SELECT l_suppkey, s_nationkey, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) SELECT l_suppkey, revenue, s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC, l_suppkey) AS r FROM x) WHERE r <= 3"),
-    ("m21_group_split", group_split, None),
-    ("p36_addresses", address_ranges, None),
+    ("m21_group_split", group_split, "SELECT 1 AS sides_of_a_source, CAST(sum(n) AS BIGINT) AS n, count(*) AS sources FROM (SELECT source, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)"),
+    ("p36_addresses", address_ranges, f"WITH {MESSAGES_SQL} SELECT frame_number, substr(src_ip, 1, 5) = '10.0.' AS inside, 172::BIGINT * 16777216 + 16 * 65536 + CAST(split_part(dst_ip, '.', 4) AS BIGINT) AS number, 'IMS' AS dst_class, split_part(src_ip, '.', 1) || '.' || split_part(src_ip, '.', 2) || '.x.x' AS masked, '4:' || split_part(src_ip, '.', 3) || '.' || split_part(src_ip, '.', 4) AS similar FROM m"),
     ("u05_changed_rows", changed_rows, "SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders EXCEPT ALL SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1"),
 ]

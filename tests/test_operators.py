@@ -174,3 +174,54 @@ def test_nearest_searches_all_blocks(spark, monkeypatch):
     want = search()
     monkeypatch.setattr(learning, "BROADCAST_PATTERNS", 15)
     assert len(want) == 20 and search() == want
+
+
+def test_orphans_find_their_host_among_many_sharers(spark):
+    from sigweave.operators import pairs
+
+    def attached(others):
+        rows = [("c", "host", 0.0, 1.0, ["SIP"]), ("c", "orphan", 4.0, 5.0, ["TCP"])] + [("c", f"other{i}", 1000.0 + 10 * i, 1001.0 + 10 * i, ["SIP"]) for i in range(others)]
+        sessions = spark.createDataFrame([(*r, ["IMS"]) for r in rows], "capture_id string, session_id string, start_ts double, end_ts double, protocols array<string>, technologies array<string>")
+        tokens = sessions.selectExpr("capture_id", "session_id", "'pair' as kind", "'a|b' as token")
+        return {(r["session_id"], r["host"]) for r in pairs.attach_orphans(sessions, tokens, window=0.5, hot=5).collect()}
+
+    assert attached(0) == attached(20) == {("orphan", "host")}
+
+
+def test_benign_messages_are_low_value(spark):
+    from sigweave.operators import sessions
+    from sigweave.schemas import conform
+
+    def low(texts, ips=("10.0.0.1", "10.0.0.2")):
+        rows = spark.createDataFrame([("c", "s", "TCP", t, *ips, i) for i, t in enumerate(texts)], "capture_id string, session_id string, protocol string, message string, src_ip string, dst_ip string, frame_number long")
+        return sessions.low_value(conform(rows).withColumn("session_id", F.lit("s"))).count() == 1
+
+    assert low(["TCP", "TCP"]) and not low(["TCP", "TLS ALERT"]) and not low(["TCP"] * 5)
+    assert low(["TCP"] * 5, ("127.0.0.1", "127.0.0.1")) and not low(["TLS ALERT"] * 5, ("127.0.0.1", "127.0.0.1"))
+
+
+def test_identities_in_payloads(spark):
+    from sigweave.functions import fields
+
+    lit = F.lit
+    texts = {
+        '{"supiOrSuci": "262011234567890"}': ("imsi-262011234567890", None, None),
+        "/nudm-uecm/v1/imsi-262011234567890/registrations?x=1": ("imsi-262011234567890", None, None),
+        "imsi-12345 supi=nai-x": (None, None, None),
+        '{"ueId":"suci-0-262-01-0-0-0-1234","gpsi":"msisdn-491701234567"}': (None, "suci-0-262-01-0-0-0-1234", "msisdn-491701234567"),
+        "tel:+491701234567;phone-context=x": (None, None, "msisdn-491701234567"),
+        "msisdn 12345": (None, None, None),
+    }
+    for text, want in texts.items():
+        got = spark.range(1).select(fields.supi(lit(text)), fields.suci(lit(text)), fields.gpsi(lit(text))).first()
+        assert tuple(got) == want, text
+
+
+def test_vectors_are_reconciled(spark):
+    from sigweave.operators import learning
+
+    patterns = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("c", None)], "pattern_id string, embedding array<double>")
+    vectors = spark.createDataFrame([("a", [9.0]), ("z", [8.0])], "id string, embedding array<double>")
+    kept, stale, missing = learning.reconcile(patterns, vectors)
+    assert {r["id"]: r["embedding"] for r in kept.collect()} == {"a": [9.0], "b": [2.0]}
+    assert {r["id"] for r in stale.collect()} == {"z"} and {r["id"] for r in missing.collect()} == {"b", "c"}
