@@ -101,7 +101,8 @@ def may_contain(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _passing(table: np.ndarray, column: str, inside: bool, batches):
+def passing(table: np.ndarray, column: str, inside: bool, batches):
+    """The rows of batches that may have a key of the filter, or (not inside) that certainly have none."""
     import pyarrow as pa
 
     for batch in batches:
@@ -111,7 +112,7 @@ def _passing(table: np.ndarray, column: str, inside: bool, batches):
 
 def split(rows: DataFrame, column: str, bloom) -> tuple[DataFrame, DataFrame]:
     """Rows that may have a key of the filter, and rows that certainly have none, without a shuffle. column: long; null counts as 0."""
-    part = lambda inside: rows.mapInArrow(lambda batches: _passing(bloom.value, column, inside, batches), rows.schema)
+    part = lambda inside: rows.mapInArrow(lambda batches: passing(bloom.value, column, inside, batches), rows.schema)
     return part(True), part(False)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigweave.llm.shared import bloom_filter, split, stash
+from sigweave.llm.shared import bloom_filter, passing, split, stash
 from sigweave.llm.text import NOT_SPACE, flags_within, grams, signed, slices
 
 WINDOW, ANCHOR = 35, 8
@@ -272,6 +272,12 @@ def _cut(window: int, batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.string()), batch.column(1)], names=["row", "n_words", "n_removed", "kept_sha256", "kept_text", "text"])
 
 
+def _untouched(table: np.ndarray, batches):
+    """Rows (row, text, text_key) that are not in the filter, as input of _cut."""
+    for batch in passing(table, "text_key", False, batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(batch.num_rows, pa.list_(pa.int32()))], names=["row", "text", "starts"])
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
     """(doc_id, text_key, starts): for each document row that holds any, the first words of its repeated windows. docs: doc_id, text_key, text.
 
@@ -326,9 +332,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     others = [c for c in docs.columns if c != "text"]
     docs = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     starts = stash(repeated_windows(docs, window, batches, index), "starts")
-    maybe, clear = split(docs, "text_key", bloom_filter(starts, "text_key"))
+    bloom = bloom_filter(starts, "text_key")
+    maybe, _ = split(docs, "text_key", bloom)
     same = maybe["doc_id"].eqNullSafe(starts["doc_id"]) & (maybe["text_key"] == starts["text_key"])
     touched = maybe.join(starts, same, "left").select("row", "text", "starts")
-    rows = touched.unionByName(clear.select("row", "text", F.lit(None).cast("array<int>").alias("starts")))
-    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string, text string")])
-    return rows.mapInArrow(lambda b: _cut(window, b), schema)
+    schema = T.StructType([docs.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, kept_text string, text string")])
+    # one worker filters and cuts: two in a row would each hold texts
+    clear = docs.select("row", "text", "text_key").mapInArrow(lambda b: _cut(window, _untouched(bloom.value, b)), schema)
+    return touched.mapInArrow(lambda b: _cut(window, b), schema).unionByName(clear)
