@@ -31,10 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     several = stash(named.groupBy("component", "wordless", "doc_id").agg(F.count("*").alias("n"), F.min("text_key").alias("text_key")).where("n > 1"), "several")
     other = named.join(several.select(*[F.col(c).alias(f"{c}_") for c in ("component", "doc_id", "text_key")]), F.col("component") == F.col("component_")).where(F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_key") != F.col("text_key_")))
     gone = stash(rows.where("not first").select("doc_id", "text_key").unionByName(other.select("doc_id", "text_key")), "copies")
-    kept = without(docs, gone, {"doc_id": F.col("doc_id").cast("long"), "text_key": F.xxhash64("text")})
-    marked = kept.withColumn("_sigweave_id", F.col("doc_id").cast("long"))
-    maybe, clear = split(marked, "_sigweave_id", bloom_filter(several.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "doc_id"))
-    return maybe.dropDuplicates(["doc_id", "text"]).unionByName(clear).drop("_sigweave_id")
+    # rows of both tables pass one filter, so that one worker a task holds texts; equal rows pass together
+    ids = gone.select("doc_id").unionByName(several.select("doc_id")).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
+    marked = docs.withColumns({"_sigweave_id": F.col("doc_id").cast("long"), "_sigweave_key": F.xxhash64("text")})
+    near, clear = split(marked, "_sigweave_id", bloom_filter(ids, "doc_id"))
+    kept = near.join(gone, near["_sigweave_id"].eqNullSafe(gone["doc_id"]) & (near["_sigweave_key"] == gone["text_key"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(clear).drop("_sigweave_id", "_sigweave_key")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
