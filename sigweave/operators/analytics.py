@@ -16,9 +16,11 @@ def endpoint_activity(messages: DataFrame, k: int = 10) -> DataFrame:
     return top_k(counts, ["capture_id"], [F.desc("n"), F.col("endpoint")], k)
 
 
-def top_k(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+def top_k(rows: DataFrame, keys: list[str], order: list, k: int, place: str | None = None) -> DataFrame:
+    """The k first rows of each key; their number is kept as ``place`` if it is named."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= k).drop("_row")
+    best = rows.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= k)
+    return best.withColumnRenamed("_row", place) if place else best.drop("_row")
 
 
 def protocol_breakdown(messages: DataFrame) -> DataFrame:

@@ -108,6 +108,15 @@ def clusters(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.merge_clusters(scored, records)
 
 
+def merged_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of seeded sessions after merging; the SIP calls are forked in two dialogs."""
+    rows = messages(spark, folder).withColumn("to_tag", F.when((F.col("protocol") == "SIP") & (F.col("k") % 8 != 0), F.concat(F.lit("t"), (F.col("k") % 2).cast("string"))))
+    rows = seeds.seed(rows).withColumn("session_id", F.concat_ws(":to-tag:", "session_id", "to_tag"))
+    records = sessions.refresh(rows).join(rows.where("to_tag is not null").select(*KEYS, F.concat_ws("|", "call_id", "to_tag").alias("dialog_key")).distinct(), KEYS, "left")
+    of = pairs.merge_sessions(records, sessions.tokens(rows), window=WINDOW, hot=50)
+    return sessions.refresh(pairs.merged_messages(rows, of)).select(*KEYS, "start_ts", "end_ts", "messages", F.array_join("protocols", ",").alias("protocols"), "sip_count", "dia_count", "gtp_count", "http_count")
+
+
 CLUSTERS_SQL = PAIRS_SQL.replace("WITH ", "") + """, bp AS (
   SELECT capture_id, b AS session_id, a AS up FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, b ORDER BY score DESC, a) AS r FROM tsc WHERE score >= 70) WHERE r = 1
 ), walk AS (
@@ -125,4 +134,5 @@ QUERIES = [
     ("a10_session_tokens", session_tokens, f"WITH {TOKENS_SQL} SELECT capture_id, session_id, kind, token FROM tk"),
     ("j16_pair_scores", pair_scores, f"WITH {PAIRS_SQL} SELECT capture_id, a, b, score FROM tsc WHERE score > 0"),
     ("g07_session_clusters", clusters, f"WITH RECURSIVE {CLUSTERS_SQL} SELECT capture_id, session_id, cluster FROM walk"),
+    ("a18_merged_sessions", merged_sessions, None),
 ]
