@@ -170,4 +170,25 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(item
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-SQL = {"op1_ngram_join": OP1, "op2_quality": _quality(), "op3_substring_dedup": OP3, "op6_licenses": _licenses(), "op7_preferences": OP7, "op9_decontamination": OP9}
+_TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, {_TERMS.format(text=_LOWER.format(text="coalesce(text, '')"))} AS w FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS.format(text=_LOWER.format(text="coalesce(text, '')"))}) AS term FROM benchmark
+), t AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2
+), s AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d
+), wt AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM t GROUP BY 1), s
+), p AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(w) * n) // l)) AS impact FROM t JOIN d USING (doc_id), s
+), sc AS (
+  SELECT item_id, doc_id, CAST(sum(weight * impact) AS BIGINT) AS score FROM q JOIN wt USING (term) JOIN p USING (term) GROUP BY 1, 2
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sc WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+SQL = {"op1_ngram_join": OP1, "op2_quality": _quality(), "op3_substring_dedup": OP3, "op6_licenses": _licenses(), "op7_preferences": OP7, "op9_decontamination": OP9, "op13_lexical_search": OP13}

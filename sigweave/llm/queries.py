@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, decontaminate, language, licenses, ngram_join, packing, quality, sharding, substring_dedup, token_counts
+from sigweave.llm import alignment, chat, decontaminate, language, lexical, licenses, ngram_join, packing, quality, sharding, simhash, substring_dedup, token_counts
 from sigweave.llm.oracles import SQL
 from sigweave.llm.shared import prepare
 
@@ -75,8 +75,20 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), size=4096)
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"))
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_classes(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_substring_dedup, op4_sharding, op5_token_counts, op6_licenses, op7_preferences, op8_language, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_substring_dedup, op4_sharding, op5_token_counts, op6_licenses, op7_preferences, op8_language, op9_decontamination, op10_packing, op11_alignment, op12_simhash, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
