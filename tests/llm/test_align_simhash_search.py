@@ -238,7 +238,7 @@ def test_blocks_that_cannot_come_in_stay_packed():
     lengths = np.full(4000, 50, np.int64)
     impact = lambda tf, n: 1_000_000_000 * tf // (1000 * tf + 8 * n)
     common = lexical.Postings(*lexical.pack_list(np.arange(4000), np.ones(4000, np.int64), lengths), lengths, impact)
-    rare = lexical.Postings(*lexical.pack_list(np.arange(0, 4000, 300), np.full(14, 9), lengths[:14]), lengths, impact)
+    rare = lexical.Postings(*lexical.pack_list(np.arange(0, 4000, 300), np.array([9] * 3 + [3] * 11), lengths[:14]), lengths, impact)
     heap = lexical.Heap(3)
     lexical.search_shard([(10, common), (9000, rare)], 4000, np.arange(4000), np.ones(4000, bool), heap, 512)
     assert heap.ids.tolist() == [0, 300, 600]
