@@ -8,11 +8,11 @@ of which they count for nothing anyway.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigweave.functions import fields, predicates
-
 # What a shared token of a kind adds, within the time window unless said otherwise.
 POINTS = {"subscriber_ip": 110, "tunnel": 105, "access": 95, "subscriber_id": 90}
 TEID_CONTINUATION, ACCESS_CONTINUATION, SAME_ID, SAME_STREAM = 102, 92, 120, 85
@@ -120,97 +120,21 @@ def _followed(labels: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; on one machine without such a setting, in a temporary folder."""
+    """The rows written to the folder that spark.checkpoint.dir names and read again: lineage ends here, rows outlive lost executors, and later plans know their size.
+
+    On one machine without such a setting a temporary folder is taken."""
     context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
         if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sigweave-"))
-    return df.checkpoint()
-
-
-def vetoes(pairs: DataFrame, sessions: DataFrame, tokens: DataFrame, window: float = 5.0) -> DataFrame:
-    """(capture_id, a, b): pairs that may not merge, whatever they share.
-
-    These are other SIP dialogs; segments of one session with a completed procedure before a new one, or a long gap; and, without a shared
-    session identity, other IMSIs, or other addresses and subscribers. sessions: start_ts, end_ts, first_message, last_message, dialog_key."""
-    kinds = ["id", "subscriber_id", "subscriber_ip"]
-    listed = tokens.groupBy("capture_id", "session_id").pivot("kind", kinds).agg(F.collect_set("token"))
-    none = F.array().cast("array<string>")
-    facts = sessions.join(listed, ["capture_id", "session_id"], "left").withColumns({k: F.coalesce(k, none) for k in kinds})
-    both = sides(pairs.select("capture_id", "a", "b"), facts, ["start_ts", "end_ts", "first_message", "last_message", "dialog_key", *kinds])
-    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    shared = lambda c: F.arrays_overlap(a(c), b(c))
-    apart = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
-    imsis = lambda x: F.filter(x, lambda v: fields.is_imsi(v))
-    stem = lambda s: F.substring_index(s, ":seg", 1)
-    restarted = lambda x, y: F.coalesce(predicates.completion_marker(x("last_message")) & predicates.start_marker(y("first_message")), F.lit(False))
-    first = F.struct(a("start_ts"), F.col("a")) <= F.struct(b("start_ts"), F.col("b"))
-    segments = (stem("a") == stem("b")) & (F.contains(F.col("a"), F.lit(":seg")) | F.contains(F.col("b"), F.lit(":seg")))
-    cut = segments & (F.when(first, restarted(a, b)).otherwise(restarted(b, a)) | (gap_seconds(a("start_ts"), a("end_ts"), b("start_ts"), b("end_ts")) > max(3.0, 2 * window)))
-    foreign = ~shared("id") & (apart(imsis(a("subscriber_id")), imsis(b("subscriber_id"))) | (apart(a("subscriber_ip"), b("subscriber_ip")) & ~shared("subscriber_id")))
-    return both.where(F.coalesce(a("dialog_key") != b("dialog_key"), F.lit(False)) | cut | foreign).select("capture_id", "a", "b")
-
-
-def merge_pass(sessions: DataFrame, tokens: DataFrame, window: float = 5.0, hot: int = 200) -> DataFrame:
-    """(capture_id, session_id, cluster): one pass. Each session goes to the best earlier one that it may merge with (highest score, then earliest).
-
-    Pointers are followed; a member of another dialog than its cluster's first, or of IMSIs that neither the cluster's first has nor one that came by a shared
-    session identity, is cut off with those that point to it, until none is left. sessions: also dialog_key and imsis."""
-    near = score_pairs(sessions, tokens, window, hot=hot).where(F.col("score") >= MERGE_AT)
-    near = saved(near.join(vetoes(near, sessions, tokens, window), ["capture_id", "a", "b"], "left_anti"))
-    timed = sides(near, sessions, ["start_ts"])
-    place = lambda s: F.struct(F.coalesce(f"{s}_start_ts", F.lit(0.0)).alias("ts"), F.col(s).alias("id"))
-    ends = timed.select("capture_id", "score", "same_id", F.least(place("a"), place("b")).alias("host"), F.greatest(place("a"), place("b")).alias("guest"))
-    best = ends.groupBy("capture_id", F.col("guest.id").alias("session_id")).agg(F.min_by(F.struct(F.col("host.id").alias("up"), "same_id"), F.struct((-F.col("score")).alias("score"), "host")).alias("_best"))
-    up = saved(best.select("capture_id", "session_id", "_best.*"))
-    first = lambda c, known: F.min_by(c, F.when(known, F.struct(F.coalesce("start_ts", F.lit(0.0)), "session_id")))
-    while True:
-        labels = _followed(saved(sessions.select("capture_id", "session_id").join(up, ["capture_id", "session_id"], "left").select("capture_id", "session_id", F.coalesce("up", "session_id").alias("cluster"))))
-        held = labels.join(sessions.select("capture_id", "session_id", "start_ts", "dialog_key", "imsis"), ["capture_id", "session_id"]).join(up.select("capture_id", "session_id", "same_id"), ["capture_id", "session_id"], "left")
-        admitted = held.groupBy("capture_id", "cluster").agg(first("dialog_key", F.col("dialog_key").isNotNull()).alias("_dialog"), first("imsis", F.size("imsis") > 0).alias("_imsis"), F.flatten(F.collect_set(F.when(F.col("same_id"), F.col("imsis")))).alias("_more"))
-        other_imsi = (F.size("imsis") > 0) & ~F.arrays_overlap("imsis", F.concat("_imsis", "_more"))
-        other = saved(held.join(admitted, ["capture_id", "cluster"]).where(F.coalesce(F.col("dialog_key") != F.col("_dialog"), F.lit(False)) | other_imsi).select("capture_id", "session_id"))
-        if other.isEmpty():
-            return labels
-        up = saved(up.join(other, ["capture_id", "session_id"], "left_anti"))
-
-
-def _relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
-    return rows.join(moved, ["capture_id", "session_id"]).drop("session_id").withColumnRenamed("to", "session_id")
-
-
-def merge_sessions(sessions: DataFrame, tokens: DataFrame, window: float = 5.0, passes: int = 3, hot: int = 200) -> DataFrame:
-    """(capture_id, session_id, cluster): sessions merged in up to ``passes`` passes; merged ones are scored again with all their identities and their whole time span.
-
-    A cluster has the smallest id of its members. sessions: records of ``sessions.refresh``, with dialog_key if there are forked dialogs."""
-    if "dialog_key" not in sessions.columns:
-        sessions = sessions.withColumn("dialog_key", F.lit(None).cast("string"))
-    rows = sessions.select("capture_id", "session_id", "start_ts", "end_ts", "protocols", "technologies", F.array_compact(F.array("imsi")).alias("imsis"), "imsi", "first_message", "last_message", "dialog_key")
-    rows, tokens = saved(rows), saved(tokens)
-    of = rows.select("capture_id", "session_id", F.col("session_id").alias("cluster"))
-    early = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("start_ts", "from"))).alias(c)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-    for _ in range(passes):
-        labels = merge_pass(rows, tokens, window, hot)
-        names = labels.groupBy("capture_id", "cluster").agg(F.min("session_id").alias("to"))
-        moved = saved(labels.join(names, ["capture_id", "cluster"]).select("capture_id", "session_id", "to"))
-        if moved.where("session_id != to").isEmpty():
-            break
-        of = saved(of.join(moved.withColumnRenamed("session_id", "cluster"), ["capture_id", "cluster"]).select("capture_id", "session_id", F.col("to").alias("cluster")))
-        merged = _relabelled(rows.withColumn("from", F.col("session_id")), moved).groupBy("capture_id", "session_id")
-        rows = merged.agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), union("protocols"), union("technologies"), union("imsis"), early("first_message"), F.max_by("last_message", F.when(F.col("last_message").isNotNull(), F.struct("end_ts", "from"))).alias("last_message"), early("dialog_key"))
-        # with several IMSIs none is the session's own
-        rows = saved(rows.withColumn("imsi", F.when(F.size("imsis") == 1, F.get("imsis", F.lit(0)))))
-        tokens = saved(_relabelled(tokens, moved).distinct())
-    return of
-
-
-def merged_messages(messages: DataFrame, of: DataFrame) -> DataFrame:
-    """Messages under the names of their merged sessions; ``sessions.refresh`` of them gives the merged records."""
-    return _relabelled(messages, of.withColumnRenamed("cluster", "to"))
+        named = tempfile.mkdtemp(prefix="sigweave-")
+        context.setCheckpointDir(named)
+    path = f"{named.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def greedy_merge(pairs: DataFrame, sessions: DataFrame, threshold: int = MERGE_AT) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.operators import pairs, seeds, sessions, strategies
+from sigweave.operators import merging, pairs, seeds, sessions, strategies
 from sigweave.plans.batch import sessionize
 from sigweave.plans.testviews import GAP, MESSAGES_SQL, SEGMENTS_SQL, SESSIONS_SQL, WINDOW, messages
 
@@ -113,8 +113,8 @@ def merged_sessions(spark: SparkSession, folder: str) -> DataFrame:
     rows = messages(spark, folder).withColumn("to_tag", F.when((F.col("protocol") == "SIP") & (F.col("k") % 8 != 0), F.concat(F.lit("t"), (F.col("k") % 2).cast("string"))))
     rows = seeds.seed(rows).withColumn("session_id", F.concat_ws(":to-tag:", "session_id", "to_tag"))
     records = sessions.refresh(rows).join(rows.where("to_tag is not null").select(*KEYS, F.concat_ws("|", "call_id", "to_tag").alias("dialog_key")).distinct(), KEYS, "left")
-    of = pairs.merge_sessions(records, sessions.tokens(rows), window=WINDOW, hot=50)
-    return sessions.refresh(pairs.merged_messages(rows, of)).select(*KEYS, "start_ts", "end_ts", "messages", F.array_join("protocols", ",").alias("protocols"), "sip_count", "dia_count", "gtp_count", "http_count")
+    of = merging.merge_sessions(records, sessions.tokens(rows), window=WINDOW)
+    return sessions.refresh(merging.merged_messages(rows, of)).select(*KEYS, "start_ts", "end_ts", "messages", F.array_join("protocols", ",").alias("protocols"), "sip_count", "dia_count", "gtp_count", "http_count")
 
 
 CLUSTERS_SQL = PAIRS_SQL.replace("WITH ", "") + """, bp AS (
@@ -124,6 +124,40 @@ CLUSTERS_SQL = PAIRS_SQL.replace("WITH ", "") + """, bp AS (
   UNION ALL SELECT bp.capture_id, bp.session_id, w.cluster FROM bp JOIN walk w ON w.capture_id = bp.capture_id AND w.session_id = bp.up
 )"""
 
+_LINKS = """list_filter(list_transform(range(1, len({w})), lambda j: CASE WHEN len({w}[j].tuns) > 0 AND len({w}[j + 1].tuns) > 0 AND NOT list_has_any({w}[j].tuns, {w}[j + 1].tuns) AND {w}[j + 1].st - {w}[j].en <= 21600
+    THEN least({w}[j].name, {w}[j + 1].name) || '|' || greatest({w}[j].name, {w}[j + 1].name) END), lambda x: x IS NOT NULL)"""
+
+#: The fold itself: one session after the other, for each subscriber by itself, since in this view no identity or subscriber address is shared by two.
+#: All sessions of a subscriber share the IMSI and the address; no session is a segment, and no message completes a procedure.
+MERGED_SQL = f"""WITH RECURSIVE {MESSAGES_SQL}, z AS (
+  SELECT *, CASE WHEN protocol = 'SIP' AND k % 8 <> 0 THEN 't' || (k % 2) END AS tag FROM m
+), seeded AS (
+  SELECT *, CASE protocol WHEN 'SIP' THEN 'sip:' || call_id WHEN 'DIAMETER' THEN 'diameter:dia-' || user_id WHEN 'GTP' THEN 'gtp:' || teid ELSE lower(protocol) || ':' || imsi END || coalesce(':to-tag:' || tag, '') AS session_id FROM z
+), one AS (
+  SELECT capture_id, imsi, session_id, min(ts) AS st, max(ts) AS en, min(call_id || '|' || tag) AS dg, list_distinct(list_concat(list(call_id) FILTER (call_id IS NOT NULL), list('dia-' || user_id) FILTER (protocol = 'DIAMETER'))) AS ids,
+    coalesce(list(DISTINCT teid) FILTER (teid IS NOT NULL), []) AS tuns, list_distinct(list_concat(list(src_ip), list(dst_ip))) AS ips, list(DISTINCT least(src_ip, dst_ip) || '|' || greatest(src_ip, dst_ip)) AS prs, list(DISTINCT technology) AS tech
+  FROM seeded GROUP BY ALL
+), queue AS (
+  SELECT capture_id, imsi, list_sort(list({{'st': st, 'name': session_id, 'en': en, 'dg': dg, 'ids': coalesce(ids, []), 'tuns': tuns, 'ips': ips, 'prs': prs, 'tech': tech, 'members': [session_id]}})) AS w FROM one GROUP BY ALL
+), fold AS (
+  SELECT capture_id, imsi, 1 AS pass, 1 AS i, w, list_filter(w, lambda x: false) AS done, {_LINKS.format(w="w")} AS links FROM queue
+  UNION ALL
+  SELECT capture_id, imsi, CASE WHEN more THEN pass ELSE pass + 1 END, CASE WHEN more THEN i + 1 ELSE 1 END, next, CASE WHEN NOT more THEN list_filter(w, lambda x: false) WHEN best >= 70 THEN list_transform(done, lambda c, n: CASE WHEN n = list_position(scores, best) THEN
+      {{'st': least(c.st, s.st), 'name': least(c.name, s.name), 'en': greatest(c.en, s.en), 'dg': coalesce(c.dg, s.dg), 'ids': list_distinct(list_concat(c.ids, s.ids)), 'tuns': list_distinct(list_concat(c.tuns, s.tuns)), 'ips': list_distinct(list_concat(c.ips, s.ips)),
+        'prs': list_distinct(list_concat(c.prs, s.prs)), 'tech': list_distinct(list_concat(c.tech, s.tech)), 'members': list_concat(c.members, s.members)}} ELSE c END) ELSE list_append(done, s) END,
+    CASE WHEN more THEN links ELSE {_LINKS.format(w="next")} END
+  FROM (SELECT *, list_max(scores) AS best, CASE WHEN more THEN w ELSE list_sort(done) END AS next FROM (SELECT *, i <= len(w) AS more, w[i] AS s, list_transform(done, lambda c: CASE
+      WHEN c.dg <> w[i].dg THEN 0 WHEN list_has_any(c.ids, w[i].ids) THEN 120
+      ELSE CASE WHEN list_contains(links, least(c.name, w[i].name) || '|' || greatest(c.name, w[i].name)) THEN 102 ELSE 0 END + CASE WHEN greatest(c.st - w[i].en, w[i].st - c.en, 0) > 7200 THEN 0 ELSE 200 + CASE WHEN list_has_any(c.tuns, w[i].tuns) THEN 105 ELSE 0 END
+        + CASE WHEN list_has_any(c.prs, w[i].prs) THEN 80 WHEN len(list_intersect(c.ips, w[i].ips)) >= 2 THEN 72 WHEN list_has_any(c.ips, w[i].ips) THEN 60 ELSE 0 END + CASE WHEN list_has_any(c.tech, w[i].tech) THEN 15 ELSE 0 END END END) AS scores
+    FROM fold WHERE i <= len(w) OR (len(done) < len(w) AND pass < 3)))
+), named AS (
+  SELECT capture_id, d.name AS name, unnest(d.members) AS session_id FROM (SELECT capture_id, unnest(done) AS d FROM fold WHERE i > len(w) AND (len(done) = len(w) OR pass = 3))
+)
+SELECT x.capture_id, name AS session_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS messages, array_to_string(list_sort(list(DISTINCT protocol)), ',') AS protocols, count(*) FILTER (protocol = 'SIP') AS sip_count, count(*) FILTER (protocol = 'DIAMETER') AS dia_count,
+  count(*) FILTER (protocol = 'GTP') AS gtp_count, count(*) FILTER (protocol = 'HTTP') AS http_count
+FROM seeded x JOIN named USING (capture_id, session_id) GROUP BY 1, 2"""
+
 QUERIES = [
     ("a04_seed_sessions", seed_sessions, f"WITH {MESSAGES_SQL} SELECT capture_id, CASE protocol WHEN 'SIP' THEN 'sip:' || call_id WHEN 'DIAMETER' THEN 'diameter:dia-' || user_id WHEN 'GTP' THEN 'gtp:' || teid ELSE lower(protocol) || ':' || imsi END AS session_id, count(*) AS messages FROM m GROUP BY 1, 2"),
     ("j04_framed_ip_join", framed_ip_join, f"WITH {CALLS_SQL} SELECT c.capture_id, c.session_id, m.frame_number AS message_uid, 'framed_ip_fusion' AS strategy, 110 AS score FROM calls c JOIN m ON m.capture_id = c.capture_id AND m.framed_ip = c.framed_ip AND m.protocol = 'DIAMETER' AND m.ts BETWEEN c.start_ts - 3600 AND c.end_ts + 3600"),
@@ -134,5 +168,5 @@ QUERIES = [
     ("a10_session_tokens", session_tokens, f"WITH {TOKENS_SQL} SELECT capture_id, session_id, kind, token FROM tk"),
     ("j16_pair_scores", pair_scores, f"WITH {PAIRS_SQL} SELECT capture_id, a, b, score FROM tsc WHERE score > 0"),
     ("g07_session_clusters", clusters, f"WITH RECURSIVE {CLUSTERS_SQL} SELECT capture_id, session_id, cluster FROM walk"),
-    ("a18_merged_sessions", merged_sessions, None),
+    ("a18_merged_sessions", merged_sessions, MERGED_SQL),
 ]

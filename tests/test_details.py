@@ -1,65 +1,15 @@
-"""Detail rows, feedback and merging on small made-up sessions."""
+"""Detail rows and feedback on small made-up sessions."""
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from sigweave.operators import details, feedback, pairs
+from sigweave.operators import details, feedback
 from sigweave.schemas import conform
 
-SESSION = "capture_id string, session_id string, start_ts double, end_ts double, protocols array<string>, technologies array<string>, imsi string, first_message string, last_message string, dialog_key string"
 IMSI, OTHER = "262010000000001", "262010000000002"
 
 
-def _session(name, start, imsi=None, dialog=None, first="A", last="B", length=1.0):
-    return ("c", name, start, start + length, ["SIP"], ["IMS"], imsi, first, last, dialog)
-
-
-def _merged(spark, sessions, tokens, window=5.0):
-    rows = spark.createDataFrame(sessions, SESSION)
-    found = pairs.merge_sessions(rows, spark.createDataFrame([("c", *t) for t in tokens], "capture_id string, session_id string, kind string, token string"), window)
-    return {r["session_id"]: r["cluster"] for r in found.collect()}
-
-
-def test_forked_dialogs_stay_apart_and_a_neutral_session_goes_to_the_first(spark):
-    ip = [(s, "subscriber_ip", "10.1.1.1") for s in "abd"]
-    got = _merged(spark, [_session("a", 1.0, dialog="x"), _session("b", 2.0), _session("d", 3.0, dialog="y")], ip)
-    assert got == {"a": "a", "b": "a", "d": "d"}
-
-
-def test_bridge_between_two_dialogs_does_not_join_them(spark):
-    # b comes first and knows no dialog; both others share only b's addresses
-    tokens = [("b", "subscriber_ip", "1"), ("b", "tunnel", "t"), ("a", "subscriber_ip", "1"), ("d", "tunnel", "t")]
-    got = _merged(spark, [_session("b", 1.0), _session("a", 2.0, dialog="x"), _session("d", 3.0, dialog="y")], tokens)
-    assert got == {"a": "a", "b": "a", "d": "d"}
-
-
-def test_other_imsis_stay_apart_unless_a_session_identity_is_shared(spark):
-    tokens = [("a", "subscriber_id", IMSI), ("b", "subscriber_id", OTHER), ("a", "subscriber_ip", "1"), ("b", "subscriber_ip", "1")]
-    both = [_session("a", 1.0, IMSI), _session("b", 2.0, OTHER)]
-    assert _merged(spark, both, tokens) == {"a": "a", "b": "b"}
-    assert _merged(spark, both, [*tokens, ("a", "id", "i"), ("b", "id", "i")]) == {"a": "a", "b": "a"}
-
-
-def test_segments_after_a_restart_or_a_long_gap_stay_apart(spark):
-    ids = lambda *names: [(n, "id", "same") for n in names]
-    close = [_session("s", 1.0, last="Attach Complete"), _session("s:seg2", 3.0, first="Attach Request")]
-    assert _merged(spark, close, ids("s", "s:seg2")) == {"s": "s", "s:seg2": "s:seg2"}
-    assert _merged(spark, [_session("s", 1.0), _session("s:seg2", 3.0)], ids("s", "s:seg2")) == {"s": "s", "s:seg2": "s"}
-    assert _merged(spark, [_session("s", 1.0), _session("s:seg2", 30.0)], ids("s", "s:seg2")) == {"s": "s", "s:seg2": "s:seg2"}
-
-
-def test_a_merged_session_reaches_further(spark):
-    # c is too far from a, near b in time, and shares only a's address: it needs the second pass
-    tokens = [("a", "subscriber_ip", "1"), ("b", "id", "i"), ("a", "id", "i"), ("c", "subscriber_ip", "1")]
-    got = _merged(spark, [_session("a", 1.0), _session("b", 20.0, length=10.0), _session("c", 35.0)], tokens)
-    assert got == {"a": "a", "b": "a", "c": "a"}
-
-
-def test_no_sessions(spark):
-    assert _merged(spark, [], []) == {}
-
-
 def test_focus_prefers_abnormal_and_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([("c", "b", "USER_BUSY", 50.0, 90, None), ("c", "a", "USER_BUSY", 50.0, 90, None), ("c", "n", "NORMAL_CALL", 99.0, 99, 1.0), ("d", "u", None, None, None, None)], "capture_id string, session_id string, rca_label string, priority_score double, confidence_pct int, duration_ms double")
     assert {r["capture_id"]: r["session_id"] for r in details.focus_failures(rows, ["capture_id"]).collect()} == {"c": "a", "d": "u"}
