@@ -48,6 +48,17 @@ def first_guess(sessions: DataFrame, tokens: DataFrame, reach: float) -> DataFra
     return _followed(saved(sessions.select(*KEY).join(best, KEY, "left").select(*KEY, F.coalesce("up", "session_id").alias("cluster"))))
 
 
+def met_clusters(here: DataFrame, has: DataFrame, clusters: DataFrame, reach: float) -> DataFrame:
+    """(capture_id, session_id, cluster): sessions and the clusters that had one of their tokens before them, at most ``reach`` away unless the token counts at any distance.
+
+    here: the tokens of sessions with place, start_ts, end_ts; has: those of clusters with since; clusters: from, to."""
+    timed = ~F.col("kind").isin(*TIMELESS)
+    bucket = lambda start, end: F.explode(F.when(timed, _buckets(F.col(start), F.col(end), reach)).otherwise(F.array(F.lit(-2).cast("long")))).alias("bucket")
+    asks = here.select(*KEY, "kind", "token", "place", bucket("start_ts", "end_ts"))
+    there = has.where("kind != 'technology'").join(clusters.select("capture_id", "cluster", "from", "to"), ["capture_id", "cluster"]).select("capture_id", "cluster", "kind", "token", "since", bucket("from", "to"))
+    return asks.join(there, ["capture_id", "kind", "token", "bucket"]).where("since < place").select(*KEY, "cluster")
+
+
 def _decide(sessions: DataFrame, tokens: DataFrame, links: DataFrame, labels: DataFrame, window: float) -> DataFrame:
     """(capture_id, session_id, cluster): the best of the clusters that labels make up of earlier sessions, or the session's own name."""
     near_at, reach = max(2.0, 2 * window), max(3.0, 2 * window)
@@ -64,16 +75,10 @@ def _decide(sessions: DataFrame, tokens: DataFrame, links: DataFrame, labels: Da
     known = has.groupBy("capture_id", "cluster").agg(F.min(F.when(imsi, F.col("since"))).alias("imsi_since"), F.min(F.when(F.col("kind") == "subscriber_ip", F.col("since"))).alias("ip_since"))
     clusters = saved(clusters.join(technologies, ["capture_id", "cluster"], "left").join(known, ["capture_id", "cluster"], "left"))
 
-    # clusters that share a token with a session, or hold the other end of a link
     here = tokens.where("kind != 'technology'").join(of.select(*KEY, "place", "start_ts", "end_ts"), KEY)
-    timed = ~F.col("kind").isin(*TIMELESS)
-    bucket = lambda start, end: F.explode(F.when(timed, _buckets(F.col(start), F.col(end), reach)).otherwise(F.array(F.lit(-2).cast("long")))).alias("bucket")
-    asks = here.select(*KEY, "kind", "token", "place", bucket("start_ts", "end_ts"))
-    there = has.where("kind != 'technology'").join(clusters.select("capture_id", "cluster", "from", "to"), ["capture_id", "cluster"]).select("capture_id", "cluster", "kind", "token", "since", bucket("from", "to"))
-    met = asks.join(there, ["capture_id", "kind", "token", "bucket"]).where("since < place").select(*KEY, "cluster")
     both = links.select("capture_id", F.col("a").alias("session_id"), F.col("b").alias("other"), "method").unionByName(links.select("capture_id", F.col("b").alias("session_id"), F.col("a").alias("other"), "method"))
     linked = both.join(of.select("capture_id", F.col("session_id").alias("other"), "cluster"), ["capture_id", "other"])
-    pairs = saved(met.unionByName(linked.select(*KEY, "cluster")).distinct())
+    pairs = saved(met_clusters(here, has, clusters, reach).unionByName(linked.select(*KEY, "cluster")).distinct())
 
     # how many tokens of each kind they share
     shared = pairs.join(here.select(*KEY, "kind", "token", "place"), KEY).join(has, ["capture_id", "cluster", "kind", "token"]).where("since < place")
@@ -133,7 +138,8 @@ def merge_sessions(sessions: DataFrame, tokens: DataFrame, window: float = 5.0,
     without a time stands first and is near nothing; repeated tokens count once; no sessions give no rows."""
     if "dialog_key" not in sessions.columns:
         sessions = sessions.withColumn("dialog_key", F.lit(None).cast("string"))
-    rows = saved(sessions.select(*KEY, "start_ts", "end_ts", "protocols", "technologies", "imsi", "first_message", "last_message", "dialog_key"))
+    mobility = F.coalesce("mobility", F.lit(False)) if "mobility" in sessions.columns else F.lit(False)
+    rows = saved(sessions.select(*KEY, mobility.alias("mobility"), "start_ts", "end_ts", "protocols", "technologies", "imsi", "first_message", "last_message", "dialog_key"))
     tokens = saved(tokens.select(*KEY, "kind", "token").distinct())
     of = rows.select(*KEY, F.col("session_id").alias("cluster"))
     early = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("start_ts", "was"))).alias(c)
@@ -149,7 +155,7 @@ def merge_sessions(sessions: DataFrame, tokens: DataFrame, window: float = 5.0,
         said = F.max_by("last_message", F.when(F.col("last_message").isNotNull(), F.struct("end_ts", "was"))).alias("last_message")
         # with several IMSIs none is the session's own
         own = F.when(F.min("imsi") == F.max("imsi"), F.min("imsi")).alias("imsi")
-        rows = saved(merged.agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), union("protocols"), union("technologies"), own, early("first_message"), said, early("dialog_key")))
+        rows = saved(merged.agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.bool_or("mobility").alias("mobility"), union("protocols"), union("technologies"), own, early("first_message"), said, early("dialog_key")))
         tokens = saved(_relabelled(tokens, moved).distinct())
     return of
 

@@ -1,9 +1,9 @@
 """Scoring and merging pairs of sessions, blocked by shared tokens.
 
-A pair can only reach the threshold if it shares an identity, an address or a stream, so joining on tokens loses no
-pair. A token that very many sessions share (a gateway's address) is no reason to compare them all: tokens
-of the kinds ``ip`` and ``pair`` that more than ``hot`` sessions of a capture have are compared within time buckets, outside
-of which they count for nothing anyway.
+A pair can only reach the threshold if it shares an identity, an address or a stream, or one continues the other, so joining on tokens loses no
+pair. A token that very many sessions share (a gateway's address, a subscriber over a month) is no reason to compare them all: tokens that more than
+``hot`` sessions of a capture have are compared within time buckets, outside of which they count for nothing anyway. Only session identities
+and streams count at any distance.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigweave.functions import fields
+
 # What a shared token of a kind adds, within the time window unless said otherwise.
 POINTS = {"subscriber_ip": 110, "tunnel": 105, "access": 95, "subscriber_id": 90}
 TEID_CONTINUATION, ACCESS_CONTINUATION, SAME_ID, SAME_STREAM = 102, 92, 120, 85
@@ -28,9 +30,9 @@ def gap_seconds(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
 def blocked_pairs(sessions: DataFrame, tokens: DataFrame, reach: float, hot: int = 200) -> DataFrame:
     """(capture_id, a, b, kind, n): how many tokens of a kind each pair of sessions shares. sessions: start_ts, end_ts.
 
-    reach: the largest gap in seconds at which the caller's rule still counts addresses; pairs that are nearer are never lost."""
+    reach: the largest gap in seconds at which the caller's rule still counts tokens; pairs that are nearer are never lost."""
     timed = tokens.where("kind != 'technology'").join(sessions.select("capture_id", "session_id", "start_ts", "end_ts"), ["capture_id", "session_id"])
-    common = tokens.where("kind in ('ip', 'pair')").groupBy("capture_id", "kind", "token").agg(F.count("*").alias("sharers")).where(F.col("sharers") > hot)
+    common = tokens.where("kind not in ('id', 'stream', 'technology')").groupBy("capture_id", "kind", "token").agg(F.count("*").alias("sharers")).where(F.col("sharers") > hot)
     timed = timed.join(common, ["capture_id", "kind", "token"], "left")
     bucket = lambda x: F.floor(x / reach)
     spans = F.when(F.col("sharers").isNotNull(), F.sequence(bucket(F.col("start_ts") - reach), bucket(F.col("end_ts")))).otherwise(F.array(F.lit(None).cast("bigint")))
@@ -48,33 +50,39 @@ def sides(pairs: DataFrame, sessions: DataFrame, columns: list[str]) -> DataFram
 
 
 def continuations(sessions: DataFrame, tokens: DataFrame, window: float) -> DataFrame:
-    """(capture_id, a, b, method): pairs that continue each other: of one IMSI the next session with other tunnels, and sessions with one access id.
+    """(capture_id, a, b, method): pairs that continue each other within the stateful window.
 
-    Both need a shared subscriber, address or tunnel as support."""
+    ``teid_continuation``: of the sessions with tunnels that share an IMSI, each one and the first after it that has other tunnels, with a subscriber address, an access id
+    or a mobility procedure (column ``mobility``, if there is one) to support it. ``access_continuation``: sessions with one access id and no common session identity that share a
+    subscriber or a subscriber address, or of which one has a tunnel. Sharers are met within time buckets only."""
     reach = max(15.0, 30.0, 6 * window)
-    listed = tokens.groupBy("capture_id", "session_id").pivot("kind", ["subscriber_id", "subscriber_ip", "tunnel", "access"]).agg(F.collect_set("token"))
-    facts = sessions.select("capture_id", "session_id", "imsi", "start_ts", "end_ts").join(listed, ["capture_id", "session_id"], "left")
-    empty = F.array().cast("array<string>")
-    facts = facts.select("capture_id", "session_id", "imsi", "start_ts", "end_ts", *[F.coalesce(c, empty).alias(c) for c in ("subscriber_id", "subscriber_ip", "tunnel", "access")])
-    w = Window.partitionBy("capture_id", "imsi").orderBy("start_ts", "session_id")
-    step = facts.where("imsi is not null").withColumn("next", F.lead(F.struct("session_id", "start_ts", "tunnel", "subscriber_ip", "access")).over(w))
-    other = (F.size("tunnel") > 0) & (F.size("next.tunnel") > 0) & ~F.arrays_overlap("tunnel", "next.tunnel")
-    support = F.arrays_overlap("subscriber_ip", "next.subscriber_ip") | F.arrays_overlap("access", "next.access")
-    teid = step.where(other & support & (F.col("next.start_ts") - F.col("end_ts") <= reach)).select("capture_id", F.least("session_id", "next.session_id").alias("a"), F.greatest("session_id", "next.session_id").alias("b"), F.lit("teid_continuation").alias("method"))
-    ids = tokens.where("kind = 'access'").select("capture_id", "token", "session_id")
-    same = ids.withColumnRenamed("session_id", "a").join(ids.withColumnRenamed("session_id", "b"), ["capture_id", "token"]).where("a < b").select("capture_id", "a", "b").distinct()
-    both = sides(same, facts, ["subscriber_id", "subscriber_ip", "tunnel"])
-    held = F.arrays_overlap("a_subscriber_id", "b_subscriber_id") | F.arrays_overlap("a_subscriber_ip", "b_subscriber_ip") | F.arrays_overlap("a_tunnel", "b_tunnel")
-    return teid.unionByName(both.where(held).select("capture_id", "a", "b", F.lit("access_continuation").alias("method")))
+    kinds = ["id", "subscriber_id", "subscriber_ip", "tunnel", "access"]
+    listed = tokens.groupBy("capture_id", "session_id").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("token"))).alias(k) for k in kinds])
+    mobility = F.coalesce("mobility", F.lit(False)) if "mobility" in sessions.columns else F.lit(False)
+    facts = saved(sessions.select("capture_id", "session_id", "start_ts", "end_ts", mobility.alias("mobility")).join(listed, ["capture_id", "session_id"]))
+    bucket = lambda x: F.floor(x / reach).cast("long")
+    keyed = facts.withColumn("key", F.explode(F.concat(F.when(F.size("tunnel") > 0, F.filter("subscriber_id", lambda x: fields.is_imsi(x))).otherwise(F.array().cast("array<string>")), F.transform("access", lambda x: F.concat(F.lit("access "), x)))))
+    keyed = keyed.where("start_ts is not null and end_ts is not null").withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_ts") - reach), bucket(F.col("end_ts")))))
+    side = lambda x: keyed.select("capture_id", "key", "bucket", F.struct("start_ts", "session_id").alias(f"{x}_place"), *[F.col(c).alias(f"{x}_{c}") for c in ("session_id", "start_ts", "end_ts", "mobility", *kinds)])
+    met = side("a").join(side("b"), ["capture_id", "key", "bucket"]).where("a_place < b_place").where(gap_seconds(F.col("a_start_ts"), F.col("a_end_ts"), F.col("b_start_ts"), F.col("b_end_ts")) <= reach)
+    shared = lambda c: F.arrays_overlap(f"a_{c}", f"b_{c}")
+    some = lambda c: (F.size(f"a_{c}") > 0) | (F.size(f"b_{c}") > 0)
+    access = F.col("key").startswith("access ")
+    teid = met.where(~access & ~shared("tunnel") & (shared("subscriber_ip") | shared("access") | F.col("a_mobility") | F.col("b_mobility")))
+    teid = teid.groupBy("capture_id", "key", F.col("a_session_id").alias("one")).agg(F.min("b_place").alias("next")).select("capture_id", "one", F.col("next.session_id").alias("other"), F.lit("teid_continuation").alias("method"))
+    held = met.where(access & ~shared("id") & (shared("subscriber_id") | shared("subscriber_ip") | some("tunnel")))
+    both = teid.unionByName(held.select("capture_id", F.col("a_session_id").alias("one"), F.col("b_session_id").alias("other"), F.lit("access_continuation").alias("method")))
+    return both.select("capture_id", F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"), "method").distinct()
 
 
 def score_pairs(sessions: DataFrame, tokens: DataFrame, window: float = 5.0, links: DataFrame | None = None, hot: int = 200) -> DataFrame:
-    """(capture_id, a, b, score, same_id) of every pair that shares a token. sessions: start_ts, end_ts, protocols, technologies, imsi."""
+    """(capture_id, a, b, score, same_id) of every pair that shares a token or continues. sessions: start_ts, end_ts, protocols, technologies, imsi."""
     counts = blocked_pairs(sessions, tokens, max(2.0, 2 * window), hot).groupBy("capture_id", "a", "b").pivot("kind", ["id", "subscriber_ip", "tunnel", "access", "subscriber_id", "stream", "pair", "ip"]).agg(F.max("n")).na.fill(0)
     if links is None:
         links = continuations(sessions, tokens, window)
     marks = links.groupBy("capture_id", "a", "b").agg(F.max(F.when(F.col("method") == "teid_continuation", TEID_CONTINUATION).otherwise(ACCESS_CONTINUATION)).alias("state"))
-    pairs = sides(counts.join(marks, ["capture_id", "a", "b"], "left"), sessions, ["start_ts", "end_ts", "protocols", "technologies", "imsi"])
+    counts = counts.join(marks, ["capture_id", "a", "b"], "full").na.fill(0, [c for c in counts.columns if c not in ("capture_id", "a", "b")])
+    pairs = sides(counts, sessions, ["start_ts", "end_ts", "protocols", "technologies", "imsi"])
     near = gap_seconds(F.col("a_start_ts"), F.col("a_end_ts"), F.col("b_start_ts"), F.col("b_end_ts")) <= max(2.0, 2 * window)
     conflict = F.coalesce(F.col("a_imsi") != F.col("b_imsi"), F.lit(False))
     points = lambda kind: F.when(near & (F.col(kind) > 0), POINTS[kind]).otherwise(0)

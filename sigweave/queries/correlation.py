@@ -124,8 +124,8 @@ CLUSTERS_SQL = PAIRS_SQL.replace("WITH ", "") + """, bp AS (
   UNION ALL SELECT bp.capture_id, bp.session_id, w.cluster FROM bp JOIN walk w ON w.capture_id = bp.capture_id AND w.session_id = bp.up
 )"""
 
-_LINKS = """list_filter(list_transform(range(1, len({w})), lambda j: CASE WHEN len({w}[j].tuns) > 0 AND len({w}[j + 1].tuns) > 0 AND NOT list_has_any({w}[j].tuns, {w}[j + 1].tuns) AND {w}[j + 1].st - {w}[j].en <= 21600
-    THEN least({w}[j].name, {w}[j + 1].name) || '|' || greatest({w}[j].name, {w}[j + 1].name) END), lambda x: x IS NOT NULL)"""
+_LINKS = """list_filter(list_transform(range(1, len({w}) + 1), lambda j: list_transform(list_slice(list_filter(range(j + 1, len({w}) + 1), lambda n: len({w}[j].tuns) > 0 AND len({w}[n].tuns) > 0 AND NOT list_has_any({w}[j].tuns, {w}[n].tuns)
+    AND {w}[n].st - {w}[j].en <= 21600), 1, 1), lambda n: least({w}[j].name, {w}[n].name) || '|' || greatest({w}[j].name, {w}[n].name))[1]), lambda x: x IS NOT NULL)"""
 
 #: The fold itself: one session after the other, for each subscriber by itself, since in this view no identity or subscriber address is shared by two.
 #: All sessions of a subscriber share the IMSI and the address; no session is a segment, and no message completes a procedure.

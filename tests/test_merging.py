@@ -91,15 +91,18 @@ def links_of(all_):
     """Continuations between the clusters of a pass, by their names."""
     out = {}
     reach = 30.0
-    for imsi in (IMSI, OTHER):
-        own = sorted((c for c in all_ if c.imsi == {imsi}), key=lambda c: (c.start, c.name))
-        for a, b in zip(own, own[1:], strict=False):
-            ta, tb = a.kind("tunnel"), b.kind("tunnel")
-            if ta and tb and not ta & tb and (a.kind("subscriber_ip") & b.kind("subscriber_ip") or a.kind("access") & b.kind("access")) and b.start - a.end <= reach:
-                out[frozenset((a.name, b.name))] = 102
+    order = sorted(all_, key=lambda c: (c.start, c.name))
+    for i, a in enumerate(order):
+        for imsi in (IMSI, OTHER):
+            for b in order[i + 1 :]:
+                ta, tb = a.kind("tunnel"), b.kind("tunnel")
+                if ("subscriber_id", imsi) in a.tokens & b.tokens and ta and tb and not ta & tb and gap(a, b) <= reach and (a.kind("subscriber_ip") & b.kind("subscriber_ip") or a.kind("access") & b.kind("access")):
+                    out[frozenset((a.name, b.name))] = 102
+                    break
     for a in all_:
         for b in all_:
-            if a.name < b.name and a.kind("access") & b.kind("access") and any(a.kind(k) & b.kind(k) for k in ("subscriber_id", "subscriber_ip", "tunnel")):
+            support = any(a.kind(k) & b.kind(k) for k in ("subscriber_id", "subscriber_ip")) or a.kind("tunnel") or b.kind("tunnel")
+            if a.name < b.name and a.kind("access") & b.kind("access") and not a.kind("id") & b.kind("id") and support and gap(a, b) <= reach:
                 out.setdefault(frozenset((a.name, b.name)), 92)
     return out
 
@@ -172,3 +175,24 @@ def test_random_captures_equal_the_fold(merged):
 
 def test_no_sessions(spark):
     assert merging.merge_sessions(spark.createDataFrame([], SESSION), spark.createDataFrame([], TOKEN)).collect() == []
+
+
+def test_one_address_of_5000_sessions(spark):
+    """What sessions are held against grows with the sharers of a token, not with their pairs: those near each other are one cluster, those far apart are in other buckets."""
+    from pyspark.sql import functions as F
+
+    n = 5000
+    rows = spark.range(n).select(F.lit("c").alias("capture_id"), F.format_string("n%05d", "id").alias("session_id"), F.col("id").cast("double").alias("start_ts"), (F.col("id") + 0.5).alias("end_ts"), F.array(F.lit("SIP")).alias("protocols"), F.array(F.lit("IMS")).alias("technologies"),
+                                 F.lit(None).cast("string").alias("imsi"), F.lit("A").alias("first_message"), F.lit("B").alias("last_message"))
+    # two runs of sessions a second apart, with an hour between them
+    rows = rows.withColumns({c: F.col(c) + F.when(F.col("session_id") >= "n02500", 3600.0).otherwise(0.0) for c in ("start_ts", "end_ts")})
+    tokens = rows.select("capture_id", "session_id", F.lit("subscriber_ip").alias("kind"), F.lit("10.0.0.1").alias("token"))
+    met = []
+    plain = merging.met_clusters
+    try:
+        merging.met_clusters = lambda *a: met.append(plain(*a)) or met[-1]
+        of = merging.merge_sessions(rows, tokens, WINDOW)
+    finally:
+        merging.met_clusters = plain
+    assert {(r["cluster"], r["count"]) for r in of.groupBy("cluster").count().collect()} == {("n00000", 2500), ("n02500", 2500)}
+    assert max(x.count() for x in met) <= 3 * n
