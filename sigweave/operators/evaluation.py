@@ -98,10 +98,19 @@ def session_matches(session: str, expected: str) -> Column:
 
 
 def match_expected(sessions: DataFrame, expected: DataFrame, case: str = "case") -> DataFrame:
-    """(case, expected, matched): how many expected sessions of a case find a session of their own, first come first served.
-
-    sessions and expected: the case, an id and a struct ``s`` or ``e``; a case's lists are bounded by its file."""
-    pairs = expected.join(sessions, case).where(session_matches("s", "e")).groupBy(case, "expected_id").agg(F.array_sort(F.collect_set("session_id")).alias("options"))
+    """(case, expected, matched): how many expected sessions of a case, in order of their ids, find a session of their own; each takes the matching one of least id.
+
+    sessions and expected: the case, an id and a struct ``s`` or ``e``. Requirements are tested once for each distinct signature of a case's sessions, and of a signature only as many least
+    ids are looked at as the case expects sessions, since no more can be taken; so what is gathered of a case depends on its expectations alone, which come from a suite's file."""
+    signature = F.xxhash64("s")
+    wanted = expected.groupBy(case).agg(F.count("*").alias("wanted"))
+    kinds = sessions.groupBy(case, "s").agg(F.count("*").alias("n")).withColumn("signature", signature)
+    fits = expected.join(kinds, case).where(session_matches("s", "e")).select(case, "expected_id", "signature", F.col("s").alias("kind"))
+    first = Window.partitionBy(case, "signature").orderBy("session_id")
+    ids = sessions.select(case, "session_id", F.col("s").alias("kind_of"), signature.alias("signature")).join(wanted, case).withColumn("_row", F.row_number().over(first)).where(F.col("_row") <= F.col("wanted"))
+    least = Window.partitionBy(case, "expected_id").orderBy("session_id")
+    options = fits.join(ids, [case, "signature"]).where(F.col("kind").eqNullSafe(F.col("kind_of"))).withColumn("_row", F.row_number().over(least)).where(F.col("_row") <= F.col("wanted"))
+    pairs = options.groupBy(case, "expected_id").agg(F.array_sort(F.collect_set("session_id")).alias("options"))
     lists = expected.join(pairs, [case, "expected_id"], "left").groupBy(case).agg(F.array_sort(F.collect_list(F.struct("expected_id", F.coalesce("options", F.array().cast("array<string>")).alias("options")))).alias("wants"))
     taken = F.aggregate("wants", F.array().cast("array<string>"), lambda used, w: F.concat(used, F.slice(F.array_except(w["options"], used), 1, 1)))
     return lists.select(case, F.size("wants").alias("expected"), F.size(taken).alias("matched"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigweave.operators.pairs import saved
+
 TREES, DEPTH = 200, 6
 RANK_ROUNDS, RANK_RATE = 80, 0.05
 
@@ -35,6 +40,73 @@ def group_split(rows: DataFrame, group: str, test_share: float = 0.2) -> tuple[D
     return rows.where(bucket >= int(1000 * test_share)), rows.where(bucket < int(1000 * test_share))
 
 
+def _numbered(items: DataFrame, key: str, within: str, blocks: int = 200) -> DataFrame:
+    """Adds _rank (0, 1, ...) of items within a column, counted in blocks by hash, so that no value of it is numbered in one task."""
+    block = items.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    sizes = block.groupBy(within, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(within, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(within, "_block").orderBy(key)
+    return block.join(starts, [within, "_block"]).withColumn("_rank", F.col("_start") + F.row_number().over(inside) - 1).drop("_block", "_start")
+
+
+def group_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """Adds fold (0 to folds - 1): a group is wholly in one fold, and folds are balanced by rows; a missing group is one named "unknown".
+
+    Groups go to the lightest fold, largest first. Only how many groups there are of each size is placed on the driver; groups of one size are alike, and take their places by rank."""
+    named = rows.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("unknown")))
+    sizes = named.groupBy("_group").agg(F.count("*").alias("_size"))
+    heap = [(0, f) for f in range(folds)]
+    places: list[tuple[int, int, int, int]] = []
+    for size, n in sorted(((r[0], r[1]) for r in sizes.groupBy("_size").count().collect()), reverse=True):
+        took = Counter()
+        for _ in range(n):
+            weight, f = heapq.heappop(heap)
+            took[f] += 1
+            heapq.heappush(heap, (weight + size, f))
+        start = 0
+        for f in sorted(took):
+            places.append((size, f, start, start + took[f]))
+            start += took[f]
+    table = rows.sparkSession.createDataFrame(places, "_size long, fold int, _from long, _to long")
+    ranked = _numbered(sizes, "_group", "_size").join(F.broadcast(table), "_size").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    return named.join(ranked.select("_group", "fold"), "_group").drop("_group")
+
+
+def label_folds(rows: DataFrame, label: str, folds: int) -> DataFrame:
+    """Adds fold: the rows of each label are dealt evenly, in an order drawn from their hash."""
+    named = rows.withColumn("_row", F.struct(*rows.columns)).withColumn("_draw", F.xxhash64("_row"))
+    return _numbered(named, "_draw", label).withColumn("fold", F.pmod(F.col("_rank"), F.lit(folds)).cast("int")).drop("_row", "_draw", "_rank")
+
+
+def cross_validation_folds(rows: DataFrame, label: str, group: str | None = None, folds: int = 5) -> tuple[DataFrame | None, int, str]:
+    """(rows with fold, number of folds, how). By groups if there are two or more of them, one fold for each if they are fewer than ``folds``; else by label, with at most as many folds as
+    labels or rows; (None, 0, ...) if that leaves no two folds."""
+    if group:
+        n = rows.select(F.coalesce(F.col(group).cast("string"), F.lit("unknown"))).distinct().count()
+        if n >= 2:
+            k = min(folds, n)
+            return group_folds(rows, group, k), k, "groups" if n >= folds else "one group left out"
+    k = min(folds, rows.select(label).distinct().count(), rows.count())
+    return (label_folds(rows, label, k), k, "labels") if k >= 2 else (None, 0, "too few labels")
+
+
+def cross_validate(rows: DataFrame, features: list[str], label: str = "rca_label", group: str | None = None, folds: int = 5, **settings) -> list[dict]:
+    """A dict for each fold: fold, rows, correct, accuracy of a classifier trained on the others, how. A label that the others lack counts as wrong."""
+    dealt, k, how = cross_validation_folds(training_rows(rows, label), label, group, folds)
+    if not k:
+        return []
+    dealt = saved(dealt)
+    out = []
+    for f in range(k):
+        model = train_classifier(dealt.where(F.col("fold") != f), features, label, **settings)
+        test = dealt.where(F.col("fold") == f)
+        predicted = predict(test, model, features).agg(F.count_if(F.col("predicted") == F.col(label)).alias("correct")).first()[0]
+        n = test.count()
+        out.append({"fold": f, "rows": n, "correct": predicted, "accuracy": predicted / n if n else None, "how": how})
+    return out
+
+
 def train_classifier(rows: DataFrame, features: list[str], label: str = "rca_label", trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> PipelineModel:
     stages = [StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip"), VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep"), RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed)]
     return Pipeline(stages=stages).fit(rows.na.fill(0, features))

@@ -72,24 +72,25 @@ def segment_id(session: Column, segment: Column) -> Column:
 
 
 def procedure_segments(messages: DataFrame, keys: list[str], gap: float = 10.0, restart_gap: float = 2.0, least_rows: int = 12) -> DataFrame:
-    """segment by procedure: cut at a gap, or at a start marker after a completion marker with the restart gap between them.
-
-    Whether a completion was seen depends on the last cut, so each group is folded in order. A group is one
-    signalling session (bounded by its capture); its rows fold inside the JVM."""
-    event = F.struct(F.coalesce("ts", F.lit(0.0)).alias("ts"), F.coalesce("frame_number", F.lit(0)).alias("frame"), "message_uid", predicates.start_marker(F.col("message")).alias("starts"), predicates.completion_marker(F.col("message")).alias("completes"))
-    groups = messages.groupBy(*keys).agg(F.array_sort(F.collect_list(event)).alias("events"))
-    none = F.struct(F.lit(0).alias("segment"), F.lit(None).cast("double").alias("last"), F.lit(False).alias("completed"), F.array().cast("array<struct<message_uid:bigint,segment:int>>").alias("out"))
-
-    def step(state: Column, e: Column) -> Column:
-        apart = e["ts"] - state["last"]
-        cut = F.coalesce((apart > gap) | (state["completed"] & e["starts"] & (apart > restart_gap)), F.lit(False))
-        segment = state["segment"] + cut.cast("int")
-        done = (state["completed"] & ~cut) | e["completes"]
-        return F.struct(segment.alias("segment"), e["ts"].alias("last"), done.alias("completed"), F.concat(state["out"], F.array(F.struct(e["message_uid"].alias("message_uid"), segment.alias("segment")))).alias("out"))
-
-    folded = groups.withColumn("out", F.when(F.size("events") >= least_rows, F.aggregate("events", none, step, lambda s: s["out"])).otherwise(F.transform("events", lambda e: F.struct(e["message_uid"].alias("message_uid"), F.lit(0).alias("segment")))))
-    segments = folded.select(*keys, F.explode("out").alias("s")).select(*keys, "s.message_uid", "s.segment")
-    return messages.join(segments.distinct(), [*keys, "message_uid"])
+    """segment by procedure: cut at a gap, or at a start marker after a completion marker with the restart gap between them; sessions of fewer than ``least_rows`` rows stay whole.
+
+    Whether a completion was seen since the last cut is a state of one bit, and what a row does to it is one of two functions: at a gap, and at a start marker behind the restart gap, the bit
+    becomes the row's own completion mark (cut or not, nothing older counts any more); at any other row it stays set or is set by the row. So the bit before a row is the
+    maximum of the marks since the last row of the first sort: running windows over one order, without a list of a session's rows."""
+    order = Window.partitionBy(*keys).orderBy(F.coalesce("ts", F.lit(0.0)), F.coalesce("frame_number", F.lit(0)), "message_uid")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ts = F.coalesce("ts", F.lit(0.0))
+    apart = ts - F.lag(ts).over(order)
+    no = lambda x: F.coalesce(x, F.lit(False))
+    rows = messages.withColumns({"_late": no(apart > gap), "_fresh": no(predicates.start_marker(F.col("message"))) & no(apart > restart_gap), "_done": no(predicates.completion_marker(F.col("message"))).cast("int")})
+    rows = rows.withColumn("_since", F.count_if(F.col("_late") | F.col("_fresh")).over(running))
+    since = Window.partitionBy(*keys, "_since").orderBy(*[F.coalesce("ts", F.lit(0.0)), F.coalesce("frame_number", F.lit(0)), F.col("message_uid")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_after", F.max("_done").over(since)).withColumn("_before", F.coalesce(F.lag("_after").over(order), F.lit(0)))
+    rows = rows.withColumn("_cut", (F.col("_late") | (F.col("_fresh") & (F.col("_before") == 1))).cast("int")).withColumn("segment", F.sum("_cut").over(running).cast("int"))
+    size = messages.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.count("*").alias("_rows"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    rows = rows.join(size, same).withColumn("segment", F.when(F.col("_rows") >= least_rows, F.col("segment")).otherwise(0))
+    return rows.drop("_late", "_fresh", "_done", "_since", "_after", "_before", "_cut", "_rows", *[f"_key_{k}" for k in keys])
 
 
 def epdg_aliases(messages: DataFrame, configured: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigweave.operators import learning as L
+from sigweave.operators.vectors import near_clusters
 from sigweave.plans.batch import labelled
 from sigweave.plans.testviews import GAP, SESSIONS_SQL, messages
 
@@ -99,7 +100,33 @@ def compaction(s, d):
     return L.compact(p, F.lit("2025-01-02").cast("date"), similarity=0.3).groupBy("root_cause").agg(F.count("*").alias("patterns"), F.sum("occurrence_count").alias("occurrences"))
 
 
+def sequence_clusters(s, d):
+    """Vectors that a chain of near ones connects; null stands alone."""
+    v = _vectors(s, d)
+    return near_clusters(v.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")), distance=0.55)
+
+
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+COMPACT_SQL = """WITH RECURSIVE v AS (
+  SELECT label, CAST(vec_id AS VARCHAR) AS id, round((0.5 + vec_id % 50 / 100) * 364 / 365 * 1.04, 4) AS confidence, embedding::DOUBLE[] AS e FROM embeddings
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY least(0.995, confidence) DESC, id) AS r FROM v
+), f AS (
+  SELECT label, CAST(0 AS BIGINT) AS r, CAST([] AS DOUBLE[][]) AS kept FROM (SELECT DISTINCT label FROM embeddings)
+  UNION ALL SELECT f.label, o.r, CASE WHEN len(list_filter(kept, lambda k: list_dot_product(k, o.e) / (sqrt(list_dot_product(k, k)) * sqrt(list_dot_product(o.e, o.e))) >= 0.3)) > 0 THEN kept ELSE list_append(kept, o.e) END
+  FROM f JOIN o ON o.label = f.label AND o.r = f.r + 1
+)
+SELECT CAST(label AS VARCHAR) AS root_cause, len(arg_max(kept, r)) AS patterns, 2 * max(r) AS occurrences FROM f GROUP BY label"""
+
+CLUSTERS_SQL = f"""WITH RECURSIVE n AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {_COS} >= 0.45
+), w(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT n.b, w.root FROM w JOIN n ON n.a = w.node WHERE w.root < n.b
+), c AS (
+  SELECT node, min(root) AS root FROM w GROUP BY 1
+)
+SELECT vec_id AS id, CASE WHEN vec_id IN (SELECT a FROM n) THEN root END AS cluster FROM embeddings JOIN c ON c.node = vec_id"""
+
 QUERIES = [
     ("j23_knn", knn, f"SELECT query_id, pattern_id, round(c, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, pattern_id) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id AS pattern_id, {_COS} AS c FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE r <= 5"),
     ("k05_knn_filtered", knn_blocked, f"SELECT query_id, pattern_id, round(c, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, pattern_id) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id AS pattern_id, {_COS} AS c FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0)) WHERE r <= 3"),
@@ -111,5 +138,6 @@ QUERIES = [
     ("a40_store_audit", audit, f"WITH {PATTERNS_SQL}, {_QUEUE_SQL}, x AS (SELECT (SELECT count(*) FROM pt WHERE occurrence_count <= 2) AS mv, (SELECT count(*) FROM (SELECT pattern_id FROM q WHERE validation_status = 'pending_review' GROUP BY 1 HAVING count(*) > 1)) AS dp) SELECT 'duplicate_pattern_ids' AS \"check\", 0 AS n UNION ALL SELECT 'orphan_vectors', 0 UNION ALL SELECT 'missing_vectors', mv FROM x UNION ALL SELECT 'mixed_dimensions', 0 UNION ALL SELECT 'duplicate_pending', dp FROM x"),
     ("j26_reconciliation", reconciliation, "WITH x AS (SELECT vec_id AS id, vec_id % 7 <> 0 AS own FROM embeddings), st AS (SELECT CASE WHEN vec_id % 5 = 0 THEN vec_id + 10000000 ELSE vec_id END AS id FROM embeddings), s AS (SELECT id FROM st WHERE id % 2 = 0) SELECT 'kept' AS state, id FROM x WHERE id IN (SELECT id FROM s) OR own UNION ALL SELECT 'stale', id FROM s WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT 'missing', id FROM x WHERE id NOT IN (SELECT id FROM s)"),
     ("a37_knowledge_metrics", knowledge_metrics, f"WITH {PATTERNS_SQL}, {_QUEUE_SQL} SELECT (SELECT count(*) FROM pt) AS patterns, 0 AS validated, (SELECT CAST(sum(occurrence_count) AS BIGINT) FROM pt) AS occurrences, count(*) FILTER (validation_status = 'pending_review') AS pending, count(*) FILTER (validation_status = 'approved') AS approved, count(*) FILTER (validation_status = 'rejected') AS rejected FROM q"),
-    ("m35_compaction", compaction, None),
+    ("m35_compaction", compaction, COMPACT_SQL),
+    ("m05_sequence_clusters", sequence_clusters, CLUSTERS_SQL),
 ]

@@ -84,6 +84,24 @@ def changed_rows(s, d):
     return learning.changed_rows(late, rows)
 
 
+def group_folds(s, d):
+    """Documents in five folds that no language of a source is parted by: rows, groups and, of each fold's groups, the most folds that one is in."""
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat_ws("|", "source", "lang").alias("group"))
+    dealt = models.group_folds(rows, "group", 5)
+    spread = dealt.groupBy("group").agg(F.count_distinct("fold").cast("long").alias("folds"))
+    return dealt.join(spread, "group").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("group").alias("groups"), F.max("folds").alias("folds_of_a_group"))
+
+
+FOLDS_SQL = """WITH RECURSIVE g AS (
+  SELECT n, row_number() OVER (ORDER BY n DESC) AS r FROM (SELECT count(*) AS n FROM documents GROUP BY concat_ws('|', source, lang))
+), f AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS groups
+  UNION ALL SELECT g.r, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + g.n ELSE x END), list_transform(groups, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + 1 ELSE x END) FROM f JOIN g ON g.r = f.r + 1
+), l AS (
+  SELECT unnest(load) AS n, unnest(groups) AS groups, unnest([0, 1, 2, 3, 4]) AS fold FROM (SELECT * FROM f ORDER BY r DESC LIMIT 1)
+)
+SELECT fold, n, groups, 1 AS folds_of_a_group FROM l WHERE groups > 0"""
+
 QUERIES = [
     ("w01_customer_periods", customer_activity, "WITH x AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate) AS ts, o_totalprice FROM orders), y AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY o_custkey ORDER BY ts, o_orderkey) > 7776000 THEN 1 ELSE 0 END AS cut FROM x), z AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY o_custkey ORDER BY ts, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM y) SELECT o_custkey, segment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM z GROUP BY 1, 2"),
     ("j19_latest_order", first_order_join, "SELECT l_orderkey AS line_order, l_linenumber, (SELECT arg_max(p.o_orderkey, (p.o_orderdate, p.o_orderkey)) FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate <= l_shipdate) AS latest FROM lineitem JOIN orders o ON o.o_orderkey = l_orderkey"),
@@ -91,6 +109,7 @@ QUERIES = [
     ("p29_document_addresses", document_addresses, r"SELECT doc_id, nullif(regexp_extract(text, '\b(\d{1,3}(?:\.\d{1,3}){3})\b', 1), '') AS ip, nullif(regexp_extract(text, '(\d{8,15})', 1), '') AS number FROM documents"),
     ("w10_conversation_flow", conversation_flow, "WITH x AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations) SELECT conv_id, count(*) AS turns, count(*) FILTER (before <> role) AS hops, CAST(sum(length(text)) AS BIGINT) AS chars FROM x GROUP BY 1"),
     ("k08_top_suppliers", top_suppliers, "WITH x AS (SELECT l_suppkey, s_nationkey, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) SELECT l_suppkey, revenue, s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC, l_suppkey) AS r FROM x) WHERE r <= 3"),
+    ("m22_group_folds", group_folds, FOLDS_SQL),
     ("m21_group_split", group_split, "SELECT 1 AS sides_of_a_source, CAST(sum(n) AS BIGINT) AS n, count(*) AS sources FROM (SELECT source, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)"),
     ("p36_addresses", address_ranges, f"WITH {MESSAGES_SQL} SELECT frame_number, substr(src_ip, 1, 5) = '10.0.' AS inside, 172::BIGINT * 16777216 + 16 * 65536 + CAST(split_part(dst_ip, '.', 4) AS BIGINT) AS number, 'IMS' AS dst_class, split_part(src_ip, '.', 1) || '.' || split_part(src_ip, '.', 2) || '.x.x' AS masked, '4:' || split_part(src_ip, '.', 3) || '.' || split_part(src_ip, '.', 4) AS similar FROM m"),
     ("u05_changed_rows", changed_rows, "SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders EXCEPT ALL SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1"),
