@@ -53,8 +53,15 @@ def flow_token() -> Column:
     return F.coalesce("message", F.when(F.col("protocol") == "SIP", F.coalesce("method", "status_code")), "protocol")
 
 
+def flow_summary(messages: DataFrame, keys: list[str] = KEY, k: int = 10) -> DataFrame:
+    """(keys, flow): the first k distinct tokens of each session in order. What is gathered of a session is its distinct tokens, however many messages it has."""
+    first = messages.select(*keys, flow_token().alias("token"), order().alias("at")).where("token is not null").groupBy(*keys, "token").agg(F.min("at").alias("at"))
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("at", "token"))), 1, k)
+    return first.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["token"]), " → ").alias("flow"))
+
+
 def refresh(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """The session record. One shuffle on the session key; every flag, pick and list comes from the same aggregation."""
+    """The session record. Every flag, pick and set comes from one aggregation on the session key; the flow is put together from the first place of each distinct token."""
     p = F.col("protocol")
     sip = p == "SIP"
     dia = p == "DIAMETER"
@@ -65,7 +72,6 @@ def refresh(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
     core_ok, core_bad = predicates.core_success(p, F.col("cause_code")), predicates.core_failure(p, F.col("cause_code"))
     nas_ok, nas_bad = predicates.nas_success(p, F.col("message")), predicates.nas_failure(p, F.col("message"))
     failed = F.coalesce("is_failure", F.lit(False))
-    ordered = F.array_sort(F.collect_list(F.struct(order().alias("o"), flow_token().alias("token"))))
     aggregates = {
         "start_ts": F.min("ts"), "end_ts": F.max("ts"), "messages": F.count("*"),
         "protocols": F.array_sort(F.collect_set("protocol")), "technologies": F.array_sort(F.collect_set("technology")),
@@ -74,7 +80,6 @@ def refresh(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
         "imsi": first_of("imsi"), "msisdn": first_of("msisdn"), "call_id": first_of("call_id"), "apn": first_of("apn"), "framed_ip": first_of("framed_ip"),
         "calling": first_of(fields.uri_user("from_uri"), sip), "called": first_of(fields.uri_user("to_uri"), sip),
         "q850": last_of(fields.q850_cause("reason"), sip), "first_message": first_of("message", ~p.isin(*TRANSPORT)), "last_message": last_of("message", ~p.isin(*TRANSPORT)),
-        "flow": F.array_join(F.slice(F.array_distinct(F.transform(ordered, lambda x: x["token"])), 1, 10), " → "),
         "sip_count": F.count_if(sip), "dia_count": F.count_if(dia), "inap_count": F.count_if(p == "INAP"), "gtp_count": F.count_if(p == "GTP"), "http_count": F.count_if(p == "HTTP"),
         "invites": F.count_if(sip & (F.col("method") == "INVITE")), "has_invite": method("INVITE"), "has_bye": method("BYE"), "has_cancel": method("CANCEL"),
         "has_180": status("180"), "has_183": status("183"), "has_200": status("200"),
@@ -101,6 +106,7 @@ def refresh(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
         "pfcp_count": F.count_if(p == "PFCP"), "pfcp_failures": F.count_if((p == "PFCP") & (core_bad | text.rlike("REJECT|FAIL|NOT FOUND|MISSING|ERROR"))),
     }
     out = messages.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
+    out = out.join(flow_summary(messages, keys), keys, "left").withColumn("flow", F.coalesce("flow", F.lit("")))
     return out.withColumns({"duration_ms": F.bround((F.col("end_ts") - F.col("start_ts")) * 1000, 3), "time_to_failure_ms": F.bround((F.col("failure_ts") - F.col("start_ts")) * 1000, 3)})
 
 

@@ -36,14 +36,30 @@ def supported(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in wanted])
 
 
-def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table, or an empty one of the schema if there is none."""
+def optional(spark: SparkSession, path: str, schema: str, fallback: str | None = None) -> DataFrame:
+    """A Parquet table; if there is none, the one at ``fallback``, or an empty one of the schema. Any other error is raised."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return optional(spark, fallback, schema) if fallback else spark.createDataFrame([], schema)
+
+
+def load_collections(spark: SparkSession, paths: dict[str, str], columns: list[str], capture_id: str) -> DataFrame:
+    """(capture_id, protocol, fields) of several protocols' decoded rows, by the path of each; a protocol without a file has no rows."""
+    from pyspark.errors import AnalysisException
+
+    parts = []
+    for protocol, path in paths.items():
+        try:
+            parts.append(decoded_rows(scan_decoded(spark, path, columns), capture_id, protocol))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "capture_id string, protocol string, fields map<string,string>")
 
 
 def union_protocols(parts: list[DataFrame]) -> DataFrame:

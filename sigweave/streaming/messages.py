@@ -57,29 +57,46 @@ def label_batches(messages: DataFrame, out: str, checkpoint: str, gap: float = 1
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def procedure_segments(messages: DataFrame, key: str = "session_id", gap: float = 10.0, restart_gap: float = 2.0, delay: str = "1 minute") -> DataFrame:
-    """(key, message_uid, segment): the rule of the batch operator, with what it remembers of a session kept as state."""
+def procedure_segments(messages: DataFrame, key: str = "session_id", gap: float = 10.0, restart_gap: float = 2.0, delay: str = "1 minute", keep: float = 86_400.0) -> DataFrame:
+    """(key, message_uid, segment): the rule of the batch operator (without its least size), with what it remembers of a session kept as state.
+
+    The state is three numbers, so a session is remembered for ``keep`` seconds after its last message, not for a gap only: when it goes on, its segments are counted on as in a batch. A
+    timer then forgets it. Within a micro-batch, messages are taken in order; ones later than the watermark are not seen. Needs the RocksDB state store, which is set if Spark's default is."""
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql.streaming import StatefulProcessor
 
     from sigweave.functions.predicates import completion_marker, start_marker
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        segment, last, completed = state.get if state.exists else (0, float("nan"), False)
-        rows = pd.concat(list(frames)).sort_values(["ts", "message_uid"])
-        out = []
-        for ts, uid, starts, completes in rows[["ts", "message_uid", "starts", "completes"]].itertuples(index=False):
-            apart = ts - last
-            if apart > gap or (completed and starts and apart > restart_gap):
-                segment, completed = segment + 1, False
-            completed, last = completed or bool(completes), ts
-            out.append((k[0], uid, segment))
-        state.update((segment, float(last), bool(completed)))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max() * 1000 + gap * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "message_uid", "segment"])
-
+    class Segments(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("at", "segment int, last double, completed boolean")
+
+        def handleInputRows(self, k, frames: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+            segment, last, completed = self.state.get() if self.state.exists() else (0, float("nan"), False)
+            rows = pd.concat(list(frames)).sort_values(["ts", "message_uid"])
+            out = []
+            for ts, uid, starts, completes in rows[["ts", "message_uid", "starts", "completes"]].itertuples(index=False):
+                apart = ts - last
+                if apart > gap or (completed and starts and apart > restart_gap):
+                    segment, completed = segment + 1, False
+                completed, last = completed or bool(completes), ts
+                out.append((k[0], uid, segment))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(int((last + keep) * 1000), timers.getCurrentWatermarkInMs() + 1))
+            self.state.update((segment, float(last), bool(completed)))
+            yield pd.DataFrame(out, columns=[key, "message_uid", "segment"])
+
+        def handleExpiredTimer(self, k, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+            self.state.clear()
+            yield pd.DataFrame({key: pd.Series(dtype=str), "message_uid": pd.Series(dtype="int64"), "segment": pd.Series(dtype="int32")})
+
+        def close(self) -> None:
+            pass
+
+    conf = messages.sparkSession.conf
+    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass"):
+        conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     marked = messages.withWatermark("event_time", delay).select(key, "event_time", "ts", "message_uid", start_marker(F.col("message")).alias("starts"), completion_marker(F.col("message")).alias("completes"))
-    return marked.groupBy(key).applyInPandasWithState(step, f"{key} string, message_uid long, segment int", "segment int, last double, completed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy(key).transformWithStateInPandas(Segments(), f"{key} string, message_uid long, segment int", "Append", "EventTime")
