@@ -35,6 +35,31 @@ def framed_ip_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(*KEYS, "message_uid", "strategy", "score")
 
 
+def _user(imsi="imsi"):
+    return F.substring(imsi, 6, 10).cast("long")
+
+
+def _octets(first: str, u):
+    return F.concat(F.lit(first), F.expr("_u div 256").cast("string"), F.lit("."), (u % 256).cast("string"))
+
+
+def arbitrated_strategies(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and Diameter rows by the best strategy of each call. The seven kinds of subscribers show the strategies one identity each: framed address, similar address,
+    outer address, number, end of the number, a number that leads to an IMSI, an access point with the number; a call that none finds takes what is near in time."""
+    s, rows = calls(spark, folder)
+    number = F.concat(F.lit("49170"), F.lpad(F.col("_u").cast("string"), 7, "0"))
+    s = s.withColumn("_u", _user()).withColumn("msisdn", number)
+    ips = s.select(*KEYS, F.posexplode(F.array("framed_ip", _octets("192.168.", F.col("_u")))).alias("rank", "ip"))
+    kind = F.col("_u") % 7
+    dia = rows.where("protocol = 'DIAMETER'").withColumn("_u", _user())
+    dia = dia.withColumns({
+        "framed_ip": F.when(kind == 0, F.col("framed_ip")).when(kind == 1, _octets("11.99.", F.col("_u"))), "src_ip": F.when(kind == 2, _octets("192.168.", F.col("_u"))).otherwise(F.lit("203.0.113.1")), "dst_ip": F.lit("203.0.113.2"),
+        "msisdn": F.when((kind == 3) | ((kind == 5) & (F.col("k") % 5 == 0)), number).when(kind == 4, F.concat(F.lit("33"), F.right(number, F.lit(8)))), "imsi": F.when(kind == 5, F.col("imsi")), "apn": F.when(kind == 6, F.concat(F.lit("IMS."), number, F.lit(".net"))),
+    })
+    found = strategies.diameter_fusion(s, ips, dia, WINDOW, called=s.select(*KEYS, F.col("msisdn").alias("called")))
+    return found.select(*KEYS, "message_uid", "strategy", "score")
+
+
 def gtp_fusion(spark: SparkSession, folder: str) -> DataFrame:
     s, rows = calls(spark, folder)
     ips = s.select(*KEYS, F.col("framed_ip").alias("ip"), F.lit(0).alias("rank"))
@@ -158,9 +183,33 @@ SELECT x.capture_id, name AS session_id, min(ts) AS start_ts, max(ts) AS end_ts,
   count(*) FILTER (protocol = 'GTP') AS gtp_count, count(*) FILTER (protocol = 'HTTP') AS http_count
 FROM seeded x JOIN named USING (capture_id, session_id) GROUP BY 1, 2"""
 
+STRATEGIES_SQL = f"""WITH {CALLS_SQL}, c AS (
+  SELECT *, CAST(substr(imsi, 6) AS BIGINT) AS u, '49170' || lpad(CAST(CAST(substr(imsi, 6) AS BIGINT) AS VARCHAR), 7, '0') AS number FROM calls
+), d0 AS (
+  SELECT capture_id, frame_number AS uid, ts, k, user_id AS u, imsi, framed_ip, '49170' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS number FROM m WHERE protocol = 'DIAMETER'
+), d AS (
+  SELECT capture_id, uid, ts, CASE u % 7 WHEN 0 THEN framed_ip WHEN 1 THEN '11.99.' || (u // 256) || '.' || (u % 256) END AS framed, CASE WHEN u % 7 = 2 THEN '192.168.' || (u // 256) || '.' || (u % 256) END AS outer_ip,
+    CASE WHEN u % 7 = 3 OR (u % 7 = 5 AND k % 5 = 0) THEN number WHEN u % 7 = 4 THEN '33' || right(number, 8) END AS msisdn, CASE WHEN u % 7 = 5 THEN imsi END AS imsi, CASE WHEN u % 7 = 6 THEN 'ims.' || number || '.net' END AS apn FROM d0
+), bridge AS (
+  SELECT capture_id, msisdn, arg_min(imsi, ts) AS imsi FROM d WHERE msisdn IS NOT NULL AND imsi IS NOT NULL GROUP BY 1, 2
+), near AS (
+  SELECT c.capture_id, c.session_id, c.framed_ip, c.number, c.u, d.*, b.imsi AS bridged FROM c JOIN d ON d.capture_id = c.capture_id AND d.ts BETWEEN c.start_ts - 3600 AND c.end_ts + 3600 LEFT JOIN bridge b ON b.capture_id = c.capture_id AND b.msisdn = c.number
+), tail AS (
+  SELECT *, split_part(framed, '.', 3) || '.' || split_part(framed, '.', 4) = (u // 256) || '.' || (u % 256) AS alike FROM near
+), cand AS (
+  SELECT capture_id, session_id, uid, CASE WHEN framed = framed_ip THEN 110 WHEN alike THEN 108 WHEN outer_ip = '192.168.' || (u // 256) || '.' || (u % 256) THEN 85 WHEN msisdn = number THEN 80 WHEN right(msisdn, 8) = right(number, 8) THEN 78 WHEN imsi = bridged THEN 75 WHEN contains(apn, number) THEN 70 ELSE 50 END AS score FROM tail
+), best AS (
+  SELECT capture_id, session_id, max(score) AS score FROM cand GROUP BY 1, 2
+), every AS (
+  SELECT capture_id, session_id, uid, score FROM cand UNION SELECT capture_id, session_id, uid, 108 FROM tail WHERE alike UNION SELECT capture_id, session_id, uid, 78 FROM tail WHERE right(msisdn, 8) = right(number, 8) UNION SELECT capture_id, session_id, uid, 75 FROM tail WHERE imsi = bridged
+)
+SELECT DISTINCT capture_id, session_id, uid AS message_uid, score, CASE score WHEN 110 THEN 'framed_ip_fusion' WHEN 108 THEN 'framed_ip_nat_similarity' WHEN 85 THEN 'ip_layer_match' WHEN 80 THEN 'msisdn_exact' WHEN 78 THEN 'msisdn_suffix' WHEN 75 THEN 'imsi_bridge' WHEN 70 THEN 'apn_match' ELSE 'time_cluster' END AS strategy
+FROM every JOIN best USING (capture_id, session_id, score)"""
+
 QUERIES = [
     ("a04_seed_sessions", seed_sessions, f"WITH {MESSAGES_SQL} SELECT capture_id, CASE protocol WHEN 'SIP' THEN 'sip:' || call_id WHEN 'DIAMETER' THEN 'diameter:dia-' || user_id WHEN 'GTP' THEN 'gtp:' || teid ELSE lower(protocol) || ':' || imsi END AS session_id, count(*) AS messages FROM m GROUP BY 1, 2"),
     ("j04_framed_ip_join", framed_ip_join, f"WITH {CALLS_SQL} SELECT c.capture_id, c.session_id, m.frame_number AS message_uid, 'framed_ip_fusion' AS strategy, 110 AS score FROM calls c JOIN m ON m.capture_id = c.capture_id AND m.framed_ip = c.framed_ip AND m.protocol = 'DIAMETER' AND m.ts BETWEEN c.start_ts - 3600 AND c.end_ts + 3600"),
+    ("j12_arbitrated_strategies", arbitrated_strategies, STRATEGIES_SQL),
     ("j13_gtp_fusion", gtp_fusion, f"WITH {CALLS_SQL} SELECT c.capture_id, c.session_id, m.frame_number AS message_uid, 'imsi_fusion' AS strategy FROM calls c JOIN m ON m.capture_id = c.capture_id AND m.imsi = c.imsi AND m.protocol = 'GTP' AND m.ts BETWEEN c.start_ts - 3600 AND c.end_ts + 3600"),
     ("j11_time_cluster", time_cluster, f"WITH {CALLS_SQL} SELECT c.capture_id, c.session_id, m.frame_number AS message_uid FROM calls c JOIN m ON m.capture_id = c.capture_id AND m.protocol = 'GTP' AND m.ts BETWEEN c.start_ts - 600 AND c.end_ts + 600"),
     ("j15_endpoint_semi_join", endpoint_semi_join, f"WITH {CALLS_SQL}, ends AS (SELECT DISTINCT capture_id, call_id AS session_id, unnest([src_ip, dst_ip]) AS ip FROM m WHERE protocol = 'SIP') SELECT DISTINCT c.capture_id, c.session_id, m.frame_number AS message_uid FROM calls c JOIN ends e USING (capture_id, session_id) JOIN m ON m.capture_id = c.capture_id AND m.protocol = 'HTTP' AND (m.src_ip = e.ip OR m.dst_ip = e.ip) AND m.ts BETWEEN c.start_ts - 600 AND c.end_ts + 600"),

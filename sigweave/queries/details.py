@@ -97,8 +97,8 @@ EVIDENCE_SQL = FEATURES_SQL + """, eo AS (
 ), em AS (
   SELECT capture_id, session_id, list('slow_gap:' || protocol || ':' || message ORDER BY seq) FILTER (gap_ms >= 3600000) AS slow FROM ph GROUP BY 1, 2
 ), ex AS (
-  SELECT ft.*, slow, list_filter(['Final SIP response: ' || final_sip_code, 'Call flow: ' || flow, CASE WHEN end_ts > start_ts THEN 'Duration: ' || CAST(floor(round((end_ts - start_ts) * 1000, 3)) AS BIGINT) || 'ms' END, CASE WHEN charging_failed THEN 'Diameter charging failure' END,
-    CASE WHEN NOT has_cancel AND final_sip_code = '487' THEN 'No CANCEL present: the user did not hang up' END, CASE WHEN (failure_ts - start_ts) * 1000 > 15000 THEN 'Time to failure: ' || CAST(floor(round((failure_ts - start_ts) * 1000, 3)) AS BIGINT) || 'ms, as of an expired timer' END], lambda v: v IS NOT NULL) AS evidence
+  SELECT ft.*, slow, list_filter([CASE WHEN NOT has_cancel AND final_sip_code = '487' THEN 'ended with 487 though neither side sent CANCEL' END, CASE WHEN round((failure_ts - start_ts) * 1000, 3) > 15000 THEN 'the first failure came ' || CAST(floor(round((failure_ts - start_ts) * 1000, 3)) AS BIGINT) || ' ms after the start' END,
+    CASE WHEN charging_failed THEN 'charging was refused in ' || dia_failures || ' failed Diameter answers' END, 'the last final answer was ' || final_sip_code, CASE WHEN end_ts > start_ts THEN 'it took ' || CAST(floor(round((end_ts - start_ts) * 1000, 3)) AS BIGINT) || ' ms' END, 'its steps were ' || flow], lambda v: v IS NOT NULL) AS evidence
   FROM ft JOIN ef USING (capture_id, session_id) JOIN em USING (capture_id, session_id)
 )"""
 
@@ -170,6 +170,6 @@ QUERIES = [
     ("m28_evidence", evidence_lists, f"WITH {EVIDENCE_SQL} SELECT capture_id, session_id, array_to_string(evidence, '; ') AS evidence FROM ex"),
     ("m29_ladder", ladder, f"WITH {EVIDENCE_SQL}, {LADDER_SQL} SELECT capture_id, session_id, step, protocol, label, from_entity, to_entity, status FROM ld"),
     ("m38_explanation_rows", explanation_rows, f"WITH {EVIDENCE_SQL}, {LADDER_SQL}, {EXPLAINED_SQL} SELECT capture_id, session_id, rca_label, confidence_pct, CAST(len(evidence) AS INT) AS evidence, coalesce(features, '') AS features, coalesce(ladder_steps, 0) AS ladder_steps, coalesce(failed_steps, 0) AS failed_steps FROM ex LEFT JOIN cf USING (capture_id, session_id) LEFT JOIN ls USING (capture_id, session_id)"),
-    ("r16_narrative", narratives, f"WITH {EVIDENCE_SQL} SELECT capture_id, session_id, call_type || ' analysis indicates ' || lower(replace(rca_label, '_', ' ')) || '. Key evidence: ' || array_to_string(evidence[1:3], '; ') || '.' || CASE WHEN len(slow) > 0 THEN ' Slow steps: ' || array_to_string(slow[1:2], '; ') || '.' ELSE '' END AS narrative FROM ex"),
+    ("r16_narrative", narratives, f"WITH {EVIDENCE_SQL} SELECT capture_id, session_id, concat_ws(' | ', lower(replace(rca_label, '_', ' ')) || ' (' || call_type || '): ' || evidence[1], CASE WHEN len(evidence) > 1 THEN 'also ' || array_to_string(evidence[2:3], ', ') END, CASE WHEN len(slow) > 0 THEN 'waits at ' || array_to_string(slow[1:2], ', ') END) AS narrative FROM ex"),
     ("p48_session_context", contexts, f"WITH {FEATURES_SQL}, v AS (SELECT capture_id, session_id, arg_min(CASE k % 16 WHEN 3 THEN 'NOKIA' ELSE 'HUAWEI' END, {_ORDER}) FILTER (k % 16 IN (3, 5)) AS a, bool_or(k % 16 = 7) AS b FROM s GROUP BY 1, 2) SELECT capture_id || CASE WHEN capture_id = 'cap-3' THEN '-visited' ELSE '' END AS capture_id, session_id, CASE WHEN capture_id = 'cap-3' THEN 'ROAMING' ELSE 'HOME' END AS network_scope, coalesce(a, CASE WHEN b THEN 'ERICSSON' END, 'UNKNOWN') AS vendor, array_to_string(protocols, ',') AS protocols, call_type FROM ft JOIN v USING (capture_id, session_id)"),
 ]
