@@ -26,4 +26,4 @@ def test_query(spark, con, name, query, sql):
     if sql:
         compare(spark, con, query, sql, FOLDER)
     else:
-        assert query(spark, FOLDER).columns
+        assert query(spark, FOLDER).count() > 0

@@ -1,5 +1,6 @@
 """Vectors in blocks, folds, expected sessions and procedure segments against plain versions."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from sigweave.operators import evaluation, learning, models, seeds, vectors
+from sigweave.operators import evaluation, learning, models, scoring, seeds, vectors
 
 COMPLETE, START, OTHER = "Attach Complete", "Attach Request", "Measurement"
 
@@ -152,3 +153,23 @@ def test_cross_validation_by_group(spark):
     found = models.cross_validate(spark.createDataFrame(rows, "capture string, rca_label string, x double, y double"), ["x", "y"], group="capture", trees=5, depth=2)
     assert [(r["fold"], r["rows"], r["how"]) for r in found] == [(0, 20, "one group left out"), (1, 20, "one group left out"), (2, 20, "one group left out")]
     assert all(r["accuracy"] == 1.0 for r in found)
+
+
+def plain_embedding(r):
+    tokens = [f"proto:{x}" for x in r["protocols"]] + [f"tech:{x}" for x in r["technologies"]] + [f"seq:{x}" for x in r["sequence"][:20]] + [f"rca:{r['rca_label']}", f"fail:{r['signature'] or 'unknown'}"] + [f"timer:{x}" for x in r["timer_anomalies"] or []]
+    v = np.zeros(scoring.DIMENSIONS)
+    for token in tokens:
+        h = hashlib.sha256(token.encode()).digest()
+        v[h[0] % scoring.DIMENSIONS] += (1 if h[1] % 2 == 0 else -1) * (1 + h[2] / 255)
+    numbers = [r["duration_ms"] / 10000, r["dia_failure_count"], r["inap_count"], r["protocol_count"], r["technology_count"], r["cross_protocol_hops"], r["timer_anomaly_count"]]
+    v[: len(numbers)] += numbers
+    return v / np.linalg.norm(v)
+
+
+def test_embedding_equals_plain(spark):
+    schema = "session_id string, protocols array<string>, technologies array<string>, sequence array<string>, rca_label string, signature string, timer_anomalies array<string>, duration_ms double, dia_failure_count int, inap_count int, protocol_count int, technology_count int, cross_protocol_hops int, timer_anomaly_count int"
+    rows = [("a", ["SIP", "GTP"], ["IMS"], [f"SIP:{i}" for i in range(30)], "NORMAL_CALL", None, None, 12345.5, 0, 1, 2, 1, 3, 0), ("b", [], [], [], "UNKNOWN", "é:1", ["slow_gap:SIP:x", "slow_gap:SIP:x"], 0.0, 2, 0, 0, 0, 0, 2)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["session_id"]: r["embedding"] for r in scoring.embedding(df, ["session_id"]).collect()}
+    for r in df.collect():
+        assert np.allclose(got[r["session_id"]], plain_embedding(r), atol=1e-6)
