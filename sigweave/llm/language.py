@@ -8,8 +8,8 @@ corrected for the filter's false positives, decides; ties go to the language tha
 what texts get whose n-grams no language has (with score 0).
 
 Spark sets the filters' bits; only the cells reach the driver, whose number is a parameter. All labelled rows
-that are given are learned from, and no n-gram is left out: the more there are, the more false positives
-there are to correct for.
+that are given are learned from, and of the n-grams only those are left out of a language's filter that another
+language uses more than 1 / ``share`` times as often: the more there are, the more false positives there are to correct for.
 
 Results for odd input: null texts and texts without letters are ``und`` with score 0, as is every
 text when there was nothing to learn from; repeated rows are judged each by itself; rows without a
