@@ -146,7 +146,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def greedy_merge(pairs: DataFrame, sessions: DataFrame, threshold: int = MERGE_AT) -> DataFrame:
-    """The order-dependent fold, per capture: each session in order of start goes to the best host so far. For captures of a bounded size, and to hold ``merge_clusters`` against."""
+    """The fold of ``merge_clusters``, per capture: each session in order of its id goes to the best host before it. For captures of a bounded size, and to hold ``merge_clusters`` against."""
     import pandas as pd
 
     rows = sessions.select("capture_id", "session_id", "start_ts").join(pairs.where(F.col("score") >= threshold).groupBy("capture_id", F.col("b").alias("session_id")).agg(F.collect_list(F.struct("score", "a")).alias("hosts")), ["capture_id", "session_id"], "left")
