@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigweave.queries import analytics, correlation, details, evaluation, feedback, graphs, learning, normalization, rca, scoring, tables
+from sigweave.queries import analytics, correlation, details, evaluation, families, feedback, graphs, learning, normalization, rca, scoring, tables
 
-_ALL = [q for module in (normalization, correlation, rca, scoring, details, analytics, graphs, learning, evaluation, feedback, tables) for q in module.QUERIES]
+_ALL = [q for module in (normalization, correlation, rca, families, scoring, details, analytics, graphs, learning, evaluation, feedback, tables) for q in module.QUERIES]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -41,6 +41,48 @@ def capture_summary(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     return by.join(outcome, "capture_id", "left")
 
 
+# Names of families in a breakdown (others by their own), and the transport families, which say least.
+SHOWN = {"DIAMETER": "Diameter", "MAP": "GSM MAP", "TCP": "TCP/SCTP", "SCTP": "TCP/SCTP"}
+# What a capture is called by the families that it has: all of these, any of these, none of these.
+TRACE_TYPES = [
+    ("IMS call trace", ["SIP", "DIAMETER"], [], []), ("RADIUS AAA trace", ["RADIUS"], [], ["SIP", "DIAMETER"]), ("Multi-RAT 5G/4G signalling trace", ["NGAP", "S1AP"], [], []), ("5G signalling trace", [], ["NGAP", "PFCP"], []),
+    ("LTE/4G signalling trace", [], ["S1AP", "GTP"], []), ("3G signalling trace", ["RANAP"], [], []), ("2G signalling trace", ["BSSAP"], [], []), ("HTTP/HTTPS service trace", ["HTTP"], [], []),
+]
+SCENARIOS = [
+    ("IMS registration and mobile-originated VoIP call over a converged 5G/4G core", ["SIP", "DIAMETER"], ["NGAP", "S1AP"], []), ("IMS registration and voice signalling validation", ["SIP", "DIAMETER"], [], []),
+    ("RADIUS authentication, authorization, and accounting validation", ["RADIUS"], [], []), ("Packet-core session establishment and bearer validation", ["PFCP", "GTP"], [], []), ("Multi-RAT signalling and interworking validation", ["NGAP", "S1AP"], [], []),
+]
+
+
+def capture_details(messages: DataFrame, sessions: DataFrame, keys: tuple = ("capture_id",)) -> DataFrame:
+    """One row per capture: trace_type, scenario, dominant family, top four protocols, technologies, headline, window, frames, sessions, subscribers.
+
+    The dominant family is the most frequent one that is not transport, by distinct frames, ties by name; a capture of transport alone is named by its first protocol. What is
+    gathered of a capture is its protocols and technologies, a few dozen names."""
+    keys = list(keys)
+    p = F.coalesce("protocol", F.lit("UNKNOWN"))
+    shown = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SHOWN.items() for x in kv]), p), p)
+    counts = messages.groupBy(*keys, p.alias("_p"), shown.alias("_shown")).agg(F.count("*").alias("_n"))
+    place = F.struct((-F.col("_n")).alias("n"), F.col("_p").alias("p"))
+    top = counts.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(place)), 1, 4).alias("_top"), F.collect_set("_p").alias("_have"))
+    families = messages.where(shown != "TCP/SCTP").groupBy(*keys, shown.alias("_shown")).agg(F.count_distinct("frame_number").alias("_frames"))
+    best = families.groupBy(*keys).agg(F.min_by("_shown", F.struct((-F.col("_frames")).alias("n"), F.col("_shown"))).alias("_best"))
+    window = messages.groupBy(*keys).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count_distinct("frame_number").alias("frames"), F.count_distinct("imsi").alias("subscribers"), F.array_sort(F.collect_set("technology")).alias("_tech"))
+    rows = window.join(top, keys).join(best, keys, "left").join(sessions.groupBy(*keys).agg(F.count("*").alias("sessions")), keys, "left")
+    has = lambda name: F.array_contains("_have", name)
+
+    def holds(every: list[str], some: list[str], none: list[str]) -> Column:
+        tests = [has(x) for x in every] + [~has(x) for x in none] + ([reduce(lambda a, b: a | b, [has(x) for x in some])] if some else [])
+        return reduce(lambda a, b: a & b, tests)
+
+    named = lambda table, other: reduce(lambda w, t: w.when(holds(*t[1:]), t[0]), table[1:], F.when(holds(*table[0][1:]), table[0][0])).otherwise(other)
+    listed = F.transform("_top", lambda x: x["p"])
+    trace = named(TRACE_TYPES, "Mixed telecom trace")
+    headline = F.concat(trace, F.lit(" with "), F.array_join(F.slice(listed, 1, 2), ", "), F.lit(" activity across "), F.coalesce(F.nullif(F.array_join(F.slice("_tech", 1, 3), ", "), F.lit("")), F.lit("unknown technologies")))
+    return rows.select(*keys, trace.alias("trace_type"), named(SCENARIOS, "Telecom signalling and service validation").alias("scenario"), F.coalesce("_best", F.get(listed, F.lit(0))).alias("dominant_protocol"), F.array_join(listed, ",").alias("top_protocols"),
+        F.array_join("_tech", ",").alias("technologies"), headline.alias("headline"), "start_ts", "end_ts", "frames", "subscribers", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+
+
 def top_pairs(messages: DataFrame) -> DataFrame:
     """The busiest pair of addresses of each capture and protocol."""
     counts = messages.groupBy("capture_id", "protocol", "src_ip", "dst_ip").agg(F.count("*").alias("n"))

@@ -93,6 +93,42 @@ def procedure_segments(messages: DataFrame, keys: list[str], gap: float = 10.0,
     return rows.drop("_late", "_fresh", "_done", "_since", "_after", "_before", "_cut", "_rows", *[f"_key_{k}" for k in keys])
 
 
+# Families whose messages are cut by procedure.
+LEGACY, BY_PROCEDURE = ["RANAP", "MAP"], ["NAS_EPS", "S1AP", "SCTP", "UDP"]
+
+
+def named_subscriber() -> Column:
+    """The first subscriber identity with its kind: IMSIs have 14 to 16 digits, other numbers are MSISDNs."""
+    value = F.regexp_replace(subscriber_key(), "^(imsi|msisdn)-", "")
+    return F.when(value.rlike("^[0-9]{14,16}$"), F.concat(F.lit("imsi:"), value)).when(value.rlike("^[0-9]+$"), F.concat(F.lit("msisdn:"), value)).otherwise(F.concat(F.lit("id:"), value))
+
+
+def generic_key() -> Column:
+    """The key of a message of no call family: service and 5G messages go by subscriber, tunnels of IKEv2 by subscriber or inner address, all others by transaction first."""
+    p, who = F.col("protocol"), named_subscriber()
+    inner = F.when(F.size("ike_inner_ips") > 0, F.array_min("ike_inner_ips"))
+    chosen = F.when(F.col("sbi_service").isNotNull() & who.isNotNull(), F.concat(F.lit("sbi:"), who)).when((p == "NAS_5GS") & who.isNotNull(), F.concat(F.lit("5gs:"), who)).when(p == "IKEV2", F.coalesce(who, inner, "transaction_id", "stream_id"))
+    return F.coalesce(chosen.otherwise(F.coalesce("transaction_id", "seid", who, "stream_id")), peer_key())
+
+
+def generic_sessions(messages: DataFrame, gap: float = 10.0, restart_gap: float = 2.0, legacy_restart_gap: float = 0.5, least_rows: int = 12, k: int = 8) -> DataFrame:
+    """(capture_id, session_id, calling, called, start_ts, end_ts, messages, flow): sessions of captures without any call family, named by protocol and key and cut by procedure.
+
+    A session has one protocol, so that each protocol's way of cutting is applied to its own rows. Calling is the first source, called the last destination, flow the first k messages."""
+    keys = ["capture_id", "session_id"]
+    rows = messages.withColumn("session_id", F.concat_ws(":", F.coalesce("protocol", F.lit("GENERIC")), generic_key()))
+    p = F.coalesce("protocol", F.lit(""))
+    legacy = procedure_segments(rows.where(p.isin(LEGACY)), keys, gap, legacy_restart_gap, 0)
+    cut = procedure_segments(rows.where(p.isin(BY_PROCEDURE)), keys, gap, restart_gap, least_rows)
+    whole = rows.where(~p.isin(LEGACY + BY_PROCEDURE)).withColumn("segment", F.lit(0))
+    parts = legacy.unionByName(cut).unionByName(whole).withColumn("session_id", segment_id(F.col("session_id"), F.col("segment")))
+    at = F.struct(F.coalesce("ts", F.lit(0.0)).alias("ts"), F.coalesce("frame_number", F.lit(0)).alias("frame"), F.col("message_uid").alias("uid"))
+    out = parts.groupBy(*keys).agg(F.min_by("src_ip", at).alias("calling"), F.max_by("dst_ip", at).alias("called"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("messages"))
+    first = parts.withColumn("_at", at).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))).where(F.col("_n") <= k)
+    told = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.coalesce("message", "protocol").alias("text")))), lambda x: x["text"]), " → ").alias("flow"))
+    return out.join(told, keys)
+
+
 def epdg_aliases(messages: DataFrame, configured: DataFrame | None = None) -> DataFrame:
     """(capture_id, outer_ip, inner_ip): configured aliases, and inferred ones of outer addresses with one inner address only."""
     tunnels = messages.where((F.col("protocol") == "IKEV2") & (F.size("ike_inner_ips") > 0))

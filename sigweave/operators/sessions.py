@@ -110,6 +110,16 @@ def refresh(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return out.withColumns({"duration_ms": F.bround((F.col("end_ts") - F.col("start_ts")) * 1000, 3), "time_to_failure_ms": F.bround((F.col("failure_ts") - F.col("start_ts")) * 1000, 3)})
 
 
+# Families beside the call families that a session's messages are counted by.
+BUCKETS = ["HTTP", "IKEV2", "TCP", "UDP", "SCTP", "DNS", "ICMP", "S1AP", "NGAP", "RANAP", "BSSAP", "MAP", "NAS_EPS", "NAS_5GS", "PFCP", "RADIUS"]
+
+
+def family_counts(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """(keys, http, ikev2, ...): how many messages of each family a session has; families in any case, others count for none."""
+    p = F.upper("protocol")
+    return messages.groupBy(*keys).agg(*[F.count_if(p == b).alias(b.lower()) for b in BUCKETS])
+
+
 def tokens(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """(keys, kind, token): the distinct identities, addresses and endpoints of each session, for joins between sessions."""
     one = lambda kind, x: F.array(F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("token")))
