@@ -23,6 +23,7 @@ NAMES = {
     "radius_acct": {"1": "Start", "2": "Stop", "3": "Interim-Update", "7": "Accounting-On", "8": "Accounting-Off"},
     "ike_exchange": {"34": "IKE_SA_INIT", "35": "IKE_AUTH", "36": "CREATE_CHILD_SA", "37": "INFORMATIONAL", "38": "IKE_SESSION_RESUME"},
     "ike_notify": {"7": "INVALID_SYNTAX", "14": "NO_PROPOSAL_CHOSEN", "24": "AUTHENTICATION_FAILED", "36": "INTERNAL_ADDRESS_FAILURE", "38": "TS_UNACCEPTABLE", "43": "TEMPORARY_FAILURE", "44": "CHILD_SA_NOT_FOUND", "16388": "NAT_DETECTION_SOURCE_IP", "16389": "NAT_DETECTION_DESTINATION_IP"},
+    "inap": {"0": "InitialDP", "1": "OriginationAttemptAuthorized", "2": "CollectedInformation", "3": "RouteSelectFailure", "4": "OCalledPartyBusy", "5": "ONoAnswer", "6": "OAnswer", "7": "ODisconnect", "20": "Connect", "22": "ReleaseCall", "23": "RequestReportBCSMEvent", "24": "EventReportBCSM", "29": "Continue", "31": "InitiateCallAttempt", "40": "ApplyChargingReport", "41": "ApplyCharging", "43": "CallInformationReport", "46": "ConnectToResource", "48": "DisconnectForwardConnection", "60": "PlayAnnouncement", "63": "PromptAndCollectUserInformation"},
     "sctp_chunk": {"0": "DATA", "1": "INIT", "2": "INIT_ACK", "3": "SACK", "4": "HEARTBEAT", "5": "HEARTBEAT_ACK", "6": "ABORT", "7": "SHUTDOWN", "8": "SHUTDOWN_ACK", "9": "ERROR", "10": "COOKIE_ECHO", "11": "COOKIE_ACK", "14": "SHUTDOWN_COMPLETE"},
     "diameter_command": {"257": "CER", "258": "RAR", "265": "AAR", "271": "ACR", "272": "CCR", "274": "ASR", "275": "STR", "280": "DWR", "282": "DPR", "316": "ULR", "317": "CLR", "318": "AIR", "319": "IDR", "320": "DSR", "321": "PUR"},
     "diameter_result": {"1001": "DIAMETER_MULTI_ROUND_AUTH", "2001": "DIAMETER_SUCCESS", "2002": "DIAMETER_LIMITED_SUCCESS", "3002": "DIAMETER_UNABLE_TO_DELIVER", "3004": "DIAMETER_TOO_BUSY", "4010": "DIAMETER_END_USER_SERVICE_DENIED", "4012": "DIAMETER_CREDIT_LIMIT_REACHED", "5001": "DIAMETER_ERROR_USER_UNKNOWN", "5003": "DIAMETER_AUTHORIZATION_REJECTED", "5004": "DIAMETER_ERROR_ROAMING_NOT_ALLOWED", "5012": "DIAMETER_UNABLE_TO_COMPLY", "5030": "DIAMETER_USER_UNKNOWN", "5550": "DIAMETER_ERROR_ABSENT_USER"},

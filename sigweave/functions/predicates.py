@@ -102,6 +102,15 @@ def transport_noise_text(message: Column) -> Column:
     return F.trim(F.substring_index(F.upper(message), "PPID=", 1))
 
 
+# Operations of the intelligent network by what they tell.
+INAP_KINDS = {"failure": ["3", "4", "5"], "service_logic": ["0", "20", "22", "29", "46", "60", "63"], "media": ["46", "60", "63"], "routing_failure": ["3"], "initial": ["0"], "release": ["22"]}
+
+
+def inap_flags(opcode: Column) -> dict[str, Column]:
+    """What an operation tells, by name; without an operation nothing."""
+    return {kind: _no(F.trim(opcode).isin(codes)) for kind, codes in INAP_KINDS.items()}
+
+
 def tcp_issue(reset: Column, retransmission: Column, zero_window: Column, duplicate_ack: Column, out_of_order: Column) -> Column:
     return F.when(_no(reset), "reset").when(_no(retransmission), "retransmission").when(_no(zero_window), "zero_window").when(_no(duplicate_ack), "duplicate_ack").when(_no(out_of_order), "out_of_order")
 

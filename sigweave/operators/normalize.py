@@ -22,8 +22,8 @@ ALIASES = {
     "dst_port": ["tcp.dstport", "udp.dstport", "sctp.dstport"],
     "stream_id": ["tcp.stream", "udp.stream", "sctp.assoc_index"],
     "transaction_id": ["transaction_id", "gtpv2.seq", "pfcp.seqno", "radius.id", "dns.id", "http2.streamid", "ikev2.ispi", "ike.ispi", "isakmp.ispi", "s1ap.MME_UE_S1AP_ID", "ngap.AMF_UE_NGAP_ID"],
-    "procedure": ["s1ap.procedureCode", "ngap.procedureCode", "ranap.procedureCode", "gtpv2.message_type", "pfcp.msg_type", "radius.code", "sctp.chunk_type"],
-    "cause_code": ["cause_code", "gtpv2.cause_value", "gtpv2.cause", "pfcp.cause", "nas_eps.emm.cause", "nas_5gs.mm.5gmm_cause", "dns.flags.rcode", "isakmp.notify.msgtype", "s1ap.cause", "ngap.cause"],
+    "procedure": ["s1ap.procedureCode", "ngap.procedureCode", "ranap.procedureCode", "gtpv2.message_type", "pfcp.msg_type", "radius.code", "sctp.chunk_type", "inap.opcode", "inap.localValue", "inap_opcode"],
+    "cause_code": ["cause_code", "gtpv2.cause_value", "gtpv2.cause", "pfcp.cause", "nas_eps.emm.cause", "nas_5gs.mm.5gmm_cause", "dns.flags.rcode", "isakmp.notify.msgtype", "s1ap.cause", "ngap.cause", "inap.cause_indicator", "inap.cause"],
     "status_code": ["sip.Status-Code", "http.response.code", "http2.headers.status", "radius.code"],
     "method": ["sip.Method", "http.request.method", "http2.headers.method"],
     "uri": ["http.request.uri", "http2.headers.path"],
@@ -43,11 +43,11 @@ ALIASES = {
     "seid": ["pfcp.seid"],
     "info": ["_ws.col.Info", "_ws.col.info"],
 }
-TUNNELS = ["gtp.teid", "gtpv2.teid", "gtpv2.f_teid_gre_key", "gtp.teid_cp", "gtp.teid_data"]
-SUBSCRIBER_IPS = ["gtp.subscriber_ip", "gtpv2.pdn_addr_and_prefix.ipv4", "gtp.user_ipv4", "pfcp.ue_ip_addr_ipv4"]
+TUNNELS = ["gtp.teid", "gtp.f_teid", "gtp.tid", "gtpv2.teid", "gtpv2.f_teid_gre_key", "gtpv2.teid_c", "gtpv2.sgw_s1u_teid", "gtp.teid_cp", "gtp.uplink_teid_cp", "gtp.teid_data", "gtp.uplink_teid_data"]
+SUBSCRIBER_IPS = ["gtp.subscriber_ip", "gtpv2.pdn_addr_and_prefix.ipv4", "gtpv2.pdn_addr_and_prefix.ipv6", "gtp.user_ipv4", "gtp.user_ipv6", "gtp.pdp_address.ipv4", "gtp.pdp_address.ipv6", "pfcp.ue_ip_addr_ipv4"]
 ACCESS_IDS = ["s1ap.ENB_UE_S1AP_ID", "s1ap.MME_UE_S1AP_ID", "ngap.RAN_UE_NGAP_ID", "ngap.AMF_UE_NGAP_ID"]
 INNER_IPS = ["isakmp.cfg.attr.internal_ip4_address", "isakmp.cfg.attr.internal_ip6_address"]
-CODE_DOMAINS = {"GTP": "gtpv2", "PFCP": "pfcp", "S1AP": "s1ap", "NGAP": "ngap", "RANAP": "ranap", "BSSAP": "bssap", "RADIUS": "radius", "SCTP": "sctp_chunk"}
+CODE_DOMAINS = {"GTP": "gtpv2", "PFCP": "pfcp", "S1AP": "s1ap", "NGAP": "ngap", "RANAP": "ranap", "BSSAP": "bssap", "RADIUS": "radius", "SCTP": "sctp_chunk", "INAP": "inap"}
 
 
 def field(*names: str) -> Column:
@@ -97,6 +97,8 @@ def normalize(raw: DataFrame) -> DataFrame:
         fields.distinct_values(*[F.col("fields")[n] for n in ACCESS_IDS]).alias("access_ids"),
         fields.distinct_values(*[F.col("fields")[n] for n in INNER_IPS]).alias("ike_inner_ips"),
         known("seid").alias("seid"),
+        field("gtp.f_teid").alias("f_teid"),
+        field("gtp.tid").alias("gtp_tid"),
         known("info").alias("raw_info"),
         known("host").alias("host"),
         known("imsi").alias("own_imsi"),
@@ -120,12 +122,13 @@ def normalize(raw: DataFrame) -> DataFrame:
     sip = F.coalesce("method", "status_code")
     http = F.trim(F.concat_ws(" ", F.coalesce("method", "status_code"), F.when(F.col("method").isNotNull(), F.col("uri"))))
     message = F.when(F.col("protocol") == "SIP", sip).when(F.col("protocol") == "HTTP", F.nullif(http, F.lit(""))).when(F.col("protocol") == "DIAMETER", F.concat_ws(" ", "command_name", "result_code"))
+    message = message.when(F.col("protocol") == "INAP", F.coalesce("code_name", F.concat_ws("_", F.lit("UNKNOWN"), "procedure")))
     rows = rows.withColumn("message", F.coalesce(message, "code_name", "info", "protocol"))
     failed_result = F.coalesce(~F.col("result_code").isin(*predicates.DIAMETER_SUCCESS, "1001"), F.lit(False))
     names_used = ("protocol", "message", "status_code", "cause_code", "retransmission", "reset", "icmp_type", "icmp_code")
     general = predicates.is_failure({c: F.col(c) for c in names_used})
     rows = rows.withColumns({
-        "is_failure": F.when(F.col("protocol") == "DIAMETER", failed_result).when(F.col("protocol") == "SIP", F.coalesce(F.col("status_code").rlike("^[456]"), F.lit(False))).otherwise(general),
+        "is_failure": F.when(F.col("protocol") == "DIAMETER", failed_result).when(F.col("protocol") == "SIP", F.coalesce(F.col("status_code").rlike("^[456]"), F.lit(False))).when(F.col("protocol") == "INAP", predicates.inap_flags(F.col("procedure"))["failure"]).otherwise(general),
         "is_auth_failure": failed_result & (F.col("result_code") == "5003"),
         "is_roaming_failure": F.coalesce(F.col("result_code") == "5004", F.lit(False)),
         "is_charging_failure": failed_result & (F.col("command_code") == "272"),
@@ -133,4 +136,4 @@ def normalize(raw: DataFrame) -> DataFrame:
         "is_subscriber_absent": F.coalesce(F.col("result_code").isin("5001", "5550"), F.lit(False)),
         "technology": codes.technology(F.col("protocol"), F.col("sbi_service").isNotNull(), F.col("is_tls")),
     })
-    return conform(rows.drop("info", "raw_info", "host", "sbi_text", "sbi_imsi", "sbi_msisdn", "suci", "gpsi", "payload_hint", "own_imsi", "own_msisdn", "domain", "_domain", "_code", "code_name", "is_tls", "uri"))
+    return conform(rows.drop("info", "raw_info", "host", "sbi_text", "sbi_imsi", "sbi_msisdn", "suci", "payload_hint", "own_imsi", "own_msisdn", "domain", "_domain", "_code", "code_name", "is_tls", "uri"))

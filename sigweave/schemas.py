@@ -9,7 +9,7 @@ MESSAGE_DDL = (
     "capture_id string, message_uid long, frame_number long, ts double, protocol string, technology string, transport string, src_ip string, dst_ip string, src_port int, dst_port int, "
     "stream_id string, transaction_id string, message string, method string, status_code string, result_code string, command_code string, command_name string, cause_code string, procedure string, "
     "is_failure boolean, retransmission boolean, reset boolean, timeout boolean, icmp_type string, icmp_code string, call_id string, to_tag string, dia_session_id string, tcap_tid string, "
-    "imsi string, msisdn string, supi string, apn string, framed_ip string, teids array<string>, subscriber_ips array<string>, seid string, access_ids array<string>, ike_inner_ips array<string>, "
+    "imsi string, msisdn string, supi string, gpsi string, apn string, framed_ip string, teids array<string>, subscriber_ips array<string>, f_teid string, gtp_tid string, seid string, access_ids array<string>, ike_inner_ips array<string>, "
     "sbi_service string, from_uri string, to_uri string, reason string, is_auth_failure boolean, is_roaming_failure boolean, is_charging_failure boolean, is_policy_reject boolean, is_subscriber_absent boolean"
 )
 MESSAGE = dict(f.split(" ") for f in MESSAGE_DDL.split(", "))

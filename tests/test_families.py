@@ -105,3 +105,27 @@ def test_capture_details(spark):
     assert {k: (r["trace_type"], r["dominant_protocol"], r["sessions"]) for k, r in got.items()} == {"a": ("IMS call trace", "Diameter", 1), "b": ("Mixed telecom trace", "SCTP", 0), "c": ("Mixed telecom trace", "UNKNOWN", 0), "d": ("Multi-RAT 5G/4G signalling trace", "S1AP", 0)}
     assert got["a"]["top_protocols"] == "TCP,DIAMETER,SIP" and got["c"]["headline"].endswith("unknown technologies")
     assert analytics.capture_details(rows.limit(0), rows.limit(0)).count() == 0
+
+
+def test_similar_addresses_in_any_spelling(spark):
+    from sigweave.functions import fields
+
+    rows = spark.createDataFrame([(1, "2001:db8::1"), (2, "2001:0db8:0:0:0:0:0:2"), (3, "2001:DB8:0:0::9"), (4, "2001:db8:0:1::1"), (5, "::1"), (6, "0:0:0:0:0:0:0:5"), (7, "64:ff9b::1.2.3.4"), (8, "64:ff9b:0:0:0:0:1.2.3.5"), (9, "10.1.2.3"), (10, "11.9.2.3"), (11, "x"), (12, None)], "n int, a string")
+    got = {r["n"]: r["key"] for r in rows.select("n", fields.similarity_key("a").alias("key")).collect()}
+    assert got[1] == got[2] == got[3] == "6:2001:db8:0:0" and got[4] == "6:2001:db8:0:1" and got[5] == got[6] == "6:0:0:0:0" and got[7] == got[8] and got[9] == got[10] == "4:2.3" and got[11] is got[12] is None
+
+
+def test_info_texts(spark):
+    from sigweave.functions import fields
+
+    rows = spark.createDataFrame([(1, "MAP", "invoke  sendRoutingInfo"), (2, "MAP", "invoke"), (3, "MAP", None), (4, "S1AP", "UE Context Release, SACK (Ack=1, Arwnd=2)"), (5, "NGAP", "DATA, "), (6, "SIP", "a, b")], "n int, p string, x string")
+    got = {r["n"]: r["t"] for r in rows.select("n", fields.informative_segment("x", "p").alias("t")).collect()}
+    assert got == {1: "MAP sendRoutingInfo", 2: None, 3: None, 4: "UE Context Release", 5: None, 6: "a, b"}
+
+
+def test_anchors_name_forwarding_tunnels_and_public_identities(spark):
+    from sigweave.operators import details
+
+    rows = rows_of(spark, gtp(1, 0.0, "t")).drop("f_teid", "gtp_tid", "gpsi").selectExpr("*", "'f' AS f_teid", "' ' AS gtp_tid", "'msisdn-49' AS gpsi")
+    got = [(r["label"], r["value"]) for r in details.anchors(conform(rows), KEYS).orderBy("place").collect()]
+    assert got == [("Tunnel ID (TEID)", "t"), ("GTP F-TEID", "f"), ("GPSI", "msisdn-49"), ("IMSI", IMSI), ("Session-ID", "s")]
