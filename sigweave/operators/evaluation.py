@@ -62,6 +62,19 @@ def total_variation(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg((F.sum(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))) / 2).alias("distance"))
 
 
+def reference_profile(sessions: DataFrame, cases: DataFrame) -> DataFrame:
+    """(measure, key, value): what the sessions of a suite's cases look like together, as a baseline for drift: their number, mean duration, and the counts of labels, protocols and technologies.
+
+    cases: (case, capture_id); a case whose capture is null is not resolved, and one capture of several cases counts once for each. A suite without sessions has number and duration 0."""
+    rows = sessions.join(cases.where("capture_id is not null").select("case", "capture_id"), "capture_id")
+    totals = rows.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.bround(F.avg("duration_ms"), 2), F.lit(0.0)).alias("d"))
+    one = totals.select(F.explode(F.array(F.struct(F.lit("sessions").alias("measure"), F.lit("").alias("key"), F.col("n").alias("value")), F.struct(F.lit("avg_duration_ms").alias("measure"), F.lit("").alias("key"), F.col("d").alias("value")))).alias("e")).select("e.*")
+    tagged = lambda name, c: F.transform(c, lambda v: F.struct(F.lit(name).alias("measure"), v.alias("key")))
+    every = F.concat(tagged("label", F.array(F.coalesce("rca_label", F.lit("UNKNOWN")))), tagged("protocol", F.coalesce("protocols", F.array().cast("array<string>"))), tagged("technology", F.coalesce("technologies", F.array().cast("array<string>"))))
+    counts = rows.select(F.explode(every).alias("e")).groupBy("e.measure", "e.key").agg(F.count("*").cast("double").alias("value"))
+    return one.unionByName(counts)
+
+
 def drift_report(reference: DataFrame, current: DataFrame, limits: dict | None = None) -> DataFrame:
     """(check, value, limit, passed): label, protocol and technology distributions and the ratio of mean durations."""
     limits = limits or {"label": 0.55, "protocol": 0.6, "technology": 0.6, "duration": 2.5}

@@ -35,8 +35,8 @@ def with_noise(rows: DataFrame, label: str, share: float = 0.05, seed: int = 42)
 
 
 def group_split(rows: DataFrame, group: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """A group is wholly in the training or in the test rows."""
-    bucket = F.pmod(F.xxhash64(group), F.lit(1000))
+    """A group is wholly in the training or in the test rows, by the MD5 of its name; a missing group is one named "unknown"."""
+    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col(group).cast("string"), F.lit("unknown"))), 1, 8), 16, 10).cast("long") % 1000
     return rows.where(bucket >= int(1000 * test_share)), rows.where(bucket < int(1000 * test_share))
 
 

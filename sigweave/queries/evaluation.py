@@ -19,6 +19,14 @@ def session_metrics(s, d):
     return m.select("capture_id", "sessions", *[F.round(c, 6).alias(c) for c in ("unknown_ratio", "abnormal_ratio", "avg_confidence", "cross_protocol_ratio")])
 
 
+def reference_profile(s, d):
+    """The profile of a suite of a case for each even capture, one for capture 0 again, and one that is not resolved."""
+    rows = _rows(s, d)
+    cases = rows.select("capture_id").distinct().where("cast(substring(capture_id, 5, 1) as int) % 2 = 0").select(F.col("capture_id").alias("case"), "capture_id")
+    again = cases.where("capture_id = 'cap-0'").select(F.explode(F.array(F.struct(F.lit("again").alias("case"), F.col("capture_id")), F.struct(F.lit("lost").alias("case"), F.lit(None).cast("string").alias("capture_id")))).alias("c")).select("c.*")
+    return E.reference_profile(rows, cases.unionByName(again)).withColumn("value", F.round("value", 1))
+
+
 def profile(s, d):
     return E.distribution(_rows(s, d), "rca_label").withColumn("share", F.round("share", 6))
 
@@ -124,6 +132,11 @@ _GATE = _CASES + """, cs AS (
 )"""
 QUERIES = [
     ("a28_session_metrics", session_metrics, f"WITH {SESSIONS_SQL} SELECT capture_id, count(*) AS sessions, round(avg(CAST(rca_label = 'UNKNOWN' AS INT)), 6) AS unknown_ratio, round(avg(CAST(rca_label NOT IN ('NORMAL_CALL', 'UNKNOWN') AS INT)), 6) AS abnormal_ratio, round(avg(confidence_pct), 6) AS avg_confidence, round(avg(CAST(len(protocols) > 1 AS INT)), 6) AS cross_protocol_ratio FROM rca GROUP BY 1"),
+    ("a51_reference_profile", reference_profile, f"""WITH {SESSIONS_SQL}, r AS (
+  SELECT *, (end_ts - start_ts) * 1000 AS ms FROM rca WHERE CAST(substr(capture_id, 5, 1) AS INT) % 2 = 0 UNION ALL SELECT *, (end_ts - start_ts) * 1000 FROM rca WHERE capture_id = 'cap-0'
+)
+SELECT 'sessions' AS measure, '' AS key, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'avg_duration_ms', '', round(avg(ms), 1) FROM r UNION ALL SELECT 'label', rca_label, count(*) FROM r GROUP BY 2
+UNION ALL SELECT 'protocol', unnest(protocols) AS p, count(*) FROM r GROUP BY p UNION ALL SELECT 'technology', unnest(technologies) AS t, count(*) FROM r GROUP BY t"""),
     ("a31_label_profile", profile, f"WITH {SESSIONS_SQL} SELECT rca_label AS key, round(count(*) / (SELECT count(*) FROM rca), 6) AS share FROM rca GROUP BY 1"),
     ("m31_drift_report", drift, f"WITH {SESSIONS_SQL}, p AS (SELECT capture_id, unnest(protocols) AS v FROM rca), tg AS (SELECT capture_id, unnest(technologies) AS v FROM rca), du AS (SELECT avg((end_ts - start_ts) * 1000) FILTER ({_EVEN}) AS a, avg((end_ts - start_ts) * 1000) FILTER ({_ODD}) AS b FROM rca), r AS (SELECT 'label' AS \"check\", {_tv('rca_label', 'rca')} AS value, 0.55 AS lim UNION ALL SELECT 'protocol', {_tv('v', 'p')}, 0.6 UNION ALL SELECT 'technology', {_tv('v', 'tg')}, 0.6 UNION ALL SELECT 'duration', (SELECT greatest(a / b, b / a) FROM du), 2.5) SELECT \"check\", round(value, 6) AS value, CAST(lim AS DOUBLE) AS \"limit\", value <= lim AS passed FROM r"),
     ("a50_case_metrics", case_metrics, f"WITH {_CASES} SELECT \"case\", sessions, unknown, abnormal, identity_sessions, stateful_sessions, time_fallback_sessions, top_label, CAST(expected AS BIGINT) AS expected, CAST(matched AS BIGINT) AS matched, CAST(unexpected AS BIGINT) AS unexpected, nullif(normal, 0) AS normal, round(unknown_ratio, 6) AS unknown_ratio, round(abnormal_priority, 6) AS abnormal_priority, round(avg_confidence, 6) AS avg_confidence, round(avg_methods, 6) AS avg_methods, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM xf"),

@@ -40,11 +40,12 @@ def node_inventory(s, d):
 
 
 def trade_graph(s, d):
-    """Nations as nodes, orders as edges from the supplier's to the customer's nation."""
+    """Nations as nodes, line items as edges from the supplier's to the customer's nation by priority of the order; those sent back count as failures."""
     t = lambda n: s.read.parquet(f"{d}/{n}.parquet")
-    lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
-    rows = lines.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    return rows.groupBy(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 0).alias("value"))
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = lines.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"), "l_orderkey").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    sent = rows.select(F.col("s_nationkey").alias("src_ip"), F.col("c_nationkey").alias("dst_ip"), F.col("o_orderpriority").alias("protocol"), (F.col("l_returnflag") == "R").alias("is_failure"), F.col("l_linestatus").alias("message"))
+    return G.topology_edges(sent, []).withColumnsRenamed({"src_ip": "source", "dst_ip": "target", "protocol": "priority"})
 
 
 _KG = SESSIONS_SQL + """, sl AS (
@@ -70,5 +71,5 @@ QUERIES = [
     ("g06_knowledge_edges", knowledge_edges, f"WITH {_KG} SELECT source, relation, target, round(weight, 4) AS weight, n FROM ge"),
     ("j29_learned_weights", learned_weights, f"WITH {_KG} SELECT source, relation, target, round(weight / sum(weight) OVER (PARTITION BY source, relation), 6) AS learned_weight FROM ge"),
     ("g08_graph_metrics", graph_metrics, f"WITH {_KG} SELECT 'nodes:' || split_part(node, ':', 1) AS metric, count(*) AS value FROM gn GROUP BY 1 UNION ALL SELECT 'edges:' || relation, count(*) FROM ge GROUP BY 1"),
-    ("g09_trade_graph", trade_graph, "SELECT s_nationkey AS source, c_nationkey AS target, count(*) AS n, round(sum(l_extendedprice), 0) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2"),
+    ("g09_trade_graph", trade_graph, "SELECT s_nationkey AS source, c_nationkey AS target, o_orderpriority AS priority, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS failures, count(DISTINCT l_linestatus) AS kinds FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3"),
 ]

@@ -90,7 +90,20 @@ def knowledge_metrics(s, d):
 
 
 def merged_queue(s, d):
-    return L.merge_queue(_queue(s, d), ["pattern_id"]).select("pattern_id", "validation_id", "validation_status")
+    """The queue of labels: open items of one session, pattern and cause become one; some have no session, cause or status, and some notes are blank."""
+    i = F.col("validation_id")
+    queue = _queue(s, d).withColumns({
+        "session_id": F.when(i % 7 != 0, F.concat(F.lit("s"), (i % 5).cast("string"))), "hybrid_root_cause": F.when(i % 3 != 0, F.concat(F.lit("C"), (i % 3).cast("string"))), "pattern_id": F.col("pattern_id") % 4,
+        "validation_status": F.when((i % 11 == 0) & (F.col("validation_status") == "pending_review"), None).otherwise(F.col("validation_status")), "note": F.when(i % 2 == 0, "").otherwise(i.cast("string")), "queued_at": i + 1000,
+    })
+    return L.merge_queue(queue).select("session_id", "pattern_id", "hybrid_root_cause", "validation_status", "validation_id", "queued_at", "note", "updated_at", F.round("confidence", 2).alias("confidence"))
+
+
+def learning_counters(s, d):
+    from sigweave.plans.testviews import messages
+
+    learned = messages(s, d).where("frame_number % 3 = 0").groupBy("capture_id", "protocol").agg(F.count("*").alias("messages"))
+    return L.learning_counters(_patterns(s, d), learned)
 
 
 def compaction(s, d):
@@ -134,7 +147,12 @@ QUERIES = [
     ("r19_reinforce", reinforce, f"WITH {PATTERNS_SQL}, h AS (SELECT capture_id || '|' || rca_label || '|' || array_to_string(protocols, ',') AS pattern_id, count(*) AS n FROM rca WHERE messages > 2 GROUP BY 1) SELECT pattern_id, CAST(round(CASE WHEN n > 0 THEN least(0.995, confidence + 0.02 * n) ELSE confidence END, 6) AS DOUBLE) AS confidence, occurrence_count + coalesce(n, 0) AS occurrence_count, CASE WHEN n > 0 AND occurrence_count + n >= 3 THEN 'validated' ELSE 'candidate' END AS status FROM pt LEFT JOIN h USING (pattern_id)"),
     ("r18_routes", routes, f"WITH {SESSIONS_SQL} SELECT capture_id, CASE WHEN confidence_pct < 58 THEN 'review' WHEN messages > 1 AND rca_label = 'NORMAL_CALL' THEN 'reinforce' WHEN messages > 1 THEN 'conflict' ELSE 'candidate' END AS route, count(*) AS n FROM rca GROUP BY 1, 2"),
     ("k04_pending_queue", lambda s, d: L.pending_list(_queue(s, d)).select("validation_id", "confidence", "similarity"), f"WITH {_QUEUE_SQL} SELECT validation_id, confidence, similarity FROM q WHERE validation_status = 'pending_review' ORDER BY confidence, similarity, validation_id LIMIT 8"),
-    ("a38_merged_queue", merged_queue, f"WITH {_QUEUE_SQL} SELECT pattern_id, max(validation_id) AS validation_id, arg_max(validation_status, updated_at) AS validation_status FROM q GROUP BY 1"),
+    ("a38_merged_queue", merged_queue, f"""WITH {_QUEUE_SQL}, x AS (
+  SELECT validation_id AS i, CASE WHEN validation_id % 7 <> 0 THEN 's' || (validation_id % 5) END AS session_id, pattern_id % 4 AS pattern_id, CASE WHEN validation_id % 3 <> 0 THEN 'C' || (validation_id % 3) END AS hybrid_root_cause, validation_status, CASE WHEN validation_id % 2 = 1 THEN CAST(validation_id AS VARCHAR) END AS filled, round(confidence, 2) AS confidence FROM q
+)
+SELECT session_id, pattern_id, hybrid_root_cause, validation_status, min(i) AS validation_id, min(i) + 1000 AS queued_at, arg_max(filled, i) FILTER (filled IS NOT NULL) AS note, max(i) AS updated_at, arg_max(confidence, i) AS confidence FROM x WHERE validation_status = 'pending_review' GROUP BY 1, 2, 3, 4
+UNION ALL SELECT session_id, pattern_id, hybrid_root_cause, validation_status, i, i + 1000, coalesce(filled, ''), i, confidence FROM x WHERE validation_status <> 'pending_review'"""),
+    ("a52_learning_counters", learning_counters, f"WITH {PATTERNS_SQL} SELECT (SELECT count(*) FROM pt) AS patterns, count(DISTINCT capture_id) AS learned_captures, count(*) AS learned_messages FROM m WHERE frame_number % 3 = 0"),
     ("a40_store_audit", audit, f"WITH {PATTERNS_SQL}, {_QUEUE_SQL}, x AS (SELECT (SELECT count(*) FROM pt WHERE occurrence_count <= 2) AS mv, (SELECT count(*) FROM (SELECT pattern_id FROM q WHERE validation_status = 'pending_review' GROUP BY 1 HAVING count(*) > 1)) AS dp) SELECT 'duplicate_pattern_ids' AS \"check\", 0 AS n UNION ALL SELECT 'orphan_vectors', 0 UNION ALL SELECT 'missing_vectors', mv FROM x UNION ALL SELECT 'mixed_dimensions', 0 UNION ALL SELECT 'duplicate_pending', dp FROM x"),
     ("j26_reconciliation", reconciliation, "WITH x AS (SELECT vec_id AS id, vec_id % 7 <> 0 AS own FROM embeddings), st AS (SELECT CASE WHEN vec_id % 5 = 0 THEN vec_id + 10000000 ELSE vec_id END AS id FROM embeddings), s AS (SELECT id FROM st WHERE id % 2 = 0) SELECT 'kept' AS state, id FROM x WHERE id IN (SELECT id FROM s) OR own UNION ALL SELECT 'stale', id FROM s WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT 'missing', id FROM x WHERE id NOT IN (SELECT id FROM s)"),
     ("a37_knowledge_metrics", knowledge_metrics, f"WITH {PATTERNS_SQL}, {_QUEUE_SQL} SELECT (SELECT count(*) FROM pt) AS patterns, 0 AS validated, (SELECT CAST(sum(occurrence_count) AS BIGINT) FROM pt) AS occurrences, count(*) FILTER (validation_status = 'pending_review') AS pending, count(*) FILTER (validation_status = 'approved') AS approved, count(*) FILTER (validation_status = 'rejected') AS rejected FROM q"),

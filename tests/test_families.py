@@ -129,3 +129,45 @@ def test_anchors_name_forwarding_tunnels_and_public_identities(spark):
     rows = rows_of(spark, gtp(1, 0.0, "t")).drop("f_teid", "gtp_tid", "gpsi").selectExpr("*", "'f' AS f_teid", "' ' AS gtp_tid", "'msisdn-49' AS gpsi")
     got = [(r["label"], r["value"]) for r in details.anchors(conform(rows), KEYS).orderBy("place").collect()]
     assert got == [("Tunnel ID (TEID)", "t"), ("GTP F-TEID", "f"), ("GPSI", "msisdn-49"), ("IMSI", IMSI), ("Session-ID", "s")]
+
+
+def test_queue_merges_open_items_by_four_fields(spark):
+    from sigweave.operators import learning
+
+    ddl = "session_id string, pattern_id string, hybrid_root_cause string, validation_status string, validation_id string, queued_at string, note string, updated_at int"
+    rows = [
+        ("s", "p", "C", "pending_review", "v1", "q1", "old", 1), ("s", "p", "C", None, "v2", "q2", "", 2), ("s", "p", "D", None, "v3", None, None, 3), (None, "p", None, None, "v4", None, "a", 4), (None, "p", None, "pending_review", "v5", "q5", "b", 5),
+        ("s", "p", "C", "approved", "v6", "q6", "x", 6), ("s", "p", "C", "approved", "v7", "q7", "", 7),
+    ]
+    got = sorted((r["validation_id"], r["queued_at"], r["note"], r["updated_at"], r["validation_status"]) for r in learning.merge_queue(spark.createDataFrame(rows, ddl)).collect())
+    assert got == [("v1", "q1", "old", 2, "pending_review"), ("v3", None, None, 3, "pending_review"), ("v4", "q5", "b", 5, "pending_review"), ("v6", "q6", "x", 6, "approved"), ("v7", "q7", "", 7, "approved")]
+    assert learning.merge_queue(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_nearest_of_a_block_over_many_broadcasts(spark, monkeypatch):
+    from sigweave.operators import learning
+
+    monkeypatch.setattr(learning, "BROADCAST_PATTERNS", 4)
+    patterns = spark.createDataFrame([(i, "xy"[i % 5 == 0], [1.0, i / 10]) for i in range(20)] + [(99, None, [1.0, 0.0])], "pattern_id long, label string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "y", [1.0, 2.0]), (3, "z", [1.0, 0.0]), (4, None, [1.0, 0.0])], "query_id long, label string, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["pattern_id"]) for r in learning.nearest(queries, patterns, 2, "label").collect())
+    assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 15), (2, 2, 10)]
+
+
+def test_profile_of_a_suite(spark):
+    from sigweave.operators import evaluation
+
+    sessions_ = spark.createDataFrame([("a", "USER_BUSY", ["SIP"], ["IMS"], 10.0), ("a", None, None, None, None), ("b", "X", ["SIP"], ["IMS"], 99.0)], "capture_id string, rca_label string, protocols array<string>, technologies array<string>, duration_ms double")
+    cases = spark.createDataFrame([("1", "a"), ("2", None), ("3", "gone")], "case string, capture_id string")
+    got = {(r["measure"], r["key"]): r["value"] for r in evaluation.reference_profile(sessions_, cases).collect()}
+    assert got == {("sessions", ""): 2.0, ("avg_duration_ms", ""): 10.0, ("label", "USER_BUSY"): 1.0, ("label", "UNKNOWN"): 1.0, ("protocol", "SIP"): 1.0, ("technology", "IMS"): 1.0}
+    none = {(r["measure"], r["key"]): r["value"] for r in evaluation.reference_profile(sessions_, cases.limit(0)).collect()}
+    assert none == {("sessions", ""): 0.0, ("avg_duration_ms", ""): 0.0}
+
+
+def test_split_keeps_missing_groups_together(spark):
+    from sigweave.operators import models
+
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else f"g{i % 40}") for i in range(200)], "i int, g string")
+    train, test = (x.select("g").distinct().collect() for x in models.group_split(rows, "g", 0.3))
+    assert not {r["g"] for r in train} & {r["g"] for r in test} and test and len(train) > len(test)
