@@ -3,7 +3,7 @@
 Tokenizers that never join pieces over a chunk's ends can be run once per distinct chunk; a text's
 result is then the concatenation of its chunks' results. The store is keyed by two independent hashes of
 the chunk: chunks that agree in the first one only are told apart. It lives in a Python worker, and holds at
-most ``limit`` chunks: beyond that the less used half goes.
+most ``limit`` chunks, or those of one call: beyond that the less used half goes, but none that the call asks for.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class ChunkStore:
         missing = np.flatnonzero(known < 0)
         if len(missing):
             if len(self.keys) + len(missing) > self.limit or len(self.pool) > 16 * self.limit:
-                self._shrink()
+                self._shrink(known[known >= 0])
             sizes, values = self.encode([chunk(int(i)) for i in first[missing]])
             ends = np.cumsum(sizes)
             begin = len(self.pool) + ends - sizes
@@ -64,8 +64,9 @@ class ChunkStore:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def _shrink(self) -> None:
-        keep = np.sort(np.argsort(self.uses, kind="stable")[len(self.uses) // 2 :])
+    def _shrink(self, asked: np.ndarray) -> None:
+        """The less used half goes; rows that are just being asked for stay."""
+        keep = np.union1d(np.argsort(self.uses, kind="stable")[len(self.uses) // 2 :], asked)
         self.pool = self._gather(keep)
         self.keys, self.checks, self.size, self.total, self.uses = self.keys[keep], self.checks[keep], self.size[keep], self.total[keep], self.uses[keep] // 2
         self.at = (np.cumsum(self.size) - self.size).astype(np.int64)

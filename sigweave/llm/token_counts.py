@@ -143,7 +143,7 @@ class PrefixCounts:
         last = np.where(tails > 0, not_space[tails - 1], -1)
         at_tail = tails - 1 - np.maximum(last, part.offsets[full] - 1) + (last < part.offsets[full])
         alone = np.concatenate((before_break, at_tail))
-        run_hashes = mix(alone.astype(np.uint64) + np.uint64(1) << np.uint64(40))
+        run_hashes = mix(alone.astype(np.uint64) + np.uint64(1 << 40))
         alone_tokens = tok.counts(run_hashes, mix(run_hashes), lambda i: b" " * int(alone[i]))
         ends = np.concatenate((w.ends, breaks + 1, tails))
         tokens = np.concatenate((chunk_tokens, alone_tokens[: len(breaks)] + 1, alone_tokens[len(breaks) :]))

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +314,52 @@ def test_prefix_programme():
         assert tok.chunk_prefixes(chunk) == [len(tok.raw.encode(chunk[:i])) for i in range(len(chunk) + 1)]
 
 
+def test_counts_while_the_store_gives_up_chunks(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    from sigweave.llm.pieces import ChunkStore
+
+    path = token_counts.default_model()
+    lib, tok = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.tokenizer(path)
+    for limit in (20, 300):
+        monkeypatch.setattr(tok, "store", ChunkStore(tok._steps, np.int16, limit))
+        r = random.Random(limit)
+        for _ in range(10):
+            texts = [" ".join("x%x" % r.randrange(600) for _ in range(20)) for _ in range(20)]
+            batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], names=["doc_id", "text"])
+            (got,) = token_counts._counts(path, 30, iter([batch]))
+            assert got["n_tokens"].to_pylist() == [len(lib.encode(t)) for t in texts]
+
+
+def test_a_store_keeps_what_is_asked_for():
+    from sigweave.llm.pieces import ChunkStore
+    from sigweave.llm.text import mix
+
+    # value k of chunk "7" is 7 + k
+    store = ChunkStore(lambda chunks: (np.full(len(chunks), 2), np.array([int(c) + k for c in chunks for k in range(2)])), limit=10)
+    r = random.Random(1)
+    for _ in range(200):
+        asked = np.array([r.randrange(25) for _ in range(r.randint(1, 8))], np.uint64)
+        rows = store.rows(mix(asked + np.uint64(1)), mix(asked + np.uint64(99)), lambda i: b"%d" % asked[i])  # noqa: B023
+        values, ends = store.values(rows)
+        assert values.tolist() == [int(c) + k for c in asked for k in range(2)] and ends.tolist() == list(range(2, 2 * len(asked) + 1, 2))
+        assert len(store.keys) <= 20
+
+
+def test_runs_of_many_spaces_have_keys_of_their_own():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from sigweave.llm.text import slices
+
+    nothing = SimpleNamespace(counts=lambda hashes, checks, chunk: np.zeros(len(hashes), np.int64))
+    (part,) = slices(pa.array(["a \nb" + " " * ((1 << 24) + 1) + "\n"]), 1 << 25)
+    keys = token_counts.PrefixCounts(part, nothing).keys[0]
+    assert len(set(keys.tolist())) == len(keys)
+
+
 def test_short_and_tied_texts_have_a_language(spark):
     rows = [(1, "x", "aa"), (2, "ja ja", "bb"), (3, "Z", None), (4, "X!", None), (5, "ja", None), (1, "x", "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
