@@ -47,6 +47,8 @@ _SEPARATORS = np.frombuffer(b",|;", np.uint8)
 #: What cannot stand before the space that parts two chunks: white space beyond ASCII, and characters without width.
 _BLANK = re.compile(rb"(?:\xC2[\x85\xA0]|\xE1\x9A\x80|\xE1\xA0\x8E|\xE2\x80[\x80-\x8F\xA8-\xAF]|\xE2\x81[\x9F-\xAF]|\xE3\x80\x80|\xEF\xBB\xBF)\Z")
 SLICE = 1 << 20
+#: Longer texts are not encoded by ranks: the regular expression engine there gives up on a million blanks in a row.
+RANKED_CHARS = 1 << 19
 
 
 def byte_characters() -> dict[str, int]:
@@ -183,7 +185,7 @@ class Aligner:
     def _pair(self, chunk: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of both tokenizers; None if one of them does not give the bytes back."""
         text = chunk.decode()
-        if self.ranked and _COMMON.fullmatch(text):
+        if self.ranked and len(text) < RANKED_CHARS and _COMMON.fullmatch(text):
             a = self.ranked.encode_ordinary(" " + text)
         else:
             a = self.a.encode(" " + text, add_special_tokens=False).ids

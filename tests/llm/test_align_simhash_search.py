@@ -14,6 +14,7 @@ import xxhash
 from sigweave.llm import alignment, lexical, simhash
 from sigweave.llm import queries as q
 from sigweave.llm.components import components
+from sigweave.llm.pieces import ChunkStore
 from sigweave.llm.shared import prepare
 from sigweave.llm.text import slices
 
@@ -89,6 +90,32 @@ def test_alignment_of_nothing(spark):
     assert sorted((r["doc_id"] is None, r["n_a"]) for r in got) == [(False, 0), (True, 2), (True, 2)]
 
 
+def aligned(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = next(alignment._scan(alignment.default_vocabularies(), True, iter([batch])))
+    return list(zip(*(got[c].to_pylist() for c in ("n_a", "n_b", "n_groups", "groups_sha256", "groups")), strict=True))
+
+
+def test_alignment_while_the_store_gives_up_chunks(monkeypatch):
+    al = alignment.aligner(*alignment.default_vocabularies())
+    monkeypatch.setattr(al, "store", ChunkStore(al._encode, limit=200))
+    r = random.Random(6)
+    for _ in range(10):
+        texts = [" ".join("x%x" % r.randrange(400) for _ in range(20)) for _ in range(15)]
+        want, _, groups = plain_alignment(texts)
+        assert aligned(texts) == [(*w[:3], w[6], g) for w, g in zip(want, groups, strict=True)]
+
+
+def test_alignment_of_a_million_blanks():
+    al = alignment.aligner(*alignment.default_vocabularies())
+    for text in (" " * 1_050_000 + "a", "x\n" + "\n" * 1_050_000):
+        a, b = al.a.encode(" " + text, add_special_tokens=False).ids, al.b.encode(text, num_threads=1)
+        ((n_a, n_b, _, _, groups),) = aligned([text])
+        got = [g.split("|") for g in groups.split(";")]
+        assert (n_a, n_b) == (len(a), len(b))
+        assert [[int(i) for g in got for i in g[k].split(",")] for k in (0, 1)] == [a, b]
+
+
 def test_pointers_and_ranks():
     pointer = alignment.farthest(np.array([2, 3, 5, 9]), np.array([1, 4, 5, 7, 9]))
     assert pointer.tolist() == [6, 6, 6, 8, 6, 6, 6, 8, 8]
