@@ -1,9 +1,10 @@
 """Exact token counts at every prefix, by dynamic programming over prefixes.
 
 A byte-pair piece never spans the start of a run of spaces or a line break (no piece of the model has
-a space marker after another character, or a line break at all), so the count of a prefix that ends
-between two chunks is count(previous prefix) + count(chunk), and inside a chunk the programme goes on character by
-character: the last piece of each prefix is unique, so count[i] = count[i - len(last piece)] + 1, where
+a space marker after another character, or a line break at all), nor two characters that no piece has next to each
+other (``joined``: a letter and a digit, most marks behind a word). Texts are cut into chunks at all of these, so the
+count of a prefix that ends between two chunks is count(previous prefix) + count(chunk), and inside a chunk the programme
+goes on character by character: the last piece of each prefix is unique, so count[i] = count[i - len(last piece)] + 1, where
 the last piece is the one that follows the last piece before it unchanged. ``chunk_prefixes`` runs it once
 for each distinct chunk, whose counts at all prefixes are stored as differences; ``PrefixCounts`` adds up the
 chunks of a text. Counts of texts, cuts, budgets and truncations are look-ups in these tables; no text is
@@ -29,7 +30,7 @@ from sigweave.llm.text import Slice, mix, slices
 
 MARK = "▁"
 _MARK = MARK.encode()
-#: Chunks are runs of bytes that are neither a space nor a line break.
+#: Chunks are runs of bytes that are neither a space nor a line break, or parts of these.
 _CHUNK = np.array([b not in (0x20, 0x0A) for b in range(256)])
 #: Appended to a model's bytes it switches off the space that is put before a text (normalizer_spec.add_dummy_prefix = false).
 _NO_PREFIX = b"\x1a\x02\x18\x00"
@@ -49,10 +50,17 @@ class Tokenizer:
         inner = [p for p in pieces if MARK in p.lstrip(MARK) or ("\n" in p and p != "\n")]
         if inner:
             raise ValueError(f"pieces of this model span chunks: {inner[:3]}")
+        # pairs of bytes that lie next to each other in a piece or a character: nothing is merged over others
+        self.joined = np.zeros((256, 256), bool)
+        self.joined[:, 0x80:0xC0] = True
+        for i, p in enumerate(pieces):
+            if not (self.raw.is_control(i) or self.raw.is_unknown(i) or self.raw.is_byte(i)):
+                own = np.frombuffer(p.encode(), np.uint8)
+                self.joined[own[:-1], own[1:]] = True
         self.pieces = {p for p, own in zip(pieces, self.raw.encode(pieces, out_type=str), strict=True) if own == [p]}
         self.longest = max(map(len, self.pieces))
         self.apart: dict[tuple[str, str], bool] = {}
-        self.store = ChunkStore(self._steps, np.int16)
+        self.store = ChunkStore(self._steps, np.int16, 800_000)
 
     def _steps(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """What each character adds to the count of the prefix that it ends (less than nothing where it completes a longer piece)."""
@@ -119,11 +127,19 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class PrefixCounts:
-    """For the documents of a slice: ``ends`` are byte positions between chunks, ``total[j]`` the exact token count of the document's text up to ends[j]; document i has rows at[i] to at[i + 1]."""
+    """For the documents of a slice: ``ends`` are byte positions between chunks, ``total[j]`` the exact token count of the document's text up to ends[j]; document i has rows at[i] to at[i + 1].
 
-    def __init__(self, part: Slice, tok: Tokenizer):
+    joined: the pairs of bytes that a piece may span; by default any. Runs of characters that no piece joins to another,
+    as numbers are, stay in one chunk, so that long ones don't have a chunk for each byte."""
+
+    def __init__(self, part: Slice, tok: Tokenizer, joined: np.ndarray | None = None):
         self.part, self.tok = part, tok
-        w = part.words(_CHUNK)
+        cuts = None
+        if joined is not None and len(part.data):
+            spanned = np.concatenate(([False], joined[part.data[:-1], part.data[1:]], [False]))
+            cuts = ~spanned[:-1]
+            cuts[1:] &= spanned[:-2] | spanned[2:]
+        w = part.words(_CHUNK, cuts)
         data, n = part.data, len(part.data)
         where = np.arange(n)
         begins = part.offsets[np.searchsorted(part.offsets, where, side="right") - 1] if n else where
@@ -187,7 +203,7 @@ def _counts(path: str, limit: int, batches):
                 lengths, inner = np.diff(part.offsets).tolist(), [part]
             fits = []
             for p in inner:
-                counts = PrefixCounts(p, tok)
+                counts = PrefixCounts(p, tok, tok.joined)
                 out[1] += counts.last.tolist()
                 fits += [counts.fit(i, limit) if counts.last[i] > limit else int(p.offsets[i + 1] - p.offsets[i]) for i in range(p.n)]
             if inner[0] is not part:

@@ -347,6 +347,45 @@ def test_a_store_keeps_what_is_asked_for():
         assert len(store.keys) <= 20
 
 
+def test_chunks_end_where_no_piece_goes_on(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    from sigweave.llm.pieces import ChunkStore
+
+    path = token_counts.default_model()
+    lib, tok = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.tokenizer(path)
+    monkeypatch.setattr(tok, "store", ChunkStore(tok._steps, np.int16))
+    words, marks = ["word", "other", "longer", "häuser", "слово"], ["7", "42", "1999", "00"]
+    texts = [f"{a}{b}{c} {b}{a}" for a in words for b in marks for c in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    (got,) = token_counts._counts(path, 4096, iter([batch]))
+    assert got["n_tokens"].to_pylist() == [len(lib.encode(t)) for t in texts]
+    # words and numbers, with and without a space before them, and the empty end of a text; not their products
+    assert len(tok.store.keys) <= 2 * (len(words) + len(marks)) + 1
+    # every text over all characters, cut at every budget
+    r = random.Random(5)
+    odd = "ab1 2\n.!<>_-/'\"#*éßñя日本ไท😀\u0301\u200b▁\x00\x7f\u00a0"
+    texts = ["", " ", "7", *("".join(r.choices(odd, k=r.randint(1, 40))) for _ in range(400)), *("</s> <0x0A>" + "".join(r.choices("09<>x/s", k=9)) for _ in range(50))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    sizes = [[len(lib.encode(t[:k])) for k in range(len(t) + 1)] for t in texts]
+    for limit in (1, 4, 9, 20):
+        (got,) = token_counts._counts(path, limit, iter([batch]))
+        assert got["n_tokens"].to_pylist() == [own[-1] for own in sizes]
+        assert got["fit_bytes"].to_pylist() == [len(t[: max(k for k, n in enumerate(own) if n <= limit)].encode()) for t, own in zip(texts, sizes, strict=True)]
+
+
+def test_a_long_run_of_digits_is_one_chunk():
+    import pyarrow as pa
+
+    from sigweave.llm.text import slices
+
+    tok = token_counts.tokenizer(token_counts.default_model())
+    (part,) = slices(pa.array(["a" + "0123456789" * 100 + "b" + "1" * 50]))
+    counts = token_counts.PrefixCounts(part, tok, tok.joined)
+    assert len(counts.ends) <= 3 and counts.last.tolist() == [len(tok.whole.encode(part.bytes_of(0).decode()))]
+
+
 def test_runs_of_many_spaces_have_keys_of_their_own():
     from types import SimpleNamespace
 
