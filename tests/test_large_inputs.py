@@ -1,9 +1,12 @@
 """Cases in which queries differed from their SQL, or grew faster than their result."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 from sigweave.functions import fields
+from sigweave.operators import pairs
 
 
 def test_page_labels_round_and_lower_as_sql(spark, tmp_path):
@@ -19,3 +22,55 @@ def test_page_labels_round_and_lower_as_sql(spark, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(con.execute(f"select page_id, host, slug, chars, size from ({catalog.oracle_sql()['p46_page_identities']})").fetchall())
     assert spark.range(1).select(fields.size_label(F.lit(3328))).first()[0] == "3.2 KB"
+
+
+def _sessions(n, imsis, seed=1):
+    rng = random.Random(seed)
+    rows, tokens = [], []
+    for i in range(n):
+        start = None if rng.random() < 0.05 else round(rng.uniform(0, 300), 1)
+        rows.append(("c", f"s{i:02d}", start, None if start is None else start + rng.choice([0.0, 5.0, 70.0]), [rng.choice(["GTP", "TCP"])], [rng.choice(["LTE", "5G"])], rng.choice(imsis)))
+        tokens += {("c", f"s{i:02d}", k, f"{k}{rng.randint(1, m)}") for k, m, p in (("id", 9, 0.3), ("stream", 9, 0.2), ("ip", 2, 0.9), ("ip", 2, 0.9), ("pair", 4, 0.4), ("tunnel", 5, 0.3), ("access", 5, 0.2), ("subscriber_ip", 6, 0.4), ("technology", 2, 1.0)) if rng.random() < p}
+    return rows, sorted(tokens)
+
+
+def _scores(rows, tokens, near):
+    """All pairs, one by one."""
+    has = {r[1]: {t[2:] for t in tokens if t[1] == r[1]} for r in rows}
+    out = {}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            n = {k: sum(t[0] == k for t in has[x[1]] & has[y[1]]) for k in pairs.KINDS}
+            close = None not in (x[2], y[2]) and max(x[2] - y[3], y[2] - x[3], 0) <= near
+            place = 80 if n["pair"] else 72 if n["ip"] >= 2 else 60 if n["ip"] and (x[4] != ["TCP"] or y[4] != ["TCP"]) else 0
+            score = 85 * (n["stream"] > 0) + close * (sum(v * (n[k] > 0) for k, v in pairs.POINTS.items()) + place + 15 * (x[5] == y[5]))
+            if not any(n.values()) or (x[6] and y[6] and x[6] != y[6]):
+                score = 0
+            score = 120 if n["id"] else score
+            if score:
+                out[x[1], y[1]] = score
+    return out
+
+
+def _scored(spark, rows, tokens, hot):
+    sessions = spark.createDataFrame(rows, "capture_id string, session_id string, start_ts double, end_ts double, protocols array<string>, technologies array<string>, imsi string")
+    listed = spark.createDataFrame(tokens, "capture_id string, session_id string, kind string, token string")
+    none = spark.sql("select '' as capture_id, '' as a, '' as b, '' as method where false")
+    return pairs.score_pairs(sessions, listed, window=10.0, links=none, hot=hot)
+
+
+def test_scores_of_all_pairs_with_and_without_imsi(spark):
+    for imsis, hot in ((["1", "2", None], 3), (["1", "2", None], 1000), (["1", "2"], 3)):
+        rows, tokens = _sessions(40, imsis)
+        found = _scored(spark, rows, tokens, hot).collect()
+        got = {(r["a"], r["b"]): r["score"] for r in found}
+        assert len(found) == len(got) and got == _scores(rows, tokens, 20.0)
+
+
+def test_sessions_of_many_subscribers_do_not_meet_over_an_address(spark):
+    """400 subscribers at one time behind one address: no pair of them scores, and none is formed."""
+    rows = [("c", f"s{i:03d}", 1.0, 2.0, ["GTP"], ["LTE"], f"{i}") for i in range(400)]
+    assert _scored(spark, rows, [("c", r[1], "ip", "10.0.0.1") for r in rows], 5).count() == 0
+    sessions = spark.createDataFrame(rows, "capture_id string, session_id string, start_ts double, end_ts double, protocols array<string>, technologies array<string>, imsi string")
+    tokens = sessions.selectExpr("capture_id", "session_id", "'ip' as kind", "'10.0.0.1' as token")
+    assert pairs.blocked_pairs(sessions, tokens, 20.0, apart="imsi").count() == 0
