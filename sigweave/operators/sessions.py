@@ -60,8 +60,8 @@ def flow_summary(messages: DataFrame, keys: list[str] = KEY, k: int = 10) -> Dat
     return first.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["token"]), " → ").alias("flow"))
 
 
-def refresh(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """The session record. Every flag, pick and set comes from one aggregation on the session key; the flow is put together from the first place of each distinct token."""
+def records(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The session record without its flow: every flag, pick and set comes from one aggregation on the session key."""
     p = F.col("protocol")
     sip = p == "SIP"
     dia = p == "DIAMETER"
@@ -106,10 +106,17 @@ def refresh(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
         "pfcp_count": F.count_if(p == "PFCP"), "pfcp_failures": F.count_if((p == "PFCP") & (core_bad | text.rlike("REJECT|FAIL|NOT FOUND|MISSING|ERROR"))),
     }
     out = messages.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
-    out = out.join(flow_summary(messages, keys), keys, "left").withColumn("flow", F.coalesce("flow", F.lit("")))
     return out.withColumns({"duration_ms": F.bround((F.col("end_ts") - F.col("start_ts")) * 1000, 3), "time_to_failure_ms": F.bround((F.col("failure_ts") - F.col("start_ts")) * 1000, 3)})
 
 
+def refresh(messages: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The session record with its flow, which is put together from the first place of each distinct token."""
+    out = records(messages, keys)
+    told = out.join(flow_summary(messages, keys), keys, "left").withColumn("flow", F.coalesce("flow", F.lit("")))
+    last = ["duration_ms", "time_to_failure_ms"]
+    return told.select(*[c for c in told.columns if c not in last], *last)
+
+
 # Families beside the call families that a session's messages are counted by.
 BUCKETS = ["HTTP", "IKEV2", "TCP", "UDP", "SCTP", "DNS", "ICMP", "S1AP", "NGAP", "RANAP", "BSSAP", "MAP", "NAS_EPS", "NAS_5GS", "PFCP", "RADIUS"]
 

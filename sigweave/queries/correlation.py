@@ -101,8 +101,9 @@ TOKENS_SQL = SESSIONS_SQL + """, tk AS (
 
 def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = sessionize(messages(spark, folder), GAP)
-    records, tokens = sessions.refresh(rows), sessions.tokens(rows)
-    none = spark.createDataFrame([], "capture_id string, a string, b string, method string")
+    # what scores ask of a session, written once: pairs look it up on both sides
+    records, tokens = pairs.saved(sessions.records(rows).select(*KEYS, "start_ts", "end_ts", "protocols", "technologies", "imsi")), sessions.tokens(rows)
+    none = spark.sql("select '' as capture_id, '' as a, '' as b, '' as method where false")
     return records, pairs.score_pairs(records, tokens, window=WINDOW, links=none, hot=50)
 
 
