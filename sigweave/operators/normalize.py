@@ -58,9 +58,21 @@ def known(name: str) -> Column:
     return field(*ALIASES[name])
 
 
+def enough(row: Column) -> Column:
+    """Whether a row (protocol, fields) meets its family's minimum."""
+    p = row["protocol"]
+    has = lambda name: fields.first_present(*[row["fields"][n] for n in ALIASES[name]])
+    least = F.when(p == "SIP", has("call_id").isNotNull()).when(p == "DIAMETER", has("dia_session").isNotNull() & has("command").isNotNull()).when(p == "INAP", has("tcap").isNotNull())
+    return least.otherwise(fields.to_int(has("frame_number")).isNotNull() | fields.to_float(has("time")).isNotNull() | F.coalesce(has("src_ip"), has("dst_ip")).isNotNull())
+
+
 def normalize(raw: DataFrame) -> DataFrame:
-    """All families in one pass."""
+    """All families in one pass.
+
+    The minimum is asked of the one element of an array: the optimizer moves conditions below the columns that they name and writes those out at each place, so a plain
+    condition on the normalized columns would hold the expression behind ``fields`` dozens of times (170,000 characters, over which the driver ran out of memory)."""
     p = F.upper("protocol")
+    raw = raw.where(F.exists(F.array(F.struct(p.alias("protocol"), "fields")), enough))
     rows = raw.select(
         "capture_id",
         p.alias("protocol"),
@@ -114,10 +126,8 @@ def normalize(raw: DataFrame) -> DataFrame:
         "msisdn": F.coalesce("own_msisdn", "sbi_msisdn"),
         "domain": F.element_at(F.create_map(*[F.lit(x) for kv in CODE_DOMAINS.items() for x in kv]), F.col("protocol")),
     })
-    enough = F.when(F.col("protocol") == "SIP", F.col("call_id").isNotNull()).when(F.col("protocol") == "DIAMETER", F.col("dia_session_id").isNotNull() & F.col("command_code").isNotNull())
-    enough = enough.when(F.col("protocol") == "INAP", F.col("tcap_tid").isNotNull()).otherwise(F.coalesce(F.col("frame_number").cast("string"), F.col("ts").cast("string"), "src_ip", "dst_ip").isNotNull())
     names = codes.code_names(raw.sparkSession).select(F.col("domain").alias("_domain"), F.col("code").alias("_code"), F.col("name").alias("code_name"))
-    rows = rows.where(enough).join(F.broadcast(names), (F.col("domain") == F.col("_domain")) & (F.col("procedure") == F.col("_code")), "left")
+    rows = rows.join(F.broadcast(names), (F.col("domain") == F.col("_domain")) & (F.col("procedure") == F.col("_code")), "left")
     rows = codes.with_code_name(rows, "diameter_command", "command_code", "command_name")
     sip = F.coalesce("method", "status_code")
     http = F.trim(F.concat_ws(" ", F.coalesce("method", "status_code"), F.when(F.col("method").isNotNull(), F.col("uri"))))

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sigweave.functions import fields
-from sigweave.operators import pairs
+from sigweave.operators import normalize, pairs, seeds
 
 
 def test_page_labels_round_and_lower_as_sql(spark, tmp_path):
@@ -74,3 +74,20 @@ def test_sessions_of_many_subscribers_do_not_meet_over_an_address(spark):
     sessions = spark.createDataFrame(rows, "capture_id string, session_id string, start_ts double, end_ts double, protocols array<string>, technologies array<string>, imsi string")
     tokens = sessions.selectExpr("capture_id", "session_id", "'ip' as kind", "'10.0.0.1' as token")
     assert pairs.blocked_pairs(sessions, tokens, 20.0, apart="imsi").count() == 0
+
+
+def test_conditions_of_normalization_stay_small(spark):
+    """What the rows must have is not written out once for each place that names it."""
+    from sigweave.queries.normalization import decoded
+
+    rows = normalize.normalize(decoded(spark, "/root/testdata/sf0.001"))
+    plan = seeds.deduplicate(rows.unionByName(rows)).groupBy("protocol").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(len, plan.splitlines())) < 30_000 and "row_number" not in plan
+
+
+def test_the_first_message_of_each_identity_is_whole(spark):
+    rows = [("c", 1, 5.0, 2, "late", None), ("c", 1, 1.0, 3, None, "x"), ("c", 1, 1.0, 9, "same time", "y"), ("c", 2, None, 1, "no time", "z"), ("c", 2, 1.0, 1, "w", "w"), ("d", 1, 7.0, None, "other", None), (None, 1, 7.0, None, "none", None)]
+    messages = spark.createDataFrame(rows, "capture_id string, message_uid long, ts double, frame_number long, message string, imsi string").repartition(3)
+    got = {tuple(r) for r in seeds.deduplicate(messages.unionByName(messages)).collect()}
+    assert got == {rows[1], rows[3], rows[5], rows[6]}
+    assert seeds.deduplicate(messages.unionByName(messages)).columns == messages.columns
