@@ -18,6 +18,8 @@ CANDIDATE = ["capture_id", "session_id", "message_uid", "strategy", "score", "ra
 # Scores of the strategies.
 SCORES = {"epdg_inner_ip_fusion": 112, "framed_ip_fusion": 110, "framed_ip_nat_similarity": 108, "ip_layer_match": 85, "msisdn_exact": 80, "msisdn_suffix": 78, "imsi_bridge": 75, "apn_match": 70, "time_cluster": 50}
 GTP_SCORES = {"subscriber_ip_fusion": 120, "imsi_fusion": 105}
+#: So many addresses of a session are carried along where it is compared with rows.
+FEW = 64
 
 
 def in_window(ts: Column, start: Column, end: Column, window: float) -> Column:
@@ -49,11 +51,26 @@ def equi_window(sessions: DataFrame, session_keys: DataFrame, row_keys: DataFram
     return best.select("capture_id", "session_id", "message_uid", F.lit(strategy).alias("strategy"), F.lit(score).alias("score"), "rank")
 
 
+def _bucket(x: Column, window: float) -> Column:
+    return F.floor(x / window).cast("long")
+
+
+def _spans(start: Column, end: Column, window: float, wide: float) -> Column:
+    """The buckets of a width that a session's window covers; none without a time."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.sequence(_bucket(start - window, wide), _bucket(F.greatest(start, end) + window, wide)))
+
+
+def _variants(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(capture_id, message_uid, columns): identities that rows of one value of the columns have, and those of several."""
+    listed = rows.groupBy("capture_id", "message_uid").agg(F.collect_set(F.struct(*columns)).alias("v"))
+    of = lambda x: x.select("capture_id", "message_uid", F.explode("v").alias("v")).select("capture_id", "message_uid", "v.*")
+    return of(listed.where(F.size("v") == 1)), of(listed.where(F.size("v") > 1))
+
+
 def time_window(sessions: DataFrame, rows: DataFrame, window: float, strategy: str = "time_cluster", score: int = 50) -> DataFrame:
     """Rows in a session's window by time alone: both sides meet in buckets as wide as the window, each row in one, each session in those that it covers."""
-    bucket = lambda x: F.floor(x / window)
-    spans = sessions.select("capture_id", "session_id", "start_ts", "end_ts", F.explode(F.sequence(bucket(F.col("start_ts") - window), bucket(F.col("end_ts") + window))).alias("bucket"))
-    found = rows.select("capture_id", "message_uid", "ts", bucket(F.col("ts")).alias("bucket")).join(spans, ["capture_id", "bucket"]).where(in_window(F.col("ts"), F.col("start_ts"), F.col("end_ts"), window))
+    spans = sessions.select("capture_id", "session_id", "start_ts", "end_ts", F.explode(_spans(F.col("start_ts"), F.col("end_ts"), window, window)).alias("bucket"))
+    found = rows.select("capture_id", "message_uid", "ts", _bucket(F.col("ts"), window).alias("bucket")).join(spans, ["capture_id", "bucket"]).where(in_window(F.col("ts"), F.col("start_ts"), F.col("end_ts"), window))
     return found.select("capture_id", "session_id", "message_uid", F.lit(strategy).alias("strategy"), F.lit(score).alias("score"), F.lit(0).alias("rank"))
 
 
@@ -107,11 +124,34 @@ def gtp_fusion(sessions: DataFrame, ips: DataFrame, gtp: DataFrame, window: floa
 
 
 def endpoint_rows(sessions: DataFrame, ips: DataFrame, rows: DataFrame, window: float = 5.0) -> DataFrame:
-    """Generic rows that share an endpoint with a session in its window; a session without addresses takes all rows in the window."""
-    ends = keys_of(rows, {"ip": F.array("src_ip", "dst_ip")})
-    shared = ips.join(sessions.select("capture_id", "session_id", "start_ts", "end_ts"), ["capture_id", "session_id"]).join(ends.withColumnRenamed("key", "ip"), ["capture_id", "ip"]).where(in_window(F.col("ts"), F.col("start_ts"), F.col("end_ts"), window))
-    bare = sessions.join(ips.select("capture_id", "session_id").distinct(), ["capture_id", "session_id"], "left_anti")
-    return shared.select("capture_id", "session_id", "message_uid").distinct().unionByName(time_window(bare, rows, window).select("capture_id", "session_id", "message_uid"))
+    """Generic rows that share an endpoint with a session in its window; a session without addresses takes all rows in the window.
+
+    Both sides meet by address and bucket of time, since very many sessions of all times have a gateway's address. What is found is
+    written as it is found, without a shuffle of the result."""
+    wide = 6 * window
+    single, several = _variants(rows, ["ts", "src_ip", "dst_ip"])
+    named = single.withColumns({c: F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("src_ip", "dst_ip")})
+    second = F.when(~F.col("src_ip").eqNullSafe(F.col("dst_ip")), F.col("dst_ip"))
+    ends = named.select("capture_id", "message_uid", "ts", _bucket(F.col("ts"), wide).alias("bucket"), "src_ip", F.posexplode(F.array("src_ip", second)).alias("side", "ip")).where("ip is not null")
+    spans = sessions.select("capture_id", "session_id", "start_ts", "end_ts", F.explode(_spans(F.col("start_ts"), F.col("end_ts"), window, wide)).alias("bucket"))
+    own = ips.groupBy("capture_id", "session_id").agg(F.collect_set("ip").alias("own"))
+    few = own.where(F.size("own") <= FEW)
+    asks = few.select("*", F.explode("own").alias("ip")).join(spans, ["capture_id", "session_id"])
+    here = in_window(F.col("ts"), F.col("start_ts"), F.col("end_ts"), window)
+    # a row that the session has by its source is not taken again by its destination
+    shared = asks.join(ends, ["capture_id", "ip", "bucket"]).where(here & ((F.col("side") == 0) | ~F.coalesce(F.array_contains("own", F.col("src_ip")), F.lit(False)))).select("capture_id", "session_id", "message_uid")
+    # sessions of many addresses, and identities that several rows have, are made distinct afterwards
+    timed = lambda x: keys_of(x, {"ip": F.array("src_ip", "dst_ip")}).withColumn("bucket", _bucket(F.col("ts"), wide)).withColumnRenamed("key", "ip")
+    many = own.where(F.size("own") > FEW).select("capture_id", "session_id", F.explode("own").alias("ip")).join(spans, ["capture_id", "session_id"])
+    rest = []
+    if not many.isEmpty():
+        rest.append(many.join(timed(rows), ["capture_id", "ip", "bucket"]))
+    if not several.isEmpty():
+        rest.append(asks.drop("own").join(timed(several), ["capture_id", "ip", "bucket"]))
+    bare = sessions.join(own.select("capture_id", "session_id"), ["capture_id", "session_id"], "left_anti")
+    if rest:
+        shared = shared.unionByName(reduce(DataFrame.unionByName, rest).where(here).select("capture_id", "session_id", "message_uid").distinct())
+    return shared.unionByName(time_window(bare, rows, window).select("capture_id", "session_id", "message_uid"))
 
 
 def related_imsi(parties: DataFrame, diameter: DataFrame, mobile: DataFrame) -> DataFrame:

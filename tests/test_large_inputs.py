@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sigweave.functions import fields
-from sigweave.operators import normalize, pairs, seeds
+from sigweave.operators import normalize, pairs, seeds, strategies
 
 
 def test_page_labels_round_and_lower_as_sql(spark, tmp_path):
@@ -91,3 +91,24 @@ def test_the_first_message_of_each_identity_is_whole(spark):
     got = {tuple(r) for r in seeds.deduplicate(messages.unionByName(messages)).collect()}
     assert got == {rows[1], rows[3], rows[5], rows[6]}
     assert seeds.deduplicate(messages.unionByName(messages)).columns == messages.columns
+
+
+def test_endpoints_meet_by_time_and_each_row_once(spark, monkeypatch):
+    """Against all pairs: sessions of few and of many addresses, rows of one identity, blanks, missing bounds."""
+    rng = random.Random(3)
+    ip = lambda: rng.choice([None, "", "1", "2", "3", "4", "5"])
+    sessions = [("c", f"s{i}", t, None if t is None else t + rng.choice([0.0, 4.0, 60.0])) for i in range(30) for t in [rng.choice([None, *[rng.uniform(0, 200)] * 9])]]
+    ips = sorted({("c", s[1], a) for s in sessions[:25] for a in (ip(), ip(), ip(), ip()) if a is not None})
+    rows = [("c", rng.randint(1, 70), None if rng.random() < 0.05 else rng.uniform(0, 260), ip(), ip()) for _ in range(100)]
+    frame = lambda x, ddl: spark.createDataFrame(x, ddl).repartition(2)
+    s = frame(sessions, "capture_id string, session_id string, start_ts double, end_ts double")
+    i = frame([(*x, 0) for x in ips], "capture_id string, session_id string, ip string, rank int")
+    r = frame(rows, "capture_id string, message_uid long, ts double, src_ip string, dst_ip string")
+    of = {x[1]: {a for _, n, a in ips if n == x[1]} for x in sessions}
+    near = [(x, y) for x in sessions for y in rows if None not in (x[2], y[2]) and x[2] - 5 <= y[2] <= x[3] + 5]
+    want = {(x[1], y[1]) for x, y in near if of[x[1]] & ({y[3], y[4]} - {None, ""})} | {(x[1], y[1]) for x, y in near if not of[x[1]]}
+    for few in (64, 2):
+        monkeypatch.setattr(strategies, "FEW", few)
+        got = [(x["session_id"], x["message_uid"]) for x in strategies.endpoint_rows(s, i, r).collect()]
+        shared = [x for x in got if of[x[0]]]
+        assert set(got) == want and len(shared) == len(set(shared))
