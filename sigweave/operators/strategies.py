@@ -103,16 +103,24 @@ def diameter_fusion(sessions: DataFrame, ips: DataFrame, diameter: DataFrame, wi
     if aliases is not None:
         inner = ips.join(aliases.withColumnRenamed("outer_ip", "ip"), ["capture_id", "ip"]).select("capture_id", "session_id", F.col("inner_ip").alias("key"), "rank")
         found.append(go(inner, "framed", "epdg_inner_ip_fusion"))
-    if called is not None:  # the distinct access points are few; each is compared with the called numbers, not with rows
+    if called is not None:  # an access point has a number in it if one of its parts of the number's length is the number
         points = diameter.select("capture_id", F.lower("apn").alias("key")).where("key is not null").distinct()
-        inside = called.join(points, "capture_id").where(F.col("key").contains(F.lower("called"))).select("capture_id", "session_id", "key", F.lit(0).alias("rank"))
+        wanted = called.select("capture_id", "session_id", F.lower("called").alias("part")).where("part is not null")
+        parts = points.join(F.broadcast(wanted.select(F.length("part").alias("n")).distinct())).where("n <= length(key)")
+        parts = parts.select("capture_id", "key", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(key) - n + 1), i -> substring(key, i, n))"))).alias("part"))
+        inside = wanted.join(parts, ["capture_id", "part"]).select("capture_id", "session_id", "key", F.lit(0).alias("rank"))
         by_point = keys_of(diameter, {"apn": F.lower("apn")})
         found.append(equi_window(sessions, inside, by_point, "apn", "apn_match", SCORES["apn_match"], window, min_overlap))
-    strong = reduce(DataFrame.unionByName, found)
-    if time_fallback:
-        decided = strong.where("score >= 60").select("capture_id", "session_id").distinct()
-        strong = strong.unionByName(time_window(sessions.join(decided, ["capture_id", "session_id"], "left_anti"), diameter, window))
-    return arbitrate(strong)
+    strong = arbitrate(reduce(DataFrame.unionByName, found))
+    if not time_fallback:
+        return strong
+    # every strategy counts more than time, so a session that one has found is decided; what the others have by time alone needs no arbitration, and is written as it is found
+    left = sessions.join(strong.select("capture_id", "session_id").distinct(), ["capture_id", "session_id"], "left_anti")
+    single, several = _variants(diameter, ["ts"])
+    near = time_window(left, single, window)
+    if not several.isEmpty():
+        near = near.unionByName(time_window(left, several, window).distinct())
+    return strong.unionByName(near.select(*strong.columns))
 
 
 def gtp_fusion(sessions: DataFrame, ips: DataFrame, gtp: DataFrame, window: float = 5.0) -> DataFrame:

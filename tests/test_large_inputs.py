@@ -112,3 +112,17 @@ def test_endpoints_meet_by_time_and_each_row_once(spark, monkeypatch):
         got = [(x["session_id"], x["message_uid"]) for x in strategies.endpoint_rows(s, i, r).collect()]
         shared = [x for x in got if of[x[0]]]
         assert set(got) == want and len(shared) == len(set(shared))
+
+
+def test_time_fallback_and_access_points(spark):
+    """Numbers of several lengths within access points; sessions that no strategy finds take each near row once; no number is compared with all access points."""
+    s = spark.createDataFrame([("c", f"s{i}", 10.0 * i, 10.0 * i + 1, n) for i, n in enumerate(["4917", "0817", "x", None, "491"])], "capture_id string, session_id string, start_ts double, end_ts double, msisdn string")
+    ips = spark.createDataFrame([], "capture_id string, session_id string, ip string, rank int")
+    rows = [("c", 1, 11.0, "IMS.4917.net"), ("c", 2, 11.0, "ims.net.491"), ("c", 3, 21.0, "49"), ("c", 4, 33.0, None), ("c", 4, 31.0, "z"), ("c", 5, 3.0, "a4917491"), ("c", 6, 45.0, "491"), ("c", 7, None, "4917")]
+    columns = ", ".join(f"cast(null as string) as {c}" for c in ("framed_ip", "src_ip", "dst_ip", "msisdn", "imsi"))
+    dia = spark.createDataFrame(rows, "capture_id string, message_uid long, ts double, apn string").selectExpr("*", *columns.split(", "))
+    found = strategies.diameter_fusion(s, ips, dia, 5.0, called=s.select("capture_id", "session_id", F.col("msisdn").alias("called")))
+    got = sorted((r["session_id"], r["message_uid"], r["strategy"]) for r in found.collect())
+    assert got == [("s0", 5, "apn_match"), ("s1", 1, "time_cluster"), ("s1", 2, "time_cluster"), ("s2", 3, "time_cluster"), ("s3", 4, "time_cluster"), ("s4", 6, "apn_match")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains(key" not in plan
