@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sigweave.functions import fields
-from sigweave.operators import normalize, pairs, seeds, strategies
+from sigweave.operators import learning, normalize, pairs, seeds, strategies
 
 
 def test_page_labels_round_and_lower_as_sql(spark, tmp_path):
@@ -126,3 +126,24 @@ def test_time_fallback_and_access_points(spark):
     assert got == [("s0", 5, "apn_match"), ("s1", 1, "time_cluster"), ("s1", 2, "time_cluster"), ("s2", 3, "time_cluster"), ("s3", 4, "time_cluster"), ("s4", 6, "apn_match")]
     plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "contains(key" not in plan
+
+
+def test_nearest_by_products_is_nearest_one_by_one(spark, monkeypatch):
+    """Copies, scaled copies and zero vectors, with names of text: values and ties are those of the plain expression."""
+    rng = random.Random(5)
+    some = [[rng.choice([-1.0, 0.0, 0.1, 0.7, 3.0]) for _ in range(5)] for _ in range(12)]
+    rows = [(f"p{i}", [x * s for x in v]) for i in range(150) for v, s in [(rng.choice(some), rng.choice([1.0, 1.0, 3.0]))]] + [("z", [0.0] * 5)]
+    patterns = spark.createDataFrame(rows, "pattern_id string, embedding array<float>").repartition(3)
+    queries = patterns.where("pattern_id like '%7' or pattern_id = 'z'").withColumnRenamed("pattern_id", "query_id")
+    plain = queries.crossJoin(patterns.withColumnRenamed("embedding", "_p")).select("query_id", "pattern_id", learning.cosine(F.col("embedding"), F.col("_p")).alias("similarity"))
+    by = {}
+    for r in plain.collect():
+        by.setdefault(r[0], []).append((-r[2], r[1]))
+    want = {(q, p, -c, n + 1) for q, x in by.items() for n, (c, p) in enumerate(sorted(x)[:4])}
+    for block, square in ((8192, 2048), (5, 16)):
+        monkeypatch.setattr(learning, "QUERY_BLOCK", block)
+        monkeypatch.setattr(learning, "SQUARE", square)
+        found = learning.nearest(queries, patterns, k=4)
+        assert {tuple(r) for r in found.collect()} == want and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    odd = patterns.unionByName(spark.createDataFrame([("odd", None)], patterns.schema))
+    assert {tuple(r) for r in learning.nearest(queries.where("query_id = 'p7'"), odd, k=4).collect()} == {w for w in want if w[0] == "p7"}
