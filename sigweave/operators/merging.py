@@ -24,6 +24,8 @@ from sigweave.operators.pairs import ACCESS_CONTINUATION, MERGE_AT, POINTS, SAME
 KEY = ["capture_id", "session_id"]
 #: Kinds of tokens that count at any distance; the others within the window only.
 TIMELESS = ("id", "stream")
+#: Groups of sessions that can merge with each other are folded one session after the other if they have so many at most, else in rounds of joins.
+SMALL = 500
 
 
 def _place() -> Column:
@@ -131,16 +133,174 @@ def _relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
     return rows.join(moved, KEY).drop("session_id").withColumnRenamed("to", "session_id")
 
 
-def merge_sessions(sessions: DataFrame, tokens: DataFrame, window: float = 5.0, passes: int = 3) -> DataFrame:
-    """(capture_id, session_id, cluster): sessions merged in up to ``passes`` passes; merged ones are taken again with all their identities and their whole time span.
+def _groups(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(capture_id, session_id, label, small): sessions that can be in one cluster have one label, if small.
+
+    Without a common session identity, sessions of different IMSIs never merge, so identities, IMSIs and whatever sessions without an IMSI have hold groups together. The
+    smallest name runs along these three times; labels that a token still has several of are not closed, and like those of more than SMALL sessions not small."""
+    imsi = (F.col("kind") == "subscriber_id") & fields.is_imsi(F.col("token"))
+    named = tokens.where("kind != 'technology'").join(rows.select(*KEY), KEY, "left_semi")
+    known = named.where(imsi).select(*KEY).distinct()
+    loose = named.join(known, KEY, "left_anti").select("capture_id", "kind", "token").distinct()
+    of = ["capture_id", "kind", "token"]
+    keys = saved(named.where(imsi | (F.col("kind") == "id")).unionByName(named.join(loose, of, "left_semi")).select(*KEY, "kind", "token").distinct())
+    labels = rows.select(*KEY, F.col("session_id").alias("label"))
+    for _ in range(3):
+        least = keys.join(labels, KEY).groupBy(*of).agg(F.min("label").alias("least"))
+        heard = keys.join(least, of).groupBy(*KEY).agg(F.min("least").alias("least"))
+        labels = saved(labels.join(heard, KEY, "left").select(*KEY, F.least("label", F.coalesce("least", "label")).alias("label")))
+    several = keys.join(labels, KEY).groupBy(*of).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(*of)
+    open_ = keys.join(several, of, "left_semi").join(labels, KEY).select("capture_id", "label").distinct().withColumn("open", F.lit(True))
+    sizes = labels.groupBy("capture_id", "label").agg(F.count("*").alias("n")).join(open_, ["capture_id", "label"], "left")
+    return saved(labels.join(sizes.select("capture_id", "label", (F.col("open").isNull() & (F.col("n") <= SMALL)).alias("small")), ["capture_id", "label"]))
+
+
+class _Cluster:
+    """What the fold knows of a session or a cluster."""
+
+    __slots__ = ("dialog", "end", "first", "kinds", "mobile", "members", "name", "place", "said", "spoken", "start", "technologies")
+
+    def __init__(self, row, kinds):
+        self.name, self.members, self.start, self.end, self.kinds = row.session_id, [row.session_id], _some(row.start_ts), _some(row.end_ts), kinds
+        self.place, self.dialog, self.mobile, self.spoken = (self.start or 0.0, self.name), row.dialog_key, row.mobility, row.speaks
+        self.technologies = set(row.technologies if row.technologies is not None else ())
+        self.first = None if row.starts is None else (_first(self.start), self.name, row.starts)
+        self.said = None if row.ends is None else (_first(self.end), self.name, row.ends)
+
+
+def _some(x):
+    return None if x is None or x != x else float(x)
+
+
+def _first(x):
+    """Orders a missing number before all others."""
+    return (0, 0.0) if x is None else (1, x)
+
+
+def _gap(a, b):
+    if None in (a.start, a.end, b.start, b.end):
+        return float("inf")
+    return max(a.start - b.end, b.start - a.end, 0.0)
+
+
+def _links(all_, window):
+    """``continuations`` between the members of a small group: the points by names."""
+    reach, out = max(15.0, 30.0, 6 * window), {}
+    by_imsi, by_access = {}, {}
+    for c in sorted((c for c in all_ if None not in (c.start, c.end)), key=lambda c: (c.start, c.name)):
+        for x in c.kinds["imsi"] if c.kinds["tunnel"] else ():
+            by_imsi.setdefault(x, []).append(c)
+        for x in c.kinds["access"]:
+            by_access.setdefault(x, []).append(c)
+    for group in by_imsi.values():
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                if b.start - a.end > reach:
+                    break
+                if not a.kinds["tunnel"] & b.kinds["tunnel"] and _gap(a, b) <= reach and (a.mobile or b.mobile or a.kinds["subscriber_ip"] & b.kinds["subscriber_ip"] or a.kinds["access"] & b.kinds["access"]):
+                    out[frozenset((a.name, b.name))] = TEID_CONTINUATION
+                    break
+    for group in by_access.values():
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                if b.start - a.end > reach:
+                    break
+                held = a.kinds["tunnel"] or b.kinds["tunnel"] or a.kinds["subscriber_id"] & b.kinds["subscriber_id"] or a.kinds["subscriber_ip"] & b.kinds["subscriber_ip"]
+                if held and not a.kinds["id"] & b.kinds["id"] and _gap(a, b) <= reach:
+                    out.setdefault(frozenset((a.name, b.name)), ACCESS_CONTINUATION)
+    return out
+
+
+def _score(c, s, links, window):
+    gap, near_at, reach = _gap(c, s), max(2.0, 2 * window), max(3.0, 2 * window)
+    near = gap <= near_at
+    if c.dialog is not None and s.dialog is not None and c.dialog != s.dialog:
+        return 0
+    if (":seg" in c.name or ":seg" in s.name) and c.name.split(":seg")[0] == s.name.split(":seg")[0]:
+        if gap > reach or (c.said is not None and s.first is not None and c.said[2] and s.first[2]):
+            return 0
+    n = {k: len(c.kinds[k] & s.kinds[k]) for k in c.kinds}
+    if n["id"]:
+        return SAME_ID
+    if c.kinds["imsi"] and s.kinds["imsi"] and not n["imsi"]:
+        return 0
+    if c.kinds["subscriber_ip"] and s.kinds["subscriber_ip"] and not n["subscriber_ip"] and not n["subscriber_id"]:
+        return 0
+    total = links.get(frozenset((c.name, s.name)), 0) + (SAME_STREAM if n["stream"] else 0)
+    if near:
+        total += sum(v for k, v in POINTS.items() if n[k])
+        total += 80 if n["pair"] else 72 if n["ip"] >= 2 else 60 if n["ip"] and (c.spoken or s.spoken) else 0
+        total += 15 if c.technologies & s.technologies else 0
+    return total
+
+
+def _take(c, s):
+    """The cluster with a later session of the pass."""
+    c.members, c.name = c.members + s.members, min(c.name, s.name)
+    c.dialog = s.dialog if c.dialog is None else c.dialog
+    c.start = min((x for x in (c.start, s.start) if x is not None), default=None)
+    c.end = max((x for x in (c.end, s.end) if x is not None), default=None)
+    c.kinds = {k: v | s.kinds[k] for k, v in c.kinds.items()}
+    c.technologies, c.mobile, c.spoken = c.technologies | s.technologies, c.mobile or s.mobile, c.spoken or s.spoken
+    c.first = min((x for x in (c.first, s.first) if x is not None), default=None)
+    c.said = max((x for x in (c.said, s.said) if x is not None), default=None)
+
+
+def _folded(waiting, window, passes):
+    for _ in range(passes):
+        links, done = _links(waiting, window), []
+        before = len(waiting)
+        for s in sorted(waiting, key=lambda c: c.place):
+            best, at = 0, None
+            for c in done:
+                points = _score(c, s, links, window)
+                if points >= MERGE_AT and points > best:
+                    best, at = points, c
+            if at is None:
+                done.append(s)
+            else:
+                _take(at, s)
+        waiting = done
+        for c in done:
+            c.place = (c.start or 0.0, c.name)
+            # of what was said first and last, the next pass knows it under the cluster's name
+            c.first = None if c.first is None else (_first(c.start), c.name, c.first[2])
+            c.said = None if c.said is None else (_first(c.end), c.name, c.said[2])
+        if len(done) == before:
+            break
+    return waiting
 
-    A cluster has the smallest id of its members. sessions: records of ``sessions.refresh``, with dialog_key if there are forked dialogs. A session
-    without a time stands first and is near nothing; repeated tokens count once; no sessions give no rows."""
-    if "dialog_key" not in sessions.columns:
-        sessions = sessions.withColumn("dialog_key", F.lit(None).cast("string"))
-    mobility = F.coalesce("mobility", F.lit(False)) if "mobility" in sessions.columns else F.lit(False)
-    rows = saved(sessions.select(*KEY, mobility.alias("mobility"), "start_ts", "end_ts", "protocols", "technologies", "imsi", "first_message", "last_message", "dialog_key"))
-    tokens = saved(tokens.select(*KEY, "kind", "token").distinct())
+
+def _merge_small(rows: DataFrame, tokens: DataFrame, groups: DataFrame, window: float, passes: int) -> DataFrame:
+    """``merge_sessions`` of small groups, each as the fold itself in one task."""
+    small = groups.where("small").select(*KEY, "label")
+    kinds = ["id", "stream", *POINTS, "pair", "ip"]
+    imsi = (F.col("kind") == "subscriber_id") & fields.is_imsi(F.col("token"))
+    held = tokens.where(F.col("kind").isin(kinds)).withColumn("kind", F.when(imsi, "imsi").otherwise(F.col("kind"))).groupBy(*KEY).agg(F.collect_set(F.concat_ws("\t", "kind", "token")).alias("held"))
+    spoken = F.size(F.array_except("protocols", F.array(*map(F.lit, TRANSPORT)))) > 0
+    facts = rows.select(*KEY, "start_ts", "end_ts", "technologies", "dialog_key", "mobility", spoken.alias("speaks"), F.when(F.col("first_message").isNotNull(), F.coalesce(predicates.start_marker(F.col("first_message")), F.lit(False))).alias("starts"), F.when(F.col("last_message").isNotNull(), F.coalesce(predicates.completion_marker(F.col("last_message")), F.lit(False))).alias("ends"))
+    facts = facts.join(small, KEY).join(held, KEY, "left")
+
+    def fold(pdf):
+        import pandas as pd
+
+        waiting = []
+        for r in pdf.astype(object).where(pdf.notna(), None).itertuples():
+            own = {k: set() for k in (*kinds, "imsi")}
+            for x in r.held if r.held is not None else ():
+                kind, token = x.split("\t", 1)
+                own[kind].add(token)
+                if kind == "imsi":
+                    own["subscriber_id"].add(token)
+            waiting.append(_Cluster(r, own))
+        out = [(m, c.name) for c in _folded(waiting, window, passes) for m in c.members]
+        return pd.DataFrame({"capture_id": [pdf["capture_id"].iloc[0]] * len(out), "session_id": [m for m, _ in out], "cluster": [n for _, n in out]})
+
+    return facts.groupBy("capture_id", "label").applyInPandas(fold, "capture_id string, session_id string, cluster string")
+
+
+def _merge_in_rounds(rows: DataFrame, tokens: DataFrame, window: float, passes: int) -> DataFrame:
+    """``merge_sessions`` by rounds of joins, for groups of any size."""
     of = rows.select(*KEY, F.col("session_id").alias("cluster"))
     early = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("start_ts", "was"))).alias(c)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
@@ -160,6 +320,24 @@ def merge_sessions(sessions: DataFrame, tokens: DataFrame, window: float = 5.0,
     return of
 
 
+def merge_sessions(sessions: DataFrame, tokens: DataFrame, window: float = 5.0, passes: int = 3) -> DataFrame:
+    """(capture_id, session_id, cluster): sessions merged in up to ``passes`` passes; merged ones are taken again with all their identities and their whole time span.
+
+    A cluster has the smallest id of its members. sessions: records of ``sessions.refresh``, with dialog_key if there are forked dialogs. A session
+    without a time stands first and is near nothing; repeated tokens count once; no sessions give no rows."""
+    if "dialog_key" not in sessions.columns:
+        sessions = sessions.withColumn("dialog_key", F.lit(None).cast("string"))
+    mobility = F.coalesce("mobility", F.lit(False)) if "mobility" in sessions.columns else F.lit(False)
+    rows = saved(sessions.select(*KEY, mobility.alias("mobility"), "start_ts", "end_ts", "protocols", "technologies", "imsi", "first_message", "last_message", "dialog_key"))
+    tokens = saved(tokens.select(*KEY, "kind", "token").distinct())
+    groups = _groups(rows, tokens)
+    found = _merge_small(rows, tokens, groups, window, passes)
+    large = groups.where("not small").select(*KEY)
+    if large.isEmpty():
+        return saved(found)
+    return saved(found).unionByName(_merge_in_rounds(saved(rows.join(large, KEY, "left_semi")), saved(tokens.join(large, KEY, "left_semi")), window, passes))
+
+
 def merged_messages(messages: DataFrame, of: DataFrame) -> DataFrame:
     """Messages under the names of their merged sessions; ``sessions.refresh`` of them gives the merged records."""
     return _relabelled(messages, of.withColumnRenamed("cluster", "to"))

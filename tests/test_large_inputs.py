@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sigweave.functions import fields
-from sigweave.operators import learning, normalize, pairs, seeds, strategies
+from sigweave.operators import learning, merging, normalize, pairs, seeds, strategies
 
 
 def test_page_labels_round_and_lower_as_sql(spark, tmp_path):
@@ -147,3 +147,21 @@ def test_nearest_by_products_is_nearest_one_by_one(spark, monkeypatch):
         assert {tuple(r) for r in found.collect()} == want and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     odd = patterns.unionByName(spark.createDataFrame([("odd", None)], patterns.schema))
     assert {tuple(r) for r in learning.nearest(queries.where("query_id = 'p7'"), odd, k=4).collect()} == {w for w in want if w[0] == "p7"}
+
+
+def test_small_groups_fold_like_the_plain_fold():
+    """The fold that small groups take, without Spark, against the plain one on random captures."""
+    from types import SimpleNamespace
+
+    from tests.test_merging import IMSI, OTHER, WINDOW, plain_fold, random_capture
+
+    for seed in range(300):
+        sessions, tokens = random_capture(seed)
+        waiting = []
+        for name, start, end, protocols, technologies, _, first, last, dialog in sessions:
+            own = {k: {t[2] for t in tokens if t[0] == name and t[1] == k} for k in ("id", "stream", *pairs.POINTS, "pair", "ip")}
+            own["imsi"] = own["subscriber_id"] & {IMSI, OTHER}
+            row = SimpleNamespace(session_id=name, start_ts=start, end_ts=end, technologies=technologies, dialog_key=dialog, mobility=False, speaks=bool(set(protocols) - {"TCP", "UDP", "SCTP"}), starts=first == "Attach Request", ends=last == "Attach Complete")
+            waiting.append(merging._Cluster(row, own))
+        got = {m: c.name for c in merging._folded(waiting, WINDOW, 3) for m in c.members}
+        assert got == plain_fold(sessions, tokens), seed
